@@ -6,13 +6,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, sharding, simhash, topk, warc
+from kbspark.llm import bpe, html_text, langid, sharding, simhash, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def _remainder(key: str, n: int):
+    """crc32 of the key as text, modulo n; null for a null key."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % n
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    rows = with_language(docs, docs)
+    return rows.select("doc_id", F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def with_language(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
+    """docs with lang_pred and score, learned from the rows of learn_from that are not held out."""
+    languages, prototypes = langid.learn(learn_from, _remainder("doc_id", 5) != 0)
+    return langid.predict(docs, languages, prototypes)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(spark, _read(spark, sf_dir, "documents"))
 
@@ -25,6 +42,23 @@ def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return both.select("doc_id", bpe.token_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    rows = pages.select("page_id", "url", html_text.extract_main_text(F.col("html")).alias("text"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_toxicity(spark, _read(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir)
+    return rows.select("doc_id", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def with_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with score, learned from the labelled documents of sf_dir that are not held out."""
+    model = toxicity.fit_labelled(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), _remainder("doc_id", 3) != 1)
+    return toxicity.score(docs, model)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(_read(spark, sf_dir, "pages"))
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -49,7 +83,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op7_warc, op8_simhash, op9_topk, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_byte_bpe, op5_main_text, op6_toxicity, op7_warc, op8_simhash, op9_topk, op10_sharding)}
 
 ORACLES = {
     "op7_warc": """
