@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, html_text, langid, sharding, simhash, topk, toxicity, warc
+from kbspark.llm import bpe, decontam, html_text, langid, licenses, sharding, simhash, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def _remainder(key: str, n: int):
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     rows = with_language(docs, docs)
@@ -30,6 +34,11 @@ def with_language(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
     return langid.predict(docs, languages, prototypes)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminations(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"start": "start_at", "end": "end_at"})
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(spark, _read(spark, sf_dir, "documents"))
 
@@ -83,7 +92,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_byte_bpe, op5_main_text, op6_toxicity, op7_warc, op8_simhash, op9_topk, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_language_id, op3_decontamination, op4_byte_bpe, op5_main_text, op6_toxicity, op7_warc, op8_simhash, op9_topk, op10_sharding)}
 
 ORACLES = {
     "op7_warc": """
