@@ -214,21 +214,31 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     Null and empty texts hold nothing. Repeated rows of either table give repeated results, and so does a null
     key. Benchmark items go to the executors in blocks of bounded size, each a pass over the documents.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", F.col("text").alias("text")).where("text is not null")
-    letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-letters // BLOCK_LETTERS))
     slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     out = None
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        own = sorted((r["item_id"], r["text"]) for r in block if r["item_id"] is not None)
-        found = slim.select("key", _found(spark, own)(F.col("text")).alias("found"))
-        found = found.select(F.col("key").alias(key), F.explode("found").alias("f")).select(key, "f.*")
+    for found_in in _blocks(docs.sparkSession, benchmark):
+        found = slim.select("key", F.explode(found_in(F.col("text"))).alias("f")).select(F.col("key").alias(key), "f.*")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs whose text holds no benchmark item, as contaminations() finds them."""
+    for found_in in _blocks(docs.sparkSession, benchmark):
+        docs = docs.where(F.size(found_in(F.coalesce(F.col(text), F.lit("")))) == 0)
+    return docs
+
+
+def _blocks(spark: SparkSession, benchmark: DataFrame):
+    """A column function for every block of items; one for none."""
+    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
+    letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-letters // BLOCK_LETTERS))
+    for b in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        yield _found(spark, sorted((r["item_id"], r["text"]) for r in block))
+
+
 def _found(spark: SparkSession, items: list[tuple[int, str]]):
     sent = spark.sparkContext.broadcast(items)
     name = f"{zlib.crc32(repr(items).encode())}-{len(items)}"

@@ -50,11 +50,10 @@ class Space:
             return s[:0]
         return (s[:-2] * LETTERS + s[1:-1]) * LETTERS + s[2:]
 
-    def bundle(self, text: str | None) -> np.ndarray | None:
-        """The text's bundle, None if it has no letter."""
-        codes = self.grams(text) if text else ()
-        if not len(codes):
-            return None
+    def bundles(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text: its bundle, all zero if it has no letter."""
+        coded = [self.grams(x) if x else np.zeros(0, np.int32) for x in texts]
+        codes, owner = np.concatenate(coded), np.repeat(np.arange(len(texts)), [len(x) for x in coded])
         rows = self.row[codes]
         if (rows < 0).any():
             fresh = np.unique(codes[rows < 0])
@@ -62,9 +61,17 @@ class Space:
             a, b, c = fresh // LETTERS**2, fresh // LETTERS % LETTERS, fresh % LETTERS
             self.bound = np.vstack([self.bound, (self.placed[0][a] * self.placed[1][b] * self.placed[2][c]).astype(np.float32)])
             rows = self.row[codes]
-        counts = np.bincount(rows)
-        seen = np.flatnonzero(counts)
-        return counts[seen].astype(np.float32) @ self.bound[seen]
+        # equal n-grams are added up before their vectors are
+        used = np.flatnonzero(np.bincount(rows, minlength=1))
+        place = np.zeros(len(self.bound) + 1, np.int64)
+        place[used] = np.arange(len(used))
+        counts = np.bincount(owner * len(used) + place[rows], minlength=len(texts) * len(used))
+        return counts.reshape(len(texts), len(used)).astype(np.float32) @ self.bound[used]
+
+    def in_blocks(self, texts: list[str | None], block: int = 128):
+        """(first, bundles) for blocks of texts."""
+        for at in range(0, len(texts), block):
+            yield at, self.bundles(texts[at : at + block])
 
 
 _space: list[Space] = []
@@ -90,9 +97,11 @@ def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
         sums: dict[str, np.ndarray] = {}
         space = _own_space()
         for pdf in batches:
-            for name, body in zip(pdf["lang"], pdf["text"]):
-                if (v := space.bundle(body)) is not None:
-                    sums[name] = sums.get(name, 0) + v.astype(np.float64)
+            names = pdf["lang"].to_numpy()
+            for at, rows in space.in_blocks(pdf["text"].tolist()):
+                own = names[at : at + len(rows)]
+                for name in set(own):
+                    sums[name] = sums.get(name, 0) + rows[own == name].sum(axis=0, dtype=np.float64)
         for name, v in sums.items():
             yield pd.DataFrame({"lang": name, "place": np.arange(SIZE), "value": np.rint(v).astype(np.int64)})
 
@@ -104,8 +113,8 @@ def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
     return list(wide.index), wide.to_numpy(np.float64)
 
 
-def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (the cosine, 0 to 1).
+def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with two columns more: the predicted language and its score (the cosine, 0 to 1).
 
     Texts that are null or have no letter, or all if no language was learned, get `und` and score 0. Ties go
     to the first language in order. Repeated rows are predicted alike; no other column is looked at.
@@ -117,15 +126,13 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text:
     @F.pandas_udf("lang_pred string, score double")
     def guess(texts: pd.Series) -> pd.DataFrame:
         languages, unit = sent.value
-        space, out = _own_space(), []
-        for body in texts:
-            v = space.bundle(body) if languages else None
-            if v is None:
-                out.append((UNKNOWN, 0.0))
-                continue
-            cosines = unit @ v
-            best = int(cosines.argmax())
-            out.append((languages[best], float(np.clip(cosines[best] / max(np.linalg.norm(v), 1e-9), 0, 1))))
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
-
-    return docs.withColumn("_guess", guess(F.col(text))).withColumns({"lang_pred": F.col("_guess.lang_pred"), "score": F.col("_guess.score")}).drop("_guess")
+        names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        for at, rows in _own_space().in_blocks(texts.tolist()) if languages else ():
+            lengths = np.linalg.norm(rows, axis=1)
+            cosines = rows @ unit.T / np.maximum(lengths, 1e-9)[:, None]
+            best, known = cosines.argmax(axis=1), np.flatnonzero(lengths > 0)
+            names[at + known] = np.array(languages, object)[best[known]]
+            scores[at + known] = np.clip(cosines[known, best[known]], 0, 1)
+        return pd.DataFrame({"lang_pred": names, "score": scores})
+
+    return docs.withColumn("_guess", guess(F.col(text))).withColumns({into[0]: F.col("_guess.lang_pred"), into[1]: F.col("_guess.score")}).drop("_guess")

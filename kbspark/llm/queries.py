@@ -24,14 +24,14 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    rows = with_language(docs, docs)
+    rows = with_language(docs.select("doc_id", "text"), docs)
     return rows.select("doc_id", F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
-    """docs with lang_pred and score, learned from the rows of learn_from that are not held out."""
+def with_language(docs: DataFrame, learn_from: DataFrame, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with language and score, learned from the rows of learn_from that are not held out."""
     languages, prototypes = langid.learn(learn_from, _remainder("doc_id", 5) != 0)
-    return langid.predict(docs, languages, prototypes)
+    return langid.predict(docs, languages, prototypes, into=into)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,14 +58,16 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_toxicity(spark, _read(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir)
-    return rows.select("doc_id", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    docs = _read(spark, sf_dir, "documents")
+    rows = with_toxicity(spark, docs.select("doc_id", "text"), sf_dir, docs)
+    score = F.col("toxic_score")
+    return rows.select("doc_id", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"))
 
 
-def with_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with score, learned from the labelled documents of sf_dir that are not held out."""
-    model = toxicity.fit_labelled(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), _remainder("doc_id", 3) != 1)
-    return toxicity.score(docs, model)
+def with_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str, learn_from: DataFrame, into: str = "toxic_score") -> DataFrame:
+    """docs with a score, learned from the labelled rows of learn_from that are not held out."""
+    model = toxicity.fit_labelled(learn_from, _read(spark, sf_dir, "labels"), _remainder("doc_id", 3) != 1)
+    return toxicity.score(docs, model, into=into)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
