@@ -1,12 +1,13 @@
 """WARC archives: records written with an index, revisits for equal payloads, and reads by byte range.
 
 Every task writes one archive file and returns an index row per record: file, offset, length, URL and
-digest. The index is kept as a table. A reader selects index rows, sorts them by place, joins neighbouring
+digest. A record is a gzip member of its own, so it can be read alone. The index is kept as a table. A reader selects index rows, sorts them by place, joins neighbouring
 byte ranges into one read each, and cuts the records out of what it read.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 
@@ -28,7 +29,7 @@ def _open(path: str, mode: str):
     system, name = fs.FileSystem.from_uri(path)
     if mode == "w":
         system.create_dir(name.rpartition("/")[0], recursive=True)
-        return system.open_output_stream(name)
+        return system.open_output_stream(name, compression=None)
     return system.open_input_file(name)
 
 
@@ -91,13 +92,13 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     """
 
     def write(batches):
-        path = f"{folder}/{uuid.uuid4().hex}.warc"
+        path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
         offset, out = 0, None
         for pdf in batches:
             made = []
             for page_id, url, html, digest, kind, refers in zip(*(pdf[c] for c in ("page_id", "url", "html", "payload_digest", "record_type", "refers_to"))):
                 page_id, refers = (None if pd.isna(x) else int(x) for x in (page_id, refers))
-                data = record(page_id, url, kind, (html or "").encode(), digest, refers)
+                data = gzip.compress(record(page_id, url, kind, (html or "").encode(), digest, refers), 6, mtime=0)
                 out = out or _open(path, "w")
                 out.write(data)
                 made.append((path, offset, len(data), url, page_id, kind, digest, refers))
@@ -143,7 +144,7 @@ def read_records(index: DataFrame) -> DataFrame:
                         data, made = f.read(end - start), []
                         for i in inside:
                             at = spans[i][0] - start
-                            headers, block = parse(data[at : at + spans[i][1]])
+                            headers, block = parse(gzip.decompress(data[at : at + spans[i][1]]))
                             digest, kind = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"]
                             if kind == "response" and hashlib.sha1(block).hexdigest() != digest:
                                 raise ValueError(f"{path} at {spans[i][0]}: the payload has another digest")
