@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("analytics",)
+MODULES = ("analytics", "log")
 
 
 def _all(name: str) -> dict:
