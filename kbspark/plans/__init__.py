@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("analytics", "log")
+MODULES = ("analytics", "log", "text", "content")
 
 
 def _all(name: str) -> dict:
