@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("analytics", "log", "text", "content")
+MODULES = ("analytics", "log", "text", "content", "stores")
 
 
 def _all(name: str) -> dict:
