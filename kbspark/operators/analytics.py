@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MATCHED = F.expr("match_type is not null and match_type <> 'none'")
+
+def matched() -> Column:
+    """A question that matched some entry."""
+    return F.expr("match_type is not null and match_type <> 'none'")
 
 
 def _count(condition: Column | str) -> Column:
@@ -33,7 +36,7 @@ def dashboard_stats(knowledge, questions, inquiries, ratings, as_of: str) -> Dat
     )
     q = questions.agg(
         F.count("*").alias("total_questions"), _count(F.to_date("created_at") == day).alias("questions_today"), _count(since(as_of, 7)).alias("questions_7d"), _count(since(as_of, 30)).alias("questions_30d"),
-        _count(MATCHED).alias("matched"), _count(~MATCHED).alias("unmatched"), F.countDistinct("ip_address").alias("visitors"), F.countDistinct(F.when(since(as_of, 7), F.col("ip_address"))).alias("visitors_7d"),
+        _count(matched()).alias("matched"), _count(~matched()).alias("unmatched"), F.countDistinct("ip_address").alias("visitors"), F.countDistinct(F.when(since(as_of, 7), F.col("ip_address"))).alias("visitors_7d"),
     )
     i = inquiries.agg(_count("status = 'pending'").alias("pending_inquiries"), F.count("*").alias("total_inquiries"))
     r = ratings.agg(_count("rating = 'helpful'").alias("helpful"), _count("rating = 'not_helpful'").alias("not_helpful"))
@@ -46,7 +49,7 @@ def questions_trend(questions: DataFrame, as_of: str, days: int = 30) -> DataFra
     last = F.expr(f"date '{as_of[:10]}'")
     calendar = questions.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(last, days), last)).alias("day"))
     counts = questions.where(F.to_date("created_at").between(F.date_sub(last, days), last)).groupBy(F.to_date("created_at").alias("day"))
-    counts = counts.agg(F.count("*").alias("total"), _count(MATCHED).alias("matched"), _count(~MATCHED).alias("unmatched"))
+    counts = counts.agg(F.count("*").alias("total"), _count(matched()).alias("matched"), _count(~matched()).alias("unmatched"))
     return calendar.join(counts, "day", "left").na.fill(0)
 
 
@@ -81,7 +84,7 @@ def top_entries_by_hits(knowledge: DataFrame, as_of: str, limit: int = 10) -> Da
 def unmatched_questions(questions: DataFrame, least: int = 1, limit: int | None = None) -> DataFrame:
     """Unmatched questions, equal ones together: count, last time, and the text of the first id."""
     key = F.lower(F.trim("question"))
-    out = questions.where(~MATCHED).groupBy(key.alias("question_key")).agg(F.count("*").alias("n"), F.max("created_at").alias("last_asked"), F.min_by("question", "id").alias("sample_question")).where(F.col("n") >= least)
+    out = questions.where(~matched()).groupBy(key.alias("question_key")).agg(F.count("*").alias("n"), F.max("created_at").alias("last_asked"), F.min_by("question", "id").alias("sample_question")).where(F.col("n") >= least)
     return out.orderBy(F.desc("n"), "question_key").limit(limit) if limit else out
 
 
@@ -112,7 +115,7 @@ def weekday_pattern(questions: DataFrame, as_of: str, days: int = 30) -> DataFra
 def period_comparison(questions: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """The last days against as many before: totals, match rates, change in percent (0 without a base)."""
     now, before = since(as_of, days), since(as_of, 2 * days) & ~since(as_of, days)
-    one = questions.agg(_count(now).alias("total_now"), _count(before).alias("total_before"), _count(now & MATCHED).alias("matched_now"), _count(before & MATCHED).alias("matched_before"))
+    one = questions.agg(_count(now).alias("total_now"), _count(before).alias("total_before"), _count(now & matched()).alias("matched_now"), _count(before & matched()).alias("matched_before"))
     one = one.withColumns({"rate_now": rate(F.col("matched_now"), F.col("total_now")), "rate_before": rate(F.col("matched_before"), F.col("total_before"))})
     change = F.when(F.col("total_before") > 0, F.round(100.0 * (F.col("total_now") - F.col("total_before")) / F.col("total_before"), 1)).otherwise(F.lit(0.0))
     return one.withColumns({"change": change, "rate_difference": F.round(F.col("rate_now") - F.col("rate_before"), 1)})
@@ -148,7 +151,7 @@ def executive_summary(knowledge, questions, inquiries, ratings, as_of: str) -> D
 
 def coverage_split(questions: DataFrame, answers: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Questions answered from the base, by a model, or not at all, with shares."""
-    one = questions.where(since(as_of, days)).agg(F.count("*").alias("total"), _count(MATCHED).alias("kb"), _count(~MATCHED).alias("open")).crossJoin(answers.agg(F.count("*").alias("ai")))
+    one = questions.where(since(as_of, days)).agg(F.count("*").alias("total"), _count(matched()).alias("kb"), _count(~matched()).alias("open")).crossJoin(answers.agg(F.count("*").alias("ai")))
     one = one.withColumn("none", F.greatest(F.lit(0), F.col("open") - F.col("ai")))
     return one.select("total", "kb", "ai", "none", F.round(100.0 * (F.col("kb") + F.col("ai")) / F.col("total"), 0).alias("coverage"), *(rate(F.col(c), F.col("total")).alias(f"{c}_share") for c in ("kb", "ai", "none")))
 
@@ -178,7 +181,7 @@ def answer_status_counts(answers: DataFrame) -> DataFrame:
 
 
 def decision_summary(questions: DataFrame) -> DataFrame:
-    one = questions.agg(F.count("*").alias("total"), _count(MATCHED).alias("matched"), F.coalesce(F.sum("ai_tiebreak"), F.lit(0)).alias("tiebreaks"), F.coalesce(F.sum("ai_rejected"), F.lit(0)).alias("rejections"))
+    one = questions.agg(F.count("*").alias("total"), _count(matched()).alias("matched"), F.coalesce(F.sum("ai_tiebreak"), F.lit(0)).alias("tiebreaks"), F.coalesce(F.sum("ai_rejected"), F.lit(0)).alias("rejections"))
     return one.withColumns({"match_rate": rate(F.col("matched"), F.col("total")), "rejection_rate": rate(F.col("rejections"), F.col("matched"))})
 
 
@@ -265,7 +268,7 @@ def category_performance(knowledge: DataFrame, categories: DataFrame) -> DataFra
 def period_stats(questions: DataFrame, as_of: str) -> DataFrame:
     """Totals, visitors and match rates of the last 7, 30, 90 and 365 days, in one pass over the longest."""
     spans = questions.where(since(as_of, 365)).select("*", F.explode(F.filter(F.array(*(F.when(since(as_of, d), d) for d in (7, 30, 90, 365))), lambda x: x.isNotNull())).alias("days"))
-    out = spans.groupBy("days").agg(F.count("*").alias("questions"), F.countDistinct("ip_address").alias("visitors"), _count(MATCHED).alias("matched"))
+    out = spans.groupBy("days").agg(F.count("*").alias("questions"), F.countDistinct("ip_address").alias("visitors"), _count(matched()).alias("matched"))
     return out.withColumn("match_rate", rate(F.col("matched"), F.col("questions")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions.text import is_effectively_empty
-from kbspark.operators.analytics import MATCHED
+from kbspark.operators.analytics import matched as is_matched
 
 #: Substrings of bots' user agents, in lower case (fixed values).
 BOT_AGENTS = (
@@ -21,7 +21,7 @@ BOT_AGENTS = (
 def filter_questions(questions: DataFrame, matched: bool | None = None, rejected: bool = False, language: str | None = None, contains: str | None = None, page: int = 0, size: int = 50) -> DataFrame:
     """A page of the log, newest first; language 'non_en' takes all that is known and not English."""
     if matched is not None:
-        questions = questions.where(MATCHED if matched else ~MATCHED)
+        questions = questions.where(is_matched() if matched else ~is_matched())
     if rejected:
         questions = questions.where("ai_rejected = 1")
     if language == "non_en":

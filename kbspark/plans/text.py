@@ -86,13 +86,13 @@ def _pages(name: str, column, sql: str):
     ORACLES[name] = sql
 
 
-_URL = F.concat(F.upper(F.substring("url", 1, 4)), F.substring("url", 5, 1000), F.lit("#top"))
-_pages("t26_normalise_url", lambda: T.normalise_url(_URL), "SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/+(\\?|$)', '\\1') AS value FROM pages")
-_LINK = F.expr("case page_id % 5 when 0 then '/a/b.html#x' when 1 then 'c?d=1' when 2 then 'mailto:x@y.z' when 3 then '//other.org/x' else 'http://abs.org/z.pdf' end")
-_pages("t27_resolve_url", lambda: T.resolve_url(_LINK, F.col("url")), """
+_URL = lambda: F.concat(F.upper(F.substring("url", 1, 4)), F.substring("url", 5, 1000), F.lit("#top"))
+_pages("t26_normalise_url", lambda: T.normalise_url(_URL()), "SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/+(\\?|$)', '\\1') AS value FROM pages")
+_LINK = lambda: F.expr("case page_id % 5 when 0 then '/a/b.html#x' when 1 then 'c?d=1' when 2 then 'mailto:x@y.z' when 3 then '//other.org/x' else 'http://abs.org/z.pdf' end")
+_pages("t27_resolve_url", lambda: T.resolve_url(_LINK(), F.col("url")), """
 SELECT page_id, CASE page_id % 5 WHEN 0 THEN regexp_extract(url, '^[^:]+://[^/?#]+') || '/a/b.html' WHEN 1 THEN regexp_extract(url, '^([^:]+://[^?#]*/)', 1) || 'c?d=1'
   WHEN 2 THEN NULL WHEN 3 THEN regexp_extract(url, '^[^:]+:') || '//other.org/x' ELSE 'http://abs.org/z.pdf' END AS value FROM pages""")
-_pages("t27_is_allowed_url", lambda: T.is_allowed_url(T.resolve_url(_LINK, F.col("url")), F.col("url")), "SELECT page_id, page_id % 5 IN (0, 1) AS value FROM pages")
+_pages("t27_is_allowed_url", lambda: T.is_allowed_url(T.resolve_url(_LINK(), F.col("url")), F.col("url")), "SELECT page_id, page_id % 5 IN (0, 1) AS value FROM pages")
 
 
 def _register(name: str, f, sql: str | None = None):

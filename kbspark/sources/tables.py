@@ -61,7 +61,9 @@ def import_csv_validated(spark: SparkSession, path: str, required: list[str]) ->
     good = rows.where("_bad is null").drop("_bad")
     fixed = {"status": (("active", "inactive", "hold", "expired"), "active"), "search_type": (("contains", "exact", "pattern"), "contains")}
     good = good.withColumns({c: F.when(F.col(c).isin(*known), F.col(c)).otherwise(default) for c, (known, default) in fixed.items() if c in names})
-    return good, rows.where("_bad is not null").select(F.col("_bad").alias("line"))
+    # Spark reads no CSV for the bad lines alone, so another column is looked at too
+    bad = rows.where(F.col("_bad").isNotNull() & (F.length(F.concat_ws("", "_bad", names[0])) > 0))
+    return good, bad.select(F.col("_bad").alias("line"))
 
 
 def preview_import(incoming: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:

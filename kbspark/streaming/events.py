@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.operators.analytics import MATCHED, _count
+from kbspark.operators.analytics import _count, matched
 
 
 def question_counts(questions: DataFrame, span: str = "1 hour", late: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Totals, matched and unmatched for each window; rows later than the watermark are dropped in a stream."""
     rows = questions.withWatermark("created_at", late)
     window = F.window("created_at", span, slide) if slide else F.window("created_at", span)
-    out = rows.groupBy(window.alias("w")).agg(F.count("*").alias("total"), _count(MATCHED).alias("matched"), _count(~MATCHED).alias("unmatched"))
+    out = rows.groupBy(window.alias("w")).agg(F.count("*").alias("total"), _count(matched()).alias("matched"), _count(~matched()).alias("unmatched"))
     return out.select(F.col("w.start").alias("start_at"), F.col("w.end").alias("end_at"), "total", "matched", "unmatched")
 
 
