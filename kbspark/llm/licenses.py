@@ -4,7 +4,7 @@ Texts and templates are words; a shingle is five words. Overlapping windows of a
 MinHash: every band holds one minimum (a band of one row), so a window and a template's window that share
 the share J of their shingles meet with probability 1 - (1 - J) ** BANDS. Long templates are cut into windows
 at every word, so a copy's windows have equals among them wherever it starts: with one word of twenty
-changed (J = 0.52) a window is found with probability 0.988, and a template has many. Templates shorter
+changed (J = 0.52) a window is found with probability 0.947, and a template has many. Templates shorter
 than a window are met by windows of one shingle at every word, whose minimum is the shingle itself: there the
 probability is 1. What is retrieved is verified by exact containment of the template's shingles.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 #: Words of a window, words from one window to the next, and bands.
-WINDOW, STEP, BANDS = 20, 8, 6
+WINDOW, STEP, BANDS = 20, 8, 4
 CONTAINMENT = 0.8
 #: Words of all templates together: they become part of the plan.
 TEMPLATE_WORDS = 50_000
@@ -82,24 +82,51 @@ def _shingles(words: Column) -> Column:
     return _let(F.transform(words, lambda w: F.xxhash64(w)), hashed)
 
 
-def _bands(shingles: Column, step: int) -> Column:
-    """The band values of all whole windows: the minimum of each permutation (an exclusive or), marked with its band."""
-    width = WINDOW - SHINGLE + 1
-    starts = F.sequence(F.lit(1), F.size(shingles) - width + 1, F.lit(step))
-    seeds = [0x5851F42D4C957F2D * (k + 1) % (1 << 63) for k in range(BANDS)]
+#: Each band's permutation of the hashes is an exclusive or with its seed.
+SEEDS = [0x5851F42D4C957F2D * (k + 1) % (1 << 63) for k in range(BANDS)]
+WIDTH = WINDOW - SHINGLE + 1
 
-    def of(start):
-        window = F.slice(shingles, start, width)
-        return F.array(*(F.xxhash64(F.lit(k), F.array_min(F.transform(window, lambda x, s=s: x.bitwiseXOR(F.lit(s))))) for k, s in enumerate(seeds)))
 
-    return F.when(F.size(shingles) >= width, F.flatten(F.transform(starts, of))).otherwise(F.array().cast("array<long>"))
+def _minima(values: Column) -> Column:
+    """The minimum of the values under each permutation."""
+    def least(seed):
+        return F.array_min(F.transform(values, lambda v: v.bitwiseXOR(F.lit(seed))))
+
+    return F.array(*map(least, SEEDS))
+
+
+def _marked(minima: Column) -> Column:
+    """Band values: minima told apart by band."""
+    return F.array(*(F.xxhash64(F.lit(k), F.get(minima, F.lit(k))) for k in range(BANDS)))
+
+
+def _all_bands(shingles: Column) -> Column:
+    """The band values of the windows at every word (for templates, which are short)."""
+    starts = F.sequence(F.lit(1), F.size(shingles) - WIDTH + 1)
+    return F.flatten(F.transform(starts, lambda i: _marked(_minima(F.slice(shingles, i, WIDTH)))))
+
+
+def _bands(shingles: Column) -> Column:
+    """The band values of the windows of a text, from one to the next STEP words, and of the last words' window.
+
+    A window is two blocks of STEP shingles, so every shingle is looked at once for each band."""
+    n = F.size(shingles)
+    block = lambda b: _let(F.array(*(F.get(shingles, b * STEP + i) for i in range(STEP))), _minima)
+    last = _marked(_minima(F.transform(F.sequence(n - WIDTH, n - 1), lambda i: F.get(shingles, i))))
+
+    def windows(blocks):
+        pair = lambda b: F.zip_with(F.get(blocks, b), F.get(blocks, b + 1), lambda x, y: F.least(x, y))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(blocks) - 2), lambda b: _let(pair(b), _marked)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(n / STEP).cast("int") - 1), block)
+    return F.when(n >= WIDTH, F.concat(_let(blocks, windows), last)).otherwise(F.array().cast("array<long>"))
 
 
 def _compiled(spark: SparkSession, templates: dict[str, str]):
     """(name, band values or shingles that retrieve it, shingle texts) of each template."""
     rows = spark.createDataFrame(sorted(templates.items()), "name string, text string")
     rows = rows.select("name", _words(F.col("text")).alias("w"))
-    keys = F.when(F.size("w") >= WINDOW, _let(_shingles(F.col("w")), lambda s: _bands(s, 1))).otherwise(_shingles(F.col("w")))
+    keys = F.when(F.size("w") >= WINDOW, _let(_shingles(F.col("w")), _all_bands)).otherwise(_shingles(F.col("w")))
     found = rows.select("name", F.size("w").alias("n"), F.array_distinct(keys).alias("keys"), F.array_distinct(_texts(F.col("w"))).alias("texts")).collect()
     if sum(r["n"] for r in found) > TEMPLATE_WORDS:
         raise ValueError(f"the templates have more than {TEMPLATE_WORDS} words")
@@ -109,7 +136,13 @@ def _compiled(spark: SparkSession, templates: dict[str, str]):
 
 
 def _texts(words: Column) -> Column:
-    return F.when(F.size(words) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(words) - SHINGLE + 1), lambda i: F.concat_ws(" ", F.slice(words, i, SHINGLE)))).otherwise(F.array().cast("array<string>"))
+    """The shingles themselves, in order."""
+
+    def of(w):
+        shingle = lambda i: F.concat_ws(" ", *(F.get(w, i + k) for k in range(SHINGLE)))
+        return F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), shingle)).otherwise(F.array().cast("array<string>"))
+
+    return _let(words, of)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", least: float = CONTAINMENT) -> DataFrame:
@@ -129,7 +162,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "d
     by_shingle = sorted({k for r in known if r["n"] < WINDOW for k in r["keys"]})
     by_band = sorted({k for r in long for k in r["keys"]})
     def met(shingles):
-        return F.array_union(F.array_intersect(shingles, _longs(by_shingle)), F.array_intersect(_bands(shingles, STEP), _longs(by_band)))
+        return F.array_union(F.array_intersect(shingles, _longs(by_shingle)), F.array_intersect(_bands(shingles), _longs(by_band)))
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     rows = rows.select("_key", "_text", _let(_words(F.col("_text")), lambda w: _let(_shingles(w), met)).alias("_met")).where(F.size("_met") > 0)
