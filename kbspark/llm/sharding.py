@@ -103,7 +103,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, key: str = "doc_id", text:
     sized = [(int(g), 0, int(n)) for g, n, p in zip(counts["grp"], counts["n"], counts["parts"]) if p == 1]
     if dealt:
         sized += [(int(r[0]), int(r[1]), int(r[2])) for r in parts.where("parts > 1").groupBy("grp", "part").count().collect()]
-    offsets = pd.DataFrame(sized, columns=["grp", "part", "n"]).merge(counts[["grp", "shard"]], on="grp").sort_values(["shard", "grp", "part"])
+    offsets = pd.DataFrame(sized, columns=["grp", "part", "n"], dtype="int64").merge(counts[["grp", "shard"]], on="grp").sort_values(["shard", "grp", "part"])
     offsets["first"] = offsets.groupby("shard")["n"].cumsum() - offsets["n"]
     offsets = spark.createDataFrame(offsets[["grp", "part", "first"]].astype("int64"), "grp long, part long, first long")
     order = Window.partitionBy("grp", "part").orderBy("hash", "key")
