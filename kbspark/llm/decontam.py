@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.llm.shared import held
+
 #: Walks; samples of each walk; steps of a walk; steps that a sample looks at.
 WALKS, SAMPLES, STEPS, SAMPLED = 2, 2, 40, 20
 #: Items with fewer letters than this get walks of SHORT steps, and with fewer than SHORT are never found.
@@ -194,15 +196,9 @@ class Index:
         return [(text, self.items[k][0], start, end, edits) for (text, k), (edits, start, end) in sorted(best.items())]
 
 
-_indexes: dict[str, Index] = {}
-
-
 def _index(name: str, items) -> Index:
     """The index of this Python worker, built once for many tasks."""
-    if name not in _indexes:
-        _indexes.clear()
-        _indexes[name] = Index(items.value)
-    return _indexes[name]
+    return held(f"decontam {name}", lambda: Index(items.value))
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

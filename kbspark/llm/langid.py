@@ -13,12 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.shared import unit_hash
+from kbspark.llm.shared import held, unit_hash
 
 #: Components of a vector; letters of an n-gram; different letters told apart (others share by code point).
 SIZE, GRAM, LETTERS = 512, 3, 64
 #: Texts that a language is learned from, about, at most.
 SAMPLE_PER_LANGUAGE = 3000
+#: Languages that are learned at most, those of the most rows.
+LANGUAGES = 10_000
 UNKNOWN = "und"
 
 
@@ -74,13 +76,8 @@ class Space:
             yield at, self.bundles(texts[at : at + block])
 
 
-_space: list[Space] = []
-
-
 def _own_space() -> Space:
-    if not _space:
-        _space.append(Space())
-    return _space[0]
+    return held("language", Space)
 
 
 def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
@@ -90,8 +87,8 @@ def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
     a letter teach nothing. Prototypes come to the driver: one vector for each language.
     """
     rows = docs.where(may_learn & F.col(lang).isNotNull())
-    share = rows.groupBy(lang).agg((F.lit(float(per_language)) / F.count("*")).alias("_share"))
-    picked = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), unit_hash(key).alias("_unit")).join(share.withColumnRenamed(lang, "lang"), "lang").where("_unit < _share")
+    share = rows.groupBy(lang).agg((F.lit(float(per_language)) / F.count("*")).alias("_share")).orderBy("_share", lang).limit(LANGUAGES)
+    picked = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), unit_hash(key).alias("_unit")).join(F.broadcast(share.withColumnRenamed(lang, "lang")), "lang").where("_unit < _share")
 
     def bundles(batches):
         sums: dict[str, np.ndarray] = {}

@@ -31,3 +31,16 @@ def written(df: DataFrame) -> DataFrame:
 def unit_hash(*cols: str):
     """A column in [0, 1) that depends on the values alone: the same rows are sampled on every run."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
+
+
+_held: dict = {}
+
+
+def held(name: str, make):
+    """What a Python worker keeps between tasks: the state of the operator that ran last, and of no other.
+
+    Workers are used again by later jobs, so without this the caches of several operators would add up."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]

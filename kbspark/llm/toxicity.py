@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from math import log
 
 import numpy as np
@@ -19,15 +20,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.shared import unit_hash
+from kbspark.llm.shared import held, unit_hash
 
 SEGMENT = 16
 #: A segment of fewer n-grams is averaged as if it were filled up with words of zero vectors.
 LEAST_GRAMS = 128
 #: Labelled documents that the model is fitted on, at most about so many of each label.
-SAMPLE_PER_LABEL = 2500
+SAMPLE_PER_LABEL = 2000
 _EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»„“”‘’–—…¿¡·•"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 
 def buckets_of(word: str, mask: int, low: int = 3, high: int = 5) -> list[int]:
@@ -79,31 +80,41 @@ class Model(dict):
 def fit(texts: list[str], labels: list[int], buckets: int = 1 << 18, size: int = 8, rounds: int = 6, rate: float = 0.3, seed: int = 0) -> Model:
     """Trains embeddings and softmax jointly on whole texts; deterministic. Without both labels: always 0."""
     rng = np.random.default_rng(seed)
+    # whole numbers in flat arrays: as Python lists they would take ten times the driver's memory
     vocabulary: dict[str, int] = {}
-    segments, owner = [], []
+    flat_words, flat_grams, counts, owner = array("i"), array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
-        words = [w for w in (x.strip(_EDGES) for x in (text or "").lower().split()) if w]
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
-        for at in range(0, len(ids), SEGMENT):
-            segments.append(ids[at : at + SEGMENT] + [-1] * (SEGMENT - len(ids[at : at + SEGMENT])))
-            owner.append(d)
+        n = 0
+        for raw in (text or "").lower().split():
+            if word := raw.strip(_EDGES):
+                place = vocabulary.setdefault(word, len(vocabulary))
+                if place == len(counts):
+                    ids = buckets_of(word, buckets - 1)
+                    flat_grams.extend(ids)
+                    counts.append(len(ids))
+                flat_words.append(place)
+                n += 1
+        flat_words.extend([-1] * (-n % SEGMENT))
+        owner.extend([d] * -(-n // SEGMENT))
+    del vocabulary
     y_doc = np.array(labels)
-    if not segments or len(set(labels)) < 2:
+    if not len(owner) or len(set(labels)) < 2:
         return Model(np.zeros(buckets), -40.0)
-    grams = [buckets_of(w, buckets - 1) for w in vocabulary]
-    counts = np.array([len(g) for g in grams])
+    seg, owner = np.array(flat_words, np.int32).reshape(-1, SEGMENT), np.array(owner, np.int64)
+    counts, flat = np.array(counts, np.int64), np.array(flat_grams, np.int32)
     starts = np.concatenate([[0], np.cumsum(counts)])
-    flat = np.concatenate([np.array(g) for g in grams])
-    seg, owner = np.array(segments), np.array(owner)
+    del flat_words, flat_grams
     y = y_doc[owner]
     e = rng.uniform(-1 / size, 1 / size, (buckets, size)).astype(np.float32)
     w, b = rng.normal(0, 0.3, (size, 2)).astype(np.float32), np.zeros(2, np.float32)
     ge, gw, gb = np.full(buckets, 1e-8, np.float32), np.full(w.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
 
     def train(rows: np.ndarray, weight: np.ndarray) -> None:
-        order = rng.permutation(len(rows))
-        for at in range(0, len(rows), 256):
-            pick = order[at : at + 256]
+        # few rows are gone through more often, and in smaller steps
+        times, size_ = max(1, min(12, 12_000 // len(rows))) if not held.any() else 1, 256 if held.any() else 64
+        order = np.concatenate([rng.permutation(len(rows)) for _ in range(times)])
+        for at in range(0, len(order), size_):
+            pick = order[at : at + size_]
             s, target, own = seg[rows[pick]], y[rows[pick]], weight[pick]
             words, place = np.unique(s, return_inverse=True)
             place = place.reshape(s.shape)
@@ -133,7 +144,7 @@ def fit(texts: list[str], labels: list[int], buckets: int = 1 << 18, size: int =
             b[:] -= rate * db / np.sqrt(gb)
 
     def odds() -> np.ndarray:
-        own = (e @ (w[:, 1] - w[:, 0])).astype(np.float64)
+        own = e @ (w[:, 1] - w[:, 0])
         per_word = np.append(np.add.reduceat(own[flat], starts[:-1]), 0)
         return per_word[seg].sum(axis=1) / np.maximum(np.append(counts, 0)[seg].sum(axis=1), LEAST_GRAMS) + float(b[1] - b[0])
 
@@ -142,28 +153,47 @@ def fit(texts: list[str], labels: list[int], buckets: int = 1 << 18, size: int =
     toxic, clean = np.flatnonzero((y == 1) & learn), np.flatnonzero((y == 0) & learn)
     rows = np.concatenate([toxic, rng.choice(clean, min(len(clean), 2 * len(toxic)), replace=False)])
     train(rows, np.where(y[rows] == 1, 0.5, 0.5).astype(np.float32))
-    for r in range(rounds):
+    def per_document(z: np.ndarray) -> np.ndarray:
+        out = np.full(len(texts), -np.inf)
+        np.maximum.at(out, owner, z)
+        return out
+
+    # of all rounds the model that does best on the documents held back; without any, the last
+    best = (-np.inf, None, 0.0)
+    for r in range(rounds + 1):
         z = odds()
+        value, cut = _decision(per_document(z), y_doc, held if held.any() else np.ones(len(texts), bool))
+        if value >= best[0] or not held.any():
+            best = (value, (e @ (w[:, 1] - w[:, 0])).astype(np.float64), float(b[1] - b[0]) - cut)
+        if r == rounds:
+            break
         by = np.lexsort((-z, owner))  # segments by document, the highest first
         rank = np.arange(len(by)) - np.searchsorted(owner[by], owner[by])
         top = by[rank == 0]
         chosen = by[learn[by] & ((rank == 0) | (rank < 4) & ((y[by] == 0) | (z[by] > 0)))]
-        if r >= 2:  # a toxic label without any segment that looks it is taken for a wrong one
+        if r >= rounds - 2:  # a toxic label without any segment that looks it is taken for a wrong one
             hopeless = {int(d) for d, zz in zip(owner[top], z[top]) if y_doc[d] == 1 and zz < -1}
             chosen = chosen[~np.isin(owner[chosen], list(hopeless))]
         rows = np.concatenate([chosen, rng.choice(clean, min(len(clean), len(chosen)), replace=False)])
         share = max((y[rows] == 1).mean(), 1e-3)
         for _ in range(2):
             train(rows, np.where(y[rows] == 1, min(1.0, (1 - share) / share / 2), 1.0).astype(np.float32))
-    # the decision at 0.7 goes between the clean documents' highest odds and the toxic documents' lowest
-    z = np.full(len(texts), -np.inf)
-    np.maximum.at(z, owner, odds())
-    own = (held if held.any() else np.ones(len(texts), bool)) & np.isfinite(z)
-    high = np.quantile(z[own & (y_doc == 0)], 0.995) if (own & (y_doc == 0)).any() else 0.0
-    seen = z[own & (y_doc == 1)]
-    seen = seen[seen > high]
-    low = np.quantile(seen, 0.02) if len(seen) else high + 2
-    return Model((e @ (w[:, 1] - w[:, 0])).astype(np.float64), float(b[1] - b[0] + log(0.7 / 0.3) - (high + 0.35 * (low - high))))
+    return Model(best[1], best[2] + log(0.7 / 0.3))
+
+
+def _decision(z: np.ndarray, y: np.ndarray, own: np.ndarray) -> tuple[float, float]:
+    """(value, log odds) of the cut that catches most toxic documents, a clean one caught counting three times in rate."""
+    own = own & np.isfinite(z)
+    toxic, clean = np.sort(z[own & (y == 1)]), np.sort(z[own & (y == 0)])
+    if not len(toxic) or not len(clean):
+        return -np.inf, 0.0
+    cuts = np.unique(np.concatenate([toxic, clean]))
+    cuts = np.append(0.3 * cuts[1:] + 0.7 * cuts[:-1], cuts[-1] + 1)  # nearer to what is below: the odds of training are too sure
+    caught = 1 - np.searchsorted(toxic, cuts) / len(toxic)
+    wrong = 1 - np.searchsorted(clean, cuts) / len(clean)
+    value = caught - 3 * wrong
+    at = int(value.argmax())
+    return float(value[at]), float(cuts[at])
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "toxic", key: str = "doc_id", text: str = "text", per_label: int = SAMPLE_PER_LABEL) -> Model:
@@ -175,8 +205,8 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, may_learn: Column, label: s
     known = labels.where(may_learn & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max((F.col(label) == 1).cast("int")).alias("y"))
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = F.when(F.col("y") == 1, per_label / max(totals.get(1, 0), 1)).otherwise(per_label / max(totals.get(0, 0), 1))
-    picked = known.where(unit_hash(key) < share)
-    rows = docs.select(key, F.col(text).alias("text")).join(picked, key).select(key, "text", "y").toPandas().sort_values([key, "text"])
+    picked = known.where(unit_hash(key) < share).limit(4 * per_label)  # about twice per_label; the limit only proves the bound
+    rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(picked), key).select(key, "text", "y").toPandas().sort_values([key, "text"])
     return fit(rows["text"].tolist(), rows["y"].tolist())
 
 
@@ -193,12 +223,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     return docs.withColumn(into, scored(F.col(text)))
 
 
-_models: dict[str, Model] = {}
-
-
 def _kept(name: str, sent) -> Model:
-    """The model of this Python worker, with the words it has met; workers are used again by later tasks."""
-    if name not in _models:
-        _models.clear()
-        _models[name] = Model(*sent.value)
-    return _models[name]
+    """The model of this Python worker, with the words it has met."""
+    return held(f"toxicity {name}", lambda: Model(*sent.value))
