@@ -19,12 +19,14 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.llm.shared import held
+
 #: Encoded pre-tokens that a Python worker keeps, and the longest (in characters) that it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 40
 #: Characters of documents that are split at once.
-SPLIT_CHARS = 16 << 20
+SPLIT_CHARS = 6 << 20
 #: Bytes of unknown pre-tokens that are merged at once (a longer pre-token is merged alone).
-MERGE_BYTES = 4 << 20
+MERGE_BYTES = 1 << 20
 
 
 class RankQueue:
@@ -134,15 +136,15 @@ class Codec:
         """The ids of every piece."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         n, ends = int(lengths.sum()), np.cumsum(lengths)
-        token = np.append(self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)], -1)
-        of_piece = np.repeat(np.arange(len(pieces)), lengths)
+        token = np.append(self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)], -1).astype(np.int32)
+        of_piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
         # linked list: place n is the end of all pieces, with a token of no pair
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends[lengths > 0] - 1] = n
         before[(ends - lengths)[lengths > 0]] = n
         after[n] = before[n] = n
         # the rank of the pair that starts at each place, -1 if none
-        pair = np.full(n + 1, -1)
+        pair = np.full(n + 1, -1, np.int32)
         inner = np.flatnonzero(after[:n] < n)
         pair[inner] = self.rank_of(token[inner], token[after[inner]])
         start = inner[pair[inner] >= 0]
@@ -233,15 +235,9 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())) if ids else b""
 
 
-_codecs: dict = {}
-
-
 def _codec(name: str, shared, pattern: str) -> Codec:
-    """The codec of this Python worker; workers are used again, so it is built once for many tasks."""
-    if (name, pattern) not in _codecs:
-        _codecs.clear()
-        _codecs[name, pattern] = Codec(shared.value, pattern)
-    return _codecs[name, pattern]
+    """The codec of this Python worker, built once for many tasks."""
+    return held(f"bpe {name} {pattern}", lambda: Codec(shared.value, pattern))
 
 
 class ByteBPE:
