@@ -57,7 +57,7 @@ def import_csv_validated(spark: SparkSession, path: str, required: list[str]) ->
     if lost := [c for c in required if c not in names]:
         raise ValueError(f"columns are missing: {lost}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_bad"]])
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("escape", '"').csv(path)
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", "_bad").option("escape", '"').csv(path)
     good = rows.where("_bad is null").drop("_bad")
     fixed = {"status": (("active", "inactive", "hold", "expired"), "active"), "search_type": (("contains", "exact", "pattern"), "contains")}
     good = good.withColumns({c: F.when(F.col(c).isin(*known), F.col(c)).otherwise(default) for c, (known, default) in fixed.items() if c in names})
