@@ -10,10 +10,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.shared import written
+from kbspark.llm.shared import held, written
 
 #: Fingerprints that share a variant are compared pair by pair up to this many; larger sets go by a second cut.
 PAIRWISE = 24
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp", words: i
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
+        held("simhash", dict)  # what other operators keep is let go
         return pd.Series(np.array([fingerprint_of(x, words, seed) for x in texts], np.uint64).view(np.int64))
 
     return docs.withColumn(into, fp(F.col(text))).drop(text)
@@ -62,12 +63,15 @@ def links(fps: DataFrame, fp: str = "fp") -> DataFrame:
     """Links (a, b), a < b, between distinct fingerprints that connect all at Hamming distance 1 or 2.
 
     Every pair returned is within two bits. Pairs that share a variant with few others are all returned;
-    in sets of more than PAIRWISE only enough of them that whatever is linked stays connected: their
-    members are indexed once more by what the variant leaves open, under keys whose holders are all within
-    two bits of each other, and each is linked with the smallest of its key. So work and rows are in
-    proportion to the members, not to their square.
+    in sets of more than PAIRWISE only enough of them that whatever is linked stays connected. There,
+    members with equal halves are indexed once more by their other half and its one-bit neighbours, keys
+    whose holders are all within two bits of each other, and each is linked with the smallest of its key;
+    one variant of a half does for that. Members that differ in the bit left out, and in one bit of the
+    other half, are found by looking up the one-bit neighbours of the rarer kind among the other kind. So
+    work and rows are in proportion to the members, not to their square.
     """
-    one = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct()
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct().repartition(parts, "fp")  # few bytes now, 64 times as many rows next
     col = F.col("fp")
     variants = []
     for side, half, _ in _halves(col):
@@ -77,11 +81,11 @@ def links(fps: DataFrame, fp: str = "fp") -> DataFrame:
             high = F.shiftleft(F.shiftrightunsigned(half, bit + 1), bit)
             variants.append(F.shiftleft(high.bitwiseOR(low), 6).bitwiseOR(F.lit(bit << 1 | side)))
     keyed = one.select("fp", F.explode(F.array(*variants)).alias("key"))
-    sets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    sets = written(sets)
+    # the size of each set comes from the one shuffle that brings it together; sets of one go at once
+    many = written(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    twos = sets.where("n = 2").select("a", "b").where(close)
-    many = keyed.join(sets.where("n > 2").select("key", "n"), "key")
+    twos = many.where("n = 2").groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).select("a", "b").where(close)
+    many = many.where("n > 2")
     few = many.where(F.col("n") <= PAIRWISE).select("key", "fp")
     pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key").where("a < b").select("a", "b").where(close)
     side, bit = F.col("key").bitwiseAND(F.lit(1)), F.shiftrightunsigned(F.col("key").bitwiseAND(F.lit(63)), 1).cast("int")
@@ -89,13 +93,15 @@ def links(fps: DataFrame, fp: str = "fp") -> DataFrame:
     rest = F.when(side == 0, col.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(col, 32))
     held = F.expr("shiftrightunsigned(own, bit) & 1L")
     big = many.where(F.col("n") > PAIRWISE).select("key", "fp", own.alias("own"), rest.alias("rest"), bit.alias("bit")).withColumn("held", held)
-    # the open bit may differ: the rest then differs by one bit, which a variant of the rest leaves out;
-    # the open bit is equal: the rest differs by two bits, so both are one bit away from some value
-    open_keys = F.expr("transform(sequence(0, 31), j -> named_struct('kind', -1 - j, 'value', rest & ~shiftleft(1L, j)))")
-    near_keys = F.expr("transform(sequence(0, 32), j -> named_struct('kind', cast(held as int), 'value', if(j = 32, rest, rest ^ shiftleft(1L, j))))")
-    sub = big.select("key", "fp", F.explode(F.concat(open_keys, near_keys)).alias("sub")).select("key", "fp", "sub.kind", "sub.value")
-    least = sub.groupBy("key", "kind", "value").agg(F.min("fp").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
-    stars = sub.join(least, ["key", "kind", "value"]).where("fp > a").select("a", F.col("fp").alias("b"))
+    equal = big.where("bit = 0").select("key", "fp", "held", F.explode(F.expr("transform(sequence(0, 32), j -> if(j = 32, rest, rest ^ shiftleft(1L, j)))")).alias("value"))
+    least = equal.groupBy("key", "held", "value").agg(F.min("fp").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
+    stars = equal.join(least, ["key", "held", "value"]).where("fp > a").select("a", F.col("fp").alias("b"))
+    mixed = big.where("key & 1 = 0")
+    kinds = mixed.groupBy("key").agg(F.sum("held").alias("ones"), F.count("*").alias("m")).where("ones > 0 and ones < m")
+    mixed = mixed.join(kinds.select("key", (F.col("ones") * 2 <= F.col("m")).cast("long").alias("rare")), "key")
+    asked = mixed.where("held = rare").select("key", F.col("fp").alias("a"), F.explode(F.expr("transform(sequence(0, 31), j -> rest ^ shiftleft(1L, j))")).alias("rest"))
+    across = asked.join(mixed.where("held <> rare").select("key", "rest", F.col("fp").alias("b")), ["key", "rest"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    stars = stars.union(across)
     return twos.union(pairs).union(stars).distinct()
 
 
