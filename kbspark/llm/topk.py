@@ -25,12 +25,12 @@ def _tail_norms(m: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
     return [np.sqrt(squares[c:].sum(axis=0)) * (1 + 1e-9) for c in cuts]
 
 
-def branch_and_bound(queries: np.ndarray, rows: np.ndarray, k: int, floor: np.ndarray, block: int = 16, at_once: int = 64):
+def branch_and_bound(queries: np.ndarray, rows: np.ndarray, k: int, floor: np.ndarray, query_ids: np.ndarray, row_ids: np.ndarray, block: int = 16, at_once: int = 64):
     """Yields (query, row indexes, scores): all rows that can be among the query's k best, with whole scores.
 
     queries and rows: dimensions x vectors, float64 with integer values, so that sums below 2**53 are exact.
     floor: scores that the k-th best of each query is known to reach; rows below it are not returned. Ties
-    with the k-th best are returned.
+    with the k-th best are returned. Rows with the query's own id take no part, so they never raise the bound.
     """
     d, n = rows.shape
     cuts = [*range(block, d, block)]
@@ -42,7 +42,9 @@ def branch_and_bound(queries: np.ndarray, rows: np.ndarray, k: int, floor: np.nd
         scores = q[:head].T @ rows[:head]  # the first block for all rows; no bound holds before it
         for i in range(q.shape[1]):
             s, least = scores[i], floor[first + i]
-            alive = None
+            own_id = row_ids == query_ids[first + i]
+            alive = np.flatnonzero(~own_id) if own_id.any() else None
+            s = s if alive is None else s[alive]
             for c, cut in enumerate(cuts):
                 tails = row_tails[c] if alive is None else row_tails[c][alive]
                 most = tails * query_tails[c][first + i]
@@ -61,7 +63,7 @@ def branch_and_bound(queries: np.ndarray, rows: np.ndarray, k: int, floor: np.nd
 
 
 class _Best:
-    """The k best (score, row id) of every query so far; ties go to the smaller id."""
+    """The k best (score, row id) of every query so far, of rows with other ids than its own; ties go to the smaller id."""
 
     def __init__(self, ids: np.ndarray, k: int):
         self.ids, self.k = ids, k
@@ -70,10 +72,9 @@ class _Best:
 
     def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
         if len(scores) > 4 * self.k:
-            keep = scores >= np.partition(scores, len(scores) - self.k - 1)[len(scores) - self.k - 1]  # one more: the query's own row is left out
+            keep = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
             ids, scores = ids[keep], scores[keep]
-        own = self.ids[query]
-        found = self.best[query] + [(-int(s), int(i)) for i, s in zip(ids.tolist(), scores.tolist()) if i != own]
+        found = self.best[query] + [(-int(s), int(i)) for i, s in zip(ids.tolist(), scores.tolist())]
         self.best[query] = sorted(found)[: self.k]
         if len(self.best[query]) == self.k:
             self.floor[query] = -self.best[query][-1][0]
@@ -125,7 +126,7 @@ def top_k(rows: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: st
                         ids, m, best = g["id"].to_numpy(np.int64), _matrix(g["v"]), bests[d]
                         q = next(x[2] for x in groups if x[0] == d)
                         if _fits(np.abs(m).max(), np.abs(q).max(), d):
-                            for i, at_rows, scores in branch_and_bound(q, m, k + 1, best.floor):
+                            for i, at_rows, scores in branch_and_bound(q, m, k, best.floor, best.ids, ids):
                                 best.add(i, ids[at_rows], scores)
                         else:
                             whole = [[int(x) for x in row] for row in m.T]
