@@ -6,11 +6,12 @@ after an edit, so their walks differ in few steps: edit distance has become Hamm
 compared by samples of their steps; several samples of several walks are taken, and a window that agrees
 with a benchmark item's window in one sample is a candidate.
 
-Windows are as long as the item and start at every word, of documents and items alike. A sample looks at the
-first STEPS steps of a walk, which no window is too short for, so one walk serves items of all sizes; edits
-further on do not matter to it, and an edit near one start leaves the starts after it. A candidate puts the
-item over the document at the distance of the two starts; the item's edit distance to the best part of
-the text there decides.
+An item is looked for by short windows, one from each of its words, since at EDITS a window over the whole item
+falls out of step for good; the windows that meet no edit say where it may lie. The longer the item, the more of
+its windows have to hit at about the same distance of the two starts. There the item's pieces of up to PIECE
+letters are compared side by side, and the whole item's edit distance to the best part of the text decides.
+Items under SHORT letters are found where the text has just their words; those of one word, which any text may
+use, only where the text is no more than that word.
 """
 
 from __future__ import annotations
@@ -26,9 +27,13 @@ from pyspark.sql import functions as F
 from kbspark.llm.shared import held
 
 #: Walks; samples of each walk; steps of a walk; steps that a sample looks at.
-WALKS, SAMPLES, STEPS, SAMPLED = 2, 2, 40, 20
-#: Items with fewer letters than this get walks of SHORT steps, and with fewer than SHORT are never found.
-SHORT_BELOW, SHORT, SHORT_SAMPLED = 48, 12, 10
+WALKS, SAMPLES, STEPS, SAMPLED = 2, 2, 12, 10
+#: Items with fewer letters than this are too short for walks: their words are looked up as they are.
+SHORT = 12
+#: Items of so many letters or more need one window more that hits at the same place: 1, 2, 3 and so on.
+HITS_FROM = [0, 70, 100, 130, 160, 190, 220, 250, 300]
+#: Letters of an item's piece, at most: a machine word; pieces that are compared side by side.
+PIECE, SIDE_BY_SIDE = 64, 4096
 #: A text is found if it is within this share of the item's length in edits.
 EDITS = 0.2
 #: Letters of benchmark items that are sent to the executors at once.
@@ -114,32 +119,47 @@ class Index:
     """The samples of a block of items' windows, and the search for them in texts."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, t) for i, t in ((i, normalised(t)) for i, t in items) if len(t) >= SHORT]
-        self.parts = []
-        for short, walks in ((False, Walks(STEPS, SAMPLED)), (True, Walks(SHORT, SHORT_SAMPLED))):
-            own = [k for k, (_, t) in enumerate(self.items) if (len(t) < SHORT_BELOW) == short]
-            if not own:
-                continue
-            least = walks.steps
-            hashes, item, offset = [[] for _ in range(WALKS * SAMPLES)], [], []
-            for k in own:
-                codes = np.append(_codes(self.items[k][1]), np.zeros(least, np.uint8))
-                starts = self._starts(codes, len(codes) - least)
-                starts = starts[(starts + least <= len(codes) - least) | (starts == 0)]  # a whole walk lies in the item
-                item.append(np.full(len(starts), k))
-                offset.append(starts)
-                for r, h in walks.hashes(codes, starts):
-                    hashes[r].append(h)
-            item, offset = np.concatenate(item), np.concatenate(offset)
-            tables = []
-            for r in hashes:
-                h = np.concatenate(r)
-                order = np.argsort(h, kind="stable")
-                bits = max(16, (8 * len(h)).bit_length())
-                seen = np.zeros(1 << bits, bool)
-                seen[h >> np.uint64(64 - bits)] = True
-                tables.append((h[order], order, seen, np.uint64(64 - bits)))
-            self.parts.append((walks, item, offset, tables))
+        every = [(i, t) for i, t in ((i, normalised(t)) for i, t in items) if t]
+        self.whole: dict[str, list[int]] = {}  # items too short for walks, by their words
+        for i, t in every:
+            if len(t) < SHORT:
+                self.whole.setdefault(t, []).append(i)
+        self.word_counts = sorted({t.count(" ") + 1 for t in self.whole})
+        self.items = [(i, t) for i, t in every if len(t) >= SHORT]
+        self.walks, self.tables = Walks(STEPS, SAMPLED), []
+        hashes, item, offset = [[] for _ in range(WALKS * SAMPLES)], [], []
+        pieces = []
+        for k, (_, t) in enumerate(self.items):
+            own = _codes(t)
+            codes = np.append(own, np.zeros(STEPS, np.uint8))
+            starts = self._starts(codes, len(own))
+            starts = starts[(starts + STEPS // 2 + 2 <= len(own)) | (starts == 0)]  # what a walk mostly reads lies in the item
+            item.append(np.full(len(starts), k))
+            offset.append(starts)
+            for r, h in self.walks.hashes(codes, starts):
+                hashes[r].append(h)
+            cuts = np.linspace(0, len(own), -(-len(own) // PIECE) + 1).astype(int)
+            pieces += [(k, a, own[a:b]) for a, b in zip(cuts, cuts[1:])]
+        if not self.items:
+            return
+        self.item, self.offset = np.concatenate(item), np.concatenate(offset)
+        for r in hashes:
+            h = np.concatenate(r)
+            order = np.argsort(h, kind="stable")
+            bits = max(16, (8 * len(h)).bit_length())
+            seen = np.zeros(1 << bits, bool)
+            seen[h >> np.uint64(64 - bits)] = True
+            self.tables.append((h[order], order, seen, np.uint64(64 - bits)))
+        self.length = np.array([len(t) for _, t in self.items])
+        self.most = (self.length * EDITS).astype(np.int64)
+        self.slack = np.maximum(4, self.most)
+        self.needed = np.searchsorted(HITS_FROM, self.length, "right")
+        self.piece_of = np.searchsorted([k for k, _, _ in pieces], np.arange(len(self.items) + 1))
+        self.piece_at = np.array([a for _, a, _ in pieces])
+        self.piece_length = np.array([len(c) for _, _, c in pieces])
+        self.piece_codes = np.zeros((len(pieces), PIECE), np.uint8)
+        for row, (_, _, c) in zip(self.piece_codes, pieces):
+            row[: len(c)] = c
 
     @staticmethod
     def _starts(codes: np.ndarray, end: int) -> np.ndarray:
@@ -147,40 +167,111 @@ class Index:
         return np.flatnonzero((codes != 0) & np.append(True, codes[:-1] == 0)[: len(codes)])
 
     def candidates(self, texts: list[str]):
-        """(text, item, start): where an item may lie, starts rounded so that near ones fall together."""
-        gap = np.zeros(STEPS, np.uint8)
+        """(text, item, start): where an item may lie, starts rounded so that near ones fall together.
+
+        Enough windows of the item must have hits there, and its pieces must be found near by with no more
+        edits in all than the item may have: nothing that is within EDITS fails the latter."""
         coded = [_codes(t) for t in texts]
+        at = 0
+        while at < len(coded):  # whole texts, so that a place's hits come together
+            to, letters = at, 0
+            while to < len(coded) and (to == at or letters + len(coded[to]) < TOGETHER * 4):
+                letters += len(coded[to])
+                to += 1
+            found = self._places(coded[at:to])
+            if found is not None:
+                found[0] += at
+                yield from found.T.tolist()
+            at = to
+
+    def _places(self, coded: list[np.ndarray]) -> np.ndarray | None:
+        gap = np.zeros(STEPS, np.uint8)
         first = np.cumsum([0] + [len(c) + STEPS for c in coded])
-        codes = np.concatenate([x for c in coded for x in (c, gap)]) if coded else gap
+        codes = np.concatenate([x for c in coded for x in (c, gap)])
         starts = self._starts(codes, len(codes))
         found = []
-        for walks, item, offset, tables in self.parts:
-            for a in range(0, len(starts), TOGETHER):
-                part = starts[a : a + TOGETHER]
-                for r, h in walks.hashes(codes, part):
-                    sorted_, order, seen, shift = tables[r]
-                    hit = np.flatnonzero(seen[h >> shift])
-                    if not len(hit):
-                        continue
-                    low, high = np.searchsorted(sorted_, h[hit], "left"), np.searchsorted(sorted_, h[hit], "right")
-                    many = high - low
-                    if not many.any():
-                        continue
-                    at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    window = order[at]
-                    found.append(np.stack([np.repeat(part[hit], many) - offset[window], item[window], np.repeat(part[hit], many)]))
+        for r, h in self.walks.hashes(codes, starts):
+            sorted_, order, seen, shift = self.tables[r]
+            hit = np.flatnonzero(seen[h >> shift])
+            low, high = np.searchsorted(sorted_, h[hit], "left"), np.searchsorted(sorted_, h[hit], "right")
+            many = high - low
+            if not many.any():
+                continue
+            at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            found.append(np.repeat(starts[hit], many) * len(self.item) + order[at])
         if not found:
-            return
-        at, item, hit = np.concatenate(found, axis=1)
-        text = np.searchsorted(first, hit, "right") - 1
-        start = at - first[text]
-        slack = np.array([max(4, int(len(t) * EDITS)) for _, t in self.items])[item]
-        yield from np.unique(np.stack([text, item, (start + slack // 2) // slack * slack]), axis=1).T.tolist()
+            return None
+        place, window = np.divmod(np.unique(np.concatenate(found)), len(self.item))  # what several samples found counts once
+        item = self.item[window]
+        text = np.searchsorted(first, place, "right") - 1
+        slack = self.slack[item]
+        near = (place - self.offset[window] - first[text] + slack // 2) // slack
+        keys, hits = np.unique(((text * len(self.items) + item) << 32) + near + (1 << 31), return_counts=True)
+        around = hits.copy()
+        beside = np.flatnonzero(np.diff(keys) == 1)
+        around[beside] += hits[beside + 1]
+        around[beside + 1] += hits[beside]
+        text, item = np.divmod(keys >> 32, len(self.items))
+        keep = around >= self.needed[item]
+        keys, text, item = keys[keep], text[keep], item[keep]
+        start = ((keys & (1 << 32) - 1) - (1 << 31)) * self.slack[item]
+        keep = self._pieces_fit(codes, first[text] + start, item)
+        return np.stack([text[keep], item[keep], start[keep]]) if keep.any() else None
+
+    def _pieces_fit(self, codes: np.ndarray, at: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """For each place whether its item's pieces are found around it with at most the item's edits in all.
+
+        edit_search for many pieces at once, each in one machine word."""
+        edge = int(2 * self.slack.max() + PIECE) + 1
+        codes = np.concatenate([np.zeros(edge + int(self.length.max()), np.uint8), codes, np.zeros(2 * edge + int(self.length.max()), np.uint8)])
+        at = at + edge + int(self.length.max())
+        counts = self.piece_of[item + 1] - self.piece_of[item]
+        owner = np.repeat(np.arange(len(item)), counts)
+        piece = np.repeat(self.piece_of[item], counts) + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        slack = self.slack[item][owner]
+        low = np.maximum(at[owner] + self.piece_at[piece] - 2 * slack, 0)
+        width = self.piece_length[piece] + 4 * slack
+        total = np.zeros(len(item), np.int64)
+        by = np.argsort(width, kind="stable")
+        one = np.uint64(1)
+        for a in range(0, len(by), SIDE_BY_SIDE):
+            own = by[a : a + SIDE_BY_SIDE]
+            kinds, kind = np.unique(piece[own], return_inverse=True)
+            where = np.zeros((len(kinds), 256), np.uint64)
+            for j in range(PIECE):
+                long = np.flatnonzero(self.piece_length[kinds] > j)
+                where[long, self.piece_codes[kinds[long], j]] |= one << np.uint64(j)
+            where, kind = where.ravel(), kind * 256
+            m = self.piece_length[piece[own]]
+            top = (m - 1).astype(np.uint64)
+            plus, minus = np.full(len(own), ~np.uint64(0)), np.zeros(len(own), np.uint64)
+            distance, best, spot = m.astype(np.int64), m.astype(np.int64), low[own]
+            for k in range(int(width[own].max())):
+                eq = where[kind + codes[np.minimum(spot + k, len(codes) - 1)]]
+                across = (((eq & plus) + plus) ^ plus) | eq
+                up, down = minus | ~(across | plus), plus & across
+                distance += ((up >> top) & one).astype(np.int64) - ((down >> top) & one).astype(np.int64)
+                np.minimum(best, distance, out=best)
+                up, down = up << one, down << one
+                across = eq | minus
+                plus, minus = down | ~(across | up), up & across
+            np.add.at(total, owner[own], best)
+        return total <= self.most[item]
+
+    def short_items(self, text: str):
+        """(item id, start, end) of each item too short for walks, at the first place where the text has its words; a single word only as the whole text."""
+        ends = [m.end() for m in _WORDS.finditer(text)] if self.whole else []
+        begins, found = [0, *(e + 1 for e in ends)], {}
+        for n in self.word_counts:
+            for a in range(len(ends) - n + 1 if n > 1 or len(ends) == 1 else 0):
+                for i in self.whole.get(text[begins[a] : ends[a + n - 1]], ()):
+                    found.setdefault(i, (begins[a], ends[a + n - 1]))
+        return [(i, a, b) for i, (a, b) in found.items()]
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item id, start, end, edits) of the closest occurrence of each item in each text, in letters of the normalised text."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for text, k, start in self.candidates(texts):
+        for text, k, start in self.candidates(texts) if self.items else ():
             pattern = self.items[k][1]
             most = int(len(pattern) * EDITS)
             held = best.get((text, k))
@@ -188,12 +279,15 @@ class Index:
                 continue
             slack = max(4, most)
             low = max(0, start - 2 * slack)
-            around = texts[text][low : start + len(pattern) + 2 * slack]
+            around = texts[text][low : max(0, start + len(pattern) + 2 * slack)]
             edits, end = edit_search(pattern, around)
             if edits <= most and (not held or (edits, low + end) < (held[0], held[2])):
                 _, length = edit_search(pattern[::-1], around[:end][::-1])
                 best[text, k] = (edits, low + end - length, low + end)
-        return [(text, self.items[k][0], start, end, edits) for (text, k), (edits, start, end) in sorted(best.items())]
+        found = [(text, self.items[k][0], start, end, edits) for (text, k), (edits, start, end) in best.items()]
+        if self.whole:
+            found += [(n, i, a, b, 0) for n, text in enumerate(texts) for i, a, b in self.short_items(text)]
+        return sorted(found)
 
 
 def _index(name: str, items) -> Index:
@@ -205,8 +299,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     """(key, item_id, start, end, edits): each benchmark item that a document's text holds, at its closest place.
 
     Texts are compared as lower-cased words of letters and digits; start and end count characters of that
-    form. An item is held if some part of the text is within EDITS of the item's length in edits; short items
-    are searched with shorter walks, and those under SHORT characters, null or empty ones are never found.
+    form. An item is held if some part of the text is within EDITS of the item's length in edits; one under
+    SHORT characters if the text has its words, and one of a single word if the text is that word. Null or empty items are never found.
     Null and empty texts hold nothing. Repeated rows of either table give repeated results, and so does a null
     key. Benchmark items go to the executors in blocks of bounded size, each a pass over the documents.
     """
@@ -243,7 +337,7 @@ def _found(spark: SparkSession, items: list[tuple[int, str]]):
     def found(texts: pd.Series) -> pd.Series:
         index = _index(name, sent)
         out: list[list[tuple]] = [[] for _ in range(len(texts))]
-        if index.items:
+        if index.items or index.whole:
             bodies = [normalised(x) for x in texts]
             at = 0
             while at < len(bodies):  # some 2 million letters at a time
