@@ -21,6 +21,8 @@ SIZE, GRAM, LETTERS = 512, 3, 64
 SAMPLE_PER_LANGUAGE = 3000
 #: Languages that are learned at most, those of the most rows.
 LANGUAGES = 10_000
+#: A text of at least CLEAR different n-grams is in a language if its cosine is over this share of the usual one at its size.
+CLEAR, SHARE_OF_USUAL = 64, 0.3
 UNKNOWN = "und"
 
 
@@ -52,8 +54,8 @@ class Space:
             return s[:0]
         return (s[:-2] * LETTERS + s[1:-1]) * LETTERS + s[2:]
 
-    def bundles(self, texts: list[str | None]) -> np.ndarray:
-        """A row for each text: its bundle, all zero if it has no letter."""
+    def bundles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each text: its bundle, all zero if it has no letter; and how many different n-grams it has."""
         coded = [self.grams(x) if x else np.zeros(0, np.int32) for x in texts]
         codes, owner = np.concatenate(coded), np.repeat(np.arange(len(texts)), [len(x) for x in coded])
         rows = self.row[codes]
@@ -67,35 +69,39 @@ class Space:
         used = np.flatnonzero(np.bincount(rows, minlength=1))
         place = np.zeros(len(self.bound) + 1, np.int64)
         place[used] = np.arange(len(used))
-        counts = np.bincount(owner * len(used) + place[rows], minlength=len(texts) * len(used))
-        return counts.reshape(len(texts), len(used)).astype(np.float32) @ self.bound[used]
+        counts = np.bincount(owner * len(used) + place[rows], minlength=len(texts) * len(used)).reshape(len(texts), len(used))
+        return counts.astype(np.float32) @ self.bound[used], np.count_nonzero(counts, axis=1)
 
     def in_blocks(self, texts: list[str | None], block: int = 128):
-        """(first, bundles) for blocks of texts."""
+        """(first, bundles, different n-grams) for blocks of texts."""
         for at in range(0, len(texts), block):
-            yield at, self.bundles(texts[at : at + block])
+            yield at, *self.bundles(texts[at : at + block])
 
 
 def _own_space() -> Space:
     return held("language", Space)
 
 
+def _picked(docs: DataFrame, may_learn: Column, text: str, lang: str, key: str, per_language: int) -> DataFrame:
+    rows = docs.where(may_learn & F.col(lang).isNotNull())
+    share = rows.groupBy(lang).agg((F.lit(float(per_language)) / F.count("*")).alias("_share")).orderBy("_share", lang).limit(LANGUAGES)
+    return rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), unit_hash(key).alias("_unit")).join(F.broadcast(share.withColumnRenamed(lang, "lang")), "lang").where("_unit < _share")
+
+
 def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and their prototypes, from rows for which may_learn holds and whose language is known.
 
     Of every language about per_language rows, at most, are read, chosen by a hash of the key. Rows without
     a letter teach nothing. Prototypes come to the driver: one vector for each language.
     """
-    rows = docs.where(may_learn & F.col(lang).isNotNull())
-    share = rows.groupBy(lang).agg((F.lit(float(per_language)) / F.count("*")).alias("_share")).orderBy("_share", lang).limit(LANGUAGES)
-    picked = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), unit_hash(key).alias("_unit")).join(F.broadcast(share.withColumnRenamed(lang, "lang")), "lang").where("_unit < _share")
+    picked = _picked(docs, may_learn, text, lang, key, per_language)
 
     def bundles(batches):
         sums: dict[str, np.ndarray] = {}
         space = _own_space()
         for pdf in batches:
             names = pdf["lang"].to_numpy()
-            for at, rows in space.in_blocks(pdf["text"].tolist()):
+            for at, rows, _ in space.in_blocks(pdf["text"].tolist()):
                 own = names[at : at + len(rows)]
                 for name in set(own):
                     sums[name] = sums.get(name, 0) + rows[own == name].sum(axis=0, dtype=np.float64)
@@ -110,9 +116,37 @@ def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
     return list(wide.index), wide.to_numpy(np.float64)
 
 
-def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def floors(docs: DataFrame, may_learn: Column, languages: list[str], prototypes: np.ndarray, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> list[float]:
+    """The least score of a text in a language, by the bit length of its number of different n-grams.
+
+    SHARE_OF_USUAL of the median score of the class among the texts learned from, which junk among them hardly
+    moves, and never less than in the class below. Texts under CLEAR n-grams have no floor: clean ones
+    score as low as junk.
+    """
+    scored = predict(_picked(docs, may_learn, text, lang, key, per_language).select("text"), languages, prototypes, into=("p", "s"), size="n")
+    usual = scored.where(F.col("n") >= CLEAR).groupBy(_class("n").alias("c")).agg(F.percentile_approx("s", 0.5, 1000).alias("s")).toPandas()
+    out = [0.0] * 32
+    for c, s in zip(usual["c"], usual["s"]):
+        out[c] = SHARE_OF_USUAL * s
+    for c in range(1, 32):
+        out[c] = max(out[c], out[c - 1])  # clean texts score higher the longer they are: a class that is mostly junk does not
+    return out
+
+
+def in_a_language(score: str, size: str, floors: list[float]) -> Column:
+    """Whether a text's score reaches the floor of its size."""
+    return F.col(score) >= F.element_at(F.array(*map(F.lit, floors)), _class(size) + 1)
+
+
+def _class(size: str) -> Column:
+    return F.length(F.bin(F.col(size).cast("long")))
+
+
+def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text: str = "text", into: tuple[str, str] = ("lang_pred", "score"), size: str | None = None) -> DataFrame:
     """docs with two columns more: the predicted language and its score (the cosine, 0 to 1).
 
+    With `size` a third: how many different n-grams the text has.
+
     Texts that are null or have no letter, or all if no language was learned, get `und` and score 0. Ties go
     to the first language in order. Repeated rows are predicted alike; no other column is looked at.
     """
@@ -120,16 +154,17 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text:
     unit = (prototypes / np.where(lengths == 0, 1, lengths)).astype(np.float32)
     sent = docs.sparkSession.sparkContext.broadcast((languages, unit))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, size int")
     def guess(texts: pd.Series) -> pd.DataFrame:
         languages, unit = sent.value
-        names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        for at, rows in _own_space().in_blocks(texts.tolist()) if languages else ():
+        names, scores, sizes = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts), np.int32)
+        for at, rows, different in _own_space().in_blocks(texts.tolist()) if languages else ():
             lengths = np.linalg.norm(rows, axis=1)
             cosines = rows @ unit.T / np.maximum(lengths, 1e-9)[:, None]
             best, known = cosines.argmax(axis=1), np.flatnonzero(lengths > 0)
             names[at + known] = np.array(languages, object)[best[known]]
             scores[at + known] = np.clip(cosines[known, best[known]], 0, 1)
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+            sizes[at : at + len(rows)] = different
+        return pd.DataFrame({"lang_pred": names, "score": scores, "size": sizes})
 
-    return docs.withColumn("_guess", guess(F.col(text))).withColumns({into[0]: F.col("_guess.lang_pred"), into[1]: F.col("_guess.score")}).drop("_guess")
+    return docs.withColumn("_guess", guess(F.col(text))).withColumns({into[0]: F.col("_guess.lang_pred"), into[1]: F.col("_guess.score")} | ({size: F.col("_guess.size")} if size else {})).drop("_guess")

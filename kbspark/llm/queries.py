@@ -34,6 +34,15 @@ def with_language(docs: DataFrame, learn_from: DataFrame, into: tuple[str, str]
     return langid.predict(docs, languages, prototypes, into=into)
 
 
+def in_a_language(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose text is in one of the languages learned from docs, as far as its length tells."""
+    may_learn = _remainder("doc_id", 5) != 0
+    languages, prototypes = langid.learn(docs, may_learn)
+    floors = langid.floors(docs, may_learn, languages, prototypes)
+    rows = langid.predict(docs, languages, prototypes, into=("_kb_lang", "_kb_score"), size="_kb_size")
+    return rows.where((F.col("_kb_lang") != langid.UNKNOWN) & langid.in_a_language("_kb_score", "_kb_size", floors)).select(*docs.columns)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminations(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"start": "start_at", "end": "end_at"})
