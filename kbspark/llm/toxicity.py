@@ -200,13 +200,14 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, may_learn: Column, label: s
     """Fits on a sample of the labelled rows for which may_learn (a condition on the labels' key) holds.
 
     The sample is bounded: about per_label documents of each label, chosen by a hash of the key. Null labels
-    are left out; a document with several labels counts as toxic if one is. Without labels the model scores 0.
+    are left out; a document with several labels counts as toxic if one is; of repeated
+    rows with one key the least text is learned from. Without labels the model scores 0.
     """
     known = labels.where(may_learn & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max((F.col(label) == 1).cast("int")).alias("y"))
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = F.when(F.col("y") == 1, per_label / max(totals.get(1, 0), 1)).otherwise(per_label / max(totals.get(0, 0), 1))
     picked = known.where(unit_hash(key) < share).limit(4 * per_label)  # about twice per_label; the limit only proves the bound
-    rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(picked), key).select(key, "text", "y").toPandas().sort_values([key, "text"])
+    rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(picked), key).groupBy(key, "y").agg(F.min("text").alias("text")).toPandas().sort_values([key, "text"])
     return fit(rows["text"].tolist(), rows["y"].tolist())
 
 

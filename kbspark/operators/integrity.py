@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,23 +146,26 @@ def promote(answers: DataFrame, decided: DataFrame) -> DataFrame:
 def accepted(events: DataFrame, key: list[str], seconds: int, most: int) -> DataFrame:
     """events(…, ts) with `accepted`: at most `most` of a key within a life of `seconds` that every accepted event renews.
 
-    An ordered fold for each key: whether an event counts depends on which before it did. A key's events are
-    folded by one task, with a counter and a time as the only state."""
+    An ordered fold for each key: whether an event counts depends on which before it did. A key's events come to
+    one task, sorted, and pass through it in batches: a counter and a time are all that is held of them."""
     schema = events.withColumn("accepted", F.lit(True)).schema
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        count, last, out = 0, None, []
-        for ts in pdf["ts"]:
-            if last is None or (ts - last).total_seconds() >= seconds:
-                count = 0
-            ok = count < most
-            if ok:
-                count, last = count + 1, ts
-            out.append(ok)
-        return pdf.assign(accepted=out)
-
-    return events.groupBy(*key).applyInPandas(fold, schema)
+    def fold(batches):
+        own, count, last = None, 0, None
+        for batch in batches:
+            out = []
+            for *k, ts in zip(*(batch.column(c).to_pylist() for c in [*key, "ts"])):
+                if k != own:
+                    own, count, last = k, 0, None
+                elif ts is not None and last is not None and (ts - last).total_seconds() >= seconds:
+                    count = 0
+                ok = count < most
+                if ok:
+                    count, last = count + 1, ts
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*batch.schema.names, "accepted"])
+
+    return events.repartition(*key).sortWithinPartitions(*key, F.col("ts").asc_nulls_last()).mapInArrow(fold, schema)
 
 
 def queue_fold(events: DataFrame, retries: int = 3) -> DataFrame:
