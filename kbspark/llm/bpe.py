@@ -245,7 +245,8 @@ class ByteBPE:
 
     path: a file of ranks, one "<base64 token> <rank>" a line, that the driver can read (under 10 MB; it is
     broadcast). encode(text) gives binary: the ids as little-endian unsigned 32-bit integers. decode(ids)
-    gives binary: the text's bytes. Null or empty text: no ids; null or empty ids: no bytes. Ids outside the
+    gives binary: the text's bytes. round_trip(text) gives both in one pass over the rows: a struct of the ids and of
+    the bytes decoded from these. Null or empty text: no ids; null or empty ids: no bytes. Ids outside the
     vocabulary are an error. Rows are independent, so repeated rows and ties need no rule; other columns
     of the table are not touched.
     """
@@ -258,20 +259,27 @@ class ByteBPE:
         shared = spark.sparkContext.broadcast(vocabulary)
         name = hashlib.sha1(vocabulary).hexdigest()
 
-        @F.pandas_udf("binary")
-        def encode(texts: pd.Series) -> pd.Series:
-            codec = _codec(name, shared, pattern)
-            texts = texts.tolist()
+        def ids_of(codec: Codec, texts: list[str | None]) -> list[bytes]:
             # documents of so many characters at a time, so that the pre-tokens fit in memory
             cuts = np.flatnonzero(np.diff(np.cumsum([len(x or "") for x in texts]) // SPLIT_CHARS, prepend=0)).tolist()
-            return pd.Series([ids for a, b in zip([0, *cuts], [*cuts, len(texts)]) for ids in codec.encode(texts[a:b])], dtype=object)
+            return [ids for a, b in zip([0, *cuts], [*cuts, len(texts)]) for ids in codec.encode(texts[a:b])]
+
+        @F.pandas_udf("binary")
+        def encode(texts: pd.Series) -> pd.Series:
+            return pd.Series(ids_of(_codec(name, shared, pattern), texts.tolist()), dtype=object)
 
         @F.pandas_udf("binary")
         def decode(ids: pd.Series) -> pd.Series:
             codec = _codec(name, shared, pattern)
             return pd.Series([codec.decode(x) for x in ids], dtype=object)
 
-        self._encode, self._decode = encode, decode
+        @F.pandas_udf("ids binary, decoded binary")
+        def round_trip(texts: pd.Series) -> pd.DataFrame:
+            codec = _codec(name, shared, pattern)
+            ids = ids_of(codec, texts.tolist())
+            return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([codec.decode(x) for x in ids], dtype=object)})
+
+        self._encode, self._decode, self._round_trip = encode, decode, round_trip
 
     def encode(self, text: Column) -> Column:
         return self._encode(text)
@@ -279,6 +287,9 @@ class ByteBPE:
     def decode(self, ids: Column) -> Column:
         return self._decode(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        return self._round_trip(text)
+
 
 def token_count(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")

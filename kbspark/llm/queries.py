@@ -55,9 +55,8 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text decoded from them."""
     codec = bpe.ByteBPE(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = docs.select("doc_id", codec.encode(F.col("text")).alias("ids"))
-    both = ids.select("doc_id", "ids", codec.decode(F.col("ids")).alias("decoded"))
-    return both.select("doc_id", bpe.token_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = docs.select("doc_id", codec.round_trip(F.col("text")).alias("_own"))
+    return both.select("doc_id", bpe.token_count(F.col("_own.ids")).alias("n_tokens"), F.sha2("_own.ids", 256).alias("ids_sha256"), F.sha2("_own.decoded", 256).alias("decoded_sha256"))
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
