@@ -6,10 +6,12 @@ after an edit, so their walks differ in few steps: edit distance has become Hamm
 compared by samples of their steps; several samples of several walks are taken, and a window that agrees
 with a benchmark item's window in one sample is a candidate.
 
-An item is looked for by short windows, one from each of its words, since at EDITS a window over the whole item
-falls out of step for good; the windows that meet no edit say where it may lie. The longer the item, the more of
-its windows have to hit at about the same distance of the two starts. There the item's pieces of up to PIECE
-letters are compared side by side, and the whole item's edit distance to the best part of the text decides.
+At EDITS a walk over a whole item of more than some letters falls out of step for good: over item-sized windows no
+number of samples finds it (measured: the README). So windows are as long as the walk is likely to stay in step, and
+start at each of the item's words; those that meet few edits say where it may lie. CLASSES sets their steps and
+samples by the length of the item for the target recall, and how many windows have to hit at about the same distance
+of the two starts. There the item's pieces of up to PIECE letters are compared side by side, and the whole item's
+edit distance to the best part of the text decides.
 Items under SHORT letters are found where the text has just their words; those of one word, which any text may
 use, only where the text is no more than that word.
 """
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,12 +29,8 @@ from pyspark.sql import functions as F
 
 from kbspark.llm.shared import held
 
-#: Walks; samples of each walk; steps of a walk; steps that a sample looks at.
-WALKS, SAMPLES, STEPS, SAMPLED = 2, 2, 12, 10
-#: Items with fewer letters than this are too short for walks: their words are looked up as they are.
+#: Items with fewer letters than this are too short for windows: their words are looked up as they are.
 SHORT = 12
-#: Items of so many letters or more need one window more that hits at the same place: 1, 2, 3 and so on.
-HITS_FROM = [0, 70, 100, 130, 160, 190, 220, 250, 300]
 #: Letters of an item's piece, at most: a machine word; pieces that are compared side by side.
 PIECE, SIDE_BY_SIDE = 64, 4096
 #: A text is found if it is within this share of the item's length in edits.
@@ -65,29 +64,122 @@ def _codes(text: str) -> np.ndarray:
     return _tables[0][np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
 
 
+class Class(NamedTuple):
+    """How items of `least` letters or more are looked for: walks of `steps` steps, several samples of each that look at
+    `sampled` of its steps, and how many windows have to hit at one place: one, and one more from each length in `more`.
+
+    Every class finds at least TARGET_RECALL of its items at EDITS (tests/llm/test_decontam_recall.py measures it)."""
+
+    least: int
+    walks: int
+    samples: int
+    steps: int
+    sampled: int
+    more: tuple[int, ...] = ()
+    exact: bool = False
+
+
+TARGET_RECALL = 0.9
+#: By length. Short items have few windows, so theirs are short, too, and any hit is looked into: walks that move on at
+#: every step, from every letter, are plain runs of letters, of which EDITS leaves nearly every item one.
+CLASSES = (
+    Class(SHORT, 1, 1, 4, 4, exact=True),
+    Class(40, 2, 2, 12, 10, (65, 85)),
+    Class(100, 2, 3, 20, 14, (100, 150, 200, 250, 300)),
+)
+
+
 class Walks:
     """The walks' random bits and the samples' steps, from a seed."""
 
-    def __init__(self, steps: int, sampled: int, seed: int = 11):
+    def __init__(self, kind: Class, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.steps = steps
-        self.bits = rng.integers(0, 2, (WALKS, steps, 256), dtype=np.int32)
-        self.samples = [[np.isin(np.arange(steps), rng.choice(steps, sampled, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
+        self.kind = kind
+        self.bits = rng.integers(0, 2, (kind.walks, kind.steps, 256), dtype=np.int32)
+        if kind.exact:
+            self.bits[:] = 1
+        self.samples = [[np.isin(np.arange(kind.steps), rng.choice(kind.steps, kind.sampled, replace=False)) for _ in range(kind.samples)] for _ in range(kind.walks)]
+
+    def starts(self, codes: np.ndarray, end: int) -> np.ndarray:
+        """Where windows start: at every word, for plain runs at every letter."""
+        codes = codes[:end]
+        if self.kind.exact:
+            return np.arange(len(codes))
+        return np.flatnonzero((codes != 0) & np.append(True, codes[:-1] == 0)[: len(codes)])
 
     def hashes(self, codes: np.ndarray, starts: np.ndarray):
         """(repetition, hashes) for every sample; codes must go on for `steps` places after each start."""
-        for w in range(WALKS):
+        kind = self.kind
+        for w in range(kind.walks):
             at = starts.astype(np.int32)
-            found = [np.full(len(starts), np.uint64(1 + w * SAMPLES + s)) for s in range(SAMPLES)]
-            for j in range(self.steps):
+            found = [np.full(len(starts), np.uint64(1 + w * kind.samples + s)) for s in range(kind.samples)]
+            for j in range(kind.steps):
                 letter = codes[at]
-                for s in range(SAMPLES):
+                for s in range(kind.samples):
                     if self.samples[w][s][j]:
                         found[s] *= np.uint64(0x9E3779B97F4A7C15)
                         found[s] ^= letter
                 at += self.bits[w, j][letter]
-            for s in range(SAMPLES):
-                yield w * SAMPLES + s, found[s] * np.uint64(0xD6E8FEB86659FD93)
+            for s in range(kind.samples):
+                yield w * kind.samples + s, found[s] * np.uint64(0xD6E8FEB86659FD93)
+
+
+class Tables:
+    """The samples of the windows of one class of items, sorted by hash; item numbers are those of the index."""
+
+    def __init__(self, kind: Class, codes: list[tuple[int, np.ndarray]], length: np.ndarray, slack: np.ndarray):
+        self.walks, self.slack, self.tables = Walks(kind), slack, []
+        hashes, item, offset = [[] for _ in range(kind.walks * kind.samples)], [], []
+        for k, own in codes:
+            starts = self.walks.starts(own, len(own))
+            reads = kind.steps if kind.exact else kind.steps // 2 + 2
+            starts = starts[(starts + reads <= len(own)) | (starts == 0)]  # what a walk mostly reads lies in the item
+            item.append(np.full(len(starts), k))
+            offset.append(starts)
+            for r, h in self.walks.hashes(np.append(own, np.zeros(kind.steps, np.uint8)), starts):
+                hashes[r].append(h)
+        self.item, self.offset = np.concatenate(item), np.concatenate(offset)
+        self.needed = 1 + np.searchsorted(kind.more, length, "right")
+        for r in hashes:
+            h = np.concatenate(r)
+            order = np.argsort(h, kind="stable")
+            bits = max(16, (8 * len(h)).bit_length())
+            seen = np.zeros(1 << bits, bool)
+            seen[h >> np.uint64(64 - bits)] = True
+            self.tables.append((h[order], order, seen, np.uint64(64 - bits)))
+
+    def places(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(text, item, start) where enough windows of an item hit; first: where each text's codes begin."""
+        starts = self.walks.starts(codes, len(codes) - self.walks.kind.steps)
+        found = []
+        for r, h in self.walks.hashes(codes, starts):
+            sorted_, order, seen, shift = self.tables[r]
+            hit = np.flatnonzero(seen[h >> shift])
+            low, high = np.searchsorted(sorted_, h[hit], "left"), np.searchsorted(sorted_, h[hit], "right")
+            many = high - low
+            if not many.any():
+                continue
+            at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            found.append(np.repeat(starts[hit], many) * len(self.item) + order[at])
+        if not found:
+            return None
+        pairs = np.sort(np.concatenate(found))
+        place, window = np.divmod(pairs[np.append(True, pairs[1:] != pairs[:-1])], len(self.item))  # what several samples found counts once
+        item = self.item[window]
+        text = np.searchsorted(first, place, "right") - 1
+        slack = self.slack[item]
+        near = (place - self.offset[window] - first[text] + slack // 2) // slack
+        keys = np.sort(((text * len(self.slack) + item) << 32) + near + (1 << 31))
+        firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keys, hits = keys[firsts], np.diff(np.append(firsts, len(keys)))
+        around = hits.copy()
+        beside = np.flatnonzero(np.diff(keys) == 1)
+        around[beside] += hits[beside + 1]
+        around[beside + 1] += hits[beside]
+        text, item = np.divmod(keys >> 32, len(self.slack))
+        keep = around >= self.needed[item]
+        start = ((keys[keep] & (1 << 32) - 1) - (1 << 31)) * self.slack[item[keep]]
+        return text[keep], item[keep], start
 
 
 def edit_search(pattern: str, text: str) -> tuple[int, int]:
@@ -116,7 +208,7 @@ def edit_search(pattern: str, text: str) -> tuple[int, int]:
 
 
 class Index:
-    """The samples of a block of items' windows, and the search for them in texts."""
+    """The tables of a block of items, a class of lengths each, and the search for the items in texts."""
 
     def __init__(self, items: list[tuple[int, str]]):
         every = [(i, t) for i, t in ((i, normalised(t)) for i, t in items) if t]
@@ -126,34 +218,21 @@ class Index:
                 self.whole.setdefault(t, []).append(i)
         self.word_counts = sorted({t.count(" ") + 1 for t in self.whole})
         self.items = [(i, t) for i, t in every if len(t) >= SHORT]
-        self.walks, self.tables = Walks(STEPS, SAMPLED), []
-        hashes, item, offset = [[] for _ in range(WALKS * SAMPLES)], [], []
-        pieces = []
-        for k, (_, t) in enumerate(self.items):
-            own = _codes(t)
-            codes = np.append(own, np.zeros(STEPS, np.uint8))
-            starts = self._starts(codes, len(own))
-            starts = starts[(starts + STEPS // 2 + 2 <= len(own)) | (starts == 0)]  # what a walk mostly reads lies in the item
-            item.append(np.full(len(starts), k))
-            offset.append(starts)
-            for r, h in self.walks.hashes(codes, starts):
-                hashes[r].append(h)
-            cuts = np.linspace(0, len(own), -(-len(own) // PIECE) + 1).astype(int)
-            pieces += [(k, a, own[a:b]) for a, b in zip(cuts, cuts[1:])]
         if not self.items:
             return
-        self.item, self.offset = np.concatenate(item), np.concatenate(offset)
-        for r in hashes:
-            h = np.concatenate(r)
-            order = np.argsort(h, kind="stable")
-            bits = max(16, (8 * len(h)).bit_length())
-            seen = np.zeros(1 << bits, bool)
-            seen[h >> np.uint64(64 - bits)] = True
-            self.tables.append((h[order], order, seen, np.uint64(64 - bits)))
-        self.length = np.array([len(t) for _, t in self.items])
+        codes = [_codes(t) for _, t in self.items]
+        self.length = np.array([len(c) for c in codes])
         self.most = (self.length * EDITS).astype(np.int64)
         self.slack = np.maximum(4, self.most)
-        self.needed = np.searchsorted(HITS_FROM, self.length, "right")
+        self.tables = []
+        for kind, beyond in zip(CLASSES, [*(c.least for c in CLASSES[1:]), np.inf]):
+            own = [(k, c) for k, c in enumerate(codes) if kind.least <= len(c) < beyond]
+            if own:
+                self.tables.append(Tables(kind, own, self.length, self.slack))
+        pieces = []
+        for k, own in enumerate(codes):
+            cuts = np.linspace(0, len(own), -(-len(own) // PIECE) + 1).astype(int)
+            pieces += [(k, a, own[a:b]) for a, b in zip(cuts, cuts[1:])]
         self.piece_of = np.searchsorted([k for k, _, _ in pieces], np.arange(len(self.items) + 1))
         self.piece_at = np.array([a for _, a, _ in pieces])
         self.piece_length = np.array([len(c) for _, _, c in pieces])
@@ -161,103 +240,76 @@ class Index:
         for row, (_, _, c) in zip(self.piece_codes, pieces):
             row[: len(c)] = c
 
-    @staticmethod
-    def _starts(codes: np.ndarray, end: int) -> np.ndarray:
-        codes = codes[:end]
-        return np.flatnonzero((codes != 0) & np.append(True, codes[:-1] == 0)[: len(codes)])
-
     def candidates(self, texts: list[str]):
         """(text, item, start): where an item may lie, starts rounded so that near ones fall together.
 
         Enough windows of the item must have hits there, and its pieces must be found near by with no more
         edits in all than the item may have: nothing that is within EDITS fails the latter."""
-        coded = [_codes(t) for t in texts]
-        at = 0
-        while at < len(coded):  # whole texts, so that a place's hits come together
-            to, letters = at, 0
-            while to < len(coded) and (to == at or letters + len(coded[to]) < TOGETHER * 4):
-                letters += len(coded[to])
-                to += 1
-            found = self._places(coded[at:to])
-            if found is not None:
-                found[0] += at
-                yield from found.T.tolist()
+        gap = np.zeros(max(c.steps for c in CLASSES), np.uint8)
+        coded = [x for t in texts for x in (_codes(t), gap)]
+        codes = np.concatenate([*coded, gap[:0]])
+        first = np.cumsum([0] + [len(a) + len(b) for a, b in zip(coded[::2], coded[1::2])])
+        found, at = [], 0
+        while at < len(texts):  # whole texts, so that a place's hits come together
+            to = min(len(texts), max(at + 1, int(np.searchsorted(first, first[at] + TOGETHER * 4))))
+            for tables in self.tables:
+                if part := tables.places(codes[first[at] : first[to]], first[at : to + 1] - first[at]):
+                    found.append(np.stack([part[0] + at, *part[1:]]))
             at = to
-
-    def _places(self, coded: list[np.ndarray]) -> np.ndarray | None:
-        gap = np.zeros(STEPS, np.uint8)
-        first = np.cumsum([0] + [len(c) + STEPS for c in coded])
-        codes = np.concatenate([x for c in coded for x in (c, gap)])
-        starts = self._starts(codes, len(codes))
-        found = []
-        for r, h in self.walks.hashes(codes, starts):
-            sorted_, order, seen, shift = self.tables[r]
-            hit = np.flatnonzero(seen[h >> shift])
-            low, high = np.searchsorted(sorted_, h[hit], "left"), np.searchsorted(sorted_, h[hit], "right")
-            many = high - low
-            if not many.any():
-                continue
-            at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            found.append(np.repeat(starts[hit], many) * len(self.item) + order[at])
-        if not found:
-            return None
-        place, window = np.divmod(np.unique(np.concatenate(found)), len(self.item))  # what several samples found counts once
-        item = self.item[window]
-        text = np.searchsorted(first, place, "right") - 1
-        slack = self.slack[item]
-        near = (place - self.offset[window] - first[text] + slack // 2) // slack
-        keys, hits = np.unique(((text * len(self.items) + item) << 32) + near + (1 << 31), return_counts=True)
-        around = hits.copy()
-        beside = np.flatnonzero(np.diff(keys) == 1)
-        around[beside] += hits[beside + 1]
-        around[beside + 1] += hits[beside]
-        text, item = np.divmod(keys >> 32, len(self.items))
-        keep = around >= self.needed[item]
-        keys, text, item = keys[keep], text[keep], item[keep]
-        start = ((keys & (1 << 32) - 1) - (1 << 31)) * self.slack[item]
-        keep = self._pieces_fit(codes, first[text] + start, item)
-        return np.stack([text[keep], item[keep], start[keep]]) if keep.any() else None
+        if found:
+            text, item, start = np.concatenate(found, axis=1)
+            keep = self._pieces_fit(codes, first[text] + start, item) if len(item) else slice(None)
+            yield from np.stack([text[keep], item[keep], start[keep]]).T.tolist()
 
     def _pieces_fit(self, codes: np.ndarray, at: np.ndarray, item: np.ndarray) -> np.ndarray:
         """For each place whether its item's pieces are found around it with at most the item's edits in all.
 
-        edit_search for many pieces at once, each in one machine word."""
-        edge = int(2 * self.slack.max() + PIECE) + 1
-        codes = np.concatenate([np.zeros(edge + int(self.length.max()), np.uint8), codes, np.zeros(2 * edge + int(self.length.max()), np.uint8)])
-        at = at + edge + int(self.length.max())
+        edit_search for many pieces at once, each in one machine word; a place is given up at the first piece that
+        brings it over. Pieces lie within one and a half times the slack of where the place has them: half of it from
+        rounding, and the edits between the hit window and the piece."""
+        pad = int(2 * self.slack.max() + PIECE + self.length.max()) + 1
+        codes = np.concatenate([np.zeros(pad, np.uint8), codes, np.zeros(2 * pad, np.uint8)])
         counts = self.piece_of[item + 1] - self.piece_of[item]
-        owner = np.repeat(np.arange(len(item)), counts)
-        piece = np.repeat(self.piece_of[item], counts) + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        slack = self.slack[item][owner]
-        low = np.maximum(at[owner] + self.piece_at[piece] - 2 * slack, 0)
-        width = self.piece_length[piece] + 4 * slack
         total = np.zeros(len(item), np.int64)
-        by = np.argsort(width, kind="stable")
-        one = np.uint64(1)
-        for a in range(0, len(by), SIDE_BY_SIDE):
-            own = by[a : a + SIDE_BY_SIDE]
-            kinds, kind = np.unique(piece[own], return_inverse=True)
-            where = np.zeros((len(kinds), 256), np.uint64)
-            for j in range(PIECE):
-                long = np.flatnonzero(self.piece_length[kinds] > j)
-                where[long, self.piece_codes[kinds[long], j]] |= one << np.uint64(j)
-            where, kind = where.ravel(), kind * 256
-            m = self.piece_length[piece[own]]
-            top = (m - 1).astype(np.uint64)
-            plus, minus = np.full(len(own), ~np.uint64(0)), np.zeros(len(own), np.uint64)
-            distance, best, spot = m.astype(np.int64), m.astype(np.int64), low[own]
-            for k in range(int(width[own].max())):
-                eq = where[kind + codes[np.minimum(spot + k, len(codes) - 1)]]
-                across = (((eq & plus) + plus) ^ plus) | eq
-                up, down = minus | ~(across | plus), plus & across
-                distance += ((up >> top) & one).astype(np.int64) - ((down >> top) & one).astype(np.int64)
-                np.minimum(best, distance, out=best)
-                up, down = up << one, down << one
-                across = eq | minus
-                plus, minus = down | ~(across | up), up & across
-            np.add.at(total, owner[own], best)
+        left = np.arange(len(item))
+        for nth in range(int(counts.max())):
+            left = left[(counts[left] > nth) & (total[left] <= self.most[item[left]])]
+            piece = self.piece_of[item[left]] + nth
+            slack = self.slack[item[left]]
+            around = slack + (slack + 1) // 2
+            low, width = at[left] + pad + self.piece_at[piece] - around, self.piece_length[piece] + 2 * around
+            by = np.argsort(width, kind="stable")
+            for a in range(0, len(by), SIDE_BY_SIDE):
+                own = by[a : a + SIDE_BY_SIDE]
+                total[left[own]] += self._closest(codes, np.maximum(low[own], 0), int(width[own].max()), piece[own])
         return total <= self.most[item]
 
+    def _closest(self, codes: np.ndarray, low: np.ndarray, width: int, piece: np.ndarray) -> np.ndarray:
+        """The fewest edits of each piece against any part of the `width` codes from its `low` on."""
+        one = np.uint64(1)
+        kinds, kind = np.unique(piece, return_inverse=True)
+        where = np.zeros((len(kinds), 256), np.uint64)
+        for j in range(PIECE):
+            long = np.flatnonzero(self.piece_length[kinds] > j)
+            where[long, self.piece_codes[kinds[long], j]] |= one << np.uint64(j)
+        where, kind = where.ravel(), kind * 256
+        m = self.piece_length[piece]
+        top = (m - 1).astype(np.uint64)
+        plus, minus = np.full(len(piece), ~np.uint64(0)), np.zeros(len(piece), np.uint64)
+        distance, best = m.astype(np.int8), m.astype(np.int8)
+        window = codes[np.minimum(low[None, :] + np.arange(width)[:, None], len(codes) - 1)]
+        for letters in window:
+            eq = where[kind + letters]
+            across = (((eq & plus) + plus) ^ plus) | eq
+            up, down = minus | ~(across | plus), plus & across
+            distance += ((up >> top) & one).astype(np.int8)
+            distance -= ((down >> top) & one).astype(np.int8)
+            np.minimum(best, distance, out=best)
+            up, down = up << one, down << one
+            across = eq | minus
+            plus, minus = down | ~(across | up), up & across
+        return best
+
     def short_items(self, text: str):
         """(item id, start, end) of each item too short for walks, at the first place where the text has its words; a single word only as the whole text."""
         ends = [m.end() for m in _WORDS.finditer(text)] if self.whole else []
@@ -301,8 +353,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     Texts are compared as lower-cased words of letters and digits; start and end count characters of that
     form. An item is held if some part of the text is within EDITS of the item's length in edits; one under
     SHORT characters if the text has its words, and one of a single word if the text is that word. Null or empty items are never found.
-    Null and empty texts hold nothing. Repeated rows of either table give repeated results, and so does a null
-    key. Benchmark items go to the executors in blocks of bounded size, each a pass over the documents.
+    Null and empty texts hold nothing, and items without an item_id are left out. Of equally near places of an
+    item the one that ends first counts. Repeated rows of either table give repeated results, and so does a null
+    key. Whole texts are searched, whatever their length; other columns of either table, of any name, play no part.
+    An empty table of either kind gives an empty result. Benchmark items go to the executors in blocks of bounded
+    size, each a pass over the documents.
     """
     slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     out = None

@@ -27,6 +27,31 @@ def test_recall(letters):
     assert len(found) >= 94
 
 
+@pytest.mark.parametrize("letters", [15, 25, 39, 40, 64, 65, 84, 85, 99, 100, 150, 400])
+def test_target_recall_in_every_class(letters):
+    """At the largest distance that counts, around the places where the classes and the windows needed change."""
+    rnd = random.Random(letters)
+    word = lambda: "".join(rnd.choice("etaoinshrdlucmfw") for _ in range(rnd.randrange(2, 9)))
+    items = [(i, (" ".join(word() for _ in range(letters))[: letters - 1]).strip().ljust(letters, "x")) for i in range(100)]
+    rest = lambda: " ".join(word() for _ in range(40))
+    texts = [decontam.normalised(f"{rest()} {edited(rnd, t, int(letters * decontam.EDITS))} {rest()}") for _, t in items]
+    found = {(text, item) for text, item, *_ in decontam.Index(items).search(texts)}
+    within = [i for i, t in items if decontam.edit_search(t, texts[i])[0] <= int(letters * decontam.EDITS)]
+    assert sum((i, i) in found for i in within) >= decontam.TARGET_RECALL * len(within)
+
+
+def test_rows(spark):
+    """Ties go to the first place; null and repeated keys, null items, very long texts and clashing columns."""
+    item = "the seven grey horses of the valley run at noon past the mill"
+    rows = [(1, f"{item} and again {item}"), (2, None), (3, ""), (None, item), (None, item), (4, "word " * 200_000 + item), (5, item.upper().replace(" ", ", "))]
+    docs = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in rows], "doc_id long, text string, f string, item_id string, edits int")
+    bench = spark.createDataFrame([(7, item, 1), (7, item, 1), (None, item, 2), (8, None, 3), (9, "", 4)], "item_id long, text string, key int")
+    got = sorted((str(r["doc_id"]), r["item_id"], r["start"], r["edits"]) for r in decontam.contaminations(docs, bench).collect())
+    assert set(got) == {("1", 7, 0, 0), ("None", 7, 0, 0), ("4", 7, 1_000_000, 0), ("5", 7, 0, 0)} and len(got) == 10
+    assert [r["doc_id"] for r in decontam.uncontaminated(docs, bench).orderBy("doc_id").collect()] == [2, 3]
+    assert decontam.uncontaminated(docs, bench).columns == docs.columns
+
+
 def test_items_of_few_letters():
     index = decontam.Index([(1, "Yes!"), (2, "no, never"), (3, "?"), (4, None), (5, "yes")])
     texts = [decontam.normalised(x) for x in ("YES", "oh yes", "well, No: never.", "no one ever", "")]
