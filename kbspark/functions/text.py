@@ -35,6 +35,16 @@ SYNONYMS = {
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#039;": "'", "&apos;": "'", "&ndash;": "–", "&mdash;": "—", "&rsquo;": "’", "&lsquo;": "‘", "&amp;": "&"}
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once for each row, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def words_of(c: Column) -> Column:
+    """How many words a text has: runs of letters, apostrophes and hyphens."""
+    return F.regexp_count(c, F.lit(r"[A-Za-z'\-]+"))
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -106,16 +116,24 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.filter(a, lambda t: F.array_contains(b, t))) / F.size(F.array_union(a, b))
 
 
-CASUAL = r"(?i)^\s*(hi|hello|hey|yo|good (morning|afternoon|evening)|thanks?|thank you|ok(ay)?|bye|goodbye|cool|great|nice|lol|haha|test|yes|no|sure|help)\b[\s!.?]*$"
+#: How small talk begins, or is as a whole (fixed values).
+CASUAL = (
+    r"^(hi|hello|hey|howdy|sup|hiya|yo)\b", r"^(thanks|thank you|thx|ty|thank)\b", r"^(bye|goodbye|see ya|cya)\b", r"^(ok|okay|k|sure|alright|cool|great|nice|wow|lol)\b",
+    r"^(yes|no|yeah|nope|yep|nah)\b", r"^what\s+the\s+(heck|hell)\b", r"^what(\s*\?+|\?+)\s*\?*\s*$", r"^huh\s*\??\s*$", r"^i\s+don'?t\s+(know|understand|get\s+it)\b",
+    r"^i'?m\s+(not\s+sure|confused|lost)\b", r"^not\s+sure\b", r"^(uh|um|er|hmm|hm)\b", r"^(what|how|why)\s+(do\s+you\s+mean|now)\b", r"^wait\b", r"^really\s*\??\s*$",
+)
+#: Words that make no question of two words (fixed values).
+MEANINGLESS = "the a an is are was were be to of in on at it".split()
 
 
 def is_casual(c: Column) -> Column:
-    return (F.length(F.trim(c)) < 8) | c.rlike(CASUAL)
+    """Under eight characters, or small talk."""
+    return (F.length(c) < 8) | F.trim(c).rlike("(?i)" + "|".join(CASUAL))
 
 
 def consonant_share(c: Column) -> Column:
     """The share of a text's letters that lie in runs of five or more consonants."""
-    runs = F.regexp_extract_all(F.lower(c), F.lit(r"([bcdfghjklmnpqrstvwxz]{5,})"), 1)
+    runs = F.regexp_extract_all(F.lower(c), F.lit(r"([bcdfghjklmnpqrstvwxyz]{5,})"), 1)
     inside = F.aggregate(runs, F.lit(0), lambda n, r: n + F.length(r))
     letters = F.length(F.regexp_replace(F.lower(c), "[^a-z]", ""))
     return F.when(letters > 0, inside / letters).otherwise(F.lit(0.0))
@@ -127,20 +145,25 @@ def is_gibberish(c: Column) -> Column:
 
 
 def is_real_question(c: Column) -> Column:
-    words = F.regexp_count(c, F.lit(r"\b[A-Za-z]{2,}\b"))
-    return (F.length(F.trim(c)) >= 8) & ~is_casual(c) & (words >= 2) & (consonant_share(c) <= 0.4)
+    """No small talk, two words of letters or more of which one has a meaning, and no keyboard mashing."""
+    c = F.trim(c)
+    words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: w.rlike("^[a-z]{2,}$"))
+    meant = F.exists(words, lambda w: (F.length(w) >= 3) & ~w.isin(MEANINGLESS))
+    return ~is_casual(c) & (F.size(words) >= 2) & meant & (consonant_share(c) <= 0.4)
 
 
-SPAM = r"(?i)\b(viagra|casino|lottery|crypto giveaway|buy now|click here|free money|work from home)\b|https?://\S{50,}|(.)\2{5,}"
+SPAM = r"(?i)\b(viagra|cialis|casino|poker|lottery)\b|https?://\S{50,}|(.)\2{5,}"
 
 
 def is_spam(c: Column) -> Column:
     return c.rlike(SPAM)
 
 
+#: What counts as a way to get in touch (fixed values).
 CONTACT = {
-    "phone": r"\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}", "email": r"[\w.+-]+@[\w-]+\.[\w.]+", "room": r"(?i)\b(room|suite|office)\s+#?\d+", "hours": r"(?i)\b\d{1,2}(:\d{2})?\s*(am|pm)\b",
-    "url": r"https?://\S+", "words": r"(?i)\b(contact us|call us|email us|visit us|phone|telephone)\b", "box": r"(?i)\bp\.?\s?o\.?\s+box\s+\d+",
+    "phone": r"\(?\d{3}\)?[\s.\-]\d{3}[\s.\-]\d{4}", "email": r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "room": r"(?i)(?:room|building|suite|floor|hall|center)\s+\w+",
+    "hours": r"(?i)(?:hours?|monday|tuesday|wednesday|thursday|friday|open|closed).*\d{1,2}:\d{2}", "url": r"https?://[^\s]+",
+    "words": r"(?i)(?:contact|reach|call|email|phone|fax|location|address|visit us|stop by)", "box": r"(?i)P\.?O\.?\s*Box",
 }
 
 
@@ -148,13 +171,23 @@ def has_contact_info(c: Column) -> Column:
     return c.rlike("|".join(f"({x})" if not x.startswith("(?i)") else f"((?i:{x[4:]}))" for x in CONTACT.values()))
 
 
-REFUSAL = r"(?i)\b(i (do not|don't) (know|have)|i (cannot|can't)|unable to (find|answer)|not sure)\b"
-REDIRECT = r"(?i)\b(please )?(contact|reach out to|visit|call|email)\b"
+#: Signs of an answer that gives none (fixed values).
+REFUSAL = r"(?i)\b(sorry|i can only help with|i'm only able to help with|i'm here to help with)\b"
+ADMISSION = r"(?i)\b(i don't (have|know)|i do not (have|know)|i'm not sure|i am not sure|i can't (find|tell)|don't have (information|details|info|data|specifics|the (current|specific|exact)))"
+INTRODUCTION = r"(?is)\b(i'm|i am|my name is)\b.{0,80}\b(representative|assistant|here to help|here at)\b"
+OFFER = r"(?i)\b(how can i help|what can i (help|assist)|here to help|help you (with|today)|assist you)"
+REDIRECT = r"(?i)\b(contact|reach out to|visit|call|email|speak with|talk to)\b.*\b(office|department|advisor|staff|team|registrar|bursar|financial aid)\b"
+SPECIFIC = (
+    r"(?i)\b(\d{3}[-.\s]\d{3,4}|\(\d{3}\)\s*\d{3,4}|\d{1,2}:\d{2}|monday|tuesday|wednesday|thursday|friday|saturday|sunday|\$\d+|deadline|requirement|process|step|application|form|submit|apply|located"
+    r"|room\s+[\w\d]+|building|floor|suite|address|street|avenue|hall|campus|hours|open\s+(from|until|at)|closed)\b|[a-z0-9_.+-]+@[a-z0-9-]+\.[a-z0-9.-]+|https?://"
+)
 
 
 def is_generic_deflection(c: Column) -> Column:
-    words = F.size(tokenize(c))
-    return (c.rlike(REFUSAL) & (words < 40)) | (c.rlike(REFUSAL) & c.rlike(REDIRECT) & (words < 80)) | (c.rlike(REDIRECT) & ~has_contact_info(c) & (words <= 40))
+    """A short answer that refuses, admits to not knowing, introduces itself, or sends elsewhere without anything specific."""
+    text = F.lower(strip_html(c))
+    n = words_of(text)
+    return (text.rlike(REFUSAL) & (n < 40)) | (text.rlike(ADMISSION) & (n < 80)) | ((c.rlike(INTRODUCTION) | c.rlike(OFFER)) & (n < 80)) | ((n <= 40) & text.rlike(REDIRECT) & ~text.rlike(SPECIFIC))
 
 
 def citation_snippet(c: Column) -> Column:
@@ -166,18 +199,85 @@ def citation_snippet(c: Column) -> Column:
     return F.when(F.length(c) <= 200, c).when(sentence != "", sentence).otherwise(F.concat(F.regexp_replace(cut, r"[ ,;:]+$", ""), F.lit("…")))
 
 
-def score_for_question(chunk: Column, question: Column, stopwords: list[str]) -> Column:
-    """2 for every different word of the question (three letters or more) that the chunk holds."""
-    terms = F.array_distinct(F.filter(tokenize(dedup_key(question)), lambda t: (F.length(t) >= 3) & ~t.isin(stopwords)))
-    return 2 * F.size(F.filter(terms, lambda t: F.contains(F.lower(chunk), t)))
+#: Words of a question that are no search terms, phrases that mark an answer (in a chunk, in a sentence), and those that
+#: say what follows if a rule is not met (fixed values).
+QUESTION_WORDS = (
+    "what when where why who how which is are was were be been being do does did have has had a an the and or but if then than i my me we our us you your to of in on for with at by from up out"
+    " can could should would will may might must this that these those it its about some any all no not"
+).split()
+ANSWER_SIGNALS = (
+    "must", "required", "requires", "requirement", "minimum", "at least", "no more than", "eligible", "qualify", "allowed", "not allowed", "deadline", "cutoff", "last day to", "gpa of", "grade of",
+    "average of", "in order to", "to be eligible",
+)
+SENTENCE_SIGNALS = (
+    "must", "required", "requires", "requirement", "need ", "needs ", "needed", "minimum", "at least", "no more than", "up to ", "maximum", "no fewer than", "no later than", "or higher", "or above",
+    "or more", "or less", "or greater", "eligible", "ineligible", "qualify", "qualifies", "allowed", "not allowed", "permitted", "not permitted", "in order to", "to be eligible", "to qualify",
+    "deadline", "cutoff", "last day to", "by the end of", "gpa of", "grade of", "average of",
+)
+UNMET = ("who do not meet", "who fail to", "who fails to", "if students do not", "if you do not", "if you fail", "who have not met", "do not meet these")
+
+
+def search_terms(question: Column) -> Column:
+    """The different words of letters and digits of a question, three characters or more, that are search terms."""
+    found = F.regexp_extract_all(F.lower(question), F.lit("([a-z0-9]+)"), 1)
+    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 3) & ~t.isin(QUESTION_WORDS)))
+
+
+def _held(text: Column, phrases: tuple[str, ...]) -> Column:
+    """How many of the phrases a text holds."""
+    return F.size(F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(text, p)))
+
+
+def score_for_question(chunk: Column, question: Column) -> Column:
+    """2 for every search term that the chunk holds, 3 for every sign of an answer (four at most), 5 less if two phrases or more say what follows if a rule is not met."""
+    def points(lower):
+        terms = F.size(F.filter(search_terms(question), lambda t: F.contains(lower, t)))
+        return 2 * terms + 3 * F.least(_held(lower, ANSWER_SIGNALS), F.lit(4)) - F.when(_held(lower, UNMET) >= 2, 5).otherwise(0)
+
+    return let(F.lower(chunk), points)
+
+
+def relevant_snippet(chunk: Column, question: Column) -> Column:
+    """The citation snippet of the chunk's sentence that answers a question best; of the whole chunk where none does.
+
+    A sentence has four words or more. It has 2 for every search term and 2 for all of them in a row, 3 for every sign of
+    an answer (6 at most), 2 for a decimal number or 1 for a whole one unless a year is named, and 4 less if it says what
+    follows if a rule is not met. The first of the best counts."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(strip_html(chunk), r"[ \t]+", " "), r"[ \t]*\n[ \t]*", "\n"))
+
+    def points(sentence, terms):
+        def of(lower):
+            held = F.size(F.filter(terms, lambda t: F.contains(lower, t)))
+            row = F.when((F.size(terms) > 1) & F.contains(lower, F.array_join(terms, " ")), 2).otherwise(0)
+            number = F.when(lower.rlike(r"\b\d+\.\d+\b"), 2).when(lower.rlike(r"\b\d{1,4}\b") & ~lower.rlike(r"\b(19|20)\d{2}\b"), 1).otherwise(0)
+            return 2 * held + row + F.least(3 * _held(lower, SENTENCE_SIGNALS), F.lit(6)) + number - F.when(_held(lower, (*UNMET, "students who don't")) > 0, 4).otherwise(0)
+
+        return let(F.lower(sentence), of)
+
+    def choose(own):
+        scores = F.transform(own["sentences"], lambda x: points(x, own["terms"]))
+
+        def best(found):
+            top = F.array_max(found)
+            at = F.when(top < 0, F.lit(1)).otherwise(F.array_position(found, top).cast("int"))
+            return F.when(top == 0, own["text"]).otherwise(F.get(own["sentences"], at - 1))
+
+        none = (F.size(own["sentences"]) == 0) | (F.size(own["terms"]) == 0)
+        return F.when(none, own["text"]).otherwise(let(scores, best))
+
+    def split(whole):
+        sentences = F.filter(F.split(whole, r"(?:(?<=[.!?])\s+(?=[A-Z0-9]))|(?:\n+)"), lambda x: (F.trim(x) != "") & (words_of(x) >= 4))
+        return let(F.struct(whole.alias("text"), sentences.alias("sentences"), search_terms(question).alias("terms")), choose)
+
+    return let(let(text, split), citation_snippet)
 
 
-PRONOUNS = r"(?i)\b(it|its|they|them|their|he|him|his|she|her|hers)\b|^(and|but|also|what about|how about|so)\b"
+PRONOUNS = r"(?i)\b(it|its|they|them|their|he|she|his|her)\b|^(what about|how about|and|but|also|what if|tell me more|more on|more about)\b"
 
 
 def needs_rewrite(c: Column) -> Column:
     """The question leans on what was said before."""
-    return c.rlike(PRONOUNS) | ((F.size(tokenize(c)) < 6) & c.rlike(r"(?i)^(that|this|those|these)\b"))
+    return c.rlike(PRONOUNS) | ((words_of(c) < 6) & c.rlike(r"(?i)^(that|this|those|these)\b"))
 
 
 def conversation_id(first_question: Column, ip: Column) -> Column:
@@ -220,11 +320,15 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"[\p{L}'\-]+"))
 
 
-INJECTION = r"(?i)(ignore (all |any )?(previous|prior|above) (instructions|prompts)|disregard (all|the) (instructions|rules)|you are now|system prompt|reveal your (prompt|instructions)|act as (an?|the) |jailbreak)"
+#: Attempts to give instructions (fixed values).
+INJECTION = (
+    r"ignore (all |your )?(previous |above |prior )?instructions?", r"forget (everything|all|your instructions)", r"you are now", r"pretend (you are|to be)",
+    r"act as (a |an )?(different|unrestricted|jailbreak)", r"system prompt", r"\[INST\]|<\|im_start\|>|<\|system\|>",
+)
 
 
 def is_prompt_injection(c: Column) -> Column:
-    return c.rlike(INJECTION)
+    return c.rlike("(?i)" + "|".join(INJECTION))
 
 
 def looks_truncated(c: Column) -> Column:

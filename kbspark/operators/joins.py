@@ -77,7 +77,7 @@ def citations_for_answer(answer_sources: DataFrame, most: int = 3) -> DataFrame:
 def first_per_source(retrieved: DataFrame) -> DataFrame:
     """The first chunk of every source in retrieval order, positions numbered anew from 1."""
     first = retrieved.withColumn("_n", F.row_number().over(Window.partitionBy("answer_id", "source_id").orderBy("position", "chunk_id"))).where("_n = 1").drop("_n")
-    return first.withColumn("position", F.row_number().over(Window.partitionBy("answer_id").orderBy("position", "chunk_id")))
+    return first.withColumn("position", F.row_number().over(Window.partitionBy("answer_id").orderBy("position", "chunk_id", "source_id")))
 
 
 def sibling_variation_counts(variations: DataFrame) -> DataFrame:

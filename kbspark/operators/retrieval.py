@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
+from kbspark.operators.joins import first_per_source
 
 #: Fusion constant, chunks kept, depth of each list, and the similarity at or under which nothing is returned.
 RRF_K, KEEP, DEPTH, GATE = 60, 6, 20, 0.35
@@ -27,8 +28,8 @@ def _top(rows: DataFrame, by: str, score: str, id_: str, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), id_))).where(F.col("rank") <= k)
 
 
-def fulltext_topk(chunks: DataFrame, queries: DataFrame, k: int = DEPTH) -> DataFrame:
-    """(query_id, chunk_id, relevance, rank): sum over the query's terms of tf * idf squared, idf = log10(N / df).
+def fulltext_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, relevance) over 0: the sum over the query's terms of tf * idf squared, idf = log10(N / df).
 
     chunks(chunk_id, content), queries(query_id, query). Only terms that occur in queries are indexed, so the
     postings that are shuffled are those that can count; idf is 0 for a term that every chunk has."""
@@ -38,7 +39,28 @@ def fulltext_topk(chunks: DataFrame, queries: DataFrame, k: int = DEPTH) -> Data
     total = chunks.agg(F.count("*").alias("total"))
     df = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", F.pow(F.log10(F.col("total") / F.col("df")), F.lit(2.0)).alias("weight"))
     scored = asked.join(df, "term").join(held, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("tf") * F.col("weight")), 6).alias("relevance"))
-    return _top(scored.where("relevance > 0"), "query_id", "relevance", "chunk_id", k)
+    return scored.where("relevance > 0")
+
+
+def fulltext_topk(chunks: DataFrame, queries: DataFrame, k: int = DEPTH) -> DataFrame:
+    """(query_id, chunk_id, relevance, rank): the k chunks of the highest fulltext_scores."""
+    return _top(fulltext_scores(chunks, queries), "query_id", "relevance", "chunk_id", k)
+
+
+def best_chunks(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, source_id, chunk_id) for pairs(query_id, source_id, hint): the source's chunk that answers best.
+
+    chunks(chunk_id, source_id, chunk_index, content). Of the source's `most` chunks of the highest relevance the one that
+    scores highest for the question counts (the more relevant of equal ones); without any the hint, if there is such a
+    chunk, and else the source's first chunk."""
+    near = fulltext_scores(chunks, queries).join(chunks.select("chunk_id", "source_id"), "chunk_id").join(pairs.select("query_id", "source_id").distinct(), ["query_id", "source_id"], "left_semi")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "source_id").orderBy(F.desc("relevance"), "chunk_id"))).where(F.col("rank") <= most)
+    near = near.join(chunks.select("chunk_id", "content"), "chunk_id").join(queries, "query_id")
+    best = near.withColumn("points", T.score_for_question(F.col("content"), F.col("query"))).groupBy("query_id", "source_id").agg(F.max_by("chunk_id", F.struct("points", -F.col("rank"))).alias("best"))
+    hints = chunks.select(F.col("chunk_id").alias("hint"), F.lit(True).alias("known"))
+    firsts = chunks.groupBy("source_id").agg(F.min_by("chunk_id", F.struct("chunk_index", "chunk_id")).alias("first"))
+    out = pairs.join(best, ["query_id", "source_id"], "left").join(hints, "hint", "left").join(firsts, "source_id", "left")
+    return out.select("query_id", "source_id", F.coalesce("best", F.when(F.col("known"), F.col("hint")), "first").alias("chunk_id"))
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, block: int = 2048) -> DataFrame:
@@ -100,33 +122,77 @@ def merge_expanded(first: DataFrame, second: DataFrame, weight: float = 1.2) ->
     return both.select("query_id", "chunk_id", F.round(F.when(F.col("x").isNull(), F.col("y")).when(F.col("y").isNull(), F.col("x")).otherwise(F.col("x") + weight * F.col("y")), 6).alias("relevance"))
 
 
-def like_fallback(chunks: DataFrame, queries: DataFrame, words: int = 5, k: int = DEPTH) -> DataFrame:
-    """(query_id, chunk_id, rank): chunks that hold one of the query's first words of four letters or more, by id.
+def containing(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(w, token): which of the tokens(token) hold which of the words(w) of three characters or more.
+
+    Substrings can't be found by equality, but runs of three characters can: each word is looked up by the one of its
+    runs that the fewest tokens have, and what that finds is verified. Both sides are different words, not texts."""
+    runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(...))"), 1))
+    wanted = words.select("w").distinct().select("w", F.explode(runs(F.col("w"))).alias("run"))
+    held = tokens.select("token").distinct().select("token", F.explode(runs(F.col("token"))).alias("run")).join(wanted.select("run").distinct(), "run", "left_semi")
+    counts = held.groupBy("run").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "run", "left").groupBy("w").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), "run")).alias("run"))
+    return rarest.join(held, "run").where(F.contains(F.col("token"), F.col("w"))).select("w", "token")
+
+
+def _holding(chunks: DataFrame, asked: DataFrame, apart: str) -> DataFrame:
+    """(query_id, chunk_id): chunks that hold a word of asked(query_id, w) anywhere; words and chunks are split by `apart`."""
+    postings = chunks.select("chunk_id", F.explode(F.array_distinct(F.split(F.lower("content"), apart))).alias("token")).where(F.length("token") >= 3)
+    found = containing(asked, postings)
+    return asked.join(found, "w").join(postings, "token").select("query_id", "chunk_id").distinct()
 
-    Substrings: each different word is looked for in every chunk, once, whatever the number of queries."""
-    asked = queries.select("query_id", F.explode(F.slice(F.filter(F.split(F.lower("query"), r"\W+"), lambda w: F.length(w) >= 4), 1, words)).alias("w")).distinct()
-    found = chunks.select("chunk_id", F.lower("content").alias("body")).join(asked.select("w").distinct(), F.contains(F.col("body"), F.col("w"))).select("chunk_id", "w")
-    rows = asked.join(found, "w").select("query_id", "chunk_id").distinct()
+
+def _first_words(queries: DataFrame, apart: str, words: int) -> DataFrame:
+    return queries.select("query_id", F.slice(F.filter(F.split(F.lower("query"), apart), lambda w: F.length(w) >= 4), 1, words).alias("words"))
+
+
+def like_fallback(chunks: DataFrame, queries: DataFrame, words: int = 5, k: int = DEPTH) -> DataFrame:
+    """(query_id, chunk_id, rank): chunks that hold one of the query's first words of four letters or more, by id."""
+    asked = _first_words(queries, r"\W+", words).select("query_id", F.explode("words").alias("w")).distinct()
+    rows = _holding(chunks, asked, r"\W+")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))).where(F.col("rank") <= k)
 
 
+def simple_retrieve(chunks: DataFrame, queries: DataFrame, words: int = 5, k: int = 5) -> DataFrame:
+    """(query_id, chunk_id): as like_fallback with words between blanks; for a query without such words the newest chunks."""
+    own = _first_words(queries, r"\s+", words)
+    asked = own.select("query_id", F.explode("words").alias("w")).distinct()
+    rows = _holding(chunks, asked, r"\s+").withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))).where(F.col("_n") <= k)
+    newest = chunks.select("chunk_id").orderBy(F.desc("chunk_id")).limit(k)  # k rows
+    return rows.select("query_id", "chunk_id").union(own.where(F.size("words") == 0).select("query_id").crossJoin(F.broadcast(newest)))
+
+
 def contact_chunks(chunks: DataFrame, retrieved: DataFrame, most: int = 2) -> DataFrame:
     """(query_id, chunk_id, score): chunks with contact details that share the topic of what was retrieved.
 
     Topic words: four letters or more, twice or more in the retrieved chunks. Score: topic words held, and 10 in
-    a source that was retrieved; chunks(chunk_id, source_id, content)."""
+    a source that was retrieved; other sources need one word. chunks(chunk_id, source_id, content)."""
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: (F.length(w) >= 4) & ~w.isin(T.STOPWORDS))
     held = retrieved.select("query_id", "chunk_id").join(chunks, "chunk_id")
     topic = held.select("query_id", F.explode(words(F.col("content"))).alias("w")).groupBy("query_id", "w").agg(F.count("*").alias("n")).where("n >= 2").select("query_id", "w")
     contact = chunks.where(T.has_contact_info(F.col("content")))
-    own = contact.select("chunk_id", "source_id", F.explode(F.array_distinct(words(F.col("content")))).alias("w"))
-    scored = own.join(topic, "w").groupBy("query_id", "chunk_id", "source_id").agg(F.count("*").alias("n"))
-    near = held.select("query_id", "source_id").distinct().withColumn("same", F.lit(10))
-    scored = scored.join(near, ["query_id", "source_id"], "left").select("query_id", "chunk_id", (F.col("n") + F.coalesce("same", F.lit(0))).alias("score"))
-    scored = scored.join(retrieved.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    shared = contact.select("chunk_id", F.explode(F.array_distinct(words(F.col("content")))).alias("w")).join(topic, "w").select("query_id", "chunk_id", F.lit(1).alias("n"))
+    near = held.select("query_id", "source_id").distinct().join(contact.select("chunk_id", "source_id"), "source_id").select("query_id", "chunk_id", F.lit(10).alias("n"))
+    scored = shared.union(near).groupBy("query_id", "chunk_id").agg(F.sum("n").alias("score")).join(retrieved.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     return scored.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("_n") <= most).drop("_n")
 
 
+def find_relevant_chunks(chunks: DataFrame, queries: DataFrame, hybrid: DataFrame, fulltext: DataFrame, expanded: DataFrame | None = None, keep: int = KEEP) -> DataFrame:
+    """(query_id, chunk_id, tier, rank): the fused list where it has anything; else the full text's, merged with those of an
+    expanded query if there are any; else like_fallback. To the first two are added the contact chunks, as a tier.
+
+    hybrid(query_id, chunk_id, rank), fulltext and expanded(query_id, chunk_id, relevance)."""
+    first = hybrid.select("query_id", "chunk_id", F.lit("hybrid").alias("tier"), "rank")
+    full = merge_expanded(fulltext, expanded) if expanded is not None else fulltext.select("query_id", "chunk_id", "relevance")
+    full = _top(full.join(first.select("query_id").distinct(), "query_id", "left_anti"), "query_id", "relevance", "chunk_id", keep)
+    both = first.unionByName(full.select("query_id", "chunk_id", F.lit("fulltext").alias("tier"), "rank"))
+    left = queries.join(both.select("query_id").distinct(), "query_id", "left_anti")
+    like = like_fallback(chunks, left, k=keep).select("query_id", "chunk_id", F.lit("like").alias("tier"), "rank")
+    contact = contact_chunks(chunks, both)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return both.unionByName(like).unionByName(contact.select("query_id", "chunk_id", F.lit("contact").alias("tier"), place.alias("rank")))
+
+
 def diagnostics(vector: DataFrame, fulltext: DataFrame, gate: float = GATE) -> DataFrame:
     """Per query: sizes of both lists, the best similarity, how many chunks both have, and whether the gate fired."""
     v = vector.groupBy("query_id").agg(F.count("*").alias("vector_count"), F.max("similarity").alias("top_similarity"), F.collect_set("chunk_id").alias("a"))
@@ -137,33 +203,47 @@ def diagnostics(vector: DataFrame, fulltext: DataFrame, gate: float = GATE) -> D
 
 def answer_phrases(answer: Column) -> Column:
     """Different runs of three words with at most one stopword."""
-    w = T.tokenize(T.dedup_key(answer))
-    grams = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.slice(w, i, 3))).otherwise(F.array().cast("array<array<string>>"))
-    return F.array_distinct(F.transform(F.filter(grams, lambda g: F.size(F.filter(g, lambda x: ~x.isin(T.STOPWORDS))) >= 2), lambda g: F.array_join(g, " ")))
+    def phrases(w):
+        grams = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.slice(w, i, 3))).otherwise(F.array().cast("array<array<string>>"))
+        return F.array_distinct(F.transform(F.filter(grams, lambda g: F.size(F.filter(g, lambda x: ~x.isin(T.STOPWORDS))) >= 2), lambda g: F.array_join(g, " ")))
+
+    return T.let(T.tokenize(T.dedup_key(answer)), phrases)
 
 
 def answer_words(answer: Column) -> Column:
     return F.array_distinct(F.filter(T.tokenize(T.dedup_key(answer)), lambda x: (F.length(x) >= 4) & ~x.isin(T.STOPWORDS)))
 
 
-def overlap_scores(chunk: Column, phrases: Column, words: Column) -> tuple[Column, Column]:
-    """(5 for every phrase held, that and 1 for every word held)."""
-    body = T.dedup_key(T.strip_html(chunk))
-    phrase = 5 * F.size(F.filter(phrases, lambda p: F.contains(body, p)))
-    return phrase, phrase + F.size(F.filter(words, lambda w: F.contains(body, w)))
+def overlap_scores(candidates: DataFrame) -> DataFrame:
+    """candidates(answer_id, answer, source_id, chunk_id, position, content) -> their keys with phrase_score (5 for every
+    phrase of the answer that the chunk holds) and overlap_score (that and 1 for every word).
+
+    Answers and chunks are taken apart once each, and then meet."""
+    answers = candidates.select("answer_id", "answer").dropDuplicates(["answer_id"]).select("answer_id", answer_phrases(F.col("answer")).alias("_p"), answer_words(F.col("answer")).alias("_w"))
+    bodies = candidates.select("chunk_id", "content").dropDuplicates(["chunk_id"]).select("chunk_id", T.dedup_key(T.strip_html(F.col("content"))).alias("_body"))
+    rows = candidates.select("answer_id", "source_id", "chunk_id", "position").join(answers, "answer_id").join(bodies, "chunk_id")
+    held = lambda c: F.size(F.filter(c, lambda p: F.contains(F.col("_body"), p)))
+    rows = rows.select("answer_id", "source_id", "chunk_id", "position", (5 * held(F.col("_p"))).alias("phrase_score"), held(F.col("_w")).alias("_words"))
+    return rows.withColumn("overlap_score", F.col("phrase_score") + F.col("_words")).drop("_words")
 
 
 def select_citations(candidates: DataFrame, judged: DataFrame | None = None, most: int = 3) -> DataFrame:
     """candidates(answer_id, answer, source_id, chunk_id, position, content) -> which sources an answer used.
 
-    Where exactly one source has a phrase of the answer the overlap decides (a phrase is enough); else a judge's
-    score (0.5 or more), and the overlap again where there is none. At most `most` sources of an answer are used."""
-    body = candidates.withColumns({"_p": answer_phrases(F.col("answer")), "_w": answer_words(F.col("answer"))})
-    phrase, overlap = overlap_scores(F.col("content"), F.col("_p"), F.col("_w"))
-    rows = body.select("answer_id", "source_id", "chunk_id", "position", phrase.alias("phrase_score"), overlap.alias("overlap_score"))
-    rows = rows.withColumn("_hits", F.sum((F.col("phrase_score") > 0).cast("int")).over(Window.partitionBy("answer_id")))
-    rows = rows.join(judged.select("answer_id", "source_id", "llm_score"), ["answer_id", "source_id"], "left") if judged is not None else rows.withColumn("llm_score", F.lit(None).cast("double"))
-    route = F.when(F.col("_hits") == 1, "heuristic").when(F.col("llm_score").isNull(), "fallback").otherwise("llm")
-    rows = rows.withColumn("route", route).withColumn("used", F.when(F.col("route") == "llm", F.col("llm_score") >= 0.5).otherwise(F.col("phrase_score") >= 5))
-    place = F.row_number().over(Window.partitionBy("answer_id", "used").orderBy(F.desc_nulls_last("llm_score"), F.desc("overlap_score"), "position"))
-    return rows.withColumn("used_in_answer", (F.col("used") & (place <= most)).cast("int")).drop("_hits", "used")
+    The first chunk of every source stands for it. Where exactly one source has a phrase of the answer the overlap decides (a
+    phrase is enough); else the scores of a judge(answer_id, source_id, llm_score), of which 0.5 is enough, and the
+    overlap again for answers that have not been judged. At most `most` sources of an answer are used: by the judge's
+    score, then the overlap, then the position."""
+    rows = overlap_scores(first_per_source(candidates.where("source_id > 0")))
+    hits = F.sum((F.col("phrase_score") > 0).cast("int")).over(Window.partitionBy("answer_id"))
+    rows = rows.withColumn("_hits", hits)
+    if judged is not None:
+        rows = rows.join(judged.select("answer_id").distinct().withColumn("_judged", F.lit(True)), "answer_id", "left")
+        rows = rows.join(judged.groupBy("answer_id", "source_id").agg(F.max("llm_score").alias("_score")), ["answer_id", "source_id"], "left")
+    else:
+        rows = rows.withColumns({"_judged": F.lit(None).cast("boolean"), "_score": F.lit(None).cast("double")})
+    rows = rows.withColumn("route", F.when(F.col("_hits") == 1, "heuristic").when(F.col("_judged"), "llm").otherwise("fallback"))
+    rows = rows.withColumn("llm_score", F.when(F.col("route") == "llm", F.col("_score")))
+    rows = rows.withColumn("_used", F.coalesce(F.when(F.col("route") == "llm", F.col("llm_score") >= 0.5).otherwise(F.col("phrase_score") >= 5), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("answer_id", "_used").orderBy(F.desc_nulls_last("llm_score"), F.desc("overlap_score"), "position"))
+    return rows.withColumn("used_in_answer", (F.col("_used") & (place <= most)).cast("int")).drop("_hits", "_used", "_judged", "_score")

@@ -30,16 +30,26 @@ def _page_texts(s, d):
 register("i1_html_to_text", lambda s, d: _page_texts(s, d))
 register("i2_html_title", lambda s, d: _pages(s, d).select("page_id", I.html_title(F.col("html")).alias("title")), """
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages""")
-register("i3_extract_links", lambda s, d: I.extract_links(_pages(s, d)))
+
+
+def _linked(s, d):
+    """Pages with links of every kind to their own and other sites before them."""
+    links = "<a href=\"/own/{0}?x=1#top\">a</a><a class='b' href='next{0}.html'>b</a><a href=\"mailto:a@b.c\">c</a><a href=\"http://elsewhere.example/{0}\">d</a><a href=\"/file{0}.pdf\">e</a><a href=\"/own/{0}?x=1\">f</a>"
+    return _pages(s, d).withColumn("html", F.concat(F.lit("<main>"), F.replace(F.lit(links), F.lit("{0}"), F.col("page_id").cast("string")), F.lit("</main>"), "html"))
+
+
+register("i3_extract_links", lambda s, d: I.extract_links(_linked(s, d)), """
+WITH p AS (SELECT url, page_id, regexp_extract(url, '^[^:]+://[^/?#]+') AS root, regexp_extract(url, '^([^:]+://[^?#]*/)', 1) AS folder FROM pages), k AS (SELECT page_id, root || '/own/' || page_id || '?x=1' AS link FROM p UNION ALL SELECT page_id, folder || 'next' || page_id || '.html' FROM p)
+SELECT DISTINCT page_id, link FROM k""")
 register("i4_crawl_frontier", lambda s, d: I.crawl_frontier(*_graph(s, d)), """
-WITH l AS (SELECT l_suppkey AS url, l_partkey % 100 + 1 AS link FROM lineitem WHERE l_partkey % 50 = 0), s AS (SELECT 1 AS url),
+WITH l AS (SELECT DISTINCT l_orderkey AS url, l_partkey AS link FROM lineitem), s AS (SELECT 1 AS url),
 a AS (SELECT DISTINCT link AS url FROM l WHERE url IN (SELECT url FROM s) AND link NOT IN (SELECT url FROM s)),
 b AS (SELECT DISTINCT link AS url FROM l WHERE url IN (SELECT url FROM a) AND link NOT IN (SELECT url FROM s UNION SELECT url FROM a))
 SELECT url::BIGINT AS url, 0 AS depth FROM s UNION ALL SELECT url, 1 FROM a UNION ALL SELECT url, 2 FROM b""")
 
 
 def _graph(s, d):
-    links = table(s, d, "lineitem").where("l_partkey % 50 = 0").select(F.col("l_suppkey").alias("url"), (F.col("l_partkey") % 100 + 1).alias("link")).distinct()
+    links = table(s, d, "lineitem").select(F.col("l_orderkey").alias("url"), F.col("l_partkey").alias("link")).distinct()
     return links, s.range(1, 2).select(F.col("id").alias("url"))
 
 
@@ -65,23 +75,26 @@ SELECT a, b, n / (m - n) AS similarity FROM p WHERE n / (m - n) >= 0.6""", "matc
 
 
 def _chunks(s, d):
-    return projection(s, d, "chunks").select(F.col("id").alias("chunk_id"), "source_id", "content")
+    """The chunks of indexed sources."""
+    indexed = projection(s, d, "sources").where("status = 'indexed'").select(F.col("id").alias("source_id"))
+    return projection(s, d, "chunks").join(indexed, "source_id", "left_semi").select(F.col("id").alias("chunk_id"), "source_id", "chunk_index", "content")
 
 
 def _asked(s, d):
-    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _full(s, d):
     return R.fulltext_topk(_chunks(s, d), _asked(s, d))
 
 
-_FULL = """, q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(substr(text, 1, 60)), '[\\p{L}\\p{N}]{3,}')) AS term FROM benchmark),
-p AS (SELECT id AS chunk_id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]{3,}')) AS term FROM chunks), h AS (SELECT term, chunk_id, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
-w AS (SELECT term, pow(log10((SELECT count(*) FROM chunks)::DOUBLE / count(*)), 2) AS weight FROM h GROUP BY 1),
+_FULL = """, ic AS (SELECT * FROM chunks WHERE source_id IN (SELECT id FROM sources WHERE status = 'indexed')),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{3,}')) AS term FROM benchmark),
+p AS (SELECT id AS chunk_id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]{3,}')) AS term FROM ic), h AS (SELECT term, chunk_id, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+w AS (SELECT term, pow(log10((SELECT count(*) FROM ic)::DOUBLE / count(*)), 2) AS weight FROM h GROUP BY 1),
 f AS (SELECT query_id, chunk_id, round(sum(tf * weight), 6) AS relevance FROM q JOIN w USING (term) JOIN h USING (term) GROUP BY 1, 2),
 ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id)::INTEGER AS rank FROM f WHERE relevance > 0) WHERE rank <= 20)"""
-register("r1_fulltext_topk", _full, _FULL + " SELECT * FROM ft", "chunks")
+register("r1_fulltext_topk", _full, _FULL + " SELECT * FROM ft", "chunks sources")
 
 
 def _vectors(s, d):
@@ -106,39 +119,74 @@ _BOTH = _FULL + _VECTOR.replace("SELECT query_id, content_id", "SELECT query_id
 u AS (SELECT query_id, chunk_id, rank, 0 AS l FROM vt UNION ALL SELECT query_id, chunk_id, rank, 1 FROM ft),
 g AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS rrf, min(l * 1000 + rank) AS first FROM u GROUP BY 1, 2),
 r AS (SELECT query_id, chunk_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first)::INTEGER AS rank FROM g)"""
-register("r3_rrf_merge", lambda s, d: R.rrf_merge(*_both(s, d)), _BOTH + " SELECT * FROM r", "chunks vector_queries vector_chunks")
+register("r3_rrf_merge", lambda s, d: R.rrf_merge(*_both(s, d)), _BOTH + " SELECT * FROM r", "chunks sources vector_queries vector_chunks")
 _HYBRID = _BOTH + """, z AS (SELECT query_id FROM vt GROUP BY 1 HAVING max(similarity) <= 0.35),
 hy AS (SELECT query_id, chunk_id, round(1.0::DOUBLE / (60 + rank), 6) AS relevance, rank FROM r WHERE rank <= 6 AND query_id NOT IN (SELECT query_id FROM z))"""
-register("r4_hybrid_retrieve", lambda s, d: R.hybrid_retrieve(*_both(s, d)), _HYBRID + " SELECT * FROM hy", "chunks vector_queries vector_chunks")
+register("r4_hybrid_retrieve", lambda s, d: R.hybrid_retrieve(*_both(s, d)), _HYBRID + " SELECT * FROM hy", "chunks sources vector_queries vector_chunks")
 register("r4_retrieval_diagnostics", lambda s, d: R.diagnostics(*_both(s, d)), _BOTH + """
 SELECT query_id, coalesce(vc, 0) AS vector_count, coalesce(tc, 0) AS fulltext_count, top_similarity, coalesce(oc, 0)::INTEGER AS overlap_count, coalesce(top_similarity <= 0.35, false) AS gate_fired
 FROM (SELECT query_id, count(*) AS vc, max(similarity) AS top_similarity FROM vt GROUP BY 1) FULL JOIN (SELECT query_id, count(*) AS tc FROM ft GROUP BY 1) USING (query_id)
-LEFT JOIN (SELECT vt.query_id, count(*) AS oc FROM vt JOIN ft ON ft.query_id = vt.query_id AND ft.chunk_id = vt.chunk_id GROUP BY 1) o USING (query_id)""", "chunks vector_queries vector_chunks")
+LEFT JOIN (SELECT vt.query_id, count(*) AS oc FROM vt JOIN ft ON ft.query_id = vt.query_id AND ft.chunk_id = vt.chunk_id GROUP BY 1) o USING (query_id)""", "chunks sources vector_queries vector_chunks")
 register("r5_merge_expanded", lambda s, d: R.merge_expanded(_full(s, d), _full(s, d).where("rank % 2 = 0").union(_full(s, d).where("rank = 3").withColumn("chunk_id", -F.col("chunk_id")))), _FULL + """
-SELECT query_id, chunk_id, round(CASE WHEN rank % 2 = 0 THEN relevance + 1.2::DOUBLE * relevance ELSE relevance END, 6) AS relevance FROM ft UNION ALL SELECT query_id, -chunk_id, relevance FROM ft WHERE rank = 3 AND chunk_id <> 0""".replace(" AND chunk_id <> 0", ""), "chunks")
+SELECT query_id, chunk_id, round(CASE WHEN rank % 2 = 0 THEN relevance + 1.2::DOUBLE * relevance ELSE relevance END, 6) AS relevance FROM ft UNION ALL SELECT query_id, -chunk_id, relevance FROM ft WHERE rank = 3""", "chunks sources")
+
+
+_INDEXED = ", ic AS (SELECT * FROM chunks WHERE source_id IN (SELECT id FROM sources WHERE status = 'indexed'))"
+_LIKE = """
+w AS (SELECT DISTINCT item_id AS query_id, unnest([x FOR x IN regexp_split_to_array(lower(text), '[^0-9A-Za-z_]+') IF length(x) >= 4][1:5]) AS w FROM benchmark),
+m AS (SELECT DISTINCT query_id, id AS chunk_id FROM w JOIN ic ON contains(lower(content), w)), lk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id)::INTEGER AS rank FROM m)"""
+register("r6_like_fallback", lambda s, d: R.like_fallback(_chunks(s, d), _asked(s, d)), _INDEXED + "," + _LIKE + " SELECT * FROM lk WHERE rank <= 20", "chunks sources")
+
+
+def _short(s, d):
+    """The benchmark's texts, every seventh of which has no word of four letters."""
+    return _asked(s, d).withColumn("query", F.when(F.col("query_id") % 7 == 0, "how is it").otherwise(F.col("query")))
+
 
+register("r7_simple_retrieve", lambda s, d: R.simple_retrieve(_chunks(s, d), _short(s, d)), _INDEXED + """,
+w AS (SELECT DISTINCT item_id AS query_id, unnest([x FOR x IN string_split_regex(lower(text), '\\s+') IF length(x) >= 4][1:5]) AS w FROM benchmark WHERE item_id % 7 <> 0), m AS (SELECT DISTINCT query_id, id AS chunk_id FROM w JOIN ic ON contains(lower(content), w)),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS k FROM m), t AS (SELECT id FROM ic ORDER BY id DESC LIMIT 5)
+SELECT query_id, chunk_id FROM n WHERE k <= 5 UNION ALL SELECT item_id, t.id FROM benchmark, t WHERE item_id % 7 = 0""", "chunks sources")
 
-def _like(s, d):
-    return R.like_fallback(_chunks(s, d), _asked(s, d))
+_WORDS = "[x FOR x IN string_split_regex(lower(content), '[^\\p{L}]+') IF length(x) >= 4 AND x NOT IN (STOP)]".replace("STOP", ", ".join(f"'{w}'" for w in X.STOPWORDS))
+_CONTACT = """, hc AS (SELECT query_id, chunk_id, source_id, content FROM h0 JOIN ic ON ic.id = h0.chunk_id), tw AS (SELECT query_id, w FROM (SELECT query_id, unnest(WORDS) AS w FROM hc) GROUP BY 1, 2 HAVING count(*) >= 2),
+ct AS (SELECT id AS chunk_id, source_id, content FROM ic WHERE regexp_matches(content, '\\(?\\d{3}\\)?[\\s.\\-]\\d{3}[\\s.\\-]\\d{4}|[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}|https?://[^\\s]+')
+  OR regexp_matches(content, '(?i)(room|building|suite|floor|hall|center)\\s+\\w+|(hours?|monday|tuesday|wednesday|thursday|friday|open|closed).*\\d{1,2}:\\d{2}|contact|reach|call|email|phone|fax|location|address|visit us|stop by|p\\.?o\\.?\\s*box')),
+cw AS (SELECT DISTINCT chunk_id, unnest(WORDS) AS w FROM ct), cs AS (SELECT query_id, chunk_id, count(*) AS n FROM cw JOIN tw USING (w) GROUP BY 1, 2),
+sp AS (SELECT DISTINCT query_id, ct.chunk_id FROM hc JOIN ct ON ct.source_id = hc.source_id), sc AS (SELECT query_id, chunk_id, coalesce(n, 0) + CASE WHEN sp.query_id IS NOT NULL THEN 10 ELSE 0 END AS score FROM cs FULL JOIN sp USING (query_id, chunk_id)),
+cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS k FROM sc ANTI JOIN h0 USING (query_id, chunk_id)),
+cc AS (SELECT query_id, chunk_id, score::BIGINT AS score, k FROM cr WHERE k <= 2)""".replace("WORDS", _WORDS)
+register("r8_contact_chunks", lambda s, d: R.contact_chunks(_chunks(s, d), R.hybrid_retrieve(*_both(s, d), gate=-1.0)), _BOTH + ", h0 AS (SELECT query_id, chunk_id FROM r WHERE rank <= 6)" + _CONTACT + " SELECT query_id, chunk_id, score FROM cc", "chunks sources vector_queries vector_chunks")
 
 
-register("r6_like_fallback", _like, """
-, w AS (SELECT DISTINCT item_id AS query_id, unnest([x FOR x IN regexp_split_to_array(lower(substr(text, 1, 60)), '[^0-9A-Za-z_]+') IF length(x) >= 4][1:5]) AS w FROM benchmark),
-m AS (SELECT DISTINCT query_id, id AS chunk_id FROM w JOIN chunks ON contains(lower(content), w)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id)::INTEGER AS rank FROM m) SELECT * FROM r WHERE rank <= 20""", "chunks")
-register("r7_simple_retrieve", lambda s, d: _like(s, d).where("rank <= 5").select("query_id", "chunk_id"))
-register("r8_contact_chunks", lambda s, d: R.contact_chunks(_chunks(s, d), R.hybrid_retrieve(*_both(s, d), gate=-1.0)))
-register("r9_best_chunk_for_question", lambda s, d: _full(s, d).join(_chunks(s, d), "chunk_id").groupBy("query_id", "source_id").agg(F.max_by("chunk_id", F.struct("relevance", -F.col("chunk_id"))).alias("chunk_id")), _FULL + """
-SELECT query_id, source_id, arg_min(chunk_id, (-relevance, chunk_id)) AS chunk_id FROM ft JOIN chunks ON chunks.id = ft.chunk_id GROUP BY 1, 2""", "chunks")
+def _pairs(s, d):
+    """Each benchmark text with the sources whose number ends as its own does, some with a hint of another source's chunk."""
+    sources = projection(s, d, "sources").where("status = 'indexed'").select(F.col("id").alias("source_id"), (F.col("id") % 10).alias("r"))
+    hint = F.when(F.col("query_id") % 3 == 0, F.col("query_id"))
+    return _asked(s, d).select("query_id", (F.col("query_id") % 10).alias("r"), hint.alias("hint")).join(sources, "r").select("query_id", "source_id", "hint")
 
 
-def _tiered(s, d):
-    hybrid = R.hybrid_retrieve(*_both(s, d)).select("query_id", "chunk_id", "rank", F.lit("hybrid").alias("tier"))
-    full = _full(s, d).join(hybrid.select("query_id").distinct(), "query_id", "left_anti").where("rank <= 6").select("query_id", "chunk_id", "rank", F.lit("fulltext").alias("tier"))
-    left = _like(s, d).join(hybrid.unionByName(full).select("query_id").distinct(), "query_id", "left_anti").where("rank <= 6").select("query_id", "chunk_id", "rank", F.lit("like").alias("tier"))
-    return hybrid.unionByName(full).unionByName(left)
+register("r9_best_chunk_for_question", lambda s, d: R.best_chunks(_chunks(s, d), _asked(s, d), _pairs(s, d)), _FULL + """,
+pr AS (SELECT item_id AS query_id, id AS source_id, CASE WHEN item_id % 3 = 0 THEN item_id END AS hint, text FROM benchmark JOIN sources ON status = 'indexed' AND id % 10 = item_id % 10),
+nr AS (SELECT f.query_id, ic.source_id, chunk_id, content, text, row_number() OVER (PARTITION BY f.query_id, ic.source_id ORDER BY relevance DESC, chunk_id) AS k FROM f JOIN ic ON ic.id = f.chunk_id JOIN pr ON pr.query_id = f.query_id AND pr.source_id = ic.source_id WHERE relevance > 0),
+sr AS (SELECT query_id, source_id, chunk_id, k, 2 * len([t FOR t IN list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) IF length(t) >= 3 AND t NOT IN (QW) AND contains(lower(content), t)])
+  + 3 * least(4, len([x FOR x IN [SIGNALS] IF contains(lower(content), x)])) - CASE WHEN len([x FOR x IN [UNMET] IF contains(lower(content), x)]) >= 2 THEN 5 ELSE 0 END AS points FROM nr WHERE k <= 5),
+br AS (SELECT query_id, source_id, arg_max(chunk_id, (points, -k)) AS best FROM sr GROUP BY 1, 2), fr AS (SELECT source_id, arg_min(id, (chunk_index, id)) AS first FROM ic GROUP BY 1)
+SELECT pr.query_id, pr.source_id, coalesce(best, CASE WHEN hint IN (SELECT id FROM ic) THEN hint END, first) AS chunk_id FROM pr LEFT JOIN br ON br.query_id = pr.query_id AND br.source_id = pr.source_id LEFT JOIN fr ON fr.source_id = pr.source_id"""
+    .replace("QW", ", ".join(f"'{w}'" for w in X.QUESTION_WORDS)).replace("SIGNALS", ", ".join(f"'{w}'" for w in X.ANSWER_SIGNALS)).replace("UNMET", ", ".join(f"'{w}'" for w in X.UNMET)), "chunks sources")
 
 
-register("r10_find_relevant_chunks", _tiered)
+def _expansion(s, d):
+    """What an expanded query finds: here, the full text's list at every other place, and one chunk of its own."""
+    full = _full(s, d)
+    return full.where("rank % 2 = 0").select("query_id", "chunk_id", "relevance")
+
+
+register("r10_find_relevant_chunks", lambda s, d: R.find_relevant_chunks(_chunks(s, d), _asked(s, d), R.hybrid_retrieve(*_both(s, d)), _full(s, d), _expansion(s, d)), _HYBRID + "," + _LIKE + """,
+ex AS (SELECT query_id, chunk_id, round(CASE WHEN rank % 2 = 0 THEN relevance + 1.2::DOUBLE * relevance ELSE relevance END, 6) AS relevance FROM ft WHERE query_id NOT IN (SELECT query_id FROM hy)),
+er AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id)::INTEGER AS rank FROM ex),
+h1 AS (SELECT query_id, chunk_id, 'hybrid' AS tier, rank FROM hy UNION ALL SELECT query_id, chunk_id, 'fulltext', rank FROM er WHERE rank <= 6), h0 AS (SELECT query_id, chunk_id FROM h1)""" + _CONTACT + """
+SELECT * FROM h1 UNION ALL SELECT query_id, chunk_id, 'like', rank FROM lk WHERE rank <= 6 AND query_id NOT IN (SELECT query_id FROM h1) UNION ALL SELECT query_id, chunk_id, 'contact', k FROM cc""", "chunks sources vector_queries vector_chunks")
 
 
 def _candidates(s, d):
@@ -146,10 +194,40 @@ def _candidates(s, d):
     return R.fulltext_topk(_chunks(s, d), _asked(s, d), 8).select(F.col("query_id").alias("answer_id"), "chunk_id", F.col("rank").alias("position")).join(_chunks(s, d), "chunk_id").join(answers, "answer_id")
 
 
-register("c1_answer_phrases", lambda s, d: projection(s, d, "match_questions").select("id", F.array_join(R.answer_phrases(F.col("question")), "|").alias("phrases")))
+def _judged(s, d):
+    """A judge's scores for two answers of three, not for all of their sources."""
+    rows = _candidates(s, d).where("answer_id % 3 > 0 and chunk_id % 4 > 0").select("answer_id", "source_id").distinct()
+    return rows.withColumn("llm_score", F.pmod(F.col("answer_id") * 7 + F.col("source_id") * 3, F.lit(10)) / 10.0)
+
+
+_KEYED = "trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+_STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
+_PHRASES = f"list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1) IF len([x FOR x IN w[i:i + 2] IF NOT list_contains({_STOP}, x)]) >= 2])"
+_ANSWER_WORDS = f"list_distinct([x FOR x IN w IF length(x) >= 4 AND NOT list_contains({_STOP}, x)])"
+
+
+def _bare(c: str) -> str:
+    out = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
+    for entity, char in X.ENTITIES.items():
+        out = f"replace({out}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return out
+
+
+_CITED = _FULL + f""", ca AS (SELECT query_id AS answer_id, ic.source_id, chunk_id, rank, content FROM ft JOIN ic ON ic.id = ft.chunk_id WHERE rank <= 8),
+fs AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY rank)::INTEGER AS position FROM (SELECT *, row_number() OVER (PARTITION BY answer_id, source_id ORDER BY rank) AS k FROM ca WHERE source_id > 0) WHERE k = 1),
+an AS (SELECT answer_id, {_PHRASES} AS ph, {_ANSWER_WORDS} AS wo FROM (SELECT item_id AS answer_id, string_split({_KEYED.format('text')}, ' ') AS w FROM benchmark)),
+bo AS (SELECT chunk_id, {_KEYED.format(_bare('content'))} AS body FROM (SELECT DISTINCT chunk_id, content FROM fs)),
+ov AS (SELECT fs.answer_id, fs.source_id, fs.chunk_id, fs.position, 5 * len([x FOR x IN ph IF contains(body, x)]) AS phrase_score, len([x FOR x IN wo IF contains(body, x)]) AS words FROM fs JOIN an USING (answer_id) JOIN bo USING (chunk_id))"""
+register("c1_answer_phrases", lambda s, d: projection(s, d, "match_questions").select("id", F.array_join(F.sort_array(R.answer_phrases(F.col("question"))), "|").alias("phrases")), f"""
+SELECT id, array_to_string(list_sort({_PHRASES}), '|') AS phrases FROM (SELECT id, string_split({_KEYED.format('question')}, ' ') AS w FROM match_questions)""", "match_questions")
 register("c2_answer_words", lambda s, d: projection(s, d, "match_questions").select("id", F.array_join(R.answer_words(F.col("question")), "|").alias("words")), """
 SELECT id, array_to_string(list_distinct_ordered, '|') AS words FROM (SELECT id, [x FOR x, i IN w IF list_position(w, x) = i] AS list_distinct_ordered FROM (
   SELECT id, [t FOR t IN string_split_regex(trim(regexp_replace(regexp_replace(lower(question), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g')), '\\s+') IF length(t) >= 4 AND NOT list_contains(STOP, t)] AS w FROM match_questions))""".replace("STOP", "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"), "match_questions")
-register("c3_overlap_score", lambda s, d: R.select_citations(_candidates(s, d)).select("answer_id", "chunk_id", "phrase_score", "overlap_score"))
-register("c4_select_citations", lambda s, d: R.select_citations(_candidates(s, d)).select("answer_id", "source_id", "chunk_id", "route", "used_in_answer"))
-register("c5_source_usage_rows", lambda s, d: _candidates(s, d).select("answer_id", "source_id").distinct(), _FULL + " SELECT DISTINCT query_id AS answer_id, source_id FROM ft JOIN chunks c ON c.id = ft.chunk_id WHERE rank <= 8", "chunks")
+register("c3_overlap_score", lambda s, d: R.select_citations(_candidates(s, d)).select("answer_id", "chunk_id", "phrase_score", "overlap_score"), _CITED + " SELECT answer_id, chunk_id, phrase_score::INTEGER AS phrase_score, (phrase_score + words)::INTEGER AS overlap_score FROM ov", "chunks sources")
+register("c4_select_citations", lambda s, d: R.select_citations(_candidates(s, d), _judged(s, d)).select("answer_id", "source_id", "chunk_id", "route", "used_in_answer"), _CITED + """,
+ju AS (SELECT DISTINCT answer_id, source_id, ((answer_id * 7 + source_id * 3) % 10) / 10.0::DOUBLE AS score FROM ca WHERE answer_id % 3 > 0 AND chunk_id % 4 > 0),
+ro AS (SELECT *, CASE WHEN count(*) FILTER (phrase_score > 0) OVER (PARTITION BY answer_id) = 1 THEN 'heuristic' WHEN answer_id IN (SELECT answer_id FROM ju) THEN 'llm' ELSE 'fallback' END AS route FROM ov),
+us AS (SELECT ro.*, CASE WHEN route = 'llm' THEN score END AS score, CASE WHEN route = 'llm' THEN coalesce(score >= 0.5, false) ELSE phrase_score >= 5 END AS used FROM ro LEFT JOIN ju USING (answer_id, source_id)),
+pl AS (SELECT *, row_number() OVER (PARTITION BY answer_id, used ORDER BY score DESC NULLS LAST, phrase_score + words DESC, position) AS k FROM us)
+SELECT answer_id, source_id, chunk_id, route, (used AND k <= 3)::INTEGER AS used_in_answer FROM pl""", "chunks sources")
+register("c5_source_usage_rows", lambda s, d: _candidates(s, d).select("answer_id", "source_id").distinct(), _FULL + " SELECT DISTINCT query_id AS answer_id, source_id FROM ft JOIN ic c ON c.id = ft.chunk_id WHERE rank <= 8", "chunks sources")

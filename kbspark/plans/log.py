@@ -118,7 +118,7 @@ SELECT *, round(recall - lag(recall) OVER (ORDER BY saved_at, run_id), 4) AS del
 )
 query("n7_first_chunk_per_source", "lineitem", """
 , f AS (SELECT l_orderkey AS answer_id, l_suppkey AS source_id, l_linenumber AS position, l_partkey AS chunk_id, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem)
-SELECT answer_id, source_id, chunk_id, row_number() OVER (PARTITION BY answer_id ORDER BY position, chunk_id)::INTEGER AS position FROM f WHERE r = 1""")(
+SELECT answer_id, source_id, chunk_id, row_number() OVER (PARTITION BY answer_id ORDER BY position, chunk_id, source_id)::INTEGER AS position FROM f WHERE r = 1""")(
     lambda l: J.first_per_source(l.selectExpr("l_orderkey as answer_id", "l_suppkey as source_id", "l_linenumber as position", "l_partkey as chunk_id"))
 )
 query("n8_latest_user_turn", "conversations", "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1")(lambda c: J.latest_turns(c, "user"))
