@@ -13,14 +13,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.shared import held, unit_hash
+from kbspark.llm.shared import held, unit_hash, written
 
 #: Components of a vector; letters of an n-gram; different letters told apart (others share by code point).
 SIZE, GRAM, LETTERS = 512, 3, 64
 #: Texts that a language is learned from, about, at most.
 SAMPLE_PER_LANGUAGE = 3000
-#: Languages that are learned at most, those of the most rows.
-LANGUAGES = 10_000
+#: Letters that are bundled at once, and counts of n-grams by text that are held at once.
+BLOCK_LETTERS, BLOCK_COUNTS = 1 << 20, 1 << 22
+#: Languages that a block of texts is compared with at once.
+BLOCK_LANGUAGES = 4096
+#: Languages whose shares are broadcast (a name and a number each).
+BROADCAST_LANGUAGES = 100_000
 #: A text of at least CLEAR different n-grams is in a language if its cosine is over this share of the usual one at its size.
 CLEAR, SHARE_OF_USUAL = 64, 0.3
 UNKNOWN = "und"
@@ -36,14 +40,16 @@ def _letter_table() -> np.ndarray:
 
 
 class Space:
-    """Vectors of letters and n-grams; n-grams are bound when first met and kept."""
+    """Vectors of letters and n-grams; n-grams are bound when first met and kept, a byte a component.
+
+    There are LETTERS ** GRAM n-grams, so what is kept is 134 MB at the very most."""
 
     def __init__(self, seed: int = 7):
         letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (LETTERS, SIZE))
         self.placed = [np.roll(letters, GRAM - 1 - place, axis=1) for place in range(GRAM)]
         self.symbols = _letter_table()
         self.row = np.full(LETTERS**GRAM, -1, np.int32)
-        self.bound = np.zeros((0, SIZE), np.float32)
+        self.bound, self.met = np.zeros((4096, SIZE), np.int8), 0
 
     def grams(self, text: str) -> np.ndarray:
         """The codes of a text's n-grams: letters lower-cased, everything between words one space."""
@@ -54,28 +60,45 @@ class Space:
             return s[:0]
         return (s[:-2] * LETTERS + s[1:-1]) * LETTERS + s[2:]
 
-    def bundles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """A row for each text: its bundle, all zero if it has no letter; and how many different n-grams it has."""
-        coded = [self.grams(x) if x else np.zeros(0, np.int32) for x in texts]
-        codes, owner = np.concatenate(coded), np.repeat(np.arange(len(texts)), [len(x) for x in coded])
-        rows = self.row[codes]
-        if (rows < 0).any():
-            fresh = np.unique(codes[rows < 0])
-            self.row[fresh] = np.arange(len(self.bound), len(self.bound) + len(fresh))
+    def vectors(self, codes: np.ndarray) -> np.ndarray:
+        """The bound vectors of different n-grams."""
+        fresh = codes[self.row[codes] < 0]
+        if len(fresh):
+            while self.met + len(fresh) > len(self.bound):
+                self.bound = np.concatenate([self.bound, np.zeros_like(self.bound)])
             a, b, c = fresh // LETTERS**2, fresh // LETTERS % LETTERS, fresh % LETTERS
-            self.bound = np.vstack([self.bound, (self.placed[0][a] * self.placed[1][b] * self.placed[2][c]).astype(np.float32)])
-            rows = self.row[codes]
-        # equal n-grams are added up before their vectors are
-        used = np.flatnonzero(np.bincount(rows, minlength=1))
-        place = np.zeros(len(self.bound) + 1, np.int64)
-        place[used] = np.arange(len(used))
-        counts = np.bincount(owner * len(used) + place[rows], minlength=len(texts) * len(used)).reshape(len(texts), len(used))
-        return counts.astype(np.float32) @ self.bound[used], np.count_nonzero(counts, axis=1)
+            self.bound[self.met : self.met + len(fresh)] = self.placed[0][a] * self.placed[1][b] * self.placed[2][c]
+            self.row[fresh] = np.arange(self.met, self.met + len(fresh))
+            self.met += len(fresh)
+        return self.bound[self.row[codes]].astype(np.float32)
+
+    def bundles(self, coded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each text's n-grams: its bundle, all zero if it has none; and how many different ones it has."""
+        codes, owner = np.concatenate(coded), np.repeat(np.arange(len(coded)), [len(x) for x in coded])
+        used, place = np.unique(codes, return_inverse=True)
+        out, different = np.zeros((len(coded), SIZE), np.float32), np.zeros(len(coded), np.int64)
+        if not len(used):
+            return out, different
+        # equal n-grams are added up before their vectors are, for a part of the n-grams at a time
+        step = max(1, BLOCK_COUNTS // len(coded))
+        for first in range(0, len(used), step):
+            n = min(step, len(used) - first)
+            own = (place >= first) & (place < first + n) if n < len(used) else slice(None)
+            counts = np.bincount(owner[own] * n + place[own] - first, minlength=len(coded) * n).reshape(len(coded), n)
+            out += counts.astype(np.float32) @ self.vectors(used[first : first + n])
+            different += np.count_nonzero(counts, axis=1)
+        return out, different
 
     def in_blocks(self, texts: list[str | None], block: int = 128):
-        """(first, bundles, different n-grams) for blocks of texts."""
-        for at in range(0, len(texts), block):
-            yield at, *self.bundles(texts[at : at + block])
+        """(first, bundles, different n-grams) for blocks of texts, of few texts where they are long."""
+        at = 0
+        while at < len(texts):
+            to, letters = at, 0
+            while to < len(texts) and to - at < block and (to == at or letters + len(texts[to] or "") <= BLOCK_LETTERS):
+                letters += len(texts[to] or "")
+                to += 1
+            yield at, *self.bundles([self.grams(x) if x else np.zeros(0, np.int32) for x in texts[at:to]])
+            at = to
 
 
 def _own_space() -> Space:
@@ -84,15 +107,20 @@ def _own_space() -> Space:
 
 def _picked(docs: DataFrame, may_learn: Column, text: str, lang: str, key: str, per_language: int) -> DataFrame:
     rows = docs.where(may_learn & F.col(lang).isNotNull())
-    share = rows.groupBy(lang).agg((F.lit(float(per_language)) / F.count("*")).alias("_share")).orderBy("_share", lang).limit(LANGUAGES)
-    return rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), unit_hash(key).alias("_unit")).join(F.broadcast(share.withColumnRenamed(lang, "lang")), "lang").where("_unit < _share")
+    share = rows.groupBy(F.col(lang).alias("lang")).agg((F.lit(float(per_language)) / F.count("*")).alias("_share"))
+    share = written(share)
+    if share.count() <= BROADCAST_LANGUAGES:  # else the texts are shuffled by language
+        share = F.broadcast(share)
+    return rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), unit_hash(key).alias("_unit")).join(share, "lang").where("_unit < _share")
 
 
 def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and their prototypes, from rows for which may_learn holds and whose language is known.
 
     Of every language about per_language rows, at most, are read, chosen by a hash of the key. Rows without
-    a letter teach nothing. Prototypes come to the driver: one vector for each language.
+    a letter teach nothing. Prototypes come to the driver: one vector of 4 KB for each language, of which the
+    world has under ten thousand. Letters other than a-z share LETTERS - 27 symbols by code point, so the letters of
+    one script are mostly told apart but those of two scripts can look alike.
     """
     picked = _picked(docs, may_learn, text, lang, key, per_language)
 
@@ -148,7 +176,8 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text:
     With `size` a third: how many different n-grams the text has.
 
     Texts that are null or have no letter, or all if no language was learned, get `und` and score 0. Ties go
-    to the first language in order. Repeated rows are predicted alike; no other column is looked at.
+    to the first language in order. Repeated rows are predicted alike; no other column is looked at, and an
+    empty table gives an empty table. Whole texts are read: memory grows with the longest of them.
     """
     lengths = np.linalg.norm(prototypes, axis=1, keepdims=True)
     unit = (prototypes / np.where(lengths == 0, 1, lengths)).astype(np.float32)
@@ -160,10 +189,15 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text:
         names, scores, sizes = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts), np.int32)
         for at, rows, different in _own_space().in_blocks(texts.tolist()) if languages else ():
             lengths = np.linalg.norm(rows, axis=1)
-            cosines = rows @ unit.T / np.maximum(lengths, 1e-9)[:, None]
-            best, known = cosines.argmax(axis=1), np.flatnonzero(lengths > 0)
+            best, cosine = np.zeros(len(rows), np.int64), np.full(len(rows), -np.inf)
+            for first in range(0, len(unit), BLOCK_LANGUAGES):
+                own = rows @ unit[first : first + BLOCK_LANGUAGES].T / np.maximum(lengths, 1e-9)[:, None]
+                top = own.argmax(axis=1)
+                value = own[np.arange(len(rows)), top]
+                best, cosine = np.where(value > cosine, first + top, best), np.maximum(cosine, value)
+            known = np.flatnonzero(lengths > 0)
             names[at + known] = np.array(languages, object)[best[known]]
-            scores[at + known] = np.clip(cosines[known, best[known]], 0, 1)
+            scores[at + known] = np.clip(cosine[known], 0, 1)
             sizes[at : at + len(rows)] = different
         return pd.DataFrame({"lang_pred": names, "score": scores, "size": sizes})
 
