@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)""", re.S)
+_UNCLOSED = re.compile(r"<[!?]")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,6 +35,13 @@ _ENDS = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr"}, {"table"}),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that no new element closes from inside, and inline ones whose stray end tags stop at a larger part.
+_BARRIERS = BLOCK - {"tr", "td", "th", "tbody", "thead"}
+_WITHIN = frozenset("p b i em strong span a li".split())
+#: Elements that are parts of a text, not places for one: none of them is taken for the article.
+_LEAVES = HEADINGS | frozenset("p pre hr dt figcaption caption legend summary address".split()) | frozenset(
+    "a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split()
+)
 _DROPPED = frozenset("head script style noscript template svg math canvas iframe object audio video nav menu footer aside dialog button select input textarea label legend fieldset title xmp noembed noframes".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Parts of class names and ids that say that an element is no part of the article.
@@ -64,65 +72,89 @@ def _is_noise(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
+class _Open:
+    """The open elements, the innermost last, and for every name the places of those that are open.
+
+    So an end tag finds its element without a walk, and a page takes time in proportion to its length."""
+
+    def __init__(self):
+        self.nodes, self.tags, self.places = [0], ["#root"], {}
+
+    def push(self, node: int, tag: str) -> None:
+        for name in (tag, "#barrier") if tag in _BARRIERS else (tag,):
+            self.places.setdefault(name, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def cut(self, to: int) -> None:
+        """Leaves the `to` outermost elements."""
+        while len(self.nodes) > to:
+            self.nodes.pop()
+            tag = self.tags.pop()
+            for name in (tag, "#barrier") if tag in _BARRIERS else (tag,):
+                self.places[name].pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of these names; 0 (the root's) if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+
 class _Tree:
     """Nodes in page order; parts: (node, text), the text runs in page order, with None where a block starts or ends."""
 
     def __init__(self, page: str):
         self.tag, self.parent, self.noise = ["#root"], [-1], [False]
         self.parts: list[tuple[int, str | None]] = []
-        stack, in_article, at = [0], 0, 0
+        stack, at, last = _Open(), 0, page.rfind(">")
+        in_article = [False]  # whether a node is inside an article or main element, or is one
         while at < len(page):
-            m = _TOKEN.search(page, at)
-            if not m:
-                self.parts.append((stack[-1], page[at:]))
+            # after the last ">" no tag ends: each "<" there would be looked at up to the page's end
+            if not (m := _TOKEN.search(page, at, last + 1)):
+                rest = _UNCLOSED.search(page, max(at, last + 1))
+                self.parts.append((stack.nodes[-1], page[at : rest.start() if rest else len(page)]))
                 break
             if m.start() > at:
-                self.parts.append((stack[-1], page[at : m.start()]))
+                self.parts.append((stack.nodes[-1], page[at : m.start()]))
             at = m.end()
             if not m[2]:
+                if page.startswith("<!--", m.start()) and not page.endswith("-->", m.start(), at):
+                    break  # a comment without an end
                 continue
             tag = m[2].lower()
             if tag in BLOCK:
-                self.parts.append((stack[-1], None))
+                self.parts.append((stack.nodes[-1], None))
             elif tag == "br":
-                self.parts.append((stack[-1], " "))
+                self.parts.append((stack.nodes[-1], " "))
             if m[1]:
-                self._end(stack, tag)
+                place = stack.last((tag,))
+                # an end tag without its start does not close what is around
+                if place and not (tag in _WITHIN and stack.last(("article", "main", "body", "table")) > place):
+                    stack.cut(place)
                 continue
             if tag in _ENDS_P:
                 self._close(stack, {"p"}, {"table", "td", "th", "button", "object"})
             if tag in _ENDS:
                 self._close(stack, *_ENDS[tag])
-            if tag == "body" and "body" in (self.tag[i] for i in stack) or tag == "html" and len(stack) > 1:
+            if tag == "body" and stack.last(("body",)) or tag == "html" and len(stack.nodes) > 1:
                 continue
             if tag == "body":
-                del stack[1 + (len(stack) > 1 and self.tag[stack[1]] == "html") :]
-            node = len(self.tag)
+                stack.cut(1 + (len(stack.nodes) > 1 and stack.tags[1] == "html"))
+            node, up = len(self.tag), stack.nodes[-1]
             self.tag.append(tag)
-            self.parent.append(stack[-1])
-            inside = any(self.tag[i] in ("article", "main") for i in stack) if tag == "header" or "=" in m[3] else False
-            self.noise.append(_is_noise(tag, m[3], inside))
+            self.parent.append(up)
+            self.noise.append(_is_noise(tag, m[3], in_article[up]))
+            in_article.append(in_article[up] or tag in ("article", "main"))
             if tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 at = close.end() if close else len(page)
             elif tag not in VOID and not m[3].endswith("/>") or tag in BLOCK and tag != "hr":
-                stack.append(node)
-
-    def _end(self, stack: list[int], tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == tag:
-                del stack[k:]
-                break
-            if self.tag[stack[k]] in ("article", "main", "body", "table") and tag in ("p", "b", "i", "em", "strong", "span", "a", "li"):
-                break  # an end tag without its start does not close what is around
+                stack.push(node, tag)
 
-    def _close(self, stack: list[int], tags: set[str], until: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] in tags:
-                del stack[k:]
-                break
-            if self.tag[stack[k]] in until or self.tag[stack[k]] in BLOCK and self.tag[stack[k]] not in ("tr", "td", "th", "tbody", "thead"):
-                break
+    @staticmethod
+    def _close(stack: _Open, tags: set[str], until: set[str]) -> None:
+        place = stack.last(tags)
+        if place and place >= max(stack.last(until), stack.last(("#barrier",))):
+            stack.cut(place)
 
 
 def _densities(tree: _Tree, dead: list[bool]):
@@ -151,8 +183,9 @@ def _densities(tree: _Tree, dead: list[bool]):
         if dead[i] or not chars[i]:
             continue
         c, t, lc, lt = chars[i], max(tags[i], 1), linked[i], max(link_tags[i], 1)
-        base = log(c * lc / max(c - lc, 1) + share * c + e)
-        density[i] = max(c / t * log(max(c * t / (max(lc, 1) * lt), 1) + 1e-9) / max(base, 1e-9), 0.0)
+        lc = max(lc, 1)
+        base = log(c * lc / max(c - lc, 1) + share * c + e)  # over 1, as e alone gives 1
+        density[i] = max(c / t * log(c * t / (lc * lt), base), 0.0)
         if i:
             sums[tree.parent[i]] += density[i]
     return density, sums, chars, linked, body
@@ -183,26 +216,20 @@ def main_text(page: str | None) -> str:
     for i in range(1, n):
         dead[i] = dead[i] or dead[tree.parent[i]] or tree.tag[i] == "form" and within[i] * 2 < total
     density, sums, chars, linked, body = _densities(tree, dead)
-    best = max(range(n), key=lambda i: (sums[i], -i))
+    best = max((i for i in range(n) if tree.tag[i] not in _LEAVES), key=lambda i: (sums[i], -i))
     if not sums[best]:
         best = body
     way = [best]
     while way[-1] not in (body, 0):
         way.append(tree.parent[way[-1]])
     threshold = min(density[i] for i in way)
-    named = next((i for i in way if tree.tag[i] == "article"), None)
-    if named is None:
-        named = next((i for i in way if tree.tag[i] == "main"), best)
-    taken = {named}
-    on_way = set(way)
+    # the subtree of the largest sum, and what along the way up from it is as dense: its headings and parts of the article around it
+    taken, on_way = {best}, set(way)
     for i in range(1, n):
         up = tree.parent[i]
-        if i in on_way or dead[i] or up not in on_way or up == named or density[i] <= 0 or linked[i] * 2 > chars[i]:
+        if i in on_way or dead[i] or up not in on_way or up == best or density[i] <= 0 or linked[i] * 2 > chars[i]:
             continue
-        tag = tree.tag[i]
-        if sums[i] > 0 and tag in BLOCK and density[i] >= threshold and tree.tag[named] != "article":
-            taken.add(i)
-        elif up != body and tree.tag[named] != "article" and (tag in HEADINGS or tag == "p" and density[i] >= threshold):
+        if tree.tag[i] in HEADINGS and up != body or tree.tag[i] in BLOCK and density[i] >= threshold:
             taken.add(i)
     inside = [False] * n
     for i in range(n):
