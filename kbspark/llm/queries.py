@@ -67,15 +67,15 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    rows = with_toxicity(spark, docs.select("doc_id", "text"), sf_dir, docs)
+    rows = with_toxicity(spark, docs.select("doc_id", "text"), sf_dir, docs, average="average_score")
     score = F.col("toxic_score")
-    return rows.select("doc_id", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"))
+    return rows.select("doc_id", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"), "average_score")
 
 
-def with_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str, learn_from: DataFrame, into: str = "toxic_score") -> DataFrame:
+def with_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str, learn_from: DataFrame, into: str = "toxic_score", average: str | None = None) -> DataFrame:
     """docs with a score, learned from the labelled rows of learn_from that are not held out."""
     model = toxicity.fit_labelled(learn_from, _read(spark, sf_dir, "labels"), _remainder("doc_id", 3) != 1)
-    return toxicity.score(docs, model, into=into)
+    return toxicity.score(docs, model, into=into, average=average)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,8 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM r""",
     "op9_topk": """
 WITH v AS (
-  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings),
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),

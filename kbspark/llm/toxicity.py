@@ -1,11 +1,13 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character n-grams and itself, hashed into buckets that have an embedding each. A
-segment of consecutive words is the average of its embeddings and goes through a linear softmax; a
-misspelling shares most n-grams with the word it stands for. A document scores as its highest segment.
+A word is the bag of its character n-grams and itself, hashed into buckets that have an embedding each. The
+embeddings of a window of SEGMENT words are averaged and go through a linear softmax; a misspelling shares most
+n-grams with the word it stands for. A document scores as the highest of its windows, one from every word on:
+over a whole document the average drowns the one word that makes it toxic (the README has held-out figures of both).
 Labels are given for documents only, so training picks the segments that carry the label, again and again
-(multiple-instance learning). Since averaging and the softmax's input are linear, scoring needs one number
-per bucket and adds these up by word.
+(multiple-instance learning). Embeddings are kept where no bucket speaks against toxicity (projected steps): that
+a text is clean is said by the bias, so common words around a toxic one, or a misspelt one, cannot outvote it.
+Since averaging and the softmax's input are linear, scoring needs one number per bucket and adds these up by word.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from array import array
-from math import log
+from math import exp, log
 
 import numpy as np
 import pandas as pd
@@ -61,20 +63,27 @@ class Model(dict):
         self[raw] = place
         return place
 
-    def odds(self, text: str | None) -> np.ndarray:
-        """Log odds of every segment."""
+    def odds(self, text: str | None) -> tuple[float, float]:
+        """Log odds of the highest window of SEGMENT words, and of the whole text's average; -inf without words."""
         if len(self) > CACHE_WORDS:
             self.clear()
         raw = (text or "").lower().split()
         place = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
         place = place[self.counts[place] > 0]
-        at = np.arange(0, len(place), SEGMENT)
-        return np.add.reduceat(self.sums[place], at) / np.maximum(np.add.reduceat(self.counts[place], at), LEAST_GRAMS) + self.bias if len(at) else at
+        if not len(place):
+            return -np.inf, -np.inf
+        sums, counts = np.append(0, np.cumsum(self.sums[place])), np.append(0, np.cumsum(self.counts[place]))
+        n = min(SEGMENT, len(place))
+        highest = ((sums[n:] - sums[:-n]) / np.maximum(counts[n:] - counts[:-n], LEAST_GRAMS)).max()
+        return highest + self.bias, sums[-1] / max(counts[-1], LEAST_GRAMS) + self.bias
 
     def score(self, text: str | None) -> float:
-        """The probability of the most toxic segment; 0 for a text without words."""
-        odds = self.odds(text)
-        return float(1 / (1 + np.exp(-np.clip(odds.max(), -40, 40)))) if len(odds) else 0.0
+        """The probability of the most toxic window; 0 for a text without words."""
+        return _probability(self.odds(text)[0])
+
+
+def _probability(odds: float) -> float:
+    return 1 / (1 + exp(-min(max(odds, -40), 40))) if odds > -np.inf else 0.0
 
 
 def fit(texts: list[str], labels: list[int], buckets: int = 1 << 18, size: int = 8, rounds: int = 6, rate: float = 0.3, seed: int = 0) -> Model:
@@ -142,6 +151,10 @@ def fit(texts: list[str], labels: list[int], buckets: int = 1 << 18, size: int =
             gb[:] += db * db
             w[:] -= rate * dw / np.sqrt(gw)
             b[:] -= rate * db / np.sqrt(gb)
+            toward = w[:, 1] - w[:, 0]
+            own_ids = np.unique(ids)
+            against = np.minimum(e[own_ids] @ toward, 0) / max(float(toward @ toward), 1e-12)
+            e[own_ids] -= against[:, None] * toward
 
     def odds() -> np.ndarray:
         own = e @ (w[:, 1] - w[:, 0])
@@ -153,16 +166,30 @@ def fit(texts: list[str], labels: list[int], buckets: int = 1 << 18, size: int =
     toxic, clean = np.flatnonzero((y == 1) & learn), np.flatnonzero((y == 0) & learn)
     rows = np.concatenate([toxic, rng.choice(clean, min(len(clean), 2 * len(toxic)), replace=False)])
     train(rows, np.where(y[rows] == 1, 0.5, 0.5).astype(np.float32))
-    def per_document(z: np.ndarray) -> np.ndarray:
+    # the windows of SEGMENT words that a document scores by: their first and last words, and where each document's begin
+    flat_words, of_word = seg.ravel(), np.repeat(owner, SEGMENT)
+    of_word, flat_words = of_word[flat_words >= 0], flat_words[flat_words >= 0]
+    lengths = np.bincount(of_word, minlength=len(texts))
+    begins = np.cumsum(lengths) - lengths
+    windows = np.maximum(lengths - SEGMENT, 0) + (lengths > 0)
+    first = np.repeat(begins, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    last = np.minimum(first + SEGMENT, np.repeat(begins + lengths, windows))
+    grams = np.append(0, np.cumsum(counts[flat_words]))
+    grams = np.maximum(grams[last] - grams[first], LEAST_GRAMS)
+
+    def per_document() -> np.ndarray:
+        """Every document's highest window, -inf without words."""
+        sums = np.append(0, np.cumsum(np.add.reduceat((e @ (w[:, 1] - w[:, 0]))[flat], starts[:-1]).astype(np.float64)[flat_words]))
+        z = (sums[last] - sums[first]) / grams + float(b[1] - b[0])
         out = np.full(len(texts), -np.inf)
-        np.maximum.at(out, owner, z)
+        out[windows > 0] = np.maximum.reduceat(z, (np.cumsum(windows) - windows)[windows > 0])
         return out
 
     # of all rounds the model that does best on the documents held back; without any, the last
     best = (-np.inf, None, 0.0)
     for r in range(rounds + 1):
         z = odds()
-        value, cut = _decision(per_document(z), y_doc, held if held.any() else np.ones(len(texts), bool))
+        value, cut = _decision(per_document(), y_doc, held if held.any() else np.ones(len(texts), bool))
         if value >= best[0] or not held.any():
             best = (value, (e @ (w[:, 1] - w[:, 0])).astype(np.float64), float(b[1] - b[0]) - cut)
         if r == rounds:
@@ -211,17 +238,23 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, may_learn: Column, label: s
     return fit(rows["text"].tolist(), rows["y"].tolist())
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """docs with the column `into`: 0 to 1, higher is likelier toxic. Null and empty texts score 0."""
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score", average: str | None = None) -> DataFrame:
+    """docs with the column `into`: 0 to 1, higher is likelier toxic; a column of that name is replaced.
+
+    With `average` a second one: the same for the average over the whole text. Null and empty texts score 0. Every
+    window of a text counts, whatever its length. Repeated rows score alike; an empty table gives an empty table.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # one number per bucket
     name = hashlib.sha1(model.weights.tobytes() + str(model.bias).encode()).hexdigest()
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("highest double, average double")
+    def scored(texts: pd.Series) -> pd.DataFrame:
         own = _kept(name, sent)
-        return pd.Series([own.score(x) for x in texts], dtype="float64")
+        found = [own.odds(x) for x in texts]
+        return pd.DataFrame([(_probability(a), _probability(b)) for a, b in found], columns=["highest", "average"], dtype="float64")
 
-    return docs.withColumn(into, scored(F.col(text)))
+    out = docs.withColumn("_scored", scored(F.col(text)))
+    return out.withColumns({into: F.col("_scored.highest")} | ({average: F.col("_scored.average")} if average else {})).drop("_scored")
 
 
 def _kept(name: str, sent) -> Model:
