@@ -19,6 +19,10 @@ from kbspark.llm.shared import shared_dir, written
 
 #: A smaller gap between two records is read along with them; one read is at most so many bytes.
 GAP, MOST = 1 << 16, 8 << 20
+#: Repeated payloads (a digest and an id each) that are broadcast; tasks that the rows of one digest are dealt to beyond.
+BROADCAST_ROWS, SALTS = 200_000, 32
+#: Bytes of archives that a task reads, and from TASKS tasks on.
+READ_BYTES, READ_BYTES_MOST, TASKS = 2 << 20, 128 << 20, 4096
 INDEX = "file string, offset long, length long, url string, page_id long, record_type string, payload_digest string, refers_to long"
 
 
@@ -68,19 +72,27 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:n]
 
 
-def revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
+def revisits(pages: DataFrame, least: int = 1000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """pages(page_id, url, html) with payload_digest, record_type and refers_to.
 
     Of rows with equal payloads of at least `least` bytes the one with the largest page_id is the response
     (every row of that page_id, if it is repeated), and the others revisit it; smaller payloads are all
-    responses. A null html is an empty payload. Only digests and ids are shuffled, not payloads.
+    responses. A null html is an empty payload. A row of null page_id is the response of its payload only if all
+    of the payload's rows are; then each of them is.
+
+    Payloads that occur more than once are counted first, by digest and id alone. Up to BROADCAST_ROWS of them are
+    broadcast, and no payload is shuffled. More are joined by digest and one of SALTS numbers, so that the rows of
+    one digest are dealt out over as many tasks.
     """
     body = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.sha1(body).alias("payload_digest"), (F.octet_length(body) >= least).alias("large"))
-    first = rows.where("large").groupBy("payload_digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # only payloads that occur more than once have a row here; the rest of the pages is not moved for them
+    first = written(rows.where("large").groupBy("payload_digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1").drop("n"))
     own = F.coalesce(F.col("page_id") == F.col("response_id"), F.col("response_id").isNull())
-    out = rows.join(first, "payload_digest", "left")
+    if first.count() <= broadcast_rows:
+        out = rows.join(F.broadcast(first), "payload_digest", "left")
+    else:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        out = salted.join(first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["payload_digest", "salt"], "left")
     return out.select("page_id", "url", "html", "payload_digest", F.when(own, "response").otherwise("revisit").alias("record_type"), F.when(~own, F.col("response_id")).alias("refers_to"))
 
 
@@ -152,7 +164,9 @@ def read_records(index: DataFrame) -> DataFrame:
                             made.append((ids[0], headers.get("WARC-Target-URI"), kind, digest, int(headers["X-Payload-Length"]), ids[1], block if kind == "response" else None))
                         yield pd.DataFrame(made, columns=["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    dealt = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(-(-size // READ_BYTES), max(TASKS, -(-size // READ_BYTES_MOST))))
+    dealt = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInPandas(read, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
