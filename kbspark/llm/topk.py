@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are sent to the executors at once: with vectors of 1000 dimensions about 16 MB.
-QUERY_BLOCK = 2048
-#: Candidates that are searched at once for one query group.
+#: Queries of a block, and different candidates of a chunk, about: a block and a chunk meet in one group of one task.
+QUERY_BLOCK, CHUNK = 2048, 16384
+#: Candidates that are searched at once.
 CANDIDATE_BLOCK = 4096
 
 
@@ -88,7 +88,7 @@ def _fits(a: float, b: float, d: int) -> bool:
     return a * b * max(d, 1) < 2**53
 
 
-def top_k(rows: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(rows: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(query_id, rank, key, score long): for each query row the k other rows of highest inner product.
 
     vector: array of doubles with integer values. is_query: a condition on the rows. Rows whose vector is
@@ -98,51 +98,48 @@ def top_k(rows: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: st
     Ties go to the smaller key. Scores beyond 2**53 are summed as whole numbers in Python, and held to the
     range of a long.
 
-    Queries go to the executors in blocks of at most query_block vectors; each task keeps k rows for each
-    query of the block, and these are ranked in one shuffle.
+    Queries are dealt into blocks of about query_block, candidates into chunks, both by hash; every block is sent
+    to every chunk by one shuffle, so no vector passes the driver. Equal rows are counted first and stand for k at
+    most, which is all that a result can hold. Each group keeps k rows for each query, and these are ranked in one
+    more shuffle.
     """
-    spark = rows.sparkSession
     v = F.col(vector)
     usable = rows.select(F.col(key).cast("long").alias("id"), v.cast("array<double>").alias("v"), is_query.alias("q")).where(
         "id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
     )
     queries = usable.where("q").select("id", "v").dropDuplicates(["id"])
-    blocks = max(1, -(-queries.count() // query_block))
-    found = None
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
-        groups = [(d, g["id"].to_numpy(np.int64), _matrix(g["v"])) for d, g in block.groupby(block["v"].map(len))]
-        sent = spark.sparkContext.broadcast(groups)
-
-        def search(batches, sent=sent):
-            groups = sent.value
-            bests = {d: _Best(ids, k) for d, ids, _ in groups}
-            for pdf in batches:
-                for at in range(0, len(pdf), CANDIDATE_BLOCK):
-                    part = pdf.iloc[at : at + CANDIDATE_BLOCK]
-                    for d, g in part.groupby(part["v"].map(len)):
-                        if d not in bests:
-                            continue
-                        ids, m, best = g["id"].to_numpy(np.int64), _matrix(g["v"]), bests[d]
-                        q = next(x[2] for x in groups if x[0] == d)
-                        if _fits(np.abs(m).max(), np.abs(q).max(), d):
-                            for i, at_rows, scores in branch_and_bound(q, m, k, best.floor, best.ids, ids):
-                                best.add(i, ids[at_rows], scores)
-                        else:
-                            whole = [[int(x) for x in row] for row in m.T]
-                            for i, query in enumerate(q.T):
-                                query = [int(x) for x in query]
-                                s = np.array([max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(query, row)))) for row in whole], object)
-                                for j, score in zip(ids.tolist(), s):
-                                    if j != best.ids[i]:
-                                        best.best[i] = sorted([*best.best[i], (-score, j)])[:k]
-                                best.floor[i] = -np.inf
-            for best in bests.values():
-                out = [(int(q), i, -s) for q, found in zip(best.ids, best.best) for s, i in found]
-                yield pd.DataFrame(out, columns=["query_id", "id", "score"]).astype("int64")
-
-        part = usable.select("id", "v").mapInPandas(search, "query_id long, id long, score long")
-        found = part if found is None else found.unionByName(part)
+    asked, total = usable.agg(F.count_if("q"), F.count("*")).first()
+    blocks, chunks = max(1, -(-asked // query_block)), max(1, -(-total // chunk))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    different = usable.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
+    candidates = different.select("id", "v", "n", F.pmod(F.xxhash64("id", "v"), F.lit(chunks)).alias("chunk"), numbers(blocks).alias("block"))
+    queries = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), numbers(chunks).alias("chunk"))
+
+    def search(own: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for d, asked in own.groupby(own["v"].map(len)):
+            found = pdf[pdf["v"].map(len) == d]
+            if not len(found):
+                continue
+            q, best = _matrix(asked["v"]), _Best(asked["id"].to_numpy(np.int64), k)
+            found = found.loc[found.index.repeat(found["n"])]
+            for at in range(0, len(found), CANDIDATE_BLOCK):
+                part = found.iloc[at : at + CANDIDATE_BLOCK]
+                ids, m = part["id"].to_numpy(np.int64), _matrix(part["v"])
+                if _fits(np.abs(m).max(), np.abs(q).max(), d):
+                    for i, at_rows, scores in branch_and_bound(q, m, k, best.floor, best.ids, ids):
+                        best.add(i, ids[at_rows], scores)
+                else:
+                    whole = [[int(x) for x in row] for row in m.T]
+                    for i, query in enumerate(q.T):
+                        query = [int(x) for x in query]
+                        s = [max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(query, row)))) for row in whole]
+                        best.best[i] = sorted(best.best[i] + [(-score, j) for j, score in zip(ids.tolist(), s) if j != best.ids[i]])[:k]
+                        best.floor[i] = -np.inf
+            out += [(int(query), i, -s) for query, held in zip(best.ids, best.best) for s, i in held]
+        return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype("int64")
+
+    found = queries.groupBy("block", "chunk").cogroup(candidates.groupBy("block", "chunk")).applyInPandas(search, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
