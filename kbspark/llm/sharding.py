@@ -2,8 +2,10 @@
 
 Rows are put in order by a hash of their text, so equal texts lie together, and the order is cut into a
 fixed number of ranges of hashes: the atomic groups. Their sizes go to the driver (never more than
-`groups` numbers, however large the table). The smallest feasible shard capacity is found by binary search,
-each capacity being checked greedily, and the order is cut there.
+`groups` numbers, however large the table). Groups above the fair share of a shard come first in the order, the
+largest first. The smallest feasible shard capacity is found by binary search, each capacity being checked
+greedily, and the order is cut there. Where a large group alone sets the capacity, that leaves many ways to
+cut the rest; it is cut by the smallest capacity again, so that the next largest shard is as small as can be, too.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbspark.llm.shared import written
+
 GROUPS = 1 << 16
 #: Rows that one task numbers at once, but for small tables.
 NUMBERED = 1 << 16
@@ -52,8 +56,8 @@ def minimax(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
 def assign(sizes: np.ndarray, shards: int) -> np.ndarray:
     """The shard of every group.
 
-    A group above the fair share of what is left gets a shard of its own (else its size would be the
-    capacity for all and leave shards empty); the others, in order, are cut by minimax.
+    A group above the fair share of what is left is the first in the order and sets the capacity alone: it gets a
+    shard of its own, and minimax goes on with the rest, whose capacity is smaller.
     """
     out = np.full(len(sizes), -1, np.int64)
     left = np.flatnonzero(sizes > 0)
@@ -82,7 +86,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, key: str = "doc_id", text:
     empty table gives an empty table. With fewer groups than shards some shards stay empty.
 
     Slots: every group's first slot is known from the groups' row counts, and rows are numbered inside their
-    group. Groups of many rows are dealt out by key into parts that are counted and numbered alone.
+    group. Groups of many rows are dealt out into parts that are counted and numbered alone; a row's part comes from
+    its place in the table, so that equal rows and equal or null keys are dealt out too.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -91,14 +96,17 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, key: str = "doc_id", text:
         (F.octet_length(body) + overhead).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.xxhash64(body).alias("hash"),
-    ).withColumn("grp", F.pmod("hash", F.lit(groups)).cast("int"))
+        F.monotonically_increasing_id().alias("place"),
+    )
+    # ranges of the hash: its upper 31 bits, in `groups` equal parts; written once, so that a place is the same in all that follows
+    slim = written(slim.withColumn("grp", F.floor(F.shiftrightunsigned("hash", 33) * groups / (1 << 31)).cast("int")))
     counts = slim.groupBy("grp").agg(F.sum("size").alias("size"), F.count("*").alias("n")).toPandas().sort_values("grp")
     target = max(NUMBERED, int(counts["n"].sum()) // 4096)
     counts["parts"] = -(-counts["n"] // target)
     counts["shard"] = assign(counts["size"].to_numpy(np.int64), shards)
 
     parts = slim.join(F.broadcast(spark.createDataFrame(counts[["grp", "shard", "parts"]].astype("int64"), "grp long, shard long, parts long")), "grp")
-    parts = parts.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("key"), F.col("parts"))).otherwise(F.lit(0)))
+    parts = parts.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("place"), F.col("parts"))).otherwise(F.lit(0)))
     dealt = counts[counts["parts"] > 1]["grp"].tolist()
     sized = [(int(g), 0, int(n)) for g, n, p in zip(counts["grp"], counts["n"], counts["parts"]) if p == 1]
     if dealt:
