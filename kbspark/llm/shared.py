@@ -12,12 +12,19 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests in local mode) is a folder made here.
+    Where that setting is absent, the context's checkpoint folder; where there is none either, a local master (whose
+    driver and executors are one process) gets a folder of its own, and any other an error: executors elsewhere
+    would not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = base.get() if base.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-kb-")
+        if base.isDefined():
+            base = base.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = "file://" + tempfile.mkdtemp(prefix="spark-kb-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     return f"{base.rstrip('/')}/kbspark-{uuid.uuid4().hex}"
 
 

@@ -105,7 +105,7 @@ def links(fps: DataFrame, fp: str = "fp") -> DataFrame:
     return twos.union(pairs).union(stars).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every end of an edge (a, b): the smallest id that it is connected to.
 
     Alternates large and small stars, each a grouping by node, until the edges no longer change; the edges
@@ -113,7 +113,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     was = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a < b")
@@ -125,8 +125,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == was:
             break
         was = now
-    else:
-        raise RuntimeError(f"components have not settled in {rounds} rounds")
     return edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))
 
 
