@@ -112,22 +112,6 @@ def primary_keyword(variations: DataFrame, stopwords: list[str]) -> DataFrame:
     return best.select("knowledge_id", "word", "n")
 
 
-def shared_anchors(variations: DataFrame) -> DataFrame:
-    """(knowledge_id, word): words in all of an entry's variations, of entries that have two or more."""
-    totals = variations.groupBy("knowledge_id").agg(F.count("*").alias("total")).where("total >= 2")
-    words = variations.select("knowledge_id", F.explode(F.array_distinct(F.split(F.lower("variation_text"), r"\W+"))).alias("word")).where("word <> ''")
-    return words.groupBy("knowledge_id", "word").agg(F.count("*").alias("n")).join(totals, "knowledge_id").where("n = total").select("knowledge_id", "word")
-
-
-def sibling_stem_freq(variations: DataFrame) -> DataFrame:
-    """(knowledge_id, word, siblings): variations of the keyword's other entries that hold an entry's word.
-
-    The keyword's total less the entry's own count; a self-join would be quadratic in the keyword's entries."""
-    words = variations.select("keyword", "knowledge_id", F.explode(F.array_distinct(F.split(F.lower("variation_text"), r"\W+"))).alias("word")).where("word <> ''")
-    own = words.groupBy("keyword", "knowledge_id", "word").agg(F.count("*").alias("own"))
-    return own.withColumn("siblings", F.sum("own").over(Window.partitionBy("keyword", "word")) - F.col("own")).select("knowledge_id", "word", "siblings")
-
-
 def bulk_run_summary(results: DataFrame) -> DataFrame:
     """Per run: how many results are done, failed or open, what they cost, and the run's state."""
     out = results.groupBy("run_id").agg(F.count("*").alias("total"), F.count(F.when(F.col("status") == "done", 1)).alias("done"), F.count(F.when(F.col("status") == "failed", 1)).alias("failed"), F.sum("cost").alias("cost"))

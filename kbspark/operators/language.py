@@ -5,9 +5,15 @@ Texts are never touched one by one: their tokens are collected once, stemmed or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbspark.functions import text as T
+from kbspark.sources.tables import written
+
+#: Endings that make another form of a word (fixed values): for bases of three letters, and of five.
+SHORT_ENDINGS = ["", "s", "es", "ies", "ed", "d", "ing", "er", "ers", "est", "ly"]
+LONG_ENDINGS = "al ally ful less ness ment ments ion ions tion tions ation ations ity ities ance ence or ors ist ists".split()
 #: Suffixes in the order in which they are tried; only the first that fits is (fixed values).
 SUFFIXES = ("ing", "ed", "er", "est", "ly", "ies", "es", "s")
 
@@ -45,16 +51,86 @@ def stem_tokens(tokens: DataFrame, dictionary: DataFrame, irregulars: DataFrame
     return out.select("token", F.coalesce("found", "token").alias("stem"))
 
 
-def spell_correct(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+def inflected(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """Those of tokens(token) that are one of words(word) with an ending that makes another form of it."""
+    token = F.col("token")
+    bases = [F.when(token.endswith(e) & (F.length(token) - len(e) >= least), F.left(token, F.length(token) - len(e))) for endings, least in ((SHORT_ENDINGS[1:], 3), (LONG_ENDINGS, 5)) for e in endings]
+    tried = tokens.select("token").distinct().select("token", F.explode(F.array_compact(F.array(*bases))).alias("word"))
+    return tried.join(words.select("word").distinct(), "word", "left_semi").select("token").distinct()
+
+
+def spell_correct(tokens: DataFrame, dictionary: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(token, correction, distance) for tokens that the dictionary(word, ord) lacks and that are near one of its words.
 
     Near: two edits for six letters or more, else one; of equally near words the first in the dictionary. Tokens of
-    two letters or fewer, without a vowel or of digits alone are left alone. Only words whose length differs by two
-    at most are compared: they meet by an equi-join on the length."""
+    two letters or fewer, without a vowel or of digits alone are left alone, and so are those that are known(word) (keywords, words
+    of patterns, canonical words of synonyms) and forms of such a word or one of the dictionary. Only words whose length
+    differs by two at most are compared: they meet by an equi-join on the length."""
     words = dictionary.groupBy("word").agg(F.min("ord").alias("ord"))
-    different = tokens.select("token").where(F.length("token") > 2).distinct().where(F.col("token").rlike("[aeiouy]")).join(words.select(F.col("word").alias("token")), "token", "left_anti")
+    right = words.select("word") if known is None else words.select("word").union(known.select("word"))
+    different = tokens.select("token").where(F.length("token") > 2).distinct().where(F.col("token").rlike("[aeiouy]")).join(right.select(F.col("word").alias("token")).distinct(), "token", "left_anti")
+    different = different.join(inflected(different, right), "token", "left_anti")
     asked = different.select("token", F.explode(F.sequence(F.length("token") - 2, F.length("token") + 2)).alias("n"))
     near = asked.join(words.withColumn("n", F.length("word")), "n")
     near = near.withColumn("distance", F.levenshtein("token", "word", 2)).where((F.col("distance") >= 1) & (F.col("distance") <= F.when(F.length("token") >= 6, 2).otherwise(1)))
     best = near.groupBy("token").agg(F.min(F.struct("distance", "ord", "word")).alias("b"))
     return best.select("token", F.col("b.word").alias("correction"), "b.distance")
+
+
+def normalized_queries(questions: DataFrame, dictionary: DataFrame, irregulars: DataFrame | None = None, known: DataFrame | None = None, phrases: list[tuple[str, str]] = (), stopwords: list[str] = T.STOPWORDS, spelling: bool = True) -> DataFrame:
+    """questions(qid, question) with `words`: all that is done to a question before it is matched, in order.
+
+    Contractions and characters, phrases, stopwords, synonyms, base forms, runs of a character, spelling (the last two only
+    with `spelling`). Base forms and corrections are worked out for the different tokens and joined back."""
+    first = T.word_synonyms(T.remove_stopwords(T.tokenize(T.replace_phrases(T.normalize_question(F.col("question")), list(phrases))), stopwords))
+    rows = written(questions.select("qid", F.posexplode(first).alias("at", "token")))
+    words = stem_tokens(rows.select("token"), dictionary, irregulars).withColumnRenamed("stem", "word")
+    words = written(words)
+    if spelling:
+        words = words.withColumn("word", T.collapse_repeats(F.col("word")))
+        fixed = spell_correct(words.select(F.col("word").alias("token")), dictionary, known).select(F.col("token").alias("word"), "correction")
+        words = words.join(fixed, "word", "left").select("token", F.coalesce("correction", "word").alias("word"))
+    found = rows.join(words, "token").groupBy("qid").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"])).alias("words"))
+    return questions.join(found, "qid", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+
+
+#: Keys beside each key of a keyboard (fixed values).
+NEIGHBOURS = {
+    "q": "wa", "w": "qeas", "e": "wrsd", "r": "etdf", "t": "ryfg", "y": "tugh", "u": "yihj", "i": "uojk", "o": "ipkl", "p": "ol", "a": "qwsz", "s": "awedxz", "d": "serfcx", "f": "drtgvc",
+    "g": "ftyhbv", "h": "gyujnb", "j": "huikmn", "k": "jiolm", "l": "kop", "z": "asx", "x": "zsdc", "c": "xdfv", "v": "cfgb", "b": "vghn", "n": "bhjm", "m": "njk",
+}
+
+
+def similar_words(tokens: DataFrame, dictionary: DataFrame, least: float, most: int) -> DataFrame:
+    """(token, word, similarity, place): the `most` words of dictionary(word, ord) nearest to each of tokens(token).
+
+    Words that begin with the token's letter or with one beside it on the keyboard, of a length that differs by two at
+    most; similarity: 100 less the edits in hundredths of the longer one. Tokens and words meet by first letter and length."""
+    beside = F.create_map(*(x for k, v in NEIGHBOURS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    letter = F.left("token", F.lit(1))
+    firsts = F.concat(F.array(letter), F.coalesce(F.try_element_at(beside, letter), F.array().cast("array<string>")))
+    asked = tokens.select("token").where("token <> ''").distinct().select("token", F.explode(firsts).alias("letter"), F.sequence(F.length("token") - 2, F.length("token") + 2).alias("n"))
+    words = dictionary.groupBy("word").agg(F.min("ord").alias("ord")).select("word", "ord", F.left("word", F.lit(1)).alias("letter"), F.length("word").alias("n"))
+    pairs = asked.select("token", "letter", F.explode("n").alias("n")).join(words, ["letter", "n"])
+    near = pairs.withColumn("similarity", F.round((1 - F.levenshtein("token", "word") / F.greatest(F.length("token"), F.length("word"))) * 100, 6)).where(F.col("similarity") >= least)
+    return near.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("similarity"), "ord", "word"))).where(F.col("place") <= most).select("token", "word", "similarity", "place")
+
+
+def spellcheck_words(tokens: DataFrame, dictionary: DataFrame, synonyms: DataFrame, least: float = 75.0) -> DataFrame:
+    """(token, word): what the older checker makes of tokens(token).
+
+    A token that is a variant in synonyms(variant, canonical) becomes the canonical word; `*` in a variant stands for any
+    letters, and only the part beside it is replaced. Else the most similar dictionary word, `least` or more, if the token is not one
+    itself; its own synonym after that."""
+    plain = synonyms.where(~F.contains("variant", F.lit("*"))).groupBy(F.col("variant").alias("token")).agg(F.min("canonical").alias("canonical"))
+    wild = synonyms.where(F.contains("variant", F.lit("*"))).select("variant", "canonical", F.replace("variant", F.lit("*"), F.lit("")).alias("part"), F.col("variant").startswith("*").alias("front"), F.col("variant").endswith("*").alias("back"))
+    different = tokens.select("token").where("token <> ''").distinct()
+    fits = F.when(F.col("front") & F.col("back"), F.contains("token", F.col("part"))).when(F.col("front"), F.col("token").endswith(F.col("part"))).otherwise(F.col("token").startswith(F.col("part")))
+    # the table of wildcards is a tenant's own list of some hundred rows; its size is checked before it is sent everywhere
+    wild = F.broadcast(wild) if wild.limit(10_001).count() <= 10_000 else wild
+    partly = different.join(wild, fits).groupBy("token").agg(F.min_by(F.replace("token", F.col("part"), F.col("canonical")), "variant").alias("partly"))
+    known = dictionary.select(F.col("word").alias("token"), F.lit(True).alias("known")).distinct()
+    near = similar_words(different.join(known, "token", "left_anti"), dictionary, least, 1).select("token", F.col("word").alias("near"))
+    own = plain.select(F.col("token").alias("near"), F.col("canonical").alias("then"))
+    rows = different.join(plain, "token", "left").join(partly, "token", "left").join(near, "token", "left").join(own, "near", "left")
+    return rows.select("token", F.coalesce("canonical", "partly", "then", "near", "token").alias("word"))

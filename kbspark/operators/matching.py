@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
+from kbspark.operators.joins import containing
+from kbspark.operators.language import LONG_ENDINGS, SHORT_ENDINGS, normalized_queries
+from kbspark.sources.tables import written
 
-#: Endings that make another form of a word (fixed values): for bases of three letters, and of five.
-SHORT_ENDINGS = ["", "s", "es", "ies", "ed", "d", "ing", "er", "ers", "est", "ly"]
-LONG_ENDINGS = "al ally ful less ness ment ments ion ions tion tions ation ations ity ities ance ence or ors ist ists".split()
 KEYWORD_ENDINGS = ["", "s", "es", "ed", "ing", "er", "rs"]
 
 
@@ -125,27 +125,36 @@ def match_knowledge(questions: DataFrame, entries: DataFrame, most: int = 5) ->
 def broad_search(questions: DataFrame, entries: DataFrame, most: int = 5) -> DataFrame:
     """Entries that hold one of the question's words (three letters or more) anywhere, at 50, by hits.
 
-    Substrings can't be found by equality, so each word is looked for in every entry's text; only for the
-    questions that nothing else matched. The different words are searched, not the questions: they are
-    far fewer. The limit comes before empty responses are dropped, as it always has."""
+    Only for the questions that nothing else matched. Words are looked for in the different tokens of the entries, not
+    in their texts, and those by runs of letters. The limit comes before empty responses are dropped, as it always has."""
     words = questions.select("qid", F.explode(F.array_distinct(F.filter(F.split(F.lower(F.trim("question")), r"\s+"), lambda w: F.length(w) >= 3))).alias("w"))
     whole = entries.select("id", "hits", "response", F.lower(F.concat_ws("\n", "kw", "sub", "question", "response")).alias("body"))
-    found = words.select("w").distinct().join(whole, F.contains(whole["body"], F.col("w"))).select("w", "id")
+    tokens = whole.select("id", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("token")).where(F.length("token") >= 3)
+    found = containing(words, tokens).join(tokens, "token").select("w", "id").distinct()
     rows = words.join(found, "w").select("qid", "id").distinct().join(whole.select("id", "hits", "response"), "id")
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("hits"), "id"))).where(F.col("_n") <= most)
     return rows.where(~T.is_effectively_empty(F.col("response"))).select("qid", "id", F.lit(50).alias("score"), "hits")
 
 
-def find_matches(questions: DataFrame, knowledge: DataFrame, most: int = 5, min_score: int = 0) -> DataFrame:
+def find_matches(questions: DataFrame, knowledge: DataFrame, most: int = 5, min_score: int = 0, dictionary: DataFrame | None = None, irregulars: DataFrame | None = None, phrases: list[tuple[str, str]] = ()) -> DataFrame:
     """(id, entry_id, score, place) for a log of questions(id, question).
 
     Tiers, each for what is still unmatched: all normalising; stopwords removed only; a broad search if
-    min_score allows its score. Equal texts are matched once and joined back."""
+    min_score allows its score. Equal texts are matched once and joined back. With a dictionary(word, ord) the first
+    tier has base forms and spelling, too; the base's own words count as right."""
     entries = compiled(knowledge)
     texts = questions.select("question").where("question is not null").distinct().select(F.xxhash64("question").alias("qid"), "question")
-    first = match_knowledge(texts.withColumn("words", tokens(F.col("question"))), entries, most)
+    if dictionary is None:
+        normalized = texts.withColumn("words", tokens(F.col("question")))
+    else:
+        own = F.concat(F.array(F.lower("keyword")), F.filter(F.split(F.replace(F.lower(F.coalesce("sub_keyword", F.lit(""))), F.lit("*"), F.lit("")), r"[|&+\s]+"), lambda w: F.length(w) >= 3))
+        known = knowledge.select(F.explode(own).alias("word")).union(questions.sparkSession.createDataFrame([(w,) for w in T.SYNONYMS], "word string"))
+        normalized = normalized_queries(texts, dictionary, irregulars, known.distinct(), phrases)
+    # each tier reads what the one before has found, and the words several times: written once, not worked out anew
+    first = written(match_knowledge(written(normalized), entries, most))
     left = texts.join(first.select("qid").distinct(), "qid", "left_anti")
-    second = match_knowledge(left.withColumn("words", T.remove_stopwords(T.tokenize(T.normalize_question(F.col("question"))), T.STOPWORDS)), entries, most)
+    left = written(left.withColumn("words", T.remove_stopwords(T.tokenize(T.normalize_question(F.col("question"))), T.STOPWORDS)))
+    second = written(match_knowledge(left, entries, most))
     found = first.unionByName(second)
     if min_score <= 50:
         left = left.join(second.select("qid").distinct(), "qid", "left_anti")
@@ -168,15 +177,49 @@ def question_log(questions: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def suggest_questions(questions: DataFrame, entries: DataFrame, per_word: int = 3, most: int = 5) -> DataFrame:
-    """For questions(qid, words): questions of entries whose keyword starts with a word, per word the `per_word` most hit."""
+    """For questions(qid, words), those that nothing matched: questions of entries(id, keyword, sub_keyword, question, hits) whose
+    keyword or pattern starts with a word, per word the `per_word` most hit."""
     words = questions.select("qid", F.explode("words").alias("w")).where(F.length("w") >= 2)
     # a prefix is found by equality with the keyword's own prefixes
-    prefixes = entries.select("id", "hits", F.col("question").alias("suggestion"), F.explode(F.transform(F.sequence(F.lit(1), F.length("kw")), lambda i: F.left(F.col("kw"), i))).alias("w"))
+    starts = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.left(c, i))
+    own = F.filter(F.array(F.lower("keyword"), F.lower(F.coalesce("sub_keyword", F.lit("")))), lambda c: F.length(c) > 0)
+    prefixes = entries.select("id", "hits", F.col("question").alias("suggestion"), F.explode(F.array_distinct(F.flatten(F.transform(own, starts)))).alias("w"))
     rows = words.join(prefixes, "w").withColumn("_n", F.row_number().over(Window.partitionBy("qid", "w").orderBy(F.desc("hits"), "id"))).where(F.col("_n") <= per_word)
     rows = rows.groupBy("qid", "suggestion").agg(F.max("hits").alias("hits"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("hits"), "suggestion"))).where(F.col("place") <= most)
 
 
+def related_questions(questions: DataFrame, entries: DataFrame, matched: DataFrame | None = None, per_keyword: int = 2, most: int = 5) -> DataFrame:
+    """(qid, id, points, place): entries that have to do with questions(qid, words), but for the one that was matched(qid, id).
+
+    10 for a word that is the keyword, 5 for one within it, 2 for one within the pattern; three points or more count, and the
+    logarithm of the hits is added. entries(id, keyword, sub_keyword, response, hits); two of a keyword at most."""
+    asked = questions.select("qid", F.explode(F.transform("words", lambda w: F.lower(w))).alias("w")).where(F.length(F.trim("w")) >= 3)
+    own = entries.where(~T.is_effectively_empty(F.col("response"))).select("id", "hits", F.lower("keyword").alias("kw"), F.lower(F.coalesce("sub_keyword", F.lit(""))).alias("sub"))
+    in_keyword = containing(asked, own.select(F.col("kw").alias("token"))).select("w", F.col("token").alias("kw"), F.when(F.col("w") == F.col("token"), 10).otherwise(5).alias("n"))
+    in_pattern = containing(asked, own.select(F.col("sub").alias("token"))).select("w", F.col("token").alias("sub"), F.lit(2).alias("n"))
+    points = asked.join(in_keyword, "w").join(own, "kw").select("qid", "id", "n").unionAll(asked.join(in_pattern, "w").join(own, "sub").select("qid", "id", "n"))
+    rows = points.groupBy("qid", "id").agg(F.sum("n").alias("n")).where("n >= 3")
+    if matched is not None:
+        rows = rows.join(matched.select("qid", "id"), ["qid", "id"], "left_anti")
+    rows = rows.join(own, "id").withColumn("points", F.round(F.col("n") + F.log10(F.greatest(F.lit(1), "hits") + 1), 9))
+    order = [F.desc("points"), "id"]
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("qid", "kw").orderBy(*order))).where(F.col("_k") <= per_keyword)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("place") <= most).select("qid", "id", "points", "place")
+
+
+def explain_match(pairs: DataFrame) -> DataFrame:
+    """pairs(qid, id, question, words, keyword, sub_keyword) with keyword_matched, matched and status, which has for each
+    alternative of the pattern its parts with `+` where one matches and `-` where it does not."""
+    sub = F.lower(F.trim(F.coalesce("sub_keyword", F.lit(""))))
+    rows = pairs.withColumns({"keyword_matched": any_matches(F.col("words"), F.lower("keyword")), "_default": sub.isin("", "aadefault")})
+    parts = lambda g: F.filter(F.transform(F.split(g, r"[&+]"), lambda p: F.trim(p)), lambda p: p != "")
+    shown = lambda g: F.concat(F.lit("("), F.array_join(F.transform(parts(g), lambda p: F.concat(p, F.when(any_matches(F.col("words"), p), "+").otherwise("-"))), " and "), F.lit(")"))
+    status = F.array_join(F.transform(F.filter(F.split(sub, r"\|"), lambda g: F.trim(g) != ""), shown), " or ")
+    whole = F.col("_default") | pattern_matches(parsed(F.col("sub_keyword")), F.col("words"), F.col("question"))
+    return rows.withColumns({"matched": F.col("keyword_matched") & whole, "status": F.when(F.col("_default"), "default").otherwise(status)}).drop("_default")
+
+
 def eval_recall(matches: DataFrame, truth: DataFrame) -> DataFrame:
     """One row for each true (id, entry_id): correct, wrong_entry or no_match, by the best match."""
     best = matches.where("place = 1").select("id", F.col("entry_id").alias("got"))

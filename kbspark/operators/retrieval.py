@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
-from kbspark.operators.joins import first_per_source
+from kbspark.operators.joins import containing, first_per_source
 
 #: Fusion constant, chunks kept, depth of each list, and the similarity at or under which nothing is returned.
 RRF_K, KEEP, DEPTH, GATE = 60, 6, 20, 0.35
@@ -63,36 +63,26 @@ def best_chunks(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, most: i
     return out.select("query_id", "source_id", F.coalesce("best", F.when(F.col("known"), F.col("hint")), "first").alias("chunk_id"))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, block: int = 2048) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, block: int = 2048, chunk: int = 16384) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): exact cosine, vectors(chunk_id, embedding), queries(query_id, embedding).
 
-    Queries go to the executors in blocks of bounded size; each task multiplies its vectors with a block and
-    keeps k for each query, and these are ranked in one shuffle. Vectors are never exploded."""
-    spark = vectors.sparkSession
-    blocks = max(1, -(-queries.count() // block))
-    found = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        if not len(part):
-            continue
-        q = np.array(part["embedding"].tolist(), np.float64)
-        sent = spark.sparkContext.broadcast((part["query_id"].to_numpy(), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)))
-
-        def search(batches, sent=sent):
-            ids, q = sent.value
-            for pdf in batches:
-                m = np.array(pdf["embedding"].tolist(), np.float64)
-                if not len(m):
-                    continue
-                s = np.round(q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)).T, 9)
-                keys = pdf["chunk_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "chunk_id": keys[order].ravel(), "similarity": np.take_along_axis(s, order, axis=1).ravel()})
-
-        own = vectors.select("chunk_id", "embedding").mapInPandas(search, "query_id long, chunk_id long, similarity double")
-        found = own if found is None else found.unionByName(own)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, chunk_id long, similarity double")
+    Queries are dealt into blocks, vectors into chunks, by hash; a block and a chunk meet in one group, are multiplied there, and
+    k for each query go on to one more shuffle. No vector passes the driver or is exploded."""
+    blocks, chunks = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // chunk))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    own = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), every(chunks).alias("chunk"))
+    all_ = vectors.select("chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id", "embedding"), F.lit(chunks)).alias("chunk"), every(blocks).alias("block"))
+
+    def search(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(rows):
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "similarity": []}).astype({"query_id": "int64", "chunk_id": "int64"})
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        q, m = (unit(np.array(x["embedding"].tolist(), np.float64)) for x in (asked, rows))
+        s, ids, keys = np.round(q @ m.T, 9), asked["query_id"].to_numpy(), rows["chunk_id"].to_numpy()
+        order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "chunk_id": keys[order].ravel(), "similarity": np.take_along_axis(s, order, axis=1).ravel()})
+
+    found = own.groupBy("block", "chunk").cogroup(all_.groupBy("block", "chunk")).applyInPandas(search, "query_id long, chunk_id long, similarity double")
     return _top(found, "query_id", "similarity", "chunk_id", k)
 
 
@@ -122,19 +112,6 @@ def merge_expanded(first: DataFrame, second: DataFrame, weight: float = 1.2) ->
     return both.select("query_id", "chunk_id", F.round(F.when(F.col("x").isNull(), F.col("y")).when(F.col("y").isNull(), F.col("x")).otherwise(F.col("x") + weight * F.col("y")), 6).alias("relevance"))
 
 
-def containing(words: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(w, token): which of the tokens(token) hold which of the words(w) of three characters or more.
-
-    Substrings can't be found by equality, but runs of three characters can: each word is looked up by the one of its
-    runs that the fewest tokens have, and what that finds is verified. Both sides are different words, not texts."""
-    runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(...))"), 1))
-    wanted = words.select("w").distinct().select("w", F.explode(runs(F.col("w"))).alias("run"))
-    held = tokens.select("token").distinct().select("token", F.explode(runs(F.col("token"))).alias("run")).join(wanted.select("run").distinct(), "run", "left_semi")
-    counts = held.groupBy("run").agg(F.count("*").alias("n"))
-    rarest = wanted.join(counts, "run", "left").groupBy("w").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), "run")).alias("run"))
-    return rarest.join(held, "run").where(F.contains(F.col("token"), F.col("w"))).select("w", "token")
-
-
 def _holding(chunks: DataFrame, asked: DataFrame, apart: str) -> DataFrame:
     """(query_id, chunk_id): chunks that hold a word of asked(query_id, w) anywhere; words and chunks are split by `apart`."""
     postings = chunks.select("chunk_id", F.explode(F.array_distinct(F.split(F.lower("content"), apart))).alias("token")).where(F.length("token") >= 3)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("analytics", "log", "text", "content", "stores", "language")
+MODULES = ("analytics", "log", "text", "content", "stores", "language", "compiler")
 
 
 def _all(name: str) -> dict:

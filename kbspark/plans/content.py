@@ -133,8 +133,8 @@ SELECT query_id, chunk_id, round(CASE WHEN rank % 2 = 0 THEN relevance + 1.2::DO
 
 _INDEXED = ", ic AS (SELECT * FROM chunks WHERE source_id IN (SELECT id FROM sources WHERE status = 'indexed'))"
 _LIKE = """
-w AS (SELECT DISTINCT item_id AS query_id, unnest([x FOR x IN regexp_split_to_array(lower(text), '[^0-9A-Za-z_]+') IF length(x) >= 4][1:5]) AS w FROM benchmark),
-m AS (SELECT DISTINCT query_id, id AS chunk_id FROM w JOIN ic ON contains(lower(content), w)), lk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id)::INTEGER AS rank FROM m)"""
+lw AS (SELECT DISTINCT item_id AS query_id, unnest([x FOR x IN regexp_split_to_array(lower(text), '[^0-9A-Za-z_]+') IF length(x) >= 4][1:5]) AS w FROM benchmark),
+lm AS (SELECT DISTINCT query_id, id AS chunk_id FROM lw JOIN ic ON contains(lower(content), w)), lk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id)::INTEGER AS rank FROM lm)"""
 register("r6_like_fallback", lambda s, d: R.like_fallback(_chunks(s, d), _asked(s, d)), _INDEXED + "," + _LIKE + " SELECT * FROM lk WHERE rank <= 20", "chunks sources")
 
 

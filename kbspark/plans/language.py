@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kbspark.operators import language as L
 from kbspark.plans.fixtures import projection, table, with_projections
+from kbspark.plans.text import ENDED
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -29,15 +30,17 @@ def _forms(s, d):
 QUERIES["t7_stem_token"] = lambda s, d: L.stem_tokens(_forms(s, d), _dictionary(s, d), s.createDataFrame([("dont", "do")], "form string, base string"))
 _SQL = """, dict AS (SELECT word, min(ord) AS ord FROM (SELECT p_partkey AS ord, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY 1),
 q AS (SELECT DISTINCT t AS token FROM (SELECT unnest(string_split_regex(lower(question), '[^a-z]+')) AS t FROM match_questions) WHERE t <> '')"""
-ORACLES["t7_stem_token"] = with_projections("match_questions", _SQL + """,
-f AS (SELECT token FROM q UNION SELECT word || unnest(['s', 'es', 'ed', 'ing', 'ly']) FROM dict),
-c AS (SELECT token, CASE WHEN length(token) <= 3 THEN [] WHEN token LIKE '%ing' THEN [CASE WHEN token[-4] = token[-5] THEN token[:-5] ELSE token[:-4] || 'e' END] WHEN token LIKE '%ed' THEN [CASE WHEN token[-3] = token[-4] THEN token[:-4] ELSE token[:-3] END]
+#: (token, stem) as st for the tokens of f, by the words of dict.
+STEMS = """c AS (SELECT token, CASE WHEN length(token) <= 3 THEN [] WHEN token LIKE '%ing' THEN [CASE WHEN token[-4] = token[-5] THEN token[:-5] ELSE token[:-4] || 'e' END] WHEN token LIKE '%ed' THEN [CASE WHEN token[-3] = token[-4] THEN token[:-4] ELSE token[:-3] END]
   WHEN token LIKE '%er' THEN [token[:-3]] WHEN token LIKE '%est' THEN [token[:-4]] WHEN token LIKE '%ly' THEN [token[:-3]] WHEN token LIKE '%ies' THEN [token[:-4] || 'y'] WHEN token LIKE '%es' THEN [token[:-3], token[:-3] || 'e'] WHEN token LIKE '%s' THEN [token[:-2]] ELSE [] END AS l FROM f),
 u AS (SELECT token, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM c),
-m AS (SELECT token, arg_min(x, i) AS s FROM u WHERE x IN (SELECT word FROM dict) OR (x LIKE 're%' AND x[3:] IN (SELECT word FROM dict)) GROUP BY 1)
-SELECT c.token, CASE WHEN c.token = 'dont' THEN 'do' ELSE coalesce(m.s, c.token) END AS stem FROM c LEFT JOIN m ON m.token = c.token""")
+m AS (SELECT token, arg_min(x, i) AS s FROM u WHERE x IN (SELECT word FROM dict) OR (x LIKE 're%' AND x[3:] IN (SELECT word FROM dict)) GROUP BY 1),
+st AS (SELECT c.token, coalesce(m.s, c.token) AS stem FROM c LEFT JOIN m ON m.token = c.token)"""
+ORACLES["t7_stem_token"] = with_projections("match_questions", _SQL + f""",
+f AS (SELECT token FROM q UNION SELECT word || unnest(['s', 'es', 'ed', 'ing', 'ly']) FROM dict), {STEMS}
+SELECT token, CASE WHEN token = 'dont' THEN 'do' ELSE stem END AS stem FROM st""")
 QUERIES["t9_spell_correct"] = lambda s, d: L.spell_correct(_tokens(s, d), _dictionary(s, d))
 ORACLES["t9_spell_correct"] = with_projections("match_questions", _SQL + """,
 n AS (SELECT token, word, ord, levenshtein(token, word) AS distance FROM q JOIN dict ON levenshtein(token, word) BETWEEN 1 AND CASE WHEN length(token) >= 6 THEN 2 ELSE 1 END
-  WHERE length(token) > 2 AND regexp_matches(token, '[aeiouy]') AND token NOT IN (SELECT word FROM dict)),
-r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, ord, word) AS k FROM n) SELECT token, word AS correction, distance::INTEGER AS distance FROM r WHERE k = 1""")
+  WHERE length(token) > 2 AND regexp_matches(token, '[aeiouy]') AND token NOT IN (SELECT word FROM dict) AND token NOT IN (ENDED)),
+r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, ord, word) AS k FROM n) SELECT token, word AS correction, distance::INTEGER AS distance FROM r WHERE k = 1""".replace("ENDED", ENDED.format("dict")))

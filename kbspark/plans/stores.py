@@ -123,12 +123,7 @@ query("m12_synonym_conflicts", "part match_kb", """
 , s AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS c, unnest([lower(split_part(p_name, ' ', 2)), 'zzz']) AS v FROM part) SELECT c AS canonical_word, v AS variant FROM s WHERE v <> c AND v IN (SELECT lower(keyword) FROM match_kb)""")(
     lambda p, k: M.synonym_conflicts(p.selectExpr("split(p_name, ' ')[0] as canonical_word", "concat(split(p_name, ' ')[1], ', zzz') as variant_words", "cast(null as string) as misspellings"), k)
 )
-query("p2_sibling_stem_freq", "knowledge", """
-, w AS (SELECT DISTINCT keyword, id, unnest(string_split_regex(lower(question), '\\W+')) AS word FROM knowledge) SELECT id AS knowledge_id, word, count(*) OVER (PARTITION BY keyword, word) - 1 AS siblings FROM w WHERE word <> ''""")(lambda k: M.sibling_stem_freq(k.selectExpr("keyword", "id as knowledge_id", "question as variation_text")))
 _VARS = "SELECT id % 50 AS knowledge_id, question AS variation_text, id AS sort_order FROM knowledge"
-query("p4_shared_anchor_stems", "knowledge", f"""
-, v AS ({_VARS}), w AS (SELECT DISTINCT knowledge_id, sort_order, unnest(string_split_regex(lower(variation_text), '\\W+')) AS word FROM v), n AS (SELECT knowledge_id, count(*) AS total FROM v GROUP BY 1)
-SELECT w.knowledge_id, word FROM w JOIN n ON n.knowledge_id = w.knowledge_id WHERE word <> '' AND total >= 2 GROUP BY 1, 2, total HAVING count(*) = total""")(lambda k: M.shared_anchors(k.selectExpr("id % 50 as knowledge_id", "question as variation_text")))
 query("p10_clean_pattern", "knowledge", "SELECT id, CASE WHEN sub_keyword = 'aadefault' THEN 'aadefault|more' ELSE replace(sub_keyword, '&rod', '') || '|more' END AS pattern FROM knowledge")(
     lambda k: k.select("id", M.clean_pattern(F.concat("sub_keyword", F.lit("|ab|*|how|more")), F.lit("rod"), ["how"]).alias("pattern"))
 )

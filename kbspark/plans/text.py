@@ -52,8 +52,8 @@ def _plain(c: str) -> str:
 
 _TOKENS = f"[t FOR t IN string_split_regex({_normalised('q')}, '\\s+') IF t <> '']"
 _KEPT = f"[t FOR t IN {_TOKENS} IF length(t) > 1 AND NOT list_contains({STOP}, t)]"
-_WORDS = f"CASE WHEN len({_KEPT}) > 0 THEN {_KEPT} ELSE [t FOR t IN {_TOKENS} IF length(t) >= 3] END"
-_SYNONYM = "MAP {" + ", ".join(f"'{v}': '{k}'" for k, vs in T.SYNONYMS.items() for v in vs.split()) + "}"
+WORDS = f"CASE WHEN len({_KEPT}) > 0 THEN {_KEPT} ELSE [t FOR t IN {_TOKENS} IF length(t) >= 3] END"
+SYNONYM = "MAP {" + ", ".join(f"'{v}': '{k}'" for k, vs in T.SYNONYMS.items() for v in vs.split()) + "}"
 _KEY = "trim(regexp_replace(regexp_replace(lower(q), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 
 scalar("t1_normalize_question", T.normalize_question, _normalised("q"))
@@ -61,8 +61,8 @@ scalar("t2_strip_html_text", T.strip_html, _plain("q"))
 scalar("t2_is_effectively_empty", T.is_effectively_empty, f"regexp_replace({_plain('q')}, '[\\s ]', '', 'g') = ''")
 scalar("t3_apply_phrase_synonyms", lambda c: T.replace_phrases(c, [("price of", "cost"), ("prob*", "issue")]), "regexp_replace(regexp_replace(q, '(?i)price of', 'cost', 'g'), '(?i)\\bprob\\w*\\b', 'issue', 'g')")
 scalar("t4_tokenize", lambda c: F.array_join(T.tokenize(c), "|"), "array_to_string([t FOR t IN string_split_regex(q, '\\s+') IF t <> ''], '|')")
-scalar("t5_remove_stopwords", lambda c: F.array_join(T.remove_stopwords(T.tokenize(T.normalize_question(c)), T.STOPWORDS), "|"), f"array_to_string({_WORDS}, '|')")
-scalar("t6_apply_word_synonyms", lambda c: F.array_join(T.word_synonyms(T.tokenize(T.normalize_question(c))), "|"), f"array_to_string([coalesce({_SYNONYM}[t], t) FOR t IN {_TOKENS}], '|')")
+scalar("t5_remove_stopwords", lambda c: F.array_join(T.remove_stopwords(T.tokenize(T.normalize_question(c)), T.STOPWORDS), "|"), f"array_to_string({WORDS}, '|')")
+scalar("t6_apply_word_synonyms", lambda c: F.array_join(T.word_synonyms(T.tokenize(T.normalize_question(c))), "|"), f"array_to_string([coalesce({SYNONYM}[t], t) FOR t IN {_TOKENS}], '|')")
 
 #: RE2 has no back-references: characters one by one.
 _CHARS = "string_split(q, '')"
@@ -159,10 +159,89 @@ _W = """, w AS (SELECT DISTINCT question, unnest(string_split_regex(regexp_repla
 b AS (SELECT DISTINCT question, CASE WHEN length(w) > 4 AND w LIKE '%s' AND left(w, length(w) - 1) IN (SELECT keyword FROM match_kb) THEN left(w, length(w) - 1) ELSE w END AS w FROM w),
 m AS (SELECT k.question, e.id AS entry_id, 110 AS score, e.hits FROM b k JOIN match_kb e ON e.keyword = k.w JOIN b s ON s.question = k.question AND s.w = e.sub_keyword),
 g AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, hits DESC, entry_id)::INTEGER AS place FROM m)"""
-_register("k7_find_matches", lambda s, d: _matches(s, d, min_score=100), _W + " SELECT q.id, entry_id, score, place FROM match_questions q JOIN g ON g.question = q.question WHERE place <= 5")
-_register("k13_build_question_log", lambda s, d: K.question_log(projection(s, d, "match_questions").select("id", "question"), _matches(s, d, min_score=100)).select("id", "entry_id", "match_type", "layer1_strong"),
-          _W + " SELECT q.id, entry_id, CASE WHEN entry_id IS NULL THEN 'none' ELSE 'exact' END AS match_type, entry_id IS NOT NULL AS layer1_strong FROM match_questions q LEFT JOIN g ON g.question = q.question AND place = 1")
-_register("k6_broad_search", lambda s, d: _matches(s, d).where("score = 50").select("id", "entry_id", "place"))
+#: All tiers: the strong matches above, and for what has none the entries that hold one of its words anywhere.
+MATCHED = _W + """,
+bw AS (SELECT DISTINCT question, unnest([x FOR x IN string_split_regex(lower(trim(question)), '\\s+') IF length(x) >= 3]) AS w FROM match_questions WHERE question NOT IN (SELECT question FROM m)),
+bm AS (SELECT DISTINCT bw.question, e.id AS entry_id, e.hits FROM bw JOIN match_kb e ON contains(lower(concat_ws(chr(10), e.keyword, e.sub_keyword, e.question, e.response)), w)),
+br AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY hits DESC, entry_id)::INTEGER AS place FROM bm),
+every AS (SELECT question, entry_id, score, place FROM g WHERE place <= 5 UNION ALL SELECT question, entry_id, 50, place FROM br WHERE place <= 5)
+"""
+
+#: With base forms the plural of a word of three letters matches, too.
+FULL = MATCHED.replace("length(w) > 4", "length(w) > 3")
+
+
+def _dictionary(s, d):
+    """The words of the base, and those that are used twenty times or more in the log."""
+    kb = projection(s, d, "match_kb").select(F.explode(F.split(F.lower("question"), "[^a-z]+")).alias("word"), F.col("id").alias("ord"))
+    log = projection(s, d, "match_questions").select(F.explode(T.tokenize(T.normalize_question(F.col("question")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 20").select("word", F.lit(1 << 40).alias("ord"))
+    return kb.union(log).where("word <> ''").groupBy("word").agg(F.min("ord").alias("ord"))
+
+
+def _full_matches(s, d):
+    return _matches(s, d, dictionary=_dictionary(s, d))
+
+
+_register("k7_find_matches", _full_matches, FULL + " SELECT q.id, entry_id, score, place FROM match_questions q JOIN every ON every.question = q.question")
+_register("k13_build_question_log", lambda s, d: K.question_log(projection(s, d, "match_questions").select("id", "question"), _full_matches(s, d)).select("id", "entry_id", "match_type", "layer1_strong"),
+          FULL + " SELECT q.id, entry_id, CASE WHEN score IS NULL THEN 'none' WHEN score >= 90 THEN 'exact' ELSE 'partial' END AS match_type, coalesce(score > 50, false) AS layer1_strong FROM match_questions q LEFT JOIN every ON every.question = q.question AND place = 1")
+_register("k6_broad_search", lambda s, d: _matches(s, d).where("score = 50").select("id", "entry_id", "place"), MATCHED + " SELECT q.id, entry_id, place FROM match_questions q JOIN every ON every.question = q.question WHERE score = 50")
+
+
+def _asked(s, d):
+    projection(s, d, PROJECTION).createOrReplaceTempView("match_questions")
+    return s.sql(ASKED).select(F.xxhash64("q").alias("qid"), F.col("q").alias("question")).distinct()
+
+
+def _parts(s, d):
+    return table(s, d, "part").select(F.col("p_partkey").alias("ord"), F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.min("ord").alias("ord"))
+
+
+_DICT = "dict AS (SELECT word, min(ord) AS ord FROM (SELECT p_partkey AS ord, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY 1)"
+ENDED = "SELECT word || unnest(['s', 'es', 'ies', 'ed', 'd', 'ing', 'er', 'ers', 'est', 'ly']) FROM {0} WHERE length(word) >= 3 UNION SELECT word || unnest(['al', 'ally', 'ful', 'less', 'ness', 'ment', 'ments', 'ion', 'ions', 'tion', 'tions', 'ation', 'ations', 'ity', 'ities', 'ance', 'ence', 'or', 'ors', 'ist', 'ists']) FROM {0} WHERE length(word) >= 5"
+_CANONICAL = "[" + ", ".join(f"'{w}'" for w in T.SYNONYMS) + "]"
+
+
+def _normal_sql() -> str:
+    from kbspark.plans.language import STEMS
+
+    return f""", {_DICT}, asked AS ({ASKED}), aw AS (SELECT DISTINCT q, replace(q, 'price of', 'cost') AS q2 FROM asked), ay AS (SELECT q0, [coalesce({SYNONYM}[t], t) FOR t IN {WORDS}] AS w FROM (SELECT q AS q0, q2 AS q FROM aw) x),
+ax AS (SELECT q0, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM ay), f AS (SELECT DISTINCT token FROM ax), {STEMS},
+co AS (SELECT token, (SELECT array_to_string([c[i] FOR i IN range(1, len(c) + 1) IF i < 3 OR NOT (c[i] = c[i - 1] AND c[i] = c[i - 2])], '') FROM (SELECT string_split(stem, '') AS c)) AS word FROM st),
+kn AS (SELECT word FROM dict UNION SELECT unnest({_CANONICAL})), nr AS (SELECT DISTINCT co.word AS w, dict.word, ord, levenshtein(co.word, dict.word) AS n FROM co JOIN dict ON levenshtein(co.word, dict.word) BETWEEN 1 AND CASE WHEN length(co.word) >= 6 THEN 2 ELSE 1 END
+  WHERE length(co.word) > 2 AND regexp_matches(co.word, '[aeiouy]') AND co.word NOT IN (SELECT word FROM kn) AND co.word NOT IN ({ENDED.format('kn')})),
+fx AS (SELECT w, arg_min(word, (n, ord, word)) AS correction FROM nr GROUP BY 1), fi AS (SELECT token, coalesce(correction, word) AS word FROM co LEFT JOIN fx ON fx.w = co.word),
+li AS (SELECT q0, list(word ORDER BY i) AS l FROM ax JOIN fi USING (token) GROUP BY 1)
+SELECT q AS question, coalesce(array_to_string([x FOR x, i IN l IF list_position(l, x) = i], '|'), '') AS words FROM aw LEFT JOIN li ON li.q0 = aw.q"""
+
+
+def _normal(s, d):
+    from kbspark.operators.language import normalized_queries
+
+    known = s.createDataFrame([(w,) for w in T.SYNONYMS], "word string")
+    return normalized_queries(_asked(s, d), _parts(s, d), known=known, phrases=[("price of", "cost")]).select("question", F.array_join("words", "|").alias("words"))
+
+
+QUERIES["t11_normalize_query"] = _normal
+ORACLES["t11_normalize_query"] = with_projections("match_questions", _normal_sql())
+
+
+def _checked(s, d):
+    """Words of the log, and those of the parts with two letters changed places, against the parts' words and some variants of them."""
+    from kbspark.operators.language import spellcheck_words
+
+    words = projection(s, d, "match_questions").select(F.explode(F.split(F.lower("question"), "[^a-z]+")).alias("token"))
+    swapped = _parts(s, d).select(F.concat(F.substring("word", 1, 2), F.substring("word", 4, 1), F.substring("word", 3, 1), F.substring("word", 5, 20)).alias("token"))
+    variants = s.createDataFrame([("pric*", "cost"), ("*lem", "fault"), ("hello", "hi"), ("plate", "dish")], "variant string, canonical string")
+    return spellcheck_words(words.union(swapped), _parts(s, d), variants)
+
+
+QUERIES["t12_spellcheck_text"] = _checked
+_BESIDE = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in __import__("kbspark.operators.language", fromlist=["NEIGHBOURS"]).NEIGHBOURS.items()) + "}"
+ORACLES["t12_spellcheck_text"] = with_projections("match_questions", f""", {_DICT}, tk AS (SELECT DISTINCT t AS token FROM (SELECT unnest(string_split_regex(lower(question), '[^a-z]+')) AS t FROM match_questions UNION ALL SELECT word[1:2] || word[4:4] || word[3:3] || word[5:] FROM dict) WHERE t <> ''),
+nr AS (SELECT token, word, ord, round((1 - levenshtein(token, word)::DOUBLE / greatest(length(token), length(word))) * 100, 6) AS s FROM tk JOIN dict ON abs(length(word) - length(token)) <= 2 AND (word[1] = token[1] OR contains({_BESIDE}[token[1]], word[1])) WHERE token NOT IN (SELECT word FROM dict)),
+b AS (SELECT token, arg_min(word, (-s, ord, word)) AS near FROM nr WHERE s >= 75 GROUP BY 1)
+SELECT tk.token, CASE WHEN tk.token = 'hello' THEN 'hi' WHEN tk.token = 'plate' THEN 'dish' WHEN tk.token LIKE '%lem' THEN replace(tk.token, 'lem', 'fault') WHEN tk.token LIKE 'pric%' THEN replace(tk.token, 'pric', 'cost') WHEN near = 'plate' THEN 'dish' ELSE coalesce(near, tk.token) END AS word FROM tk LEFT JOIN b ON b.token = tk.token""")
 
 
 def _truth(s, d):
@@ -185,7 +264,40 @@ def _texts(s, d):
 
 _register("k1_keyword_candidates", lambda s, d: K.keyword_candidates(_texts(s, d), K.compiled(projection(s, d, "match_kb"))).join(_texts(s, d), "qid").select("question", "id"),
           _W + " SELECT DISTINCT b.question, e.id FROM b JOIN match_kb e ON e.keyword = b.w")
-_register("k9_suggest_questions", lambda s, d: K.suggest_questions(_texts(s, d), K.compiled(projection(s, d, "match_kb"))).join(_texts(s, d), "qid").select("question", "suggestion", "place"))
+
+
+def _plain_words(s, d):
+    """The different questions with their words of the second tier."""
+    q = projection(s, d, "match_questions").select("question").distinct()
+    return q.select(F.xxhash64("question").alias("qid"), "question", T.remove_stopwords(T.tokenize(T.normalize_question(F.col("question"))), T.STOPWORDS).alias("words"))
+
+
+def _unmatched(s, d):
+    """Those of them without a strong match."""
+    matched = _matches(s, d, min_score=100).select("id").distinct().join(projection(s, d, "match_questions").select("id", "question"), "id").select("question").distinct()
+    return _plain_words(s, d).join(matched, "question", "left_anti")
+
+
+#: Questions end in a word's beginning, so that prefixes find something.
+_BEGUN = F.concat("words", F.array(F.lit("bl"), F.lit("r")))
+_PW = f", pw AS (SELECT q AS question, {WORDS} AS words FROM (SELECT DISTINCT question AS q FROM match_questions))"
+_register("k9_suggest_questions", lambda s, d: K.suggest_questions(_unmatched(s, d).withColumn("words", _BEGUN), projection(s, d, "match_kb")).join(_plain_words(s, d), "qid").select("question", "suggestion", "place"), _W + _PW + """,
+sw AS (SELECT DISTINCT question, unnest(list_concat(words, ['bl', 'r'])) AS w FROM pw WHERE question NOT IN (SELECT question FROM m)), sr AS (SELECT sw.question, e.question AS suggestion, e.hits, row_number() OVER (PARTITION BY sw.question, w ORDER BY e.hits DESC, e.id) AS k FROM sw JOIN match_kb e ON starts_with(e.keyword, w) OR starts_with(e.sub_keyword, w) WHERE length(w) >= 2),
+sg AS (SELECT question, suggestion, max(hits) AS hits FROM sr WHERE k <= 3 GROUP BY 1, 2) SELECT * EXCLUDE (hits) FROM (SELECT question, suggestion, hits, row_number() OVER (PARTITION BY question ORDER BY hits DESC, suggestion)::INTEGER AS place FROM sg) WHERE place <= 5""")
+
+
+def _best(s, d):
+    q = projection(s, d, "match_questions").select("id", F.xxhash64("question").alias("qid"))
+    return _matches(s, d, min_score=100).where("place = 1").join(q, "id").select("qid", F.col("entry_id").alias("id")).distinct()
+
+
+_register("k10_related_questions", lambda s, d: K.related_questions(_plain_words(s, d), projection(s, d, "match_kb"), _best(s, d)).join(_plain_words(s, d), "qid").select("question", "id", "points", "place"), _W + _PW + """,
+rw AS (SELECT question, unnest(words) AS w FROM pw), rp AS (SELECT rw.question, e.id, e.keyword, e.hits, sum(CASE WHEN e.keyword = w THEN 10 WHEN contains(e.keyword, w) THEN 5 ELSE 0 END + CASE WHEN contains(e.sub_keyword, w) THEN 2 ELSE 0 END) AS n FROM rw JOIN match_kb e ON contains(e.keyword, w) OR contains(e.sub_keyword, w) WHERE length(w) >= 3 GROUP BY 1, 2, 3, 4),
+rs AS (SELECT *, round(n + log10(greatest(1, hits) + 1), 9) AS points FROM rp WHERE n >= 3 AND (question, id) NOT IN (SELECT (question, entry_id) FROM g WHERE place = 1)), rk AS (SELECT *, row_number() OVER (PARTITION BY question, keyword ORDER BY points DESC, id) AS k FROM rs)
+SELECT question, id, points, place FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY points DESC, id)::INTEGER AS place FROM rk WHERE k <= 2) WHERE place <= 5""")
+_register("k11_explain_match", lambda s, d: (lambda pairs: K.explain_match(pairs).select("question", "id", "keyword_matched", "matched", "status"))(K.keyword_candidates(_plain_words(s, d), K.compiled(projection(s, d, "match_kb"))).join(_plain_words(s, d), "qid").join(projection(s, d, "match_kb").select("id", "keyword", F.concat("sub_keyword", F.lit("|zzz&"), F.col("keyword")).alias("sub_keyword")), "id")), _W + """
+SELECT k.question, e.id, true AS keyword_matched, s.w IS NOT NULL AS matched, '(' || e.sub_keyword || CASE WHEN s.w IS NOT NULL THEN '+' ELSE '-' END || ') or (zzz- and ' || e.keyword || '+)' AS status
+FROM (SELECT DISTINCT question, w FROM b) k JOIN match_kb e ON e.keyword = k.w LEFT JOIN (SELECT DISTINCT question, w FROM b) s ON s.question = k.question AND s.w = e.sub_keyword""")
 _register("k2_term_matches", lambda s, d: table(s, d, "part").select(F.col("p_partkey"), K.term_matches(F.split("p_name", " ")[0], F.expr("element_at(array('*', 'r*', '*e', '*an*', 'red', 'b*e', 'blue'), cast(p_partkey % 7 as int) + 1)")).alias("value")), """
 SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN true WHEN 1 THEN w LIKE 'r%' WHEN 2 THEN w LIKE '%e' WHEN 3 THEN w LIKE '%an%' WHEN 4 THEN w IN ('red', 'reds', 'reded', 'reding') WHEN 5 THEN w LIKE '%b%e%' ELSE w IN ('blue', 'blues', 'blued') END AS value
 FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS w FROM part)""")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,28 @@ SCHEMAS = {
 }
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one only for a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/kbspark-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in a scratch folder: computed once, and read again if an executor is lost."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def schema_of(name: str) -> T.StructType:
+    """The declared schema of a table."""
+    return T.StructType.fromDDL(SCHEMAS[name])
+
+
 def read_table(spark: SparkSession, path: str, name: str, format: str = "parquet", unescape: bool = False) -> DataFrame:
     """A table with its declared schema; unescape strips backslashes that escape quotes in text columns."""
     reader = spark.read.schema(SCHEMAS[name])
@@ -35,10 +60,22 @@ def export_bundle_json(tables: dict[str, DataFrame], folder: str, version: str =
     spark.createDataFrame(counts, "version string, section string, n_rows long").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
 
 
-def export_csv(df: DataFrame, path: str) -> None:
+def export_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """A CSV with a header, values with commas, quotes or line ends quoted; with `mark` the header has a byte-order mark."""
+    if mark:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+#: The columns of sources and chunks that a bundle holds.
+BUNDLED = {"sources": ["id", "title", "source_type", "url", "status"], "chunks": ["id", "source_id", "chunk_index", "content"]}
+
+
+def export_bundle(tables: dict[str, DataFrame], folder: str, version: str = "1") -> None:
+    """export_bundle_json of the sections that a bundle has, sources and chunks with the columns that are carried over."""
+    export_bundle_json({n: df.select(*(c for c in BUNDLED.get(n, df.columns) if c in df.columns)) for n, df in tables.items()}, folder, version)
+
+
 def newest_questions(questions: DataFrame, limit: int = 10_000) -> DataFrame:
     return questions.orderBy(F.desc("created_at"), F.desc("id")).limit(limit).select("question", "matched_keyword", "match_type", "ip_address", "created_at")
 
@@ -51,9 +88,9 @@ def import_csv_validated(spark: SparkSession, path: str, required: list[str]) ->
     """(good rows, bad lines) of a CSV with a header; columns in lower case; ValueError without the required ones.
 
     A line with another number of values than the header is bad; blank lines are skipped; unknown status is active,
-    unknown search_type is contains."""
+    unknown search_type is contains. A byte-order mark before the header is left out."""
     first = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
-    names = [c.strip().lower() for c in first]
+    names = [c.strip("\ufeff \t").lower() for c in first]
     if lost := [c for c in required if c not in names]:
         raise ValueError(f"columns are missing: {lost}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_bad"]])
