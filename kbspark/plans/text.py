@@ -279,9 +279,9 @@ def _unmatched(s, d):
 
 
 #: Questions end in a word's beginning, so that prefixes find something.
-_BEGUN = F.concat("words", F.array(F.lit("bl"), F.lit("r")))
+_BEGUN = lambda: F.concat("words", F.array(F.lit("bl"), F.lit("r")))
 _PW = f", pw AS (SELECT q AS question, {WORDS} AS words FROM (SELECT DISTINCT question AS q FROM match_questions))"
-_register("k9_suggest_questions", lambda s, d: K.suggest_questions(_unmatched(s, d).withColumn("words", _BEGUN), projection(s, d, "match_kb")).join(_plain_words(s, d), "qid").select("question", "suggestion", "place"), _W + _PW + """,
+_register("k9_suggest_questions", lambda s, d: K.suggest_questions(_unmatched(s, d).withColumn("words", _BEGUN()), projection(s, d, "match_kb")).join(_plain_words(s, d), "qid").select("question", "suggestion", "place"), _W + _PW + """,
 sw AS (SELECT DISTINCT question, unnest(list_concat(words, ['bl', 'r'])) AS w FROM pw WHERE question NOT IN (SELECT question FROM m)), sr AS (SELECT sw.question, e.question AS suggestion, e.hits, row_number() OVER (PARTITION BY sw.question, w ORDER BY e.hits DESC, e.id) AS k FROM sw JOIN match_kb e ON starts_with(e.keyword, w) OR starts_with(e.sub_keyword, w) WHERE length(w) >= 2),
 sg AS (SELECT question, suggestion, max(hits) AS hits FROM sr WHERE k <= 3 GROUP BY 1, 2) SELECT * EXCLUDE (hits) FROM (SELECT question, suggestion, hits, row_number() OVER (PARTITION BY question ORDER BY hits DESC, suggestion)::INTEGER AS place FROM sg) WHERE place <= 5""")
 
