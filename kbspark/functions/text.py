@@ -52,8 +52,11 @@ def squeeze(c: Column) -> Column:
 def normalize_question(c: Column) -> Column:
     """Lower case without backslashes, contractions written out, only letters, digits, `'` and `-` kept."""
     c = F.lower(F.regexp_replace(c, r"\\", ""))
-    for short, long in CONTRACTIONS.items():
-        c = F.regexp_replace(c, rf"\b{short}\b", long)
+    # contractions and what is between them, in one pass: as many replacements in a row are slow to plan
+    short = rf"\b(?:{'|'.join(CONTRACTIONS)})\b"
+    pieces = F.regexp_extract_all(c, F.lit(f"(?s){short}|(?:(?!{short}).)+"), 0)
+    known = F.create_map(*(F.lit(x) for kv in CONTRACTIONS.items() for x in kv))
+    c = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(known, p), p)), "")
     return squeeze(F.regexp_replace(c, r"[^\p{L}\p{N}\s'\-]", " "))
 
 
@@ -76,8 +79,12 @@ def tokenize(c: Column) -> Column:
 def remove_stopwords(tokens: Column, stopwords: list[str]) -> Column:
     """Tokens of two or more characters that are no stopword; if none is left, those of three or more."""
     stop = F.array(*map(F.lit, stopwords)) if stopwords else F.array().cast("array<string>")
-    kept = F.filter(tokens, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
-    return F.when(F.size(kept) > 0, kept).otherwise(F.filter(tokens, lambda t: F.length(t) >= 3))
+
+    def chosen(own):
+        kept = F.filter(own, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+        return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.filter(own, lambda t: F.length(t) >= 3)))
+
+    return let(tokens, chosen)
 
 
 def word_synonyms(tokens: Column, keep: list[str] = ()) -> Column:

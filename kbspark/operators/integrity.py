@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -149,7 +151,35 @@ def accepted(events: DataFrame, key: list[str], seconds: int, most: int) -> Data
                 out.append(ok)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*batch.schema.names, "accepted"])
 
-    return events.repartition(*key).sortWithinPartitions(*key, F.col("ts").asc_nulls_last()).mapInArrow(fold, schema)
+    rest = [c for c in events.columns if c not in (*key, "ts")]  # events of one time in the order of what else they have
+    return events.repartition(*key).sortWithinPartitions(*key, F.col("ts").asc_nulls_last(), *rest).mapInArrow(fold, schema)
+
+
+def throttled(events: DataFrame, key: list[str], seconds: int = 3600, most: int = 5) -> DataFrame:
+    """events(…, ts, spam) with `outcome`: spam, throttled where `most` of the key were stored within `seconds` before, else stored.
+
+    An ordered fold as accepted() is; the times of the last `most` that were stored are all that is held of a key."""
+    schema = events.withColumn("outcome", F.lit("")).schema
+
+    def fold(batches):
+        own, stored = None, deque(maxlen=most)
+        for batch in batches:
+            out = []
+            for *k, ts, spam in zip(*(batch.column(c).to_pylist() for c in [*key, "ts", "spam"])):
+                if k != own:
+                    own = k
+                    stored.clear()
+                if spam:
+                    out.append("spam")
+                elif ts is None or len(stored) == most and (ts - stored[0]).total_seconds() < seconds:
+                    out.append("throttled")
+                else:
+                    stored.append(ts)
+                    out.append("stored")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "outcome"])
+
+    rest = [c for c in events.columns if c not in (*key, "ts")]
+    return events.repartition(*key).sortWithinPartitions(*key, F.col("ts").asc_nulls_last(), *rest).mapInArrow(fold, schema)
 
 
 def queue_fold(events: DataFrame, retries: int = 3) -> DataFrame:

@@ -45,7 +45,7 @@ SELECT e.event_id AS id,
             WHEN 1 THEN concat('I dont like my ', split_part(p.p_name, ' ', 2), ' it is too ', split_part(p.p_name, ' ', 1))
             WHEN 2 THEN concat(split_part(p.p_name, ' ', 2), ' problem') ELSE concat('hello ', e.event_type) END AS question,
        p.p_partkey AS true_part, e.ts AS created_at
-FROM events e JOIN part p ON p.p_partkey = e.event_id % 200""",
+FROM (SELECT event_id, event_type, ts, event_id % (SELECT max(p_partkey) FROM part) + 1 AS part_no FROM events) e JOIN part p ON p.p_partkey = e.part_no""",
     "visitors": """
 SELECT concat('u', e.user_id) AS ip_address, CASE WHEN n.n_regionkey = 1 THEN 'US' ELSE concat('C', n.n_regionkey) END AS country_code,
        r.r_name AS country_name, n.n_name AS region, concat(n.n_name, '-', e.user_id % 3) AS city,

@@ -69,7 +69,9 @@ query("s12_legacy_stopwords_upsert", "part nation", "SELECT DISTINCT lower(p_bra
 query("s13_legacy_questions_import", "questions", f"SELECT id, CASE WHEN matched_keyword IS NULL THEN 'none' ELSE 'partial' END AS match_type, CASE WHEN matched_keyword IS NULL THEN 0 ELSE 100 END AS match_score FROM questions WHERE created_at >= {T} - INTERVAL 10 DAY")(
     lambda q: S.legacy_questions(q.withColumnRenamed("matched_keyword", "keyword"), AS_OF, 10).select("id", "match_type", "match_score")
 )
-query("s14_legacy_html_clean", "pages")(lambda p: p.select("page_id", S.clean_legacy_html(F.concat(F.lit("<?xml v?><font color='#f00'><center>"), "html", F.lit("</center></font>"))).alias("html")))
+query("s14_legacy_html_clean", "pages", """
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace('<font color=''#f00''><center>' || html || '</center></font>', '(?i)<font[^>]*color=["'']?([#\\w]+)["'']?[^>]*>', '<span style="color:\\1">', 'g'), '</font>', '</span>'), '</FONT>', '</span>'),
+  '(?i)<(/?)center>', '<\\1div>', 'g'), '(?s)<!--\\[if.*?<!\\[endif\\]-->', '', 'g'), '\\s+', ' ', 'g')) AS html FROM pages""")(lambda p: p.select("page_id", S.clean_legacy_html(F.concat(F.lit("<?xml v?><font color='#f00'><center>"), "html", F.lit("</center></font>"))).alias("html")))
 query("s15_seed_pack_insert_if_absent", "knowledge", "SELECT min(id) AS id, keyword, sub_keyword FROM knowledge WHERE id % 3 > 0 AND keyword || '|' || coalesce(sub_keyword, '') NOT IN (SELECT keyword || '|' || coalesce(sub_keyword, '') FROM knowledge WHERE id % 3 = 0) GROUP BY 2, 3")(
     lambda k: S.insert_if_absent(k.where("id % 3 > 0").select("id", "keyword", "sub_keyword"), k.where("id % 3 = 0").select("keyword", "sub_keyword"), ["keyword", "sub_keyword"])
 )
@@ -80,10 +82,12 @@ query("s18_cache_expiry", "usage", "SELECT tenant_id, count(*) AS n FROM usage W
 _TOK = "[x FOR x IN list_distinct([replace(y, '*', '') FOR y IN string_split_regex(lower(coalesce(P, '')), '[|&+\\s]+')]) IF x <> '']"
 query("m1_pattern_tokens", "knowledge", f"SELECT id, list_sort({_TOK.replace('P', 'sub_keyword')}) AS tokens FROM knowledge")(lambda k: k.select("id", F.sort_array(M.pattern_tokens(F.col("sub_keyword"))).alias("tokens")))
 query("m2_reuse_repair", "knowledge", f"""
-, k AS (SELECT *, {_TOK.replace('P', 'sub_keyword')} AS t FROM knowledge), o AS (SELECT id AS orphan_id, keyword, {_TOK.replace('P', "sub_keyword || '|extra'")} AS a FROM knowledge WHERE id % 50 = 1),
+, k AS (SELECT id, keyword || '-' || id % 97 AS keyword, sub_keyword, {_TOK.replace('P', 'sub_keyword')} AS t FROM knowledge), o AS (SELECT id AS orphan_id, keyword, {_TOK.replace('P', "sub_keyword || '|extra'")} AS a FROM k),
 p AS (SELECT orphan_id, k.id, round(len(list_intersect(a, t))::DOUBLE / (len(a) + len(t) - len(list_intersect(a, t))), 2) AS s FROM o JOIN k ON k.keyword = o.keyword),
 r AS (SELECT *, row_number() OVER (PARTITION BY orphan_id ORDER BY s DESC, id) AS n, coalesce(lead(s) OVER (PARTITION BY orphan_id ORDER BY s DESC, id), 0) AS second FROM p)
-SELECT orphan_id, id AS target_id, s AS similarity, s >= 0.6 AND round(s - second, 2) >= 0.2 AS auto FROM r WHERE n = 1""")(lambda k: M.reuse_repair(k.where("id % 50 = 1").selectExpr("id", "keyword", "concat(sub_keyword, '|extra') as pattern"), k))
+SELECT orphan_id, id AS target_id, s AS similarity, s >= 0.6 AND round(s - second, 2) >= 0.2 AS auto FROM r WHERE n = 1""")(
+    lambda k: (lambda own: M.reuse_repair(own.selectExpr("id", "keyword", "concat(sub_keyword, '|extra') as pattern"), own))(k.selectExpr("id", "concat(keyword, '-', id % 97) as keyword", "sub_keyword"))
+)
 query("m3_stranded_embeddings", "vector_chunks knowledge", "SELECT content_id FROM vector_chunks WHERE content_type = 'kb_entry' AND is_current AND content_id NOT IN (SELECT id FROM knowledge WHERE status = 'active')")(
     lambda v, k: M.guarded(M.stranded(v, k.where("status = 'active'").select(F.col("id").alias("content_id")), "kb_entry"), 1000, True).select("content_id")
 )
@@ -153,11 +157,25 @@ SELECT start_at, start_at + INTERVAL 7 DAY AS end_at, {_COUNTS}, round(100.0::DO
 query("w3_conversation_sessions", "questions", """
 , g AS (SELECT ip_address, created_at, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY ip_address ORDER BY created_at) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM questions), s AS (SELECT *, sum(n) OVER (PARTITION BY ip_address ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT ip_address, min(created_at) AS start_at, count(*) AS turns FROM s GROUP BY ip_address, k""")(W.visitor_sessions)
-query("w4_rate_limit", "events")(lambda e: M.accepted(e.selectExpr("event_id", "user_id", "ts"), ["user_id"], 86400, 3))
-query("w5_rating_dedupe", "events")(lambda e: M.accepted(e.where("event_type = 'click'").selectExpr("event_id", "user_id", "ts"), ["user_id"], 86400, 1))
+def _accepted(of: str, most: int) -> str:
+    """The fold in SQL: event by event, the count and the time of the last one that counted."""
+    return f"""
+WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE {of}),
+f AS (SELECT event_id, user_id, ts, k, 1 AS n, ts AS last, true AS accepted FROM e WHERE k = 1 UNION ALL
+  SELECT event_id, user_id, ts, k, CASE WHEN before < {most} THEN before + 1 ELSE before END, CASE WHEN before < {most} THEN ts ELSE last END, before < {most} FROM (
+  SELECT e.*, f.last, CASE WHEN epoch(e.ts) - epoch(f.last) >= 86400 THEN 0 ELSE f.n END AS before FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1))
+SELECT event_id, user_id, ts, accepted FROM f"""
+
+
+query("w4_rate_limit", "events", _accepted("true", 3))(lambda e: M.accepted(e.selectExpr("event_id", "user_id", "ts"), ["user_id"], 86400, 3))
+query("w5_rating_dedupe", "events", _accepted("event_type = 'click'", 1))(lambda e: M.accepted(e.where("event_type = 'click'").selectExpr("event_id", "user_id", "ts"), ["user_id"], 86400, 1))
 query("w6_inquiry_throttle", "events", """
-, h AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events) SELECT event_id, n FROM h WHERE n > 1""")(
-    lambda e: (lambda w: e.select("event_id", F.count("*").over(w).alias("n")).where("n > 1"))(Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_600_000_000, 0))
+WITH RECURSIVE e AS (SELECT event_id, user_id % 3 AS ip, ts, event_id % 9 = 0 AS spam FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts, event_id, spam) AS k FROM e WHERE NOT spam),
+f AS (SELECT event_id, ip, ts, k, [ts] AS l, 'stored' AS outcome FROM o WHERE k = 1 UNION ALL
+  SELECT event_id, ip, ts, k, CASE WHEN full_ THEN l ELSE list_append(CASE WHEN len(l) = 5 THEN l[2:] ELSE l END, ts) END, CASE WHEN full_ THEN 'throttled' ELSE 'stored' END FROM (
+  SELECT o.*, f.l, len(f.l) = 5 AND epoch(o.ts) - epoch(f.l[1]) < 3600 AS full_ FROM f JOIN o ON o.ip = f.ip AND o.k = f.k + 1))
+SELECT event_id, outcome FROM f UNION ALL SELECT event_id, 'spam' FROM e WHERE spam""")(
+    lambda e: M.throttled(e.select("event_id", (F.col("user_id") % 3).alias("ip"), "ts", X.is_spam(F.when(F.col("event_id") % 9 == 0, "win the lottery").otherwise(F.col("event_type"))).alias("spam")), ["ip"]).select("event_id", "outcome")
 )
 query("w7_visitors_upsert", "questions", "SELECT ip_address, count(*) AS visit_count, min(created_at) AS first_visit, max(created_at) AS last_visit FROM questions GROUP BY 1")(
     lambda q: W.visitors_upsert(q.where("id % 2 = 0"), q.where("id % 2 = 1").groupBy("ip_address").agg(F.count("*").alias("visit_count"), F.min("created_at").alias("first_visit"), F.max("created_at").alias("last_visit")))
