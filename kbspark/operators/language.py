@@ -77,12 +77,12 @@ def spell_correct(tokens: DataFrame, dictionary: DataFrame, known: DataFrame | N
     return best.select("token", F.col("b.word").alias("correction"), "b.distance")
 
 
-def normalized_queries(questions: DataFrame, dictionary: DataFrame, irregulars: DataFrame | None = None, known: DataFrame | None = None, phrases: list[tuple[str, str]] = (), stopwords: list[str] = T.STOPWORDS, spelling: bool = True) -> DataFrame:
+def normalized_queries(questions: DataFrame, dictionary: DataFrame, irregulars: DataFrame | None = None, known: DataFrame | None = None, phrases: list[tuple[str, str]] = (), stopwords: list[str] = T.STOPWORDS, keep: list[str] = (), spelling: bool = True) -> DataFrame:
     """questions(qid, question) with `words`: all that is done to a question before it is matched, in order.
 
-    Contractions and characters, phrases, stopwords, synonyms, base forms, runs of a character, spelling (the last two only
+    Contractions and characters, phrases, stopwords, synonyms (words of `keep` stay), base forms, runs of a character, spelling (the last two only
     with `spelling`). Base forms and corrections are worked out for the different tokens and joined back."""
-    first = T.word_synonyms(T.remove_stopwords(T.tokenize(T.replace_phrases(T.normalize_question(F.col("question")), list(phrases))), stopwords))
+    first = T.word_synonyms(T.remove_stopwords(T.tokenize(T.replace_phrases(T.normalize_question(F.col("question")), list(phrases))), stopwords), keep)
     rows = written(questions.select("qid", F.posexplode(first).alias("at", "token")))
     words = stem_tokens(rows.select("token"), dictionary, irregulars).withColumnRenamed("stem", "word")
     words = written(words)

@@ -148,8 +148,10 @@ def find_matches(questions: DataFrame, knowledge: DataFrame, most: int = 5, min_
         normalized = texts.withColumn("words", tokens(F.col("question")))
     else:
         own = F.concat(F.array(F.lower("keyword")), F.filter(F.split(F.replace(F.lower(F.coalesce("sub_keyword", F.lit(""))), F.lit("*"), F.lit("")), r"[|&+\s]+"), lambda w: F.length(w) >= 3))
-        known = knowledge.select(F.explode(own).alias("word")).union(questions.sparkSession.createDataFrame([(w,) for w in T.SYNONYMS], "word string"))
-        normalized = normalized_queries(texts, dictionary, irregulars, known.distinct(), phrases)
+        words = knowledge.select(F.explode(own).alias("word")).distinct()
+        keep = [r["word"] for r in words.where(F.col("word").isin([v for vs in T.SYNONYMS.values() for v in vs.split()])).collect()]  # no more than there are synonyms
+        known = words.union(questions.sparkSession.createDataFrame([(w,) for w in T.SYNONYMS], "word string"))
+        normalized = normalized_queries(texts, dictionary, irregulars, known, phrases, keep=keep)
     # each tier reads what the one before has found, and the words several times: written once, not worked out anew
     first = written(match_knowledge(written(normalized), entries, most))
     left = texts.join(first.select("qid").distinct(), "qid", "left_anti")
