@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
+from kbspark.operators import edits
 from kbspark.sources.tables import written
 
 #: Endings that make another form of a word (fixed values): for bases of three letters, and of five.
@@ -64,15 +65,13 @@ def spell_correct(tokens: DataFrame, dictionary: DataFrame, known: DataFrame | N
 
     Near: two edits for six letters or more, else one; of equally near words the first in the dictionary. Tokens of
     two letters or fewer, without a vowel or of digits alone are left alone, and so are those that are known(word) (keywords, words
-    of patterns, canonical words of synonyms) and forms of such a word or one of the dictionary. Only words whose length
-    differs by two at most are compared: they meet by an equi-join on the length."""
+    of patterns, canonical words of synonyms) and forms of such a word or one of the dictionary. Tokens and words meet
+    on what is left of each without a letter or two."""
     words = dictionary.groupBy("word").agg(F.min("ord").alias("ord"))
     right = words.select("word") if known is None else words.select("word").union(known.select("word"))
     different = tokens.select("token").where(F.length("token") > 2).distinct().where(F.col("token").rlike("[aeiouy]")).join(right.select(F.col("word").alias("token")).distinct(), "token", "left_anti")
     different = different.join(inflected(different, right), "token", "left_anti")
-    asked = different.select("token", F.explode(F.sequence(F.length("token") - 2, F.length("token") + 2)).alias("n"))
-    near = asked.join(words.withColumn("n", F.length("word")), "n")
-    near = near.withColumn("distance", F.levenshtein("token", "word", 2)).where((F.col("distance") >= 1) & (F.col("distance") <= F.when(F.length("token") >= 6, 2).otherwise(1)))
+    near = edits.near(different, words, lambda token, word: F.when(token >= 6, 2).otherwise(1)).where("distance >= 1").join(words, "word")
     best = near.groupBy("token").agg(F.min(F.struct("distance", "ord", "word")).alias("b"))
     return best.select("token", F.col("b.word").alias("correction"), "b.distance")
 
@@ -105,14 +104,15 @@ def similar_words(tokens: DataFrame, dictionary: DataFrame, least: float, most:
     """(token, word, similarity, place): the `most` words of dictionary(word, ord) nearest to each of tokens(token).
 
     Words that begin with the token's letter or with one beside it on the keyboard, of a length that differs by two at
-    most; similarity: 100 less the edits in hundredths of the longer one. Tokens and words meet by first letter and length."""
+    most; similarity: 100 less the edits in hundredths of the longer one. Tokens and words meet by the index of edits, the
+    number of which the least similarity and the length allow."""
     beside = F.create_map(*(x for k, v in NEIGHBOURS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     letter = F.left("token", F.lit(1))
     firsts = F.concat(F.array(letter), F.coalesce(F.try_element_at(beside, letter), F.array().cast("array<string>")))
-    asked = tokens.select("token").where("token <> ''").distinct().select("token", F.explode(firsts).alias("letter"), F.sequence(F.length("token") - 2, F.length("token") + 2).alias("n"))
-    words = dictionary.groupBy("word").agg(F.min("ord").alias("ord")).select("word", "ord", F.left("word", F.lit(1)).alias("letter"), F.length("word").alias("n"))
-    pairs = asked.select("token", "letter", F.explode("n").alias("n")).join(words, ["letter", "n"])
-    near = pairs.withColumn("similarity", F.round((1 - F.levenshtein("token", "word") / F.greatest(F.length("token"), F.length("word"))) * 100, 6)).where(F.col("similarity") >= least)
+    allowed = lambda token, word: F.floor(F.greatest(token, word) * (1 - least / 100) + 1e-9).cast("int")
+    words = dictionary.groupBy("word").agg(F.min("ord").alias("ord"))
+    pairs = edits.near(tokens, words, allowed).where(F.array_contains(firsts, F.left("word", F.lit(1)))).join(words, "word")
+    near = pairs.withColumn("similarity", F.round((1 - F.col("distance") / F.greatest(F.length("token"), F.length("word"))) * 100, 6)).where(F.col("similarity") >= least)
     return near.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("similarity"), "ord", "word"))).where(F.col("place") <= most).select("token", "word", "similarity", "place")
 
 

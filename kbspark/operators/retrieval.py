@@ -8,52 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
+from kbspark.operators.fulltext import fulltext_in_sources
 from kbspark.operators.joins import containing, first_per_source
 
 #: Fusion constant, chunks kept, depth of each list, and the similarity at or under which nothing is returned.
 RRF_K, KEEP, DEPTH, GATE = 60, 6, 20, 0.35
 
 
-def terms(text: Column) -> Column:
-    """Lower-cased words of letters and digits, three characters or more."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]{3,})"), 1)
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf)."""
-    return chunks.select("chunk_id", F.explode(terms(F.col("content"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-
-
 def _top(rows: DataFrame, by: str, score: str, id_: str, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), id_))).where(F.col("rank") <= k)
 
 
-def fulltext_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, relevance) over 0: the sum over the query's terms of tf * idf squared, idf = log10(N / df).
-
-    chunks(chunk_id, content), queries(query_id, query). Only terms that occur in queries are indexed, so the
-    postings that are shuffled are those that can count; idf is 0 for a term that every chunk has."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    held = chunks.select("chunk_id", F.explode(terms(F.col("content"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    total = chunks.agg(F.count("*").alias("total"))
-    df = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", F.pow(F.log10(F.col("total") / F.col("df")), F.lit(2.0)).alias("weight"))
-    scored = asked.join(df, "term").join(held, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("tf") * F.col("weight")), 6).alias("relevance"))
-    return scored.where("relevance > 0")
-
-
-def fulltext_topk(chunks: DataFrame, queries: DataFrame, k: int = DEPTH) -> DataFrame:
-    """(query_id, chunk_id, relevance, rank): the k chunks of the highest fulltext_scores."""
-    return _top(fulltext_scores(chunks, queries), "query_id", "relevance", "chunk_id", k)
-
-
 def best_chunks(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, most: int = 5) -> DataFrame:
     """(query_id, source_id, chunk_id) for pairs(query_id, source_id, hint): the source's chunk that answers best.
 
     chunks(chunk_id, source_id, chunk_index, content). Of the source's `most` chunks of the highest relevance the one that
     scores highest for the question counts (the more relevant of equal ones); without any the hint, if there is such a
     chunk, and else the source's first chunk."""
-    near = fulltext_scores(chunks, queries).join(chunks.select("chunk_id", "source_id"), "chunk_id").join(pairs.select("query_id", "source_id").distinct(), ["query_id", "source_id"], "left_semi")
+    near = fulltext_in_sources(chunks, queries, pairs)
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "source_id").orderBy(F.desc("relevance"), "chunk_id"))).where(F.col("rank") <= most)
     near = near.join(chunks.select("chunk_id", "content"), "chunk_id").join(queries, "query_id")
     best = near.withColumn("points", T.score_for_question(F.col("content"), F.col("query"))).groupBy("query_id", "source_id").agg(F.max_by("chunk_id", F.struct("points", -F.col("rank"))).alias("best"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as X
+from kbspark.operators import fulltext as FT
 from kbspark.operators import indexing as I
 from kbspark.operators import retrieval as R
 from kbspark.plans.fixtures import projection, table, with_projections
+from kbspark.sources.tables import written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -85,7 +87,8 @@ def _asked(s, d):
 
 
 def _full(s, d):
-    return R.fulltext_topk(_chunks(s, d), _asked(s, d))
+    """What every query here that starts from the full text's lists reads: written, as most of them read it more than once."""
+    return written(FT.fulltext_topk(_chunks(s, d), _asked(s, d)))
 
 
 _FULL = """, ic AS (SELECT * FROM chunks WHERE source_id IN (SELECT id FROM sources WHERE status = 'indexed')),
@@ -94,7 +97,7 @@ p AS (SELECT id AS chunk_id, unnest(regexp_extract_all(lower(content), '[\\p{L}\
 w AS (SELECT term, pow(log10((SELECT count(*) FROM ic)::DOUBLE / count(*)), 2) AS weight FROM h GROUP BY 1),
 f AS (SELECT query_id, chunk_id, round(sum(tf * weight), 6) AS relevance FROM q JOIN w USING (term) JOIN h USING (term) GROUP BY 1, 2),
 ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id)::INTEGER AS rank FROM f WHERE relevance > 0) WHERE rank <= 20)"""
-register("r1_fulltext_topk", _full, _FULL + " SELECT * FROM ft", "chunks sources")
+register("r1_fulltext_topk", lambda s, d: FT.fulltext_topk(_chunks(s, d), _asked(s, d)), _FULL + " SELECT * FROM ft", "chunks sources")
 
 
 def _vectors(s, d):
@@ -108,9 +111,9 @@ vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 register("r2_vector_topk", _vectors, _VECTOR + " SELECT * FROM vt", "vector_queries vector_chunks")
 
 
-def _both(s, d):
+def _both(s, d, full=None):
     """Two lists for the same queries: the benchmark's texts by terms, and as vectors those of the same number."""
-    full = _full(s, d).select("query_id", "chunk_id", "relevance", "rank")
+    full = (_full(s, d) if full is None else full).select("query_id", "chunk_id", "relevance", "rank")
     vector = _vectors(s, d).withColumn("query_id", (F.col("query_id") / 50).cast("long"))
     return vector, full
 
@@ -127,7 +130,12 @@ register("r4_retrieval_diagnostics", lambda s, d: R.diagnostics(*_both(s, d)), _
 SELECT query_id, coalesce(vc, 0) AS vector_count, coalesce(tc, 0) AS fulltext_count, top_similarity, coalesce(oc, 0)::INTEGER AS overlap_count, coalesce(top_similarity <= 0.35, false) AS gate_fired
 FROM (SELECT query_id, count(*) AS vc, max(similarity) AS top_similarity FROM vt GROUP BY 1) FULL JOIN (SELECT query_id, count(*) AS tc FROM ft GROUP BY 1) USING (query_id)
 LEFT JOIN (SELECT vt.query_id, count(*) AS oc FROM vt JOIN ft ON ft.query_id = vt.query_id AND ft.chunk_id = vt.chunk_id GROUP BY 1) o USING (query_id)""", "chunks sources vector_queries vector_chunks")
-register("r5_merge_expanded", lambda s, d: R.merge_expanded(_full(s, d), _full(s, d).where("rank % 2 = 0").union(_full(s, d).where("rank = 3").withColumn("chunk_id", -F.col("chunk_id")))), _FULL + """
+def _merged(s, d):
+    full = _full(s, d)
+    return R.merge_expanded(full, full.where("rank % 2 = 0").union(full.where("rank = 3").withColumn("chunk_id", -F.col("chunk_id"))))
+
+
+register("r5_merge_expanded", _merged, _FULL + """
 SELECT query_id, chunk_id, round(CASE WHEN rank % 2 = 0 THEN relevance + 1.2::DOUBLE * relevance ELSE relevance END, 6) AS relevance FROM ft UNION ALL SELECT query_id, -chunk_id, relevance FROM ft WHERE rank = 3""", "chunks sources")
 
 
@@ -176,13 +184,14 @@ SELECT pr.query_id, pr.source_id, coalesce(best, CASE WHEN hint IN (SELECT id FR
     .replace("QW", ", ".join(f"'{w}'" for w in X.QUESTION_WORDS)).replace("SIGNALS", ", ".join(f"'{w}'" for w in X.ANSWER_SIGNALS)).replace("UNMET", ", ".join(f"'{w}'" for w in X.UNMET)), "chunks sources")
 
 
-def _expansion(s, d):
-    """What an expanded query finds: here, the full text's list at every other place, and one chunk of its own."""
+def _found(s, d):
+    """An expanded query finds, here, the full text's list at every other place."""
     full = _full(s, d)
-    return full.where("rank % 2 = 0").select("query_id", "chunk_id", "relevance")
+    expanded = full.where("rank % 2 = 0").select("query_id", "chunk_id", "relevance")
+    return R.find_relevant_chunks(_chunks(s, d), _asked(s, d), R.hybrid_retrieve(*_both(s, d, full)), full, expanded)
 
 
-register("r10_find_relevant_chunks", lambda s, d: R.find_relevant_chunks(_chunks(s, d), _asked(s, d), R.hybrid_retrieve(*_both(s, d)), _full(s, d), _expansion(s, d)), _HYBRID + "," + _LIKE + """,
+register("r10_find_relevant_chunks", _found, _HYBRID + "," + _LIKE + """,
 ex AS (SELECT query_id, chunk_id, round(CASE WHEN rank % 2 = 0 THEN relevance + 1.2::DOUBLE * relevance ELSE relevance END, 6) AS relevance FROM ft WHERE query_id NOT IN (SELECT query_id FROM hy)),
 er AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id)::INTEGER AS rank FROM ex),
 h1 AS (SELECT query_id, chunk_id, 'hybrid' AS tier, rank FROM hy UNION ALL SELECT query_id, chunk_id, 'fulltext', rank FROM er WHERE rank <= 6), h0 AS (SELECT query_id, chunk_id FROM h1)""" + _CONTACT + """
@@ -191,15 +200,21 @@ SELECT * FROM h1 UNION ALL SELECT query_id, chunk_id, 'like', rank FROM lk WHERE
 
 def _candidates(s, d):
     answers = table(s, d, "benchmark").select(F.col("item_id").alias("answer_id"), F.col("text").alias("answer"))
-    return R.fulltext_topk(_chunks(s, d), _asked(s, d), 8).select(F.col("query_id").alias("answer_id"), "chunk_id", F.col("rank").alias("position")).join(_chunks(s, d), "chunk_id").join(answers, "answer_id")
+    best = written(FT.fulltext_topk(_chunks(s, d), _asked(s, d), 8))
+    return best.select(F.col("query_id").alias("answer_id"), "chunk_id", F.col("rank").alias("position")).join(_chunks(s, d), "chunk_id").join(answers, "answer_id")
 
 
-def _judged(s, d):
+def _judged(rows):
     """A judge's scores for two answers of three, not for all of their sources."""
-    rows = _candidates(s, d).where("answer_id % 3 > 0 and chunk_id % 4 > 0").select("answer_id", "source_id").distinct()
+    rows = rows.where("answer_id % 3 > 0 and chunk_id % 4 > 0").select("answer_id", "source_id").distinct()
     return rows.withColumn("llm_score", F.pmod(F.col("answer_id") * 7 + F.col("source_id") * 3, F.lit(10)) / 10.0)
 
 
+def _cited(s, d):
+    rows = _candidates(s, d)
+    return R.select_citations(rows, _judged(rows)).select("answer_id", "source_id", "chunk_id", "route", "used_in_answer")
+
+
 _KEYED = "trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
 _PHRASES = f"list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1) IF len([x FOR x IN w[i:i + 2] IF NOT list_contains({_STOP}, x)]) >= 2])"
@@ -224,7 +239,7 @@ register("c2_answer_words", lambda s, d: projection(s, d, "match_questions").sel
 SELECT id, array_to_string(list_distinct_ordered, '|') AS words FROM (SELECT id, [x FOR x, i IN w IF list_position(w, x) = i] AS list_distinct_ordered FROM (
   SELECT id, [t FOR t IN string_split_regex(trim(regexp_replace(regexp_replace(lower(question), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g')), '\\s+') IF length(t) >= 4 AND NOT list_contains(STOP, t)] AS w FROM match_questions))""".replace("STOP", "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"), "match_questions")
 register("c3_overlap_score", lambda s, d: R.select_citations(_candidates(s, d)).select("answer_id", "chunk_id", "phrase_score", "overlap_score"), _CITED + " SELECT answer_id, chunk_id, phrase_score::INTEGER AS phrase_score, (phrase_score + words)::INTEGER AS overlap_score FROM ov", "chunks sources")
-register("c4_select_citations", lambda s, d: R.select_citations(_candidates(s, d), _judged(s, d)).select("answer_id", "source_id", "chunk_id", "route", "used_in_answer"), _CITED + """,
+register("c4_select_citations", _cited, _CITED + """,
 ju AS (SELECT DISTINCT answer_id, source_id, ((answer_id * 7 + source_id * 3) % 10) / 10.0::DOUBLE AS score FROM ca WHERE answer_id % 3 > 0 AND chunk_id % 4 > 0),
 ro AS (SELECT *, CASE WHEN count(*) FILTER (phrase_score > 0) OVER (PARTITION BY answer_id) = 1 THEN 'heuristic' WHEN answer_id IN (SELECT answer_id FROM ju) THEN 'llm' ELSE 'fallback' END AS route FROM ov),
 us AS (SELECT ro.*, CASE WHEN route = 'llm' THEN score END AS score, CASE WHEN route = 'llm' THEN coalesce(score >= 0.5, false) ELSE phrase_score >= 5 END AS used FROM ro LEFT JOIN ju USING (answer_id, source_id)),

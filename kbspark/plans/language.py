@@ -39,8 +39,16 @@ st AS (SELECT c.token, coalesce(m.s, c.token) AS stem FROM c LEFT JOIN m ON m.to
 ORACLES["t7_stem_token"] = with_projections("match_questions", _SQL + f""",
 f AS (SELECT token FROM q UNION SELECT word || unnest(['s', 'es', 'ed', 'ing', 'ly']) FROM dict), {STEMS}
 SELECT token, CASE WHEN token = 'dont' THEN 'do' ELSE stem END AS stem FROM st""")
-QUERIES["t9_spell_correct"] = lambda s, d: L.spell_correct(_tokens(s, d), _dictionary(s, d))
+def _misspelt(s, d):
+    """The questions' tokens, and the dictionary's words with one letter less, and with one changed and one more."""
+    word = F.col("word")
+    made = _dictionary(s, d).select(F.explode(F.array(F.concat(F.left(word, F.lit(1)), F.substr(word, F.lit(3))), F.concat(F.left(word, F.lit(2)), F.lit("z"), F.substr(word, F.lit(4)), F.lit("x")))).alias("token"))
+    return _tokens(s, d).union(made)
+
+
+QUERIES["t9_spell_correct"] = lambda s, d: L.spell_correct(_misspelt(s, d), _dictionary(s, d))
 ORACLES["t9_spell_correct"] = with_projections("match_questions", _SQL + """,
-n AS (SELECT token, word, ord, levenshtein(token, word) AS distance FROM q JOIN dict ON levenshtein(token, word) BETWEEN 1 AND CASE WHEN length(token) >= 6 THEN 2 ELSE 1 END
+m AS (SELECT token FROM q UNION SELECT left(word, 1) || substr(word, 3) FROM dict UNION SELECT left(word, 2) || 'z' || substr(word, 4) || 'x' FROM dict),
+n AS (SELECT token, word, ord, levenshtein(token, word) AS distance FROM m JOIN dict ON levenshtein(token, word) BETWEEN 1 AND CASE WHEN length(token) >= 6 THEN 2 ELSE 1 END
   WHERE length(token) > 2 AND regexp_matches(token, '[aeiouy]') AND token NOT IN (SELECT word FROM dict) AND token NOT IN (ENDED)),
 r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, ord, word) AS k FROM n) SELECT token, word AS correction, distance::INTEGER AS distance FROM r WHERE k = 1""".replace("ENDED", ENDED.format("dict")))
