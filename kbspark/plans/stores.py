@@ -10,6 +10,8 @@ from kbspark.operators import integrity as M
 from kbspark.plans.fixtures import AS_OF, PROJECTIONS, projection, table, with_projections
 from kbspark.sources import tables as S
 from kbspark.streaming import events as W
+from kbspark.streaming import limits as L
+from kbspark.streaming import stored as D
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -168,23 +170,67 @@ SELECT event_id, user_id, ts, accepted FROM f"""
 
 
 query("w4_rate_limit", "events", _accepted("true", 3))(lambda e: M.accepted(e.selectExpr("event_id", "user_id", "ts"), ["user_id"], 86400, 3))
+query("w4_rate_limit_stream", "events", _accepted("true", 3))(lambda e: _limited(e.selectExpr("event_id", "user_id", "ts"), lambda x: L.accepted_stream(x, ["user_id"], 86400, 3)))
+query("w5_rating_dedupe_stream", "events", _accepted("event_type = 'click'", 1))(lambda e: _limited(e.where("event_type = 'click'").selectExpr("event_id", "user_id", "ts"), lambda x: L.accepted_stream(x, ["user_id"], 86400, 1)))
 query("w5_rating_dedupe", "events", _accepted("event_type = 'click'", 1))(lambda e: M.accepted(e.where("event_type = 'click'").selectExpr("event_id", "user_id", "ts"), ["user_id"], 86400, 1))
-query("w6_inquiry_throttle", "events", """
-WITH RECURSIVE e AS (SELECT event_id, user_id % 3 AS ip, ts, event_id % 9 = 0 AS spam FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts, event_id, spam) AS k FROM e WHERE NOT spam),
+
+
+def _inquiries(e):
+    """Events as inquiries of their user; five in ten days are as near to a limit here as five in an hour are in use."""
+    return e.select("event_id", F.col("user_id").alias("ip"), "ts", X.is_spam(F.when(F.col("event_id") % 9 == 0, "win the lottery").otherwise(F.col("event_type"))).alias("spam"))
+
+
+_THROTTLED = """
+WITH RECURSIVE e AS (SELECT event_id, user_id AS ip, ts, event_id % 9 = 0 AS spam FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts, event_id, spam) AS k FROM e WHERE NOT spam),
 f AS (SELECT event_id, ip, ts, k, [ts] AS l, 'stored' AS outcome FROM o WHERE k = 1 UNION ALL
   SELECT event_id, ip, ts, k, CASE WHEN full_ THEN l ELSE list_append(CASE WHEN len(l) = 5 THEN l[2:] ELSE l END, ts) END, CASE WHEN full_ THEN 'throttled' ELSE 'stored' END FROM (
-  SELECT o.*, f.l, len(f.l) = 5 AND epoch(o.ts) - epoch(f.l[1]) < 3600 AS full_ FROM f JOIN o ON o.ip = f.ip AND o.k = f.k + 1))
-SELECT event_id, outcome FROM f UNION ALL SELECT event_id, 'spam' FROM e WHERE spam""")(
-    lambda e: M.throttled(e.select("event_id", (F.col("user_id") % 3).alias("ip"), "ts", X.is_spam(F.when(F.col("event_id") % 9 == 0, "win the lottery").otherwise(F.col("event_type"))).alias("spam")), ["ip"]).select("event_id", "outcome")
+  SELECT o.*, f.l, len(f.l) = 5 AND epoch(o.ts) - epoch(f.l[1]) < 864000 AS full_ FROM f JOIN o ON o.ip = f.ip AND o.k = f.k + 1))
+SELECT event_id, outcome FROM f UNION ALL SELECT event_id, 'spam' FROM e WHERE spam"""
+query("w6_inquiry_throttle", "events", _THROTTLED)(
+    lambda e: M.throttled(_inquiries(e), ["ip"], 864000).select("event_id", "outcome")
 )
+query("w6_inquiry_throttle_stream", "events", _THROTTLED)(lambda e: _limited(_inquiries(e), lambda x: L.throttled_stream(x, ["ip"], 864000)).select("event_id", "outcome"))
+
+
+def _limited(rows, stream):
+    """What a limit makes of the rows as a stream that is stopped in the middle and started again."""
+    folder, spark = S.scratch(rows.sparkSession), rows.sparkSession
+    rows = S.written(rows.withColumn("ts", F.col("ts").cast("timestamp")))
+    ends = rows.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    middle = F.lit(ends["first"] + (ends["last"] - ends["first"]) / 2)
+    for part in (F.col("ts") <= middle, F.col("ts") > middle):
+        rows.where(part).write.mode("append").parquet(f"{folder}/in")
+        made = stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+        W.run_available(made, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(made.schema).parquet(f"{folder}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 query("w7_visitors_upsert", "questions", "SELECT ip_address, count(*) AS visit_count, min(created_at) AS first_visit, max(created_at) AS last_visit FROM questions GROUP BY 1")(
     lambda q: W.visitors_upsert(q.where("id % 2 = 0"), q.where("id % 2 = 1").groupBy("ip_address").agg(F.count("*").alias("visit_count"), F.min("created_at").alias("first_visit"), F.max("created_at").alias("last_visit")))
 )
+
+
+def _visitors(q):
+    rows, folder = S.written(q.select("ip_address", F.col("created_at").cast("timestamp").alias("created_at"), "id")), S.scratch(q.sparkSession)
+    for part in range(2):
+        rows.where(F.col("id") % 2 == part).write.mode("append").parquet(f"{folder}/in")
+        stream = q.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        stored = D.visitors_stream(stream, f"{folder}/visitors", f"{folder}/checkpoint")
+    return stored.read().withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_visit", "last_visit")})
+
+
+query("w7_visitors_upsert_stream", "questions", "SELECT ip_address, count(*) AS visit_count, min(created_at) AS first_visit, max(created_at) AS last_visit FROM questions GROUP BY 1")(_visitors)
 _KINDS = "event_id, user_id as content_id, ts, case event_type when 'signup' then 'enqueue' when 'purchase' then 'success' when 'error' then 'retry' else 'failure' end as kind"
 query("w8_embedding_queue_fold", "events", f"""
 , k AS (SELECT {_KINDS} FROM events), r AS (SELECT content_id, max((ts, event_id)) AS m, arg_max(kind, (ts, event_id)) AS reset FROM k WHERE kind <> 'failure' GROUP BY 1),
 f AS (SELECT k.content_id, any_value(reset) AS reset, count(*) FILTER (kind = 'failure' AND (m IS NULL OR (ts, event_id) > m)) AS fails FROM k LEFT JOIN r ON r.content_id = k.content_id GROUP BY 1)
 SELECT content_id, CASE WHEN reset = 'success' AND fails = 0 THEN 'done' WHEN fails >= 3 THEN 'failed' ELSE 'pending' END AS status, least(fails, 3)::INTEGER AS retry_count FROM f""")(lambda e: M.queue_fold(e.selectExpr(*_split(_KINDS))))
+query("w8_queue_claim", "events", f"""
+, k AS (SELECT {_KINDS} FROM events), r AS (SELECT content_id, max((ts, event_id)) AS m, arg_max(kind, (ts, event_id)) AS reset FROM k WHERE kind <> 'failure' GROUP BY 1),
+f AS (SELECT k.content_id, any_value(reset) AS reset, max(ts) AS updated_at, count(*) FILTER (kind = 'failure' AND (m IS NULL OR (ts, event_id) > m)) AS fails FROM k LEFT JOIN r ON r.content_id = k.content_id GROUP BY 1)
+SELECT 'chunk' AS content_type, content_id, 'pending' AS status, fails::INTEGER AS retry_count, updated_at FROM f WHERE fails < 3 AND NOT (reset IS NOT DISTINCT FROM 'success' AND fails = 0) ORDER BY updated_at, content_id LIMIT 20""")(
+    lambda e: D.claimed(D.queue_rows(e.sparkSession.createDataFrame([], D.QUEUE), e.selectExpr("'chunk' as content_type", *_split(_KINDS)))).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+)
 query("w9_request_metrics_build", "request_metrics", "SELECT id AS request_id, question_id, total_ms, kb_ms, retrieval_ms, synthesis_ms, greatest(0, total_ms - kb_ms - coalesce(retrieval_ms, 0) - coalesce(synthesis_ms, 0)) AS render_ms FROM request_metrics")(
     lambda m: M.request_metrics(m.select(F.col("id").alias("request_id"), "question_id", F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.col(f"{s}_ms").alias("ms")) for s in ("total", "kb", "retrieval", "synthesis")))).alias("x")).select("request_id", "question_id", "x.stage", "x.ms"))
 )
