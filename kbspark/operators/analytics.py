@@ -259,6 +259,25 @@ def approx_visitors(questions: DataFrame, error: float = 0.02) -> DataFrame:
     return questions.groupBy(F.to_date("created_at").alias("day")).agg(F.approx_count_distinct("ip_address", error).alias("visitors"))
 
 
+def visitor_sketches(questions: DataFrame, bits: int = 12) -> DataFrame:
+    """(day, questions, visitors): a day's questions, and a sketch of its visitors that can be merged with those of other days.
+
+    A table to be stored and added to day by day; of a sketch of 2 ** bits buckets the relative standard error is about
+    1.04 / sqrt(2 ** bits). Visitors without an address are counted by none."""
+    return questions.groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("questions"), F.hll_sketch_agg("ip_address", F.lit(bits)).alias("visitors"))
+
+
+def visitors_in_windows(sketches: DataFrame, ends: DataFrame, days: tuple[int, ...] = (7, 30, 90)) -> DataFrame:
+    """(end, days, questions, visitors): the different visitors of windows that end with each day of ends(end), merged from daily sketches.
+
+    No question is read again: a window is the union of at most as many sketches as it has days. Windows without any
+    question have no row. Days and ends meet by the day, as each window names the days that it is made of."""
+    windows = ends.select("end").where("end is not null").distinct().withColumn("days", F.explode(F.array(*map(F.lit, days))))
+    named = windows.select("end", "days", F.explode(F.sequence(F.date_sub("end", F.col("days") - 1), F.col("end"))).alias("day"))
+    out = named.join(sketches, "day").groupBy("end", "days").agg(F.sum("questions").alias("questions"), F.hll_union_agg("visitors").alias("_all"))
+    return out.select("end", "days", "questions", F.hll_sketch_estimate("_all").alias("visitors"))
+
+
 def category_performance(knowledge: DataFrame, categories: DataFrame) -> DataFrame:
     entry = rate(F.col("helpful_yes"), F.col("helpful_yes") + F.col("helpful_no"))
     per = knowledge.groupBy("category_id").agg(F.count("*").alias("entries"), F.sum("hits").alias("hits"), F.round(F.avg(F.when(F.col("helpful_yes") + F.col("helpful_no") > 0, entry)), 1).alias("rating"))

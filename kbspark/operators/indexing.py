@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kbspark.functions import text as X
+from kbspark.sources.tables import written
 
 #: Words of a chunk, words repeated from the chunk before, and the least that makes a chunk.
 CHUNK_WORDS, OVERLAP, LEAST_WORDS = 350, 40, 10
@@ -133,12 +134,36 @@ def extract_links(pages: DataFrame) -> DataFrame:
     return rows.where(X.is_allowed_url(F.col("link"), F.col("url"))).select("page_id", X.normalise_url(F.col("link")).alias("link")).distinct()
 
 
-def crawl_frontier(links: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    """(url, depth): how far each url is from the seeds over links(url, link); a level is one join."""
-    out = level = seeds.select("url").distinct().withColumn("depth", F.lit(0))
+def crawl_frontier(links: DataFrame, seeds: DataFrame, pages: DataFrame | None = None, depth: int = 2, most: int = 50) -> DataFrame:
+    """(job, url, depth, place): the pages that each crawl of seeds(job, url) finds, in order, at most `most` of a job.
+
+    links(url, link, place): a page's links in their order; pages(url): those that can be had (all if not given), others are passed
+    over and their links not followed. Urls are the same if they are the same normalised. A page is found at its least depth; pages of one
+    depth come in the order in which they were first linked: by the place of the linking page, then that of the link.
+    Levels are written one by one, and the crawl ends with the first that is empty; a level has at most `most` rows a job.
+    """
+    same = lambda c: X.normalise_url(F.col(c))
+    edges = links.select(same("url").alias("url"), same("link").alias("link"), F.col("place").alias("at")).where("link is not null")
+    known = pages.select(same("url").alias("url")).distinct() if pages is not None else None
+
+    def level(found: DataFrame, before: DataFrame | None, d: int) -> DataFrame:
+        """found(job, url, first) as the places after those of before, as far as there is room."""
+        if known is not None:
+            found = found.join(known, "url", "left_semi")
+        taken = F.lit(0)
+        if before is not None:
+            found = found.join(before.groupBy("job").agg(F.max("place").alias("taken")), "job")
+            taken = F.col("taken")
+        place = taken + F.row_number().over(Window.partitionBy("job").orderBy("first"))
+        return written(found.withColumn("place", place.cast("int")).where(F.col("place") <= most).select("job", "url", F.lit(d).alias("depth"), "place"))
+
+    out = last = level(seeds.groupBy("job", same("url").alias("url")).agg(F.min("url").alias("first")), None, 0)
     for d in range(1, depth + 1):
-        level = level.select("url").join(links, "url").select(F.col("link").alias("url")).distinct().join(out, "url", "left_anti").withColumn("depth", F.lit(d))
-        out = out.unionByName(level)
+        linked = last.join(edges, "url").groupBy("job", F.col("link").alias("url")).agg(F.min(F.struct("place", "at")).alias("first"))
+        last = level(linked.join(out.select("job", "url"), ["job", "url"], "left_anti"), out, d)
+        if last.isEmpty():
+            break
+        out = out.unionByName(last)
     return out
 
 

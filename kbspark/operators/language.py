@@ -76,19 +76,50 @@ def spell_correct(tokens: DataFrame, dictionary: DataFrame, known: DataFrame | N
     return best.select("token", F.col("b.word").alias("correction"), "b.distance")
 
 
-def normalized_queries(questions: DataFrame, dictionary: DataFrame, irregulars: DataFrame | None = None, known: DataFrame | None = None, phrases: list[tuple[str, str]] = (), stopwords: list[str] = T.STOPWORDS, keep: list[str] = (), spelling: bool = True) -> DataFrame:
+#: Of the longer of two words, so much must be the shorter one at its beginning; both have so many letters.
+COVERED, COVERS = 0.8, 4
+
+
+def covered(tokens: DataFrame, base: DataFrame) -> DataFrame:
+    """Those of tokens(token) that a word of base(word) stands for: the word itself, or one of which the other is the beginning
+    and COVERED of its length. They meet by equality, with the beginnings of the longer of the two."""
+    def beginnings(c):
+        n = F.length(c)
+        least = F.greatest(F.ceil(n * COVERED - 1e-9), F.lit(COVERS)).cast("int")
+        return F.array_distinct(F.concat(F.array(c), F.when(least <= n, F.transform(F.sequence(least, n), lambda i: F.left(c, i))).otherwise(F.array().cast("array<string>"))))
+
+    own, words = tokens.select("token").distinct(), base.select("word").where("word <> ''").distinct()
+    begun = own.join(words.select(F.explode(beginnings(F.col("word"))).alias("token")).distinct(), "token", "left_semi")
+    begins = own.select("token", F.explode(beginnings(F.col("token"))).alias("word")).join(words, "word", "left_semi").select("token")
+    return begun.union(begins).distinct()
+
+
+def beside_base(tokens: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """(token, word): the word whose list of synonyms has the token, but the token itself if the base covers it."""
+    replaced = tokens.select("token").distinct().select("token", T.word_synonyms(F.array("token"))[0].alias("word"))
+    if base is None:
+        return replaced
+    asked = replaced.where("word <> token")
+    stay = covered(asked, base).select("token", F.lit(True).alias("_stays"))
+    return replaced.join(stay, "token", "left").select("token", F.when(F.col("_stays"), F.col("token")).otherwise(F.col("word")).alias("word"))
+
+
+def normalized_queries(questions: DataFrame, dictionary: DataFrame | None = None, irregulars: DataFrame | None = None, known: DataFrame | None = None, phrases: list[tuple[str, str]] = (), stopwords: list[str] = T.STOPWORDS, base: DataFrame | None = None, spelling: bool = True) -> DataFrame:
     """questions(qid, question) with `words`: all that is done to a question before it is matched, in order.
 
-    Contractions and characters, phrases, stopwords, synonyms (words of `keep` stay), base forms, runs of a character, spelling (the last two only
-    with `spelling`). Base forms and corrections are worked out for the different tokens and joined back."""
-    first = T.word_synonyms(T.remove_stopwords(T.tokenize(T.replace_phrases(T.normalize_question(F.col("question")), list(phrases))), stopwords), keep)
+    Contractions and characters, phrases, stopwords, synonyms (a token that base(word) covers stays), base forms, runs of a character, spelling
+    (base forms and what follows only with a dictionary(word, ord), the last two only with `spelling`). What is done to single words is worked
+    out for the different tokens and joined back."""
+    first = T.remove_stopwords(T.tokenize(T.replace_phrases(T.normalize_question(F.col("question")), list(phrases))), stopwords)
     rows = written(questions.select("qid", F.posexplode(first).alias("at", "token")))
-    words = stem_tokens(rows.select("token"), dictionary, irregulars).withColumnRenamed("stem", "word")
-    words = written(words)
-    if spelling:
-        words = words.withColumn("word", T.collapse_repeats(F.col("word")))
-        fixed = spell_correct(words.select(F.col("word").alias("token")), dictionary, known).select(F.col("token").alias("word"), "correction")
-        words = words.join(fixed, "word", "left").select("token", F.coalesce("correction", "word").alias("word"))
+    words = beside_base(rows.select("token"), base)
+    if dictionary is not None:
+        stems = stem_tokens(words.select(F.col("word").alias("token")), dictionary, irregulars).withColumnRenamed("token", "word")
+        words = written(words.join(stems, "word").select("token", F.col("stem").alias("word")))
+        if spelling:
+            words = words.withColumn("word", T.collapse_repeats(F.col("word")))
+            fixed = spell_correct(words.select(F.col("word").alias("token")), dictionary, known).select(F.col("token").alias("word"), "correction")
+            words = words.join(fixed, "word", "left").select("token", F.coalesce("correction", "word").alias("word"))
     found = rows.join(words, "token").groupBy("qid").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"])).alias("words"))
     return questions.join(found, "qid", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 

@@ -7,11 +7,13 @@ variants, and only candidates are tested. The base's side is broadcast by the op
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
-from kbspark.operators.joins import containing
+from kbspark.operators.joins import containing, resolve_reuse
 from kbspark.operators.language import LONG_ENDINGS, SHORT_ENDINGS, normalized_queries
 from kbspark.sources.tables import written
 
@@ -136,22 +138,30 @@ def broad_search(questions: DataFrame, entries: DataFrame, most: int = 5) -> Dat
     return rows.where(~T.is_effectively_empty(F.col("response"))).select("qid", "id", F.lit(50).alias("score"), "hits")
 
 
-def find_matches(questions: DataFrame, knowledge: DataFrame, most: int = 5, min_score: int = 0, dictionary: DataFrame | None = None, irregulars: DataFrame | None = None, phrases: list[tuple[str, str]] = ()) -> DataFrame:
+def base_words(knowledge: DataFrame) -> DataFrame:
+    """(word): the words of the base's keywords and patterns, wildcards dropped."""
+    both = F.concat_ws(" ", F.lower("keyword"), F.replace(F.lower(F.coalesce("sub_keyword", F.lit(""))), F.lit("*"), F.lit("")))
+    return knowledge.select(F.explode(F.split(both, r"[|&+,\s]+")).alias("word")).where(F.length("word") >= 2).distinct()
+
+
+Step = Callable[[DataFrame], DataFrame]
+
+
+def find_matches(questions: DataFrame, knowledge: DataFrame, most: int = 5, min_score: int = 0, dictionary: DataFrame | None = None, irregulars: DataFrame | None = None, phrases: list[tuple[str, str]] = (), before_search: Step | None = None, search_results: Step | None = None) -> DataFrame:
     """(id, entry_id, score, place) for a log of questions(id, question).
 
     Tiers, each for what is still unmatched: all normalising; stopwords removed only; a broad search if
     min_score allows its score. Equal texts are matched once and joined back. With a dictionary(word, ord) the first
-    tier has base forms and spelling, too; the base's own words count as right."""
+    tier has base forms and spelling, too; the base's own words count as right.
+
+    before_search gets the different questions(qid, question) and returns them as they are to be searched; what it leaves out finds
+    nothing. search_results gets what was found, (qid, question, entry_id, score, place), question as asked, and returns what counts."""
     entries = compiled(knowledge)
-    texts = questions.select("question").where("question is not null").distinct().select(F.xxhash64("question").alias("qid"), "question")
-    if dictionary is None:
-        normalized = texts.withColumn("words", tokens(F.col("question")))
-    else:
-        own = F.concat(F.array(F.lower("keyword")), F.filter(F.split(F.replace(F.lower(F.coalesce("sub_keyword", F.lit(""))), F.lit("*"), F.lit("")), r"[|&+\s]+"), lambda w: F.length(w) >= 3))
-        words = knowledge.select(F.explode(own).alias("word")).distinct()
-        keep = [r["word"] for r in words.where(F.col("word").isin([v for vs in T.SYNONYMS.values() for v in vs.split()])).collect()]  # no more than there are synonyms
-        known = words.union(questions.sparkSession.createDataFrame([(w,) for w in T.SYNONYMS], "word string"))
-        normalized = normalized_queries(texts, dictionary, irregulars, known, phrases, keep=keep)
+    asked = questions.select("question").where("question is not null").distinct().select(F.xxhash64("question").alias("qid"), "question")
+    texts = before_search(asked).select("qid", "question") if before_search else asked
+    base = base_words(knowledge)
+    known = base.where(F.length("word") >= 3).union(questions.sparkSession.createDataFrame([(w,) for w in T.SYNONYMS], "word string"))
+    normalized = normalized_queries(texts, dictionary, irregulars, known, phrases, base=base)
     # each tier reads what the one before has found, and the words several times: written once, not worked out anew
     first = written(match_knowledge(written(normalized), entries, most))
     left = texts.join(first.select("qid").distinct(), "qid", "left_anti")
@@ -163,8 +173,17 @@ def find_matches(questions: DataFrame, knowledge: DataFrame, most: int = 5, min_
         whole = knowledge.select("id", F.col("keyword").alias("kw"), F.col("sub_keyword").alias("sub"), "question", "response", "hits")
         found = found.unionByName(broad_search(left, whole, most))
     found = found.where(F.col("score") >= min_score).withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("hits"), "id")))
-    asked = questions.where("question is not null").select("id", F.xxhash64("question").alias("qid"))
-    return asked.join(found.select("qid", F.col("id").alias("entry_id"), "score", "place"), "qid").select("id", "entry_id", "score", "place")
+    found = found.select("qid", F.col("id").alias("entry_id"), "score", "place")
+    if search_results:
+        found = search_results(found.join(asked, "qid").select("qid", "question", "entry_id", "score", "place")).select("qid", "entry_id", "score", "place")
+    log = questions.where("question is not null").select("id", F.xxhash64("question").alias("qid"))
+    return log.join(found, "qid").select("id", "entry_id", "score", "place")
+
+
+def with_responses(matches: DataFrame, knowledge: DataFrame) -> DataFrame:
+    """matches(id, entry_id, …) with the response that is served and the entry that it was taken from, if it is another's."""
+    served = resolve_reuse(knowledge).select(F.col("id").alias("entry_id"), "response", "reused_from")
+    return matches.join(served, "entry_id", "left").select(*matches.columns, "response", "reused_from")
 
 
 def match_label(score: Column) -> Column:
@@ -222,8 +241,33 @@ def explain_match(pairs: DataFrame) -> DataFrame:
     return rows.withColumns({"matched": F.col("keyword_matched") & whole, "status": F.when(F.col("_default"), "default").otherwise(status)}).drop("_default")
 
 
-def eval_recall(matches: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row for each true (id, entry_id): correct, wrong_entry or no_match, by the best match."""
+def eval_recall(matches: DataFrame, truth: DataFrame, knowledge: DataFrame | None = None) -> DataFrame:
+    """One row for each true (id, entry_id) with `bucket`: correct, wrong_entry, aadefault_fallback or no_match, by the best match.
+
+    aadefault_fallback: another entry, which is its keyword's default; knowledge(id, sub_keyword) tells which are."""
     best = matches.where("place = 1").select("id", F.col("entry_id").alias("got"))
-    bucket = F.when(F.col("got").isNull(), "no_match").when(F.col("got") == F.col("entry_id"), "correct").otherwise("wrong_entry")
-    return truth.join(best, "id", "left").withColumn("bucket", bucket)
+    rows = truth.join(best, "id", "left")
+    default = F.lit(False)
+    if knowledge is not None:
+        rows = rows.join(knowledge.select(F.col("id").alias("got"), F.lower(F.trim("sub_keyword")).alias("_sub")), "got", "left")
+        default = F.col("_sub") == "aadefault"
+    bucket = F.when(F.col("got").isNull(), "no_match").when(F.col("got") == F.col("entry_id"), "correct").when(default, "aadefault_fallback").otherwise("wrong_entry")
+    return rows.withColumn("bucket", bucket).select(*truth.columns, "got", "bucket")
+
+
+def eval_per_keyword(judged: DataFrame, knowledge: DataFrame) -> DataFrame:
+    """(keyword, total, correct, percent, worst) from judged(entry_id, bucket) and knowledge(id, keyword).
+
+    worst: the place among the ten keywords of the lowest percentage, of equal ones those asked most, then by name; else null.
+    The ten are picked by a top-k, and joined back."""
+    rows = judged.join(knowledge.select(F.col("id").alias("entry_id"), "keyword"), "entry_id")
+    out = rows.groupBy("keyword").agg(F.count("*").alias("total"), F.count(F.when(F.col("bucket") == "correct", 1)).alias("correct"))
+    out = out.withColumn("percent", F.round(100.0 * F.col("correct") / F.col("total"), 1))
+    order = [F.asc("percent"), F.desc("total"), F.asc("keyword")]
+    ten = out.orderBy(*order).limit(10).select(F.col("keyword").alias("_k"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("worst"))
+    return out.join(F.broadcast(ten), F.col("keyword").eqNullSafe(F.col("_k")), "left").drop("_k")
+
+
+def eval_failures(judged: DataFrame) -> DataFrame:
+    """What was not found right, with what was found instead."""
+    return judged.where("bucket <> 'correct'")

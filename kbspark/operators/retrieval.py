@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,29 +35,6 @@ def best_chunks(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, most: i
     return out.select("query_id", "source_id", F.coalesce("best", F.when(F.col("known"), F.col("hint")), "first").alias("chunk_id"))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, block: int = 2048, chunk: int = 16384) -> DataFrame:
-    """(query_id, chunk_id, similarity, rank): exact cosine, vectors(chunk_id, embedding), queries(query_id, embedding).
-
-    Queries are dealt into blocks, vectors into chunks, by hash; a block and a chunk meet in one group, are multiplied there, and
-    k for each query go on to one more shuffle. No vector passes the driver or is exploded."""
-    blocks, chunks = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // chunk))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-    own = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), every(chunks).alias("chunk"))
-    all_ = vectors.select("chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id", "embedding"), F.lit(chunks)).alias("chunk"), every(blocks).alias("block"))
-
-    def search(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(rows):
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "similarity": []}).astype({"query_id": "int64", "chunk_id": "int64"})
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        q, m = (unit(np.array(x["embedding"].tolist(), np.float64)) for x in (asked, rows))
-        s, ids, keys = np.round(q @ m.T, 9), asked["query_id"].to_numpy(), rows["chunk_id"].to_numpy()
-        order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "chunk_id": keys[order].ravel(), "similarity": np.take_along_axis(s, order, axis=1).ravel()})
-
-    found = own.groupBy("block", "chunk").cogroup(all_.groupBy("block", "chunk")).applyInPandas(search, "query_id long, chunk_id long, similarity double")
-    return _top(found, "query_id", "similarity", "chunk_id", k)
-
-
 def rrf_merge(vector: DataFrame, fulltext: DataFrame, k: int = RRF_K) -> DataFrame:
     """(query_id, chunk_id, rrf, rank): the sum of 1 / (k + rank) over both lists; ties by the vector list's order, then the other's."""
     both = vector.select("query_id", "chunk_id", "rank", F.lit(0).alias("list")).union(fulltext.select("query_id", "chunk_id", "rank", F.lit(1).alias("list")))
@@ -126,11 +103,12 @@ def contact_chunks(chunks: DataFrame, retrieved: DataFrame, most: int = 2) -> Da
     return scored.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("_n") <= most).drop("_n")
 
 
-def find_relevant_chunks(chunks: DataFrame, queries: DataFrame, hybrid: DataFrame, fulltext: DataFrame, expanded: DataFrame | None = None, keep: int = KEEP) -> DataFrame:
+def find_relevant_chunks(chunks: DataFrame, queries: DataFrame, hybrid: DataFrame, fulltext: DataFrame, expanded: DataFrame | None = None, keep: int = KEEP, search_results: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query_id, chunk_id, tier, rank): the fused list where it has anything; else the full text's, merged with those of an
     expanded query if there are any; else like_fallback. To the first two are added the contact chunks, as a tier.
 
-    hybrid(query_id, chunk_id, rank), fulltext and expanded(query_id, chunk_id, relevance)."""
+    hybrid(query_id, chunk_id, rank), fulltext and expanded(query_id, chunk_id, relevance). search_results gets these rows and returns
+    those that count. (What is to be done before a search is done to the queries, before the lists are made.)"""
     first = hybrid.select("query_id", "chunk_id", F.lit("hybrid").alias("tier"), "rank")
     full = merge_expanded(fulltext, expanded) if expanded is not None else fulltext.select("query_id", "chunk_id", "relevance")
     full = _top(full.join(first.select("query_id").distinct(), "query_id", "left_anti"), "query_id", "relevance", "chunk_id", keep)
@@ -139,7 +117,8 @@ def find_relevant_chunks(chunks: DataFrame, queries: DataFrame, hybrid: DataFram
     like = like_fallback(chunks, left, k=keep).select("query_id", "chunk_id", F.lit("like").alias("tier"), "rank")
     contact = contact_chunks(chunks, both)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return both.unionByName(like).unionByName(contact.select("query_id", "chunk_id", F.lit("contact").alias("tier"), place.alias("rank")))
+    out = both.unionByName(like).unionByName(contact.select("query_id", "chunk_id", F.lit("contact").alias("tier"), place.alias("rank")))
+    return search_results(out).select(*out.columns) if search_results else out
 
 
 def diagnostics(vector: DataFrame, fulltext: DataFrame, gate: float = GATE) -> DataFrame:

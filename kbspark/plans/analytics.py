@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kbspark.operators import analytics as A
 from kbspark.plans.fixtures import AS_OF, ORDERS_AS_OF, projection, with_projections
+from kbspark.sources.tables import written
 
 STOPWORDS = ["the", "and", "item"]
 RATES = [("m-small", 0.15, 0.6), ("m-large", 5.0, 25.0)]
@@ -161,6 +162,26 @@ query("a34_approx_visitors", "questions", "SELECT created_at::DATE AS day, count
     # a sketch is not the number: what is held against SQL is that it is near it, by five of its standard errors
     lambda q: A.approx_visitors(q).join(q.groupBy(F.to_date("created_at").alias("day")).agg(F.count_distinct("ip_address").alias("exact")), "day").select("day", "exact", (F.abs(F.col("visitors") - F.col("exact")) <= 1 + 0.1 * F.col("exact")).alias("near"))
 )
+
+
+def _windows(q):
+    """Windows of 7, 30 and 90 days to each day of the log, from one stored table of sketches; beside them the exact numbers."""
+    q = q.select("ip_address", F.to_date("created_at").alias("day"), "created_at")
+    sketches = written(A.visitor_sketches(q))
+    found = A.visitors_in_windows(sketches, sketches.select(F.col("day").alias("end")))
+    seen = q.select("ip_address", "day").distinct()
+    ends = sketches.select(F.col("day").alias("end")).crossJoin(F.broadcast(q.sparkSession.createDataFrame([(7,), (30,), (90,)], "days int")))  # three rows
+    named = ends.select("end", "days", F.explode(F.sequence(F.date_sub("end", F.col("days") - 1), F.col("end"))).alias("day"))
+    exact = named.join(seen, "day").groupBy("end", "days").agg(F.count_distinct("ip_address").alias("exact"))
+    rows = found.join(exact, ["end", "days"])
+    # five standard errors of 2 ** 12 buckets
+    return rows.select("end", "days", "questions", "exact", (F.abs(F.col("visitors") - F.col("exact")) <= 0.5 + 5 * 0.01625 * F.col("exact")).alias("near"))
+
+
+query("a34_visitors_in_windows", "questions", """
+, d AS (SELECT created_at::DATE AS day, ip_address FROM questions), e AS (SELECT DISTINCT day AS "end" FROM d)
+SELECT "end", n::INTEGER AS days, count(*) AS questions, count(DISTINCT ip_address) AS exact, true AS near
+FROM e, (VALUES (7), (30), (90)) w(n) JOIN d ON d.day <= "end" AND d.day > "end" - n::INTEGER GROUP BY 1, 2""")(_windows)
 query("a35_category_performance", "knowledge categories", f"""
 SELECT c.id AS category_id, c.name, count(*) AS entries, sum(hits)::BIGINT AS hits, round(avg(CASE WHEN helpful_yes + helpful_no > 0 THEN {rate('helpful_yes', '(helpful_yes + helpful_no)')} END), 1) AS rating
 FROM knowledge k JOIN categories c ON c.id = k.category_id GROUP BY 1, 2""")(A.category_performance)

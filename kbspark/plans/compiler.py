@@ -124,7 +124,7 @@ _WORDS_AND_BASE = "match_kb match_questions"
 def _route(s, d):
     """The log's questions by their matches; every third has chunks, and for half of these an answer was made."""
     asked = projection(s, d, "match_questions").select("id", "question")
-    return E.bulk_route(asked, K.find_matches(asked, projection(s, d, "match_kb")), asked.where("id % 3 = 0"), asked.where("id % 2 = 0").selectExpr("id", "id % 4 = 0 as answered"))
+    return E.bulk_route(asked, K.find_matches(asked, projection(s, d, "match_kb"), dictionary=PT.dictionary(s, d)), asked.where("id % 3 = 0"), asked.where("id % 2 = 0").selectExpr("id", "id % 4 = 0 as answered"))
 
 
 register("e4_bulk_route", _route, PT.MATCHED + """
@@ -136,14 +136,14 @@ SELECT question, max(answer) FILTER (status = 'promoted') AS first, max(answer)
 
 
 def _roundtrip(s, d):
-    asked = projection(s, d, "match_questions").where("id % 4 in (0, 1)")
+    asked = projection(s, d, "match_questions")
     part = table(s, d, "part").select(F.col("p_partkey").alias("true_part"), F.concat(F.lit("about the "), F.col("p_name")).alias("kq"))
     kb = projection(s, d, "match_kb").select(F.col("id").alias("entry_id"), F.col("question").alias("kq"))
     own = asked.join(part, "true_part").join(kb, "kq").select("id", "question", (F.col("entry_id") + F.when(F.col("id") % 10 == 0, 1).otherwise(0)).alias("entry_id"))
-    return E.roundtrip_report(own, K.find_matches(own.select("id", "question"), projection(s, d, "match_kb"), min_score=100))
+    return E.roundtrip_report(own, K.find_matches(own.select("id", "question"), projection(s, d, "match_kb"), min_score=100, dictionary=PT.dictionary(s, d)))
 
 
-register("e6_roundtrip_report", _roundtrip, PT.MATCHED + """, own AS (SELECT q.id, q.question, e.id + CASE WHEN q.id % 10 = 0 THEN 1 ELSE 0 END AS entry_id FROM match_questions q JOIN part p ON p.p_partkey = q.true_part JOIN match_kb e ON e.question = 'about the ' || p_name WHERE q.id % 4 IN (0, 1)),
+register("e6_roundtrip_report", _roundtrip, PT.MATCHED + """, own AS (SELECT q.id, q.question, e.id + CASE WHEN q.id % 10 = 0 THEN 1 ELSE 0 END AS entry_id FROM match_questions q JOIN part p ON p.p_partkey = q.true_part JOIN match_kb e ON e.question = 'about the ' || p_name),
 ms AS (SELECT question, entry_id, score, place FROM every WHERE score >= 100 AND place <= 5), bs AS (SELECT question, max(score) AS best FROM ms GROUP BY 1), tp AS (SELECT question, best, list(entry_id ORDER BY place) AS l FROM ms JOIN bs USING (question) WHERE score = best GROUP BY 1, 2),
 bu AS (SELECT own.id, own.entry_id, CASE WHEN list_contains(l, own.entry_id) AND len(l) = 1 THEN 'top' WHEN list_contains(l, own.entry_id) THEN 'tied' WHEN (own.question, own.entry_id) IN (SELECT (question, entry_id) FROM ms) THEN 'listed' ELSE 'missing' END AS bucket,
   coalesce(best, 0) AS score, list_filter(l, lambda x: x <> own.entry_id)[1] AS top_entry FROM own LEFT JOIN tp ON tp.question = own.question)

@@ -8,6 +8,7 @@ from kbspark.functions import text as X
 from kbspark.operators import fulltext as FT
 from kbspark.operators import indexing as I
 from kbspark.operators import retrieval as R
+from kbspark.operators import vectors as V
 from kbspark.plans.fixtures import projection, table, with_projections
 from kbspark.sources.tables import written
 
@@ -43,18 +44,26 @@ def _linked(s, d):
 register("i3_extract_links", lambda s, d: I.extract_links(_linked(s, d)), """
 WITH p AS (SELECT url, page_id, regexp_extract(url, '^[^:]+://[^/?#]+') AS root, regexp_extract(url, '^([^:]+://[^?#]*/)', 1) AS folder FROM pages), k AS (SELECT page_id, root || '/own/' || page_id || '?x=1' AS link FROM p UNION ALL SELECT page_id, folder || 'next' || page_id || '.html' FROM p)
 SELECT DISTINCT page_id, link FROM k""")
-register("i4_crawl_frontier", lambda s, d: I.crawl_frontier(*_graph(s, d)), """
-WITH l AS (SELECT DISTINCT l_orderkey AS url, l_partkey AS link FROM lineitem), s AS (SELECT 1 AS url),
-a AS (SELECT DISTINCT link AS url FROM l WHERE url IN (SELECT url FROM s) AND link NOT IN (SELECT url FROM s)),
-b AS (SELECT DISTINCT link AS url FROM l WHERE url IN (SELECT url FROM a) AND link NOT IN (SELECT url FROM s UNION SELECT url FROM a))
-SELECT url::BIGINT AS url, 0 AS depth FROM s UNION ALL SELECT url, 1 FROM a UNION ALL SELECT url, 2 FROM b""")
-
-
 def _graph(s, d):
-    links = table(s, d, "lineitem").select(F.col("l_orderkey").alias("url"), F.col("l_partkey").alias("link")).distinct()
-    return links, s.range(1, 2).select(F.col("id").alias("url"))
-
-
+    """Orders link to their parts; of every second link the url is written in another way. A crawl starts from each nation's number."""
+    site = F.lit("https://site.example/")
+    odd = F.concat(F.lit("HTTPS://Site.Example:443/"), F.col("l_partkey"), F.lit("/#part"))
+    link = F.when(F.col("l_linenumber") % 2 == 0, odd).otherwise(F.concat(site, "l_partkey"))
+    links = table(s, d, "lineitem").select(F.concat(site, "l_orderkey").alias("url"), link.alias("link"), F.col("l_linenumber").alias("place"))
+    pages = table(s, d, "part").where("p_size % 11 <> 0").select(F.concat(site, "p_partkey").alias("url"))
+    seeds = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("job"), F.concat(site, F.col("n_nationkey") + 1).alias("url"))
+    return links, seeds, pages
+
+
+register("i4_crawl_frontier", lambda s, d: I.crawl_frontier(*_graph(s, d), most=12), """
+WITH l AS (SELECT l_orderkey AS url, l_partkey AS link, min(l_linenumber) AS pos FROM lineitem GROUP BY 1, 2), p AS (SELECT p_partkey AS url FROM part WHERE p_size % 11 <> 0),
+s AS (SELECT n_nationkey AS job, n_nationkey + 1 AS url, 0 AS depth, 1 AS place FROM nation WHERE n_nationkey + 1 IN (SELECT url FROM p)),
+a AS (SELECT job, url, 1 AS depth, 1 + count(*) OVER (PARTITION BY job ORDER BY first) AS place FROM (
+  SELECT s.job, l.link AS url, min((place, pos)) AS first FROM s JOIN l USING (url) WHERE l.link IN (SELECT url FROM p) AND l.link <> s.url GROUP BY 1, 2)),
+f AS (SELECT * FROM s UNION ALL SELECT * FROM a WHERE place <= 12), n AS (SELECT job, max(place) AS taken FROM f GROUP BY 1),
+b AS (SELECT job, url, 2 AS depth, taken + count(*) OVER (PARTITION BY job ORDER BY first) AS place FROM (
+  SELECT a.job, l.link AS url, min((place, pos)) AS first FROM a JOIN l USING (url) WHERE a.place <= 12 AND l.link IN (SELECT url FROM p) AND (a.job, l.link) NOT IN (SELECT (job, url) FROM f) GROUP BY 1, 2) JOIN n USING (job))
+SELECT job::BIGINT AS job, 'https://site.example/' || url AS url, depth, place::INTEGER AS place FROM (SELECT * FROM f UNION ALL SELECT * FROM b WHERE place <= 12)""")
 register("i5_chunk_text", lambda s, d: I.chunk_text(_page_texts(s, d)))
 register("i6_incremental_reindex", lambda s, d: I.reindex_plan(table(s, d, "documents").select(F.col("doc_id").alias("source_id"), "text"), _stored(s, d)), """
 WITH c AS (SELECT doc_id AS source_id, trim(text, ' ') AS t FROM documents), w AS (SELECT doc_id AS source_id, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE sha256(trim(text, ' ')) END AS was FROM documents WHERE doc_id % 5 > 0)
@@ -102,12 +111,27 @@ register("r1_fulltext_topk", lambda s, d: FT.fulltext_topk(_chunks(s, d), _asked
 
 def _vectors(s, d):
     rows = projection(s, d, "vector_chunks").where("content_type = 'chunk' and (source_namespace = 'source' or source_namespace is null) and is_current")
-    return R.vector_topk(rows.select(F.col("content_id").alias("chunk_id"), "embedding"), projection(s, d, "vector_queries"))
+    return V.vector_topk(rows.select(F.col("content_id").alias("chunk_id"), "embedding"), projection(s, d, "vector_queries"))
+
+
+def _recall(s, d):
+    """Of each query's 20 nearest, how many the inverted lists find; with all lists probed all of them."""
+    rows = projection(s, d, "vector_chunks").where("content_type = 'chunk' and is_current").select(F.col("content_id").alias("chunk_id"), "embedding")
+    asked = projection(s, d, "vector_queries")
+    exact = V.vector_topk(rows, asked).select("query_id", "chunk_id")
+    lists = V.learn_lists(rows, 64)
+    found = V.vector_ann(rows, asked, lists=64, probes=44, centres=lists).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    every = V.vector_ann(rows, asked, lists=64, probes=64, centres=lists).select("query_id", "chunk_id", F.lit(1).alias("every"))
+    out = exact.join(found, ["query_id", "chunk_id"], "left").join(every, ["query_id", "chunk_id"], "left")
+    out = out.groupBy("query_id").agg(F.count("*").alias("nearest"), F.count("found").alias("found"), F.count("every").alias("every"))
+    return out.agg(F.count("*").alias("queries"), F.sum("nearest").alias("nearest"), F.sum("every").alias("every"), (F.sum("found") >= 0.9 * F.sum("nearest")).alias("enough"))
 
 
 _VECTOR = """, v AS (SELECT query_id, content_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS similarity FROM vector_queries q JOIN vector_chunks c
   ON content_type = 'chunk' AND (source_namespace = 'source' OR source_namespace IS NULL) AND is_current),
 vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id)::INTEGER AS rank FROM v) WHERE rank <= 20)"""
+register("r2_vector_ann", _recall, """, q AS (SELECT count(*) AS n FROM vector_queries), v AS (SELECT count(*) AS n FROM vector_chunks WHERE content_type = 'chunk' AND is_current)
+SELECT q.n AS queries, (q.n * least(20, v.n))::BIGINT AS nearest, (q.n * least(20, v.n))::BIGINT AS every, true AS enough FROM q, v""", "vector_queries vector_chunks")
 register("r2_vector_topk", _vectors, _VECTOR + " SELECT * FROM vt", "vector_queries vector_chunks")
 
 

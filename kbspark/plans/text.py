@@ -150,15 +150,18 @@ def _register(name: str, f, sql: str | None = None):
         ORACLES[name] = with_projections("match_kb match_questions", sql)
 
 
-def _matches(spark, folder, **more):
-    return K.find_matches(projection(spark, folder, "match_questions"), projection(spark, folder, "match_kb"), **more)
+def matches(spark, folder, **more):
+    """The log's questions against the base, with base forms and spelling."""
+    return K.find_matches(projection(spark, folder, "match_questions"), projection(spark, folder, "match_kb"), dictionary=dictionary(spark, folder), **more)
 
 
 #: For this log and base SQL can say what matches: the entry's keyword and pattern are whole words of the question.
-_W = """, w AS (SELECT DISTINCT question, unnest(string_split_regex(regexp_replace(lower(question), '[^a-z ]', '', 'g'), '\\s+')) AS w FROM match_questions),
+_PLAIN = """, w AS (SELECT DISTINCT question, unnest(string_split_regex(regexp_replace(lower(question), '[^a-z ]', '', 'g'), '\\s+')) AS w FROM match_questions),
 b AS (SELECT DISTINCT question, CASE WHEN length(w) > 4 AND w LIKE '%s' AND left(w, length(w) - 1) IN (SELECT keyword FROM match_kb) THEN left(w, length(w) - 1) ELSE w END AS w FROM w),
 m AS (SELECT k.question, e.id AS entry_id, 110 AS score, e.hits FROM b k JOIN match_kb e ON e.keyword = k.w JOIN b s ON s.question = k.question AND s.w = e.sub_keyword),
 g AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, hits DESC, entry_id)::INTEGER AS place FROM m)"""
+#: With base forms the plural of a word of three letters matches, too.
+_W = _PLAIN.replace("length(w) > 4", "length(w) > 3")
 #: All tiers: the strong matches above, and for what has none the entries that hold one of its words anywhere.
 MATCHED = _W + """,
 bw AS (SELECT DISTINCT question, unnest([x FOR x IN string_split_regex(lower(trim(question)), '\\s+') IF length(x) >= 3]) AS w FROM match_questions WHERE question NOT IN (SELECT question FROM m)),
@@ -167,25 +170,17 @@ br AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY hits DESC, en
 every AS (SELECT question, entry_id, score, place FROM g WHERE place <= 5 UNION ALL SELECT question, entry_id, 50, place FROM br WHERE place <= 5)
 """
 
-#: With base forms the plural of a word of three letters matches, too.
-FULL = MATCHED.replace("length(w) > 4", "length(w) > 3")
-
-
-def _dictionary(s, d):
+def dictionary(s, d):
     """The words of the base, and those that are used twenty times or more in the log."""
     kb = projection(s, d, "match_kb").select(F.explode(F.split(F.lower("question"), "[^a-z]+")).alias("word"), F.col("id").alias("ord"))
     log = projection(s, d, "match_questions").select(F.explode(T.tokenize(T.normalize_question(F.col("question")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 20").select("word", F.lit(1 << 40).alias("ord"))
     return kb.union(log).where("word <> ''").groupBy("word").agg(F.min("ord").alias("ord"))
 
 
-def _full_matches(s, d):
-    return _matches(s, d, dictionary=_dictionary(s, d))
-
-
-_register("k7_find_matches", _full_matches, FULL + " SELECT q.id, entry_id, score, place FROM match_questions q JOIN every ON every.question = q.question")
-_register("k13_build_question_log", lambda s, d: K.question_log(projection(s, d, "match_questions").select("id", "question"), _full_matches(s, d)).select("id", "entry_id", "match_type", "layer1_strong"),
-          FULL + " SELECT q.id, entry_id, CASE WHEN score IS NULL THEN 'none' WHEN score >= 90 THEN 'exact' ELSE 'partial' END AS match_type, coalesce(score > 50, false) AS layer1_strong FROM match_questions q LEFT JOIN every ON every.question = q.question AND place = 1")
-_register("k6_broad_search", lambda s, d: _matches(s, d).where("score = 50").select("id", "entry_id", "place"), MATCHED + " SELECT q.id, entry_id, place FROM match_questions q JOIN every ON every.question = q.question WHERE score = 50")
+_register("k7_find_matches", matches, MATCHED + " SELECT q.id, entry_id, score, place FROM match_questions q JOIN every ON every.question = q.question")
+_register("k13_build_question_log", lambda s, d: K.question_log(projection(s, d, "match_questions").select("id", "question"), matches(s, d)).select("id", "entry_id", "match_type", "layer1_strong"),
+          MATCHED + " SELECT q.id, entry_id, CASE WHEN score IS NULL THEN 'none' WHEN score >= 90 THEN 'exact' ELSE 'partial' END AS match_type, coalesce(score > 50, false) AS layer1_strong FROM match_questions q LEFT JOIN every ON every.question = q.question AND place = 1")
+_register("k6_broad_search", lambda s, d: matches(s, d).where("score = 50").select("id", "entry_id", "place"), MATCHED + " SELECT q.id, entry_id, place FROM match_questions q JOIN every ON every.question = q.question WHERE score = 50")
 
 
 def _asked(s, d):
@@ -247,14 +242,73 @@ SELECT tk.token, CASE WHEN tk.token = 'hello' THEN 'hi' WHEN tk.token = 'plate'
 def _truth(s, d):
     kb = projection(s, d, "match_kb").select(F.col("id").alias("entry_id"), F.col("question").alias("kq"))
     part = table(s, d, "part").select(F.col("p_partkey").alias("true_part"), F.concat(F.lit("about the "), F.col("p_name")).alias("kq"))
-    return projection(s, d, "match_questions").where("id % 4 in (0, 1)").join(part, "true_part").join(kb, "kq").select("id", "entry_id")
+    return projection(s, d, "match_questions").join(part, "true_part").join(kb, "kq").select("id", "entry_id")
 
 
-_T = _W + """, t AS (SELECT q.id, q.question, e.id AS entry_id, e.keyword FROM match_questions q JOIN part p ON p.p_partkey = q.true_part JOIN match_kb e ON e.question = 'about the ' || p_name WHERE q.id % 4 IN (0, 1)),
+_T = _W + """, t AS (SELECT q.id, q.question, e.id AS entry_id, e.keyword FROM match_questions q JOIN part p ON p.p_partkey = q.true_part JOIN match_kb e ON e.question = 'about the ' || p_name),
 v AS (SELECT t.keyword, CASE WHEN g.entry_id IS NULL THEN 'no_match' WHEN g.entry_id = t.entry_id THEN 'correct' ELSE 'wrong_entry' END AS bucket FROM t LEFT JOIN g ON g.question = t.question AND g.place = 1)"""
-_register("e1_eval_recall_at_1", lambda s, d: K.eval_recall(_matches(s, d, min_score=100), _truth(s, d)).groupBy("bucket").agg(F.count("*").alias("n")), _T + " SELECT bucket, count(*) AS n FROM v GROUP BY 1")
-_register("e2_eval_per_keyword", lambda s, d: K.eval_recall(_matches(s, d, min_score=100), _truth(s, d)).join(projection(s, d, "match_kb").select(F.col("id").alias("entry_id"), "keyword"), "entry_id").groupBy("keyword").agg(F.count("*").alias("total"), F.count(F.when(F.col("bucket") == "correct", 1)).alias("correct")),
-          _T + " SELECT keyword, count(*) AS total, count(*) FILTER (bucket = 'correct') AS correct FROM v GROUP BY 1")
+def _judged(s, d):
+    return K.eval_recall(matches(s, d, min_score=100), _truth(s, d), projection(s, d, "match_kb"))
+
+
+_register("e1_eval_recall_at_1", lambda s, d: _judged(s, d).groupBy("bucket").agg(F.count("*").alias("n")), _T + " SELECT bucket, count(*) AS n FROM v GROUP BY 1")
+_register("e2_eval_per_keyword", lambda s, d: K.eval_per_keyword(_judged(s, d), projection(s, d, "match_kb")), _T + """,
+k AS (SELECT keyword, count(*) AS total, count(*) FILTER (bucket = 'correct') AS correct, round(100.0::DOUBLE * count(*) FILTER (bucket = 'correct') / count(*), 1) AS percent FROM v GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY percent, total DESC, keyword)::INTEGER AS n FROM k)
+SELECT keyword, total, correct, percent, CASE WHEN n <= 10 THEN n END AS worst FROM r""")
+_register("e2_eval_failures", lambda s, d: K.eval_failures(_judged(s, d)), _T + """
+SELECT t.id, t.entry_id, g.entry_id AS got, CASE WHEN g.entry_id IS NULL THEN 'no_match' ELSE 'wrong_entry' END AS bucket
+FROM t LEFT JOIN g ON g.question = t.question AND g.place = 1 WHERE g.entry_id IS DISTINCT FROM t.entry_id""")
+
+
+def _pointing(s, d):
+    """The base, of which every fifth entry is served with the response of another one of its keyword, if there is one."""
+    return projection(s, d, "match_kb").withColumns({"reuse_response": (F.col("id") % 5 == 0).cast("int"), "reuse_keyword": F.col("keyword"), "reuse_sub_keyword": F.lit("red")})
+
+
+_register("k7_matches_with_responses", lambda s, d: K.with_responses(matches(s, d), _pointing(s, d)), MATCHED + """,
+t AS (SELECT keyword, min(id) AS id, arg_min(response, id) AS response FROM match_kb WHERE sub_keyword = 'red' GROUP BY 1)
+SELECT q.id, entry_id, score, place, CASE WHEN e.id % 5 = 0 AND t.id IS NOT NULL THEN t.response ELSE e.response END AS response, CASE WHEN e.id % 5 = 0 THEN t.id END AS reused_from
+FROM match_questions q JOIN every ON every.question = q.question JOIN match_kb e ON e.id = entry_id LEFT JOIN t ON t.keyword = e.keyword""")
+
+
+def _stepped(s, d):
+    """No greetings are searched for, and problems as questions about red things; of the results the first two count."""
+    before = lambda q: q.where(~F.startswith("question", F.lit("hello"))).withColumn("question", F.regexp_replace("question", " problem$", " red"))
+    after = lambda found: found.where((F.col("place") <= 2) & ~F.startswith("question", F.lit("I dont")))
+    return matches(s, d, min_score=100, before_search=before, search_results=after)
+
+
+_register("k7_search_steps", _stepped, _W + """,
+r AS (SELECT q.question, e.id AS entry_id, 110 AS score, row_number() OVER (PARTITION BY q.question ORDER BY e.hits DESC, e.id)::INTEGER AS place FROM (SELECT DISTINCT question FROM match_questions WHERE question LIKE '% problem') q JOIN match_kb e ON e.sub_keyword = 'red' AND e.keyword = split_part(q.question, ' ', 1))
+SELECT q.id, entry_id, score, place FROM match_questions q JOIN (SELECT question, entry_id, score, place FROM g WHERE question NOT LIKE '% problem' UNION ALL SELECT * FROM r) x ON x.question = q.question
+WHERE place <= 2 AND q.question NOT LIKE 'hello%' AND q.question NOT LIKE 'I dont%'""")
+
+
+def _own_words(s, d):
+    made = s.createDataFrame([("problems",), ("greatest",), ("fastening",), ("enroll",)], "word string")
+    return K.base_words(projection(s, d, "match_kb")).union(made)
+
+
+def _beside(s, d):
+    """Words of the log, and the base's own cut just over and under the limit and made longer, as well as some that have synonyms."""
+    from kbspark.operators.language import beside_base, covered
+
+    asked = projection(s, d, "match_questions").select(F.explode(T.tokenize(T.normalize_question(F.col("question")))).alias("token"))
+    w, n = F.col("word"), F.ceil(F.length("word") * 0.8).cast("int")
+    made = _own_words(s, d).select(F.explode(F.array(F.left(w, n), F.left(w, n - 1), F.concat(w, F.lit("s")), F.concat(w, F.lit("ment")))).alias("token"))
+    more = s.createDataFrame([("problem",), ("great",), ("fast",), ("enrollment",), ("trouble",)], "token string")
+    tokens = asked.union(made).union(more).where("token <> ''").distinct()
+    base = _own_words(s, d)
+    out = beside_base(tokens, base).join(covered(tokens, base).withColumn("own", F.lit(True)), "token", "left")
+    return out.select("token", "word", F.coalesce("own", F.lit(False)).alias("own"))
+
+
+_register("t6_synonyms_beside_base", _beside, f""", b AS (SELECT DISTINCT w FROM (SELECT unnest([keyword, sub_keyword]) AS w FROM match_kb UNION ALL SELECT unnest(['problems', 'greatest', 'fastening', 'enroll']))),
+k AS (SELECT DISTINCT t FROM (SELECT unnest({_TOKENS}) AS t FROM (SELECT question AS q FROM match_questions) UNION ALL SELECT left(w, ceil(length(w) * 0.8)::INTEGER) FROM b UNION ALL SELECT left(w, ceil(length(w) * 0.8)::INTEGER - 1) FROM b
+  UNION ALL SELECT w || 's' FROM b UNION ALL SELECT w || 'ment' FROM b UNION ALL SELECT unnest(['problem', 'great', 'fast', 'enrollment', 'trouble'])) WHERE t <> ''),
+o AS (SELECT t, EXISTS (SELECT 1 FROM b WHERE w = t OR (length(w) >= 4 AND length(t) >= 4 AND ((starts_with(w, t) AND length(t) >= 0.8 * length(w)) OR (starts_with(t, w) AND length(w) >= 0.8 * length(t))))) AS own FROM k)
+SELECT t AS token, CASE WHEN own THEN t ELSE coalesce({SYNONYM}[t], t) END AS word, own FROM o""")
 
 
 def _texts(s, d):
@@ -263,7 +317,7 @@ def _texts(s, d):
 
 
 _register("k1_keyword_candidates", lambda s, d: K.keyword_candidates(_texts(s, d), K.compiled(projection(s, d, "match_kb"))).join(_texts(s, d), "qid").select("question", "id"),
-          _W + " SELECT DISTINCT b.question, e.id FROM b JOIN match_kb e ON e.keyword = b.w")
+          _PLAIN + " SELECT DISTINCT b.question, e.id FROM b JOIN match_kb e ON e.keyword = b.w")
 
 
 def _plain_words(s, d):
@@ -274,7 +328,7 @@ def _plain_words(s, d):
 
 def _unmatched(s, d):
     """Those of them without a strong match."""
-    matched = _matches(s, d, min_score=100).select("id").distinct().join(projection(s, d, "match_questions").select("id", "question"), "id").select("question").distinct()
+    matched = matches(s, d, min_score=100).select("id").distinct().join(projection(s, d, "match_questions").select("id", "question"), "id").select("question").distinct()
     return _plain_words(s, d).join(matched, "question", "left_anti")
 
 
@@ -288,14 +342,14 @@ sg AS (SELECT question, suggestion, max(hits) AS hits FROM sr WHERE k <= 3 GROUP
 
 def _best(s, d):
     q = projection(s, d, "match_questions").select("id", F.xxhash64("question").alias("qid"))
-    return _matches(s, d, min_score=100).where("place = 1").join(q, "id").select("qid", F.col("entry_id").alias("id")).distinct()
+    return matches(s, d, min_score=100).where("place = 1").join(q, "id").select("qid", F.col("entry_id").alias("id")).distinct()
 
 
 _register("k10_related_questions", lambda s, d: K.related_questions(_plain_words(s, d), projection(s, d, "match_kb"), _best(s, d)).join(_plain_words(s, d), "qid").select("question", "id", "points", "place"), _W + _PW + """,
 rw AS (SELECT question, unnest(words) AS w FROM pw), rp AS (SELECT rw.question, e.id, e.keyword, e.hits, sum(CASE WHEN e.keyword = w THEN 10 WHEN contains(e.keyword, w) THEN 5 ELSE 0 END + CASE WHEN contains(e.sub_keyword, w) THEN 2 ELSE 0 END) AS n FROM rw JOIN match_kb e ON contains(e.keyword, w) OR contains(e.sub_keyword, w) WHERE length(w) >= 3 GROUP BY 1, 2, 3, 4),
 rs AS (SELECT *, round(n + log10(greatest(1, hits) + 1), 9) AS points FROM rp WHERE n >= 3 AND (question, id) NOT IN (SELECT (question, entry_id) FROM g WHERE place = 1)), rk AS (SELECT *, row_number() OVER (PARTITION BY question, keyword ORDER BY points DESC, id) AS k FROM rs)
 SELECT question, id, points, place FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY points DESC, id)::INTEGER AS place FROM rk WHERE k <= 2) WHERE place <= 5""")
-_register("k11_explain_match", lambda s, d: (lambda pairs: K.explain_match(pairs).select("question", "id", "keyword_matched", "matched", "status"))(K.keyword_candidates(_plain_words(s, d), K.compiled(projection(s, d, "match_kb"))).join(_plain_words(s, d), "qid").join(projection(s, d, "match_kb").select("id", "keyword", F.concat("sub_keyword", F.lit("|zzz&"), F.col("keyword")).alias("sub_keyword")), "id")), _W + """
+_register("k11_explain_match", lambda s, d: (lambda pairs: K.explain_match(pairs).select("question", "id", "keyword_matched", "matched", "status"))(K.keyword_candidates(_plain_words(s, d), K.compiled(projection(s, d, "match_kb"))).join(_plain_words(s, d), "qid").join(projection(s, d, "match_kb").select("id", "keyword", F.concat("sub_keyword", F.lit("|zzz&"), F.col("keyword")).alias("sub_keyword")), "id")), _PLAIN + """
 SELECT k.question, e.id, true AS keyword_matched, s.w IS NOT NULL AS matched, '(' || e.sub_keyword || CASE WHEN s.w IS NOT NULL THEN '+' ELSE '-' END || ') or (zzz- and ' || e.keyword || '+)' AS status
 FROM (SELECT DISTINCT question, w FROM b) k JOIN match_kb e ON e.keyword = k.w LEFT JOIN (SELECT DISTINCT question, w FROM b) s ON s.question = k.question AND s.w = e.sub_keyword""")
 _register("k2_term_matches", lambda s, d: table(s, d, "part").select(F.col("p_partkey"), K.term_matches(F.split("p_name", " ")[0], F.expr("element_at(array('*', 'r*', '*e', '*an*', 'red', 'b*e', 'blue'), cast(p_partkey % 7 as int) + 1)")).alias("value")), """
