@@ -139,7 +139,7 @@ def crawl_frontier(links: DataFrame, seeds: DataFrame, pages: DataFrame | None =
 
     links(url, link, place): a page's links in their order; pages(url): those that can be had (all if not given), others are passed
     over and their links not followed. Urls are the same if they are the same normalised. A page is found at its least depth; pages of one
-    depth come in the order in which they were first linked: by the place of the linking page, then that of the link.
+    depth come in the order in which they were first linked: by the place of the linking page, then that of the link, then by url.
     Levels are written one by one, and the crawl ends with the first that is empty; a level has at most `most` rows a job.
     """
     same = lambda c: X.normalise_url(F.col(c))
@@ -154,7 +154,7 @@ def crawl_frontier(links: DataFrame, seeds: DataFrame, pages: DataFrame | None =
         if before is not None:
             found = found.join(before.groupBy("job").agg(F.max("place").alias("taken")), "job")
             taken = F.col("taken")
-        place = taken + F.row_number().over(Window.partitionBy("job").orderBy("first"))
+        place = taken + F.row_number().over(Window.partitionBy("job").orderBy("first", "url"))
         return written(found.withColumn("place", place.cast("int")).where(F.col("place") <= most).select("job", "url", F.lit(d).alias("depth"), "place"))
 
     out = last = level(seeds.groupBy("job", same("url").alias("url")).agg(F.min("url").alias("first")), None, 0)

@@ -58,10 +58,10 @@ def _graph(s, d):
 register("i4_crawl_frontier", lambda s, d: I.crawl_frontier(*_graph(s, d), most=12), """
 WITH l AS (SELECT l_orderkey AS url, l_partkey AS link, min(l_linenumber) AS pos FROM lineitem GROUP BY 1, 2), p AS (SELECT p_partkey AS url FROM part WHERE p_size % 11 <> 0),
 s AS (SELECT n_nationkey AS job, n_nationkey + 1 AS url, 0 AS depth, 1 AS place FROM nation WHERE n_nationkey + 1 IN (SELECT url FROM p)),
-a AS (SELECT job, url, 1 AS depth, 1 + count(*) OVER (PARTITION BY job ORDER BY first) AS place FROM (
+a AS (SELECT job, url, 1 AS depth, 1 + count(*) OVER (PARTITION BY job ORDER BY first, url::VARCHAR) AS place FROM (
   SELECT s.job, l.link AS url, min((place, pos)) AS first FROM s JOIN l USING (url) WHERE l.link IN (SELECT url FROM p) AND l.link <> s.url GROUP BY 1, 2)),
 f AS (SELECT * FROM s UNION ALL SELECT * FROM a WHERE place <= 12), n AS (SELECT job, max(place) AS taken FROM f GROUP BY 1),
-b AS (SELECT job, url, 2 AS depth, taken + count(*) OVER (PARTITION BY job ORDER BY first) AS place FROM (
+b AS (SELECT job, url, 2 AS depth, taken + count(*) OVER (PARTITION BY job ORDER BY first, url::VARCHAR) AS place FROM (
   SELECT a.job, l.link AS url, min((place, pos)) AS first FROM a JOIN l USING (url) WHERE a.place <= 12 AND l.link IN (SELECT url FROM p) AND (a.job, l.link) NOT IN (SELECT (job, url) FROM f) GROUP BY 1, 2) JOIN n USING (job))
 SELECT job::BIGINT AS job, 'https://site.example/' || url AS url, depth, place::INTEGER AS place FROM (SELECT * FROM f UNION ALL SELECT * FROM b WHERE place <= 12)""")
 register("i5_chunk_text", lambda s, d: I.chunk_text(_page_texts(s, d)))
