@@ -50,26 +50,53 @@ _NAMES = frozenset(
     " cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related"
     " recommended breadcrumb breadcrumbs menu nav navbar navigation footer header masthead topbar toolbar pagination pager widget skip search".split()
 )
+#: Those of them that are noise wherever they stand, inside an article, too.
+_ALWAYS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored comment comments disqus respond replies cookie cookies consent gdpr newsletter subscribe subscription signup".split()
+)
+#: What stands beside such a word in a name and tells nothing of the content.
+_BESIDE = frozenset(
+    "area bar block body bottom box btn button buttons center col column container content desktop fixed float form global group holder icons inline inner item items large left line link links list lists"
+    " main mobile module mpu outer page panel placeholder post primary reader readers right row secondary section site slot small sticky text thread title top unit user users wrap wrapper zone".split()
+)
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
+CONTENT, NOISE, MAYBE = 0, 1, 2
+
+
+def _by_name(tag: str, values: dict[str, str], inside_article: bool) -> int:
+    """What class names and ids say of an element.
+
+    Ids of headings, paragraphs and other parts of a text come from what they say, and are not asked. A name is noise if each of its
+    words is, or tells nothing; inside an article only if one of them always is. Other names with such a word
+    at the beginning or end leave it to the element's content."""
+    found = CONTENT
+    names = values.get("class", "").split() + ([] if tag in _LEAVES else values.get("id", "").split())
+    for name in names:
+        words = [x for x in _NAME_PARTS.split(name) if x and not x.isdigit()]
+        if not words or words[0] in ("has", "with", "no", "is") or not {words[0], words[-1]} & _NAMES:
+            continue
+        whole = all(x in _NAMES or x in _BESIDE or x[:1].isdigit() for x in words)
+        if inside_article and "header" in (words[0], words[-1]):
+            continue  # an article's own heading
+        if whole and not (inside_article and (tag in _LEAVES or not _ALWAYS.intersection(words))):
+            return NOISE
+        if tag not in _LEAVES:
+            found = MAYBE
+    return found
 
 
-def _is_noise(tag: str, attributes: str, inside_article: bool) -> bool:
+def _is_noise(tag: str, attributes: str, inside_article: bool) -> int:
+    """NOISE for what is never content; MAYBE for what is not if it is mostly links, or a form."""
     if tag in _DROPPED or tag == "header" and not inside_article:
-        return True
+        return NOISE
     if "=" not in attributes and "hidden" not in attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return CONTENT
     values = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
     if re.search(r"(?:^|\s)hidden(?:[\s/>]|$)", attributes) or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", values.get("style", "")):
-        return True
+        return NOISE
     if values.get("role") in _ROLES:
-        return True
-    for name in f"{values.get('class', '')} {values.get('id', '')}".split():
-        parts = [x for x in _NAME_PARTS.split(name) if x]
-        if parts and parts[0] not in ("has", "with", "no", "is") and (parts[0] in _NAMES or parts[-1] in _NAMES):
-            if inside_article and {parts[0], parts[-1]} & {"header"}:
-                continue  # an article's own heading
-            return True
-    return False
+        return NOISE
+    return _by_name(tag, values, inside_article)
 
 
 class _Open:
@@ -103,7 +130,7 @@ class _Tree:
     """Nodes in page order; parts: (node, text), the text runs in page order, with None where a block starts or ends."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.noise = ["#root"], [-1], [False]
+        self.tag, self.parent, self.noise = ["#root"], [-1], [CONTENT]
         self.parts: list[tuple[int, str | None]] = []
         stack, at, last = _Open(), 0, page.rfind(">")
         in_article = [False]  # whether a node is inside an article or main element, or is one
@@ -157,6 +184,29 @@ class _Tree:
             stack.cut(place)
 
 
+def _dead(tree: _Tree) -> list[bool]:
+    """Whether a node is noise or within some. An element whose name leaves it open is if half of its text or more is links, or it has a form."""
+    n = len(tree.tag)
+    chars, linked, forms, in_link = [0] * n, [0] * n, [0] * n, [False] * n
+    for i in range(1, n):
+        in_link[i] = tree.tag[i] == "a" or in_link[tree.parent[i]]
+        forms[i] = tree.tag[i] in ("form", "input", "select", "textarea")
+    for node, text in tree.parts:
+        if text:
+            length = len(text.strip())
+            chars[node] += length
+            linked[node] += length * in_link[node]
+    for i in range(n - 1, 0, -1):
+        p = tree.parent[i]
+        chars[p] += chars[i]
+        linked[p] += linked[i]
+        forms[p] += forms[i]
+    dead = [False] * n
+    for i in range(1, n):
+        dead[i] = dead[tree.parent[i]] or tree.noise[i] == NOISE or tree.noise[i] == MAYBE and (forms[i] > 0 or linked[i] * 2 >= chars[i])
+    return dead
+
+
 def _densities(tree: _Tree, dead: list[bool]):
     """Density of every node, and the sum of its children's; dead nodes have none."""
     n = len(tree.tag)
@@ -203,9 +253,7 @@ def main_text(page: str | None) -> str:
     n = len(tree.tag)
     if not any(text and not text.isspace() for _, text in tree.parts):
         return ""
-    dead = [False] * n
-    for i in range(1, n):
-        dead[i] = dead[tree.parent[i]] or tree.noise[i]
+    dead = _dead(tree)
     # a form is noise unless it wraps the page
     total = sum(len(x or "") for _, x in tree.parts)
     within = [0] * n

@@ -99,3 +99,24 @@ def test_rows(spark):
     want = {1: "one & two\nthree", None: "one & two\nthree", 2: "", 3: "", 4: ("word " * 100_000).strip(), 5: ""}
     assert len(got) == len(rows) and all(r["main"] == want[r["page_id"]] and r["density"] == "kept" for r in got)
     assert df.limit(0).select(html_text.extract_main_text(F.col("html"))).count() == 0
+
+
+ARTICLE = """<article><h1 id="search">Search</h1><p>{0}</p><h2 id="search-algorithms">Search algorithms</h2><p>{0}</p><h2 id="comments">Comments on method</h2><p>{0}</p>
+<section class="related-work"><h3>Related work</h3><p>{0}</p></section><div class="social-history"><p>Social history. {0}</p></div><section id="menu"><p id="menu">The menu had soup.</p></section>
+<p class="skip-logic">Skip logic is explained.</p><div class="ad-hoc-queries"><p>Ad hoc queries. {0}</p></div>{1}</article>"""
+NOISY = """<div class="ad">Buy now</div><div class="comments-list"><p>First! {0}</p></div><div id="comments"><p>Second! {0}</p></div><div class="cookie-notice">We use cookies</div>
+<ul class="related-posts"><li><a href="/a">Another article</a></li><li><a href="/b">And one more</a></li></ul><div class="social"><a href="/s">Share it</a></div><div class="newsletter-signup"><form><input name="m">Your mail</form></div>"""
+
+
+def test_names_do_not_take_the_articles_own_text():
+    words = "This is a sentence of the article that goes on for some time, and then ends. " * 4
+    for around in ("<body>{}</body>", "<body><nav><a href='/'>Home</a></nav><main>{}</main><footer>Foot</footer></body>", "<body><div id='content'>{}</div></body>"):
+        page = around.format(ARTICLE.format(words, NOISY.format(words)))
+        for wrapped in (page, page.replace("article>", "div>")):
+            # a section named menu is one, unless it is inside an article
+            own = ["The menu had soup."] * ("<article>" in wrapped or "<main>" in wrapped)
+            got = html_text.main_text(f"<html>{wrapped}</html>")
+            for kept in ["Search", "Search algorithms", "Comments on method", "Related work", "Social history.", "Skip logic is explained.", "Ad hoc queries."] + own:
+                assert any(line.startswith(kept) for line in got.split("\n")), kept
+            for gone in ("Buy now", "First!", "Second!", "cookies", "Another article", "Share it", "Your mail", "Home", "Foot"):
+                assert gone not in got, gone
