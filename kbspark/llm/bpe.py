@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -61,6 +62,11 @@ class RankQueue:
                     break
                 rank >>= 6
 
+    def keep(self, rank: int) -> None:
+        """The rank comes up again though no position is queued for it."""
+        self.push(np.array([rank]), np.empty(1, np.int64))
+        self.buckets[rank][-1] = np.empty(0, np.int64)
+
     def pop(self) -> tuple[int, np.ndarray] | None:
         if not self.buckets:
             return None
@@ -132,6 +138,39 @@ class Codec:
             open_ = open_[(hit != keys[open_]) & (hit != np.uint64(2**64 - 1))]
         return found
 
+    def _one_a_piece(self, rank: int, at: np.ndarray, waiting: dict, of_piece: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Of every piece the leftmost place of an early rank: what its merge brings up comes before the next.
+
+        The others wait, in a heap for each piece (sorted places are one as they are), and are not queued again: a place is
+        put down and taken up once, however many there are. at: valid places, sorted; those that wait may have become stale."""
+        heaps = waiting.pop(rank, None)
+        own = of_piece[at]
+        if heaps is None:
+            if not len(at) or (first := np.append(True, own[1:] != own[:-1])).all():
+                return at
+            rest, own = at[~first], own[~first]
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(rest)]
+            heaps = {int(own[a]): rest[a:b].tolist() for a, b in zip(cuts, cuts[1:])}
+            chosen = at[first]
+        else:
+            for place, piece in zip(at.tolist(), own.tolist()):
+                heappush(heaps.setdefault(piece, []), place)
+            found = []
+            for piece in list(heaps):
+                heap = heaps[piece]
+                while heap:
+                    place = heappop(heap)
+                    if pair[place] == rank:
+                        found.append(place)
+                        break
+                if not heap:
+                    del heaps[piece]
+            chosen = np.array(sorted(found), np.int64)
+        if heaps:
+            waiting[rank] = heaps
+            self.queue.keep(rank)
+        return chosen
+
     def merged(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of every piece."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -149,23 +188,21 @@ class Codec:
         pair[inner] = self.rank_of(token[inner], token[after[inner]])
         start = inner[pair[inner] >= 0]
         queue = self.queue
+        waiting: dict[int, dict[int, list[int]]] = {}
         queue.push(pair[start], start)
         while (least := queue.pop()) is not None:
             rank, at = least
             at = at[pair[at] == rank]  # the others are stale
+            if self.early[rank]:
+                at = self._one_a_piece(rank, at, waiting, of_piece, pair)
             if not len(at):
                 continue
-            if len(at) > 1:
+            if len(at) > 1 and not self.early[rank]:
                 follows = after[at[:-1]] == at[1:]
                 if follows.any():  # runs of one token, as in aaa: every other pair, from the left
                     first = np.append(True, ~follows)
                     place = np.arange(len(at))
                     at = at[(place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0]
-                if self.early[rank]:  # one a piece: what it brings up comes before the next
-                    first = np.append(True, of_piece[at[1:]] != of_piece[at[:-1]])
-                    if not first.all():
-                        queue.push(np.full(len(at) - first.sum(), rank), at[~first])
-                        at = at[first]
             gone = after[at]
             ahead = after[gone]
             token[at] = rank
