@@ -57,3 +57,30 @@ def resolve_followups(turns: DataFrame) -> DataFrame:
     )
     query = F.when(asks & offered, scoped).when(asks, F.col("_rest")).when(F.col("_pure") & offered, F.col("_topic")).otherwise(F.col("text"))
     return rows.select("conv_id", "turn", decision.alias("decision"), query.alias("resolved_query"))
+
+
+def repeated_questions(turns: DataFrame, least: float = 0.85) -> DataFrame:
+    """(conv_id, turn, first_turn, similarity): user turns that ask again what an earlier one of their conversation asked.
+
+    turns(conv_id, turn, role, text). Similarity: the earlier turn's tokens that the later one has, repeats counted, over the different
+    tokens of both; the most similar earlier turn counts, the first of equal ones. Texts without a token repeat nothing. An earlier
+    turn of n tokens, m of them different, shares one of any floor(n - least * m) + 1 different ones with a later turn that is so
+    similar. The rarest in the conversation are taken, and turns meet on those alone, so common words and long conversations make few pairs.
+    """
+    rows = turns.where("role = 'user'").select("conv_id", "turn", T.tokenize(T.dedup_key(F.col("text"))).alias("words")).where(F.size("words") > 0)
+    rows = rows.withColumns({"different": F.array_distinct("words"), "n": F.size("words")})
+    words = rows.select("conv_id", "turn", "n", F.size("different").alias("m"), F.explode("different").alias("w"))
+    counts = words.groupBy(F.col("conv_id").alias("_c"), F.col("w").alias("_w")).agg(F.count("*").alias("df"))
+    ranked = words.join(counts, (F.col("w") == F.col("_w")) & F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c", "_w")
+    place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("df", "w"))
+    # a token that is missing takes at least 1 of the n from the count, which must reach least * m or more
+    prefix = ranked.withColumn("_p", place).where(F.col("_p") <= F.floor(F.col("n") - least * F.col("m") + 1e-9) + 1)
+    a, b = prefix.alias("a"), words.alias("b")
+    met = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.turn") < F.col("b.turn")) & (F.col("a.n") >= least * F.col("b.m")))
+    met = met.select(F.col("b.conv_id").alias("conv_id"), F.col("a.turn").alias("first_turn"), F.col("b.turn").alias("turn")).distinct()
+    earlier = rows.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), "words", F.col("different").alias("had"))
+    later = rows.select(F.col("conv_id").alias("_d"), F.col("turn").alias("_u"), "different")
+    met = met.join(earlier, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("first_turn") == F.col("_t")))
+    met = met.join(later, F.col("conv_id").eqNullSafe(F.col("_d")) & (F.col("turn") == F.col("_u")))
+    met = met.withColumn("similarity", F.size(F.filter("words", lambda x: F.array_contains("different", x))) / F.size(F.array_union("different", "had"))).where(F.col("similarity") >= least)
+    return met.groupBy("conv_id", "turn").agg(F.max(F.struct("similarity", -F.col("first_turn"))).alias("b")).select("conv_id", "turn", (-F.col("b.col2")).alias("first_turn"), "b.similarity")

@@ -185,10 +185,11 @@ UNION ALL SELECT 'chunks', count(*), sum(length(text))::BIGINT, count(DISTINCT t
 
 
 def _csv(s, d):
+    """What the exporter writes, read by the importer."""
     path = S.scratch(s)
-    S.export_csv(_hard(s, d).coalesce(1), path, mark=True)
-    rows = s.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
-    return rows.toDF(*(c.strip("\ufeff") for c in rows.columns)).select(F.col("id").cast("long").alias("id"), "keyword", "question", "status", F.col("hits").cast("int").alias("hits"))
+    S.export_csv(_hard(s, d), path, mark=True)
+    rows, _ = S.import_csv_validated(s, path, ["id", "keyword", "question"])
+    return rows.select(F.col("id").cast("long").alias("id"), "keyword", "question", "status", F.col("hits").cast("int").alias("hits"))
 
 
 register("s3_export_knowledge_csv", _csv, f", h AS ({_HARD}) SELECT id, keyword, question, status, hits FROM h", "knowledge")
@@ -197,13 +198,15 @@ register("s3_export_knowledge_csv", _csv, f", h AS ({_HARD}) SELECT id, keyword,
 def _imported(s, d):
     path = S.scratch(s)
     k = projection(s, d, "knowledge")
-    line = F.concat_ws(",", "id", "keyword", F.concat(F.lit('"'), F.regexp_replace("response", '"', '""'), F.lit(', and so on"')), F.when(F.col("id") % 5 == 0, "odd").otherwise(F.col("status")))
+    value = F.concat(F.lit('"'), F.regexp_replace(F.concat("response", F.lit('\n"and", so on')), '"', '""'), F.lit('"'))
+    line = F.concat_ws(",", "id", "keyword", value, F.when(F.col("id") % 5 == 0, "odd").otherwise(F.col("status")))
     line = F.when(F.col("id") % 11 == 0, F.concat(line, F.lit(",one too many"))).when(F.col("id") % 13 == 0, "").otherwise(line)
-    header = s.range(1).select(F.lit("ID, Keyword ,RESPONSE,Status").alias("value"))
-    header.unionAll(k.select(line.alias("value"))).coalesce(1).write.text(path)
+    # every task's file begins with the header
+    begins = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    k.select(F.concat(F.when(begins, "ID, Keyword ,RESPONSE,Status\n").otherwise(""), line).alias("value")).write.text(path)
     good, bad = S.import_csv_validated(s, path, ["keyword", "response"])
     return good.select(F.col("id").cast("long").alias("id"), "keyword", "response", "status").unionAll(bad.agg(F.count("*").alias("id")).select("id", F.lit("bad lines"), F.lit(None), F.lit(None)))
 
 
-register("s6_import_csv_validated", _imported, """SELECT id, keyword, response || ', and so on' AS response, CASE WHEN id % 5 = 0 THEN 'active' ELSE status END AS status FROM knowledge WHERE id % 11 > 0 AND id % 13 > 0
+register("s6_import_csv_validated", _imported, """SELECT id, keyword, response || chr(10) || '"and", so on' AS response, CASE WHEN id % 5 = 0 THEN 'active' ELSE status END AS status FROM knowledge WHERE id % 11 > 0 AND id % 13 > 0
 UNION ALL SELECT count(*), 'bad lines', NULL, NULL FROM knowledge WHERE id % 11 = 0""", "knowledge")

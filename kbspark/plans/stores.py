@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as X
+from kbspark.operators import conversations as C
 from kbspark.operators import integrity as M
 from kbspark.plans.fixtures import AS_OF, PROJECTIONS, projection, table, with_projections
 from kbspark.sources import tables as S
@@ -151,6 +152,20 @@ SELECT DISTINCT b.conv_id, b.turn FROM conversations a JOIN conversations b ON a
     lambda c: (lambda u: u.join(u.groupBy("conv_id", "k").agg(F.min("turn").alias("first")), ["conv_id", "k"]).where("turn > first").select("conv_id", "turn"))(c.where("role = 'user'").select("conv_id", "turn", X.dedup_key(F.col("text")).alias("k")))
 )
 
+
+
+def _asked_again(c):
+    """The conversations, in every third of which the user asks everything once more, in a few words more."""
+    more = c.where("role = 'user' and conv_id % 3 = 0").select("conv_id", (F.col("turn") + 100).alias("turn"), "role", F.concat("text", F.lit(" - please, please!")).alias("text"))
+    return C.repeated_questions(c.select("conv_id", "turn", "role", "text").union(more)).withColumn("similarity", F.round("similarity", 9))
+
+
+query("c8_repeat_near", "conversations", """
+WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn + 100, text || ' - please, please!' FROM conversations WHERE role = 'user' AND conv_id % 3 = 0),
+k AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g')) AS k FROM c), w AS (SELECT conv_id, turn, string_split(k, ' ') AS w FROM k WHERE k <> ''),
+p AS (SELECT b.conv_id, b.turn, a.turn AS first_turn, len([x FOR x IN a.w IF list_contains(b.w, x)])::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) AS similarity FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn < b.turn),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY similarity DESC, first_turn) AS n FROM p WHERE similarity >= 0.85)
+SELECT conv_id, turn, first_turn, round(similarity, 9) AS similarity FROM r WHERE n = 1""".replace("\\\\", "\\"))(_asked_again)
 _COUNTS = "count(*) AS total, count(*) FILTER (match_type <> 'none') AS matched, count(*) FILTER (match_type IS NULL OR match_type = 'none') AS unmatched"
 query("w1_question_counts_tumbling", "questions", f"SELECT date_trunc('hour', created_at) AS start_at, date_trunc('hour', created_at) + INTERVAL 1 HOUR AS end_at, {_COUNTS} FROM questions GROUP BY 1, 2")(W.question_counts)
 query("w2_match_rate_sliding", "questions", f"""

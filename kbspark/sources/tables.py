@@ -88,13 +88,14 @@ def import_csv_validated(spark: SparkSession, path: str, required: list[str]) ->
     """(good rows, bad lines) of a CSV with a header; columns in lower case; ValueError without the required ones.
 
     A line with another number of values than the header is bad; blank lines are skipped; unknown status is active,
-    unknown search_type is contains. A byte-order mark before the header is left out."""
-    first = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    unknown search_type is contains. A byte-order mark before the header is left out. Quoted values may have line ends in them, so
+    a file is read by one task; a folder of files, as export_csv() writes it, by as many."""
+    first = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(path).columns
     names = [c.strip("\ufeff \t").lower() for c in first]
     if lost := [c for c in required if c not in names]:
         raise ValueError(f"columns are missing: {lost}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_bad"]])
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", "_bad").option("escape", '"').csv(path)
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", "_bad").option("multiLine", True).option("escape", '"').csv(path)
     good = rows.where("_bad is null").drop("_bad")
     fixed = {"status": (("active", "inactive", "hold", "expired"), "active"), "search_type": (("contains", "exact", "pattern"), "contains")}
     good = good.withColumns({c: F.when(F.col(c).isin(*known), F.col(c)).otherwise(default) for c, (known, default) in fixed.items() if c in names})
@@ -121,12 +122,19 @@ def insert_if_absent(incoming: DataFrame, existing: DataFrame, key: list[str]) -
 def remap_sources(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """(old_id, new_id, inserted): sources matched by url, others with new ids after the highest.
 
-    New ids are dense within an order by old id; the counts of the parts before come from a small aggregate."""
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    New ids are dense and in the order of old ids: rows are dealt out by ranges of it, every range is numbered alone, and begins
+    after the rows of those before, which are counted first (a number for each range)."""
+    top = existing.agg(F.max("id")).first()[0] or 0
     known = existing.groupBy("url").agg(F.min("id").alias("known_id"))
     rows = incoming.select(F.col("id").alias("old_id"), "url").join(known, "url", "left")
-    fresh = rows.where("known_id is null").select("old_id")
-    fresh = fresh.withColumn("place", F.row_number().over(Window.orderBy("old_id"))).crossJoin(F.broadcast(top)).select("old_id", (F.col("top") + F.col("place")).alias("new_id"), F.lit(True).alias("inserted"))
+    fresh = written(rows.where("known_id is null").select("old_id").repartitionByRange("old_id").withColumn("part", F.spark_partition_id()))
+    before, firsts = top, []
+    for r in fresh.groupBy("part").count().orderBy("part").collect():
+        firsts.append((r["part"], before))
+        before += r["count"]
+    firsts = F.broadcast(incoming.sparkSession.createDataFrame(firsts, "part int, first long"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("old_id"))
+    fresh = fresh.withColumn("place", place).join(firsts, "part").select("old_id", (F.col("first") + F.col("place")).alias("new_id"), F.lit(True).alias("inserted"))
     return rows.where("known_id is not null").select("old_id", F.col("known_id").alias("new_id"), F.lit(False).alias("inserted")).union(fresh)
 
 
