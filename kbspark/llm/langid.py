@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.shared import held, unit_hash, written
+from kbspark.llm.shared import held, unit_hash, unused, written
 
 #: Components of a vector; letters of an n-gram; different letters told apart (others share by code point).
 SIZE, GRAM, LETTERS = 512, 3, 64
@@ -177,7 +177,8 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text:
 
     Texts that are null or have no letter, or all if no language was learned, get `und` and score 0. Ties go
     to the first language in order. Repeated rows are predicted alike; no other column is looked at, and an
-    empty table gives an empty table. Whole texts are read: memory grows with the longest of them.
+    empty table gives an empty table; a column that has one of the given names is replaced, any other stays. Whole texts are
+    read: memory grows with the longest of them.
     """
     lengths = np.linalg.norm(prototypes, axis=1, keepdims=True)
     unit = (prototypes / np.where(lengths == 0, 1, lengths)).astype(np.float32)
@@ -201,4 +202,6 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text:
             sizes[at : at + len(rows)] = different
         return pd.DataFrame({"lang_pred": names, "score": scores, "size": sizes})
 
-    return docs.withColumn("_guess", guess(F.col(text))).withColumns({into[0]: F.col("_guess.lang_pred"), into[1]: F.col("_guess.score")} | ({size: F.col("_guess.size")} if size else {})).drop("_guess")
+    own = unused(docs, "_guess")
+    found = {into[0]: F.col(f"{own}.lang_pred"), into[1]: F.col(f"{own}.score")} | ({size: F.col(f"{own}.size")} if size else {})
+    return docs.withColumn(own, guess(F.col(text))).withColumns(found).drop(own)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.llm import bpe, decontam, exact_dedup, fill_middle, html_text, langid, licenses, sharding, simhash, topk, toxicity, turns, warc
+from kbspark.llm.shared import unused
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -39,8 +40,9 @@ def in_a_language(docs: DataFrame) -> DataFrame:
     may_learn = _remainder("doc_id", 5) != 0
     languages, prototypes = langid.learn(docs, may_learn)
     floors = langid.floors(docs, may_learn, languages, prototypes)
-    rows = langid.predict(docs, languages, prototypes, into=("_kb_lang", "_kb_score"), size="_kb_size")
-    return rows.where((F.col("_kb_lang") != langid.UNKNOWN) & langid.in_a_language("_kb_score", "_kb_size", floors)).select(*docs.columns)
+    lang, score, size = (unused(docs, c) for c in ("_kb_lang", "_kb_score", "_kb_size"))
+    rows = langid.predict(docs, languages, prototypes, into=(lang, score), size=size)
+    return rows.where((F.col(lang) != langid.UNKNOWN) & langid.in_a_language(score, size, floors)).select(*docs.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

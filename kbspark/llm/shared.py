@@ -35,6 +35,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column of df has: what an operator adds for itself must not meet the caller's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def unit_hash(*cols: str):
     """A column in [0, 1) that depends on the values alone: the same rows are sampled on every run."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.shared import held, unit_hash
+from kbspark.llm.shared import held, unit_hash, unused
 
 SEGMENT = 16
 #: A segment of fewer n-grams is averaged as if it were filled up with words of zero vectors.
@@ -253,8 +253,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
         found = [own.odds(x) for x in texts]
         return pd.DataFrame([(_probability(a), _probability(b)) for a, b in found], columns=["highest", "average"], dtype="float64")
 
-    out = docs.withColumn("_scored", scored(F.col(text)))
-    return out.withColumns({into: F.col("_scored.highest")} | ({average: F.col("_scored.average")} if average else {})).drop("_scored")
+    own = unused(docs, "_scored")
+    out = docs.withColumn(own, scored(F.col(text)))
+    return out.withColumns({into: F.col(f"{own}.highest")} | ({average: F.col(f"{own}.average")} if average else {})).drop(own)
 
 
 def _kept(name: str, sent) -> Model:

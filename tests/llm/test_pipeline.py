@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -35,3 +36,24 @@ def test_stages(spark):
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
     assert {r["doc_id"] for r in rows} == set(kept)
     assert __spark_entry__.queries()["pipeline"](spark, FOLDER).count() == len(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_columns_of_any_name(spark):
+    """What the stages add for themselves never meets a column of the table, whatever its name and type."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    names = ["_id", "_hash", "_guess", "_scored", "_kb_toxic", "_KB_LANG", "_kb_score", "_kb_size", "row", "fp", "component_id", "y", "place", "key"]
+    more = docs.select("*", *(F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs, more = (corpus_pipeline.written(stage(spark, x, FOLDER)) for x in (docs, more))
+        rows = more.collect()
+        assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in docs.collect())
+        assert all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, more, FOLDER).count() == len(rows)
+
+
+def test_empty_documents_and_no_labels(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
