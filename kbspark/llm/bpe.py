@@ -25,7 +25,7 @@ from kbspark.llm.shared import held
 #: Encoded pre-tokens that a Python worker keeps, and the longest (in characters) that it keeps.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 40
 #: Characters of documents that are split at once.
-SPLIT_CHARS = 6 << 20
+SPLIT_CHARS = 2 << 20
 #: Bytes of unknown pre-tokens that are merged at once (a longer pre-token is merged alone).
 MERGE_BYTES = 1 << 20
 

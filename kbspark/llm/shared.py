@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,5 +59,7 @@ def held(name: str, make):
     Workers are used again by later jobs, so without this the caches of several operators would add up."""
     if name not in _held:
         _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()  # what the batches of the operator before have left
         _held[name] = make()
     return _held[name]
