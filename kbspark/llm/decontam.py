@@ -12,14 +12,18 @@ start at each of the item's words; those that meet few edits say where it may li
 samples by the length of the item for the target recall, and how many windows have to hit at about the same distance
 of the two starts. There the item's pieces of up to PIECE letters are compared side by side, and the whole item's
 edit distance to the best part of the text decides.
-Items under SHORT letters are found where the text has just their words; those of one word, which any text may
-use, only where the text is no more than that word.
+Items under SHORT letters have too few windows. They are found where whole words of the text come within their edits,
+those of one word, which any text may use, only where the text is no more than one word: both sides meet on what is left
+of them without as many letters as they may have edits (deletion variants), and their edit distance decides.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections.abc import Iterator
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -29,16 +33,19 @@ from pyspark.sql import functions as F
 
 from kbspark.llm.shared import held
 
-#: Items with fewer letters than this are too short for windows: their words are looked up as they are.
+#: Items with fewer letters than this are too short for windows: their words are looked up by deletion variants.
 SHORT = 12
 #: Letters of an item's piece, at most: a machine word; pieces that are compared side by side.
 PIECE, SIDE_BY_SIDE = 64, 4096
 #: A text is found if it is within this share of the item's length in edits.
 EDITS = 0.2
-#: Letters of benchmark items that are sent to the executors at once.
-BLOCK_LETTERS = 4_000_000
+#: Letters of benchmark items that are sent to the executors at once; a short item counts as ITEM_LETTERS, as its
+#: variants and the hits of its runs take as much room.
+BLOCK_LETTERS, ITEM_LETTERS = 4_000_000, 100
 #: Window starts that walk together: their arrays fit a processor's cache.
 TOGETHER = 1 << 15
+#: Hits, candidates and variants that are held at once.
+HELD = 1 << 20
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -80,8 +87,9 @@ class Class(NamedTuple):
 
 
 TARGET_RECALL = 0.9
-#: By length. Short items have few windows, so theirs are short, too, and any hit is looked into: walks that move on at
-#: every step, from every letter, are plain runs of letters, of which EDITS leaves nearly every item one.
+#: By length. Short items have few windows, so theirs are short, too: walks that move on at every step, from every
+#: letter, are plain runs of letters. An edit touches as many runs as a run has letters; the others have to hit, at least
+#: one (only at 15 letters may EDITS touch all).
 CLASSES = (
     Class(SHORT, 1, 1, 4, 4, exact=True),
     Class(40, 2, 2, 12, 10, (65, 85)),
@@ -140,6 +148,9 @@ class Tables:
                 hashes[r].append(h)
         self.item, self.offset = np.concatenate(item), np.concatenate(offset)
         self.needed = 1 + np.searchsorted(kind.more, length, "right")
+        if kind.exact:
+            self.needed = np.maximum(1, length + 1 - kind.steps * (1 + (length * EDITS).astype(np.int64)))
+        self.reach = int((length + 2 * slack)[np.unique(self.item)].max())  # the hits of one place lie within this
         for r in hashes:
             h = np.concatenate(r)
             order = np.argsort(h, kind="stable")
@@ -148,21 +159,39 @@ class Tables:
             seen[h >> np.uint64(64 - bits)] = True
             self.tables.append((h[order], order, seen, np.uint64(64 - bits)))
 
-    def places(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """(text, item, start) where enough windows of an item hit; first: where each text's codes begin."""
+    def places(self, codes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, item, start) where enough windows of an item hit, some repeatedly; first: where each text's codes begin.
+
+        TOGETHER starts at a time, fewer where these hit more than HELD times; a part's neighbours within reach are
+        read with it, so that the hits of each place come together."""
         starts = self.walks.starts(codes, len(codes) - self.walks.kind.steps)
-        found = []
+        parts = [(a, min(a + TOGETHER, len(starts))) for a in range(0, len(starts), TOGETHER)]
+        while parts:
+            a, b = parts.pop()
+            low, high = np.searchsorted(starts, [starts[a] - self.reach, starts[b - 1] + self.reach + 1])
+            hits = self._hits(codes, starts[low:high])
+            if b - a > 1 and starts[b - 1] - starts[a] > self.reach and sum(int(many.sum()) for *_, many in hits) > HELD:
+                parts += [(a, (a + b) // 2), ((a + b) // 2, b)]
+            elif hits:
+                yield self._enough(hits, first)
+
+    def _hits(self, codes: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(windows in a sample's order, starts, the first window's rank, the number of windows) of each sample that hits."""
+        out = []
         for r, h in self.walks.hashes(codes, starts):
             sorted_, order, seen, shift = self.tables[r]
             hit = np.flatnonzero(seen[h >> shift])
             low, high = np.searchsorted(sorted_, h[hit], "left"), np.searchsorted(sorted_, h[hit], "right")
-            many = high - low
-            if not many.any():
-                continue
+            if (high > low).any():
+                out.append((order, starts[hit], low, high - low))
+        return out
+
+    def _enough(self, hits: list[tuple], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """places() of one part."""
+        found = []
+        for order, starts, low, many in hits:
             at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            found.append(np.repeat(starts[hit], many) * len(self.item) + order[at])
-        if not found:
-            return None
+            found.append(np.repeat(starts, many) * len(self.item) + order[at])
         pairs = np.sort(np.concatenate(found))
         place, window = np.divmod(pairs[np.append(True, pairs[1:] != pairs[:-1])], len(self.item))  # what several samples found counts once
         item = self.item[window]
@@ -207,16 +236,101 @@ def edit_search(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def distance(a: str, b: str) -> int:
+    """The edit distance of two short strings."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def without(text: str, most: int) -> Iterator[str]:
+    """The text without any of its letters, up to `most` of them; some repeatedly."""
+    for n in range(most + 1):
+        for gone in combinations(range(len(text)), n):
+            kept, at = "", 0
+            for g in gone:
+                kept, at = kept + text[at:g], g + 1
+            yield kept + text[at:]
+
+
+class Few:
+    """Items of few letters by the hashes of their deletion variants, and the search for them in words of texts.
+
+    Strings within some edits of each other have a variant in common without as many letters of either, so none is
+    missed; the lookups of a text don't depend on the number of items."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.items = items
+        hashes, item = array("q"), array("q")
+        self.deleted: dict[int, int] = {}  # by the length of a text's words: letters to leave out, where any item is near
+        for k, (_, t) in enumerate(items):
+            most = int(len(t) * EDITS)
+            own = {hash(v) for v in without(t, most)}
+            hashes.extend(own)
+            item.extend([k] * len(own))
+            for length in range(len(t) - most, len(t) + most + 1):
+                self.deleted[length] = max(most, self.deleted.get(length, 0))
+        hashes, item = np.array(hashes, np.int64), np.array(item, np.int64)
+        order = np.argsort(hashes)
+        self.hashes, self.item = hashes[order], item[order]
+
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        """(start, end) of two or more words side by side that may be an item, of one where the text has no other."""
+        ends = [m.end() for m in _WORDS.finditer(text)]
+        begins, longest = [0, *(e + 1 for e in ends)], max(self.deleted, default=0)
+        for a in range(len(ends)):
+            for b in range(a + (len(ends) > 1), len(ends)):
+                if ends[b] - begins[a] > longest:
+                    break
+                if ends[b] - begins[a] in self.deleted:
+                    yield begins[a], ends[b]
+
+    def near(self, spans: list[str]) -> dict[str, list[tuple[int, int]]]:
+        """[(item id, edits)] of each of the spans that is near an item."""
+        hashes, owner, out = array("q"), array("q"), {}
+        for n, span in enumerate(spans):
+            own = {hash(v) for v in without(span, self.deleted[len(span)])}
+            hashes.extend(own)
+            owner.extend([n] * len(own))
+            if len(hashes) > HELD or n + 1 == len(spans):
+                asked = np.array(hashes, np.int64)
+                low, high = np.searchsorted(self.hashes, asked, "left"), np.searchsorted(self.hashes, asked, "right")
+                for q in np.flatnonzero(high > low).tolist():
+                    for k in self.item[low[q] : high[q]].tolist():
+                        out.setdefault(owner[q], set()).add(k)
+                hashes, owner = array("q"), array("q")
+        near = {}
+        for n, ks in out.items():
+            for k in ks:
+                i, t = self.items[k]
+                if " " in spans[n] and " " not in t:
+                    continue  # a single word is asked of texts of one word only
+                if (edits := distance(t, spans[n])) <= int(len(t) * EDITS):
+                    near.setdefault(spans[n], []).append((i, edits))
+        return near
+
+    def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item id, start, end, edits) of the closest words to each item in each text, the first of equally close ones."""
+        if not self.items:
+            return []
+        near = self.near(sorted({t[a:b] for t in texts for a, b in self.spans(t)}))
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for n, text in enumerate(texts) if near else ():
+            for a, b in self.spans(text):
+                for i, edits in near.get(text[a:b], ()):
+                    best[n, i] = min(best.get((n, i), (edits, b, a)), (edits, b, a))
+        return [(n, i, a, b, edits) for (n, i), (edits, b, a) in best.items()]
+
+
 class Index:
     """The tables of a block of items, a class of lengths each, and the search for the items in texts."""
 
     def __init__(self, items: list[tuple[int, str]]):
         every = [(i, t) for i, t in ((i, normalised(t)) for i, t in items) if t]
-        self.whole: dict[str, list[int]] = {}  # items too short for walks, by their words
-        for i, t in every:
-            if len(t) < SHORT:
-                self.whole.setdefault(t, []).append(i)
-        self.word_counts = sorted({t.count(" ") + 1 for t in self.whole})
+        self.few = Few([(i, t) for i, t in every if len(t) < SHORT])
         self.items = [(i, t) for i, t in every if len(t) >= SHORT]
         if not self.items:
             return
@@ -240,7 +354,7 @@ class Index:
         for row, (_, _, c) in zip(self.piece_codes, pieces):
             row[: len(c)] = c
 
-    def candidates(self, texts: list[str]):
+    def candidates(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
         """(text, item, start): where an item may lie, starts rounded so that near ones fall together.
 
         Enough windows of the item must have hits there, and its pieces must be found near by with no more
@@ -249,17 +363,28 @@ class Index:
         coded = [x for t in texts for x in (_codes(t), gap)]
         codes = np.concatenate([*coded, gap[:0]])
         first = np.cumsum([0] + [len(a) + len(b) for a, b in zip(coded[::2], coded[1::2])])
-        found, at = [], 0
-        while at < len(texts):  # whole texts, so that a place's hits come together
-            to = min(len(texts), max(at + 1, int(np.searchsorted(first, first[at] + TOGETHER * 4))))
+        pad = int(2 * self.slack.max() + PIECE + self.length.max()) + 1
+        padded = np.concatenate([np.zeros(pad, np.uint8), codes, np.zeros(2 * pad, np.uint8)])
+        for part in self._places(codes, first):
+            text, item, start = np.unique(part, axis=1)
+            keep = self._pieces_fit(padded, first[text] + start + pad, item)
+            yield from np.stack([text[keep], item[keep], start[keep]]).T.tolist()
+
+    def _places(self, codes: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+        """The places of all classes, about HELD at a time."""
+        found, size, at, texts = [], 0, 0, len(first) - 1
+        while at < texts:  # whole texts, so that a place's hits come together
+            to = min(texts, max(at + 1, int(np.searchsorted(first, first[at] + TOGETHER * 4))))
             for tables in self.tables:
-                if part := tables.places(codes[first[at] : first[to]], first[at : to + 1] - first[at]):
-                    found.append(np.stack([part[0] + at, *part[1:]]))
+                for text, item, start in tables.places(codes[first[at] : first[to]], first[at : to + 1] - first[at]):
+                    found.append(np.stack([text + at, item, start]))
+                    size += len(text)
+                    if size > HELD:
+                        yield np.concatenate(found, axis=1)
+                        found, size = [], 0
             at = to
-        if found:
-            text, item, start = np.concatenate(found, axis=1)
-            keep = self._pieces_fit(codes, first[text] + start, item) if len(item) else slice(None)
-            yield from np.stack([text[keep], item[keep], start[keep]]).T.tolist()
+        if size:
+            yield np.concatenate(found, axis=1)
 
     def _pieces_fit(self, codes: np.ndarray, at: np.ndarray, item: np.ndarray) -> np.ndarray:
         """For each place whether its item's pieces are found around it with at most the item's edits in all.
@@ -267,8 +392,6 @@ class Index:
         edit_search for many pieces at once, each in one machine word; a place is given up at the first piece that
         brings it over. Pieces lie within one and a half times the slack of where the place has them: half of it from
         rounding, and the edits between the hit window and the piece."""
-        pad = int(2 * self.slack.max() + PIECE + self.length.max()) + 1
-        codes = np.concatenate([np.zeros(pad, np.uint8), codes, np.zeros(2 * pad, np.uint8)])
         counts = self.piece_of[item + 1] - self.piece_of[item]
         total = np.zeros(len(item), np.int64)
         left = np.arange(len(item))
@@ -277,7 +400,7 @@ class Index:
             piece = self.piece_of[item[left]] + nth
             slack = self.slack[item[left]]
             around = slack + (slack + 1) // 2
-            low, width = at[left] + pad + self.piece_at[piece] - around, self.piece_length[piece] + 2 * around
+            low, width = at[left] + self.piece_at[piece] - around, self.piece_length[piece] + 2 * around
             by = np.argsort(width, kind="stable")
             for a in range(0, len(by), SIDE_BY_SIDE):
                 own = by[a : a + SIDE_BY_SIDE]
@@ -310,16 +433,6 @@ class Index:
             plus, minus = down | ~(across | up), up & across
         return best
 
-    def short_items(self, text: str):
-        """(item id, start, end) of each item too short for walks, at the first place where the text has its words; a single word only as the whole text."""
-        ends = [m.end() for m in _WORDS.finditer(text)] if self.whole else []
-        begins, found = [0, *(e + 1 for e in ends)], {}
-        for n in self.word_counts:
-            for a in range(len(ends) - n + 1 if n > 1 or len(ends) == 1 else 0):
-                for i in self.whole.get(text[begins[a] : ends[a + n - 1]], ()):
-                    found.setdefault(i, (begins[a], ends[a + n - 1]))
-        return [(i, a, b) for i, (a, b) in found.items()]
-
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item id, start, end, edits) of the closest occurrence of each item in each text, in letters of the normalised text."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -337,9 +450,7 @@ class Index:
                 _, length = edit_search(pattern[::-1], around[:end][::-1])
                 best[text, k] = (edits, low + end - length, low + end)
         found = [(text, self.items[k][0], start, end, edits) for (text, k), (edits, start, end) in best.items()]
-        if self.whole:
-            found += [(n, i, a, b, 0) for n, text in enumerate(texts) for i, a, b in self.short_items(text)]
-        return sorted(found)
+        return sorted(found + self.few.search(texts))
 
 
 def _index(name: str, items) -> Index:
@@ -352,7 +463,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
 
     Texts are compared as lower-cased words of letters and digits; start and end count characters of that
     form. An item is held if some part of the text is within EDITS of the item's length in edits; one under
-    SHORT characters if the text has its words, and one of a single word if the text is that word. Null or empty items are never found.
+    SHORT characters if whole words of the text are, and one of a single word if the text is a word that is. Null or empty items are never found.
     Null and empty texts hold nothing, and items without an item_id are left out. Of equally near places of an
     item the one that ends first counts. Repeated rows of either table give repeated results, and so does a null
     key. Whole texts are searched, whatever their length; other columns of either table, of any name, play no part.
@@ -377,7 +488,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
 def _blocks(spark: SparkSession, benchmark: DataFrame):
     """A column function for every block of items; one for none."""
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    letters = items.agg(F.sum(F.greatest(F.length("text"), F.lit(ITEM_LETTERS)))).first()[0] or 0
     blocks = max(1, -(-letters // BLOCK_LETTERS))
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
@@ -392,7 +503,7 @@ def _found(spark: SparkSession, items: list[tuple[int, str]]):
     def found(texts: pd.Series) -> pd.Series:
         index = _index(name, sent)
         out: list[list[tuple]] = [[] for _ in range(len(texts))]
-        if index.items or index.whole:
+        if index.items or index.few.items:
             bodies = [normalised(x) for x in texts]
             at = 0
             while at < len(bodies):  # some 2 million letters at a time

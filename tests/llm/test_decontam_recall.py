@@ -53,6 +53,37 @@ def test_rows(spark):
 
 
 def test_items_of_few_letters():
-    index = decontam.Index([(1, "Yes!"), (2, "no, never"), (3, "?"), (4, None), (5, "yes")])
-    texts = [decontam.normalised(x) for x in ("YES", "oh yes", "well, No: never.", "no one ever", "")]
-    assert index.search(texts) == [(0, 1, 0, 3, 0), (0, 5, 0, 3, 0), (2, 2, 5, 13, 0)]
+    index = decontam.Index([(1, "Yes!"), (2, "no, never"), (3, "?"), (4, None), (5, "yes"), (6, "seven")])
+    texts = [decontam.normalised(x) for x in ("YES", "oh yes", "well, No: never.", "no one ever", "", "no nevr, no never", "in any case no neverland", "Seve", "seve n", "eleven")]
+    assert index.search(texts) == [(0, 1, 0, 3, 0), (0, 5, 0, 3, 0), (2, 2, 5, 13, 0), (5, 2, 8, 16, 0), (7, 6, 0, 4, 1)]
+
+
+@pytest.mark.parametrize("letters", [2, 4, 5, 6, 9, 10, 11])
+def test_items_of_few_letters_against_every_span(letters):
+    """All whole words of a text against all items by the plain edit distance."""
+    rnd = random.Random(letters)
+    word = lambda: "".join(rnd.choice("etao") for _ in range(rnd.randrange(1, 7)))
+    items = [(i, decontam.normalised(" ".join(word() for _ in range(9))[:letters])) for i in range(40)]
+    texts = [" ".join(word() for _ in range(60)) for _ in range(5)] + [word() for _ in range(20)]
+    want = []
+    for n, text in enumerate(texts):
+        cuts = [-1, *(k for k, c in enumerate(text) if c == " "), len(text)]
+        for i, t in items:
+            spans = [(a + 1, b) for k, a in enumerate(cuts) for b in cuts[k + 1 :] if b - a < 16 and (" " in text[a + 1 : b] or len(cuts) == 2)]
+            near = [(d, b, a) for a, b in spans if (" " in t or " " not in text[a:b]) and (d := decontam.distance(t, text[a:b])) <= int(len(t) * decontam.EDITS)]
+            if near:
+                edits, end, start = min(near)
+                want.append((n, i, start, end, edits))
+    assert decontam.Index(items).search(texts) == sorted(want)
+
+
+def test_parts_find_what_the_whole_finds(monkeypatch):
+    """Few hits held at once, so that starts are taken in parts and places in many batches."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(2, 7)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([3, 5, 8, 12, 25, 60] * 5)]
+    texts = [decontam.normalised(" ".join([word() for _ in range(100)] + [edited(rnd, rnd.choice(items)[1], 2) for _ in range(20)])) for _ in range(4)] + [""]
+    whole = decontam.Index(items).search(texts)
+    monkeypatch.setattr(decontam, "HELD", 20_000)
+    monkeypatch.setattr(decontam, "TOGETHER", 1024)
+    assert decontam.Index(items).search(texts) == whole and len(whole) > 40
