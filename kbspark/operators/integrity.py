@@ -47,6 +47,24 @@ def embedding_status(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("content_type").agg(F.count("*").alias("total"), F.count(F.when(F.col("is_current"), 1)).alias("current"))
 
 
+def embedding_report(vectors: DataFrame, entries: DataFrame, chunks: DataFrame, queue: DataFrame) -> DataFrame:
+    """(name, n): open and failed rows of the queue(status), active entries(content_id) and chunks(content_id) in all, how many of
+    them have a current vector, and stranded_rows: current vectors, repeats apart, whose content is gone."""
+    live = entries.select(F.lit("kb_entry").alias("content_type"), "content_id").union(chunks.select(F.lit("chunk"), "content_id")).distinct()
+    current = vectors.where(F.col("is_current") & F.col("content_type").isin("kb_entry", "chunk")).select("content_type", "content_id").distinct()
+    both = live.withColumn("_live", F.lit(True)).join(current.withColumn("_has", F.lit(True)), ["content_type", "content_id"], "full")
+    one = F.col("content_type") == "kb_entry"
+    found = F.col("_live") & F.col("_has")
+    counts = {"total_kb_entries": one & F.col("_live"), "total_chunks": ~one & F.col("_live"), "embedded_kb_entries": one & found, "embedded_chunks": ~one & found, "stranded_rows": F.col("_live").isNull()}
+    waiting = {x: F.col("status") == x for x in ("pending", "processing", "failed")}
+
+    def named(rows: DataFrame, kinds: dict) -> DataFrame:
+        pairs = F.array(*(F.struct(F.lit(k).alias("name"), F.count_if(c).alias("n")) for k, c in kinds.items()))
+        return rows.agg(pairs.alias("l")).select(F.inline("l"))
+
+    return named(queue, waiting).union(named(both, counts))
+
+
 def vector_upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both with the incoming one where both have a key; repeated incoming keys: the highest version."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
@@ -59,29 +77,88 @@ def mark_stale(vectors: DataFrame, sources: DataFrame) -> DataFrame:
     return flagged.withColumn("is_current", F.col("is_current") & F.col("_gone").isNull()).drop("_gone")
 
 
-def migration_buckets(knowledge: DataFrame, legacy: DataFrame) -> DataFrame:
-    """(id, bucket, variations): what a legacy row, found by keyword and pattern, gives an entry.
-
-    legacy(keyword, subkeyword, rq): `|`-separated phrasings; those of three characters or more count once."""
-    old = legacy.groupBy(F.lower("keyword").alias("_k"), F.lower(F.coalesce("subkeyword", F.lit(""))).alias("_s")).agg(F.first("rq").alias("rq"))
-    key = knowledge.select("*", F.lower("keyword").alias("_k"), F.lower(F.coalesce("sub_keyword", F.lit(""))).alias("_s"))
-    parts = F.array_distinct(F.filter(F.transform(F.split("rq", r"\|"), lambda x: F.trim(x)), lambda x: F.length(x) >= 3))
-    rows = key.join(old, ["_k", "_s"], "left").withColumn("variations", F.coalesce(F.when(F.col("rq").isNotNull(), parts), F.array().cast("array<string>")))
-    n = F.size("variations")
+def _legacy_rows(legacy: DataFrame) -> DataFrame:
+    """One row for each keyword and pattern of legacy(id, keyword, subkeyword, rq, reuse, rkey, rsubkey): the last written."""
+    rest = F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in ("rq", "reuse", "rkey", "rsubkey")))
+    last = legacy.groupBy(F.col("keyword").alias("_k"), F.coalesce("subkeyword", F.lit("")).alias("_s")).agg(F.max_by(rest, "id").alias("old"))
+    points = (F.col("old.reuse") == "yes") & (F.col("old.rkey") != "")
+    return last.withColumn("points", points)
+
+
+def _with_legacy(knowledge: DataFrame, legacy: DataFrame) -> DataFrame:
+    """Entries with `sub` (their pattern as it is compared), `pointed` (they have a reuse pointer), and `old` and `points` of their legacy row."""
+    rows = knowledge.withColumns({"_k": F.col("keyword"), "_s": F.coalesce("sub_keyword", F.lit("")), "sub": F.lower(F.trim(F.coalesce("sub_keyword", F.lit("")))), "pointed": F.coalesce("reuse_response", F.lit(0)) != 0})
+    return rows.join(_legacy_rows(legacy), ["_k", "_s"], "left")
+
+
+def _target() -> dict[str, Column]:
+    """Where a restored pointer leads: the legacy row's keyword, and its pattern or, without one, the keyword's default."""
+    return {"reuse_keyword": F.col("old.rkey"), "reuse_sub_keyword": F.when(F.col("old.rsubkey") != "", F.col("old.rsubkey")).otherwise("aadefault")}
+
+
+def migration_buckets(knowledge: DataFrame, legacy: DataFrame, variations: DataFrame | None = None) -> DataFrame:
+    """(id, bucket, variations, matched, listed, pointer, reuse_keyword, reuse_sub_keyword): what legacy rows give each entry.
+
+    knowledge(id, keyword, sub_keyword, question, reuse_response); legacy(id, keyword, subkeyword, rq, reuse, rkey, rsubkey), met
+    by keyword and pattern, of equal ones the highest id; rq holds `|`-separated phrasings, of which those of three characters or
+    more count once. Without any, the question is the one phrasing, if it has three characters. variations(knowledge_id): entries
+    that have phrasings already are `already_migrated`. pointer: `set` or `missing` where the legacy row reuses another response,
+    else null; entries without a pattern, or with the default one, are left alone. listed: the legacy row has phrasings."""
+    rows = _with_legacy(knowledge, legacy)
+    has = F.lit(False)
+    if variations is not None:
+        known = variations.select(F.col("knowledge_id").alias("id")).distinct().withColumn("_has", F.lit(True))
+        rows, has = rows.join(known, "id", "left"), F.coalesce("_has", F.lit(False))
+    matched = F.col("old").isNotNull()
+    parts = F.array_distinct(F.filter(F.transform(F.split("old.rq", r"\|"), lambda x: F.trim(x)), lambda x: F.length(x) >= 3))
+    question = F.trim(F.coalesce("question", F.lit("")))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({"_parts": F.when(matched, parts).otherwise(none), "_own": F.when(F.length(question) >= 3, F.array(question)).otherwise(none)})
+    n, skipped = F.size("_parts"), F.col("sub").isin("aadefault", "")
     bucket = (
-        F.when(F.col("_s") == "aadefault", "aadefault").when(F.trim(F.coalesce("question", F.lit(""))) == "", "no_question").when(F.col("rq").isNull(), "unmatched")
-        .when(n == 0, "matched_no_var").when(n == 1, "matched_single").otherwise("matched_multi")
+        F.when(skipped, "aadefault").when(has, "already_migrated").when(n >= 2, "matched_multi").when(n == 1, "matched_single")
+        .when(F.size("_own") == 0, "no_question").when(matched, "matched_no_var").otherwise("unmatched")
     )
-    return rows.select("id", bucket.alias("bucket"), "variations", "question")
+    points = ~skipped & F.coalesce("points", F.lit(False))
+    pointer = F.when(points & F.col("pointed"), "set").when(points, "missing")
+    target = {c: F.when(points, v) for c, v in _target().items()}
+    found = F.when(skipped, none).when(n > 0, F.col("_parts")).otherwise(F.col("_own"))
+    return rows.select("id", bucket.alias("bucket"), found.alias("variations"), matched.alias("matched"), (matched & (F.col("old.rq") != "")).alias("listed"), pointer.alias("pointer"), *(v.alias(c) for c, v in target.items()))
 
 
 def apply_migration(buckets: DataFrame) -> DataFrame:
-    """(knowledge_id, variation_text, sort_order) to append: the phrasings, else the question."""
-    texts = F.when(F.size("variations") > 0, F.col("variations")).otherwise(F.array("question"))
-    rows = buckets.where("bucket not in ('aadefault', 'no_question')").select(F.col("id").alias("knowledge_id"), F.posexplode(texts).alias("sort_order", "variation_text"))
+    """(knowledge_id, variation_text, sort_order) to append: phrasings of entries that have none yet."""
+    rows = buckets.where("bucket not in ('aadefault', 'already_migrated', 'no_question')").select(F.col("id").alias("knowledge_id"), F.posexplode("variations").alias("sort_order", "variation_text"))
     return rows.withColumn("variation_text", F.substring("variation_text", 1, 500))
 
 
+def missing_pointers(buckets: DataFrame) -> DataFrame:
+    """(id, reuse_response, reuse_keyword, reuse_sub_keyword) to set, of entries with phrasings of their own too."""
+    return buckets.where("pointer = 'missing'").select("id", F.lit(1).alias("reuse_response"), "reuse_keyword", "reuse_sub_keyword")
+
+
+def migration_stats(buckets: DataFrame) -> DataFrame:
+    """One row: what apply_migration() and missing_pointers() do. already_migrated: entries that neither changes."""
+    free = ~F.col("bucket").isin("aadefault", "already_migrated")
+    some = F.size("variations") > 0
+    adds, sets = free & some, F.coalesce(F.col("pointer") == "missing", F.lit(False))
+    kinds = {
+        "total_rows": F.lit(True), "aadefault_skipped": F.col("bucket") == "aadefault", "already_migrated": (F.col("bucket") != "aadefault") & ~adds & ~sets, "matched_with_variations": free & F.col("listed") & some,
+        "matched_no_variations": free & F.col("matched") & ~(F.col("listed") & some), "unmatched_fallback": free & ~F.col("matched"), "reuse_pointers_restored": sets,
+    }
+    inserted = F.coalesce(F.sum(F.when(adds, F.size("variations"))), F.lit(0)).cast("long")
+    return buckets.agg(*(F.count_if(c).alias(k) for k, c in kinds.items()), inserted.alias("variations_inserted"))
+
+
+def restore_reuse_pointers(knowledge: DataFrame, legacy: DataFrame) -> DataFrame:
+    """(id, outcome, reuse_keyword, reuse_sub_keyword) of entries with a pattern of their own, arguments as for migration_buckets().
+
+    outcome: `already_set`, `no_match` (no legacy row), `says_no` (that one reuses nothing) or `restored`, with where it leads now."""
+    rows = _with_legacy(knowledge, legacy).where(~F.col("sub").isin("aadefault", ""))
+    outcome = F.when(F.col("pointed"), "already_set").when(F.col("old").isNull(), "no_match").when(F.col("points"), "restored").otherwise("says_no")
+    return rows.withColumn("outcome", outcome).select("id", "outcome", *(F.when(F.col("outcome") == "restored", v).alias(c) for c, v in _target().items()))
+
+
 def replace_variations(variations: DataFrame) -> DataFrame:
     """Texts trimmed and cut to 500, empty ones dropped, numbered anew for each entry."""
     rows = variations.withColumn("variation_text", F.substring(F.trim("variation_text"), 1, 500)).where("variation_text <> ''")

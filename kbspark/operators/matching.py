@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
+from kbspark.operators.filters import is_bot
 from kbspark.operators.joins import containing, resolve_reuse
 from kbspark.operators.language import LONG_ENDINGS, SHORT_ENDINGS, normalized_queries
 from kbspark.sources.tables import written
@@ -191,7 +192,11 @@ def match_label(score: Column) -> Column:
 
 
 def question_log(questions: DataFrame, matches: DataFrame) -> DataFrame:
-    """Log rows: every question with its best match, score and label; layer1_strong: above the broad search's score."""
+    """Log rows: every question with its best match, score and label; layer1_strong: above the broad search's score.
+
+    With a column user_agent, questions of bots are not logged."""
+    if "user_agent" in questions.columns:
+        questions = questions.where(~is_bot(F.col("user_agent")))
     best = matches.where("place = 1").select("id", "entry_id", "score")
     out = questions.join(best, "id", "left")
     return out.withColumns({"match_type": match_label(F.col("score")), "layer1_strong": F.coalesce(F.col("score") > 50, F.lit(False))})

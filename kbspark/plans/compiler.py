@@ -170,18 +170,29 @@ def _read_back(s, d):
 register("s1_read_table", _read_back, f", h AS ({_HARD}) SELECT id, keyword, replace(question, chr(92) || '''', '''') AS question, status, hits FROM h", "knowledge")
 
 
+#: What each section is measured by when it is read back.
+_MEASURED = {"knowledge": "question", "categories": "name", "synonyms": "misspellings", "stopwords": "word", "sources": "title", "chunks": "content"}
+
+
 def _bundle(s, d):
     path = S.scratch(s)
-    chunks = projection(s, d, "chunks").select("id", "source_id", "chunk_index", "content", F.length("content").alias("word_count"))
-    S.export_bundle({"knowledge": _hard(s, d), "sources": projection(s, d, "sources"), "chunks": chunks}, path)
+    part = table(s, d, "part")
+    synonyms = S.legacy_synonyms(part.selectExpr("p_partkey as ord", "split(p_name, ' ')[0] as misspelling", "upper(split(p_name, ' ')[1]) as canonical"))
+    stopwords = table(s, d, "nation").selectExpr("lower(n_name) as word", "1 as is_active")
+    chunks = projection(s, d, "chunks").withColumn("word_count", F.size(F.split("content", " ")))
+    S.export_bundle({"knowledge": _hard(s, d), "categories": projection(s, d, "categories"), "synonyms": synonyms, "stopwords": stopwords, "sources": projection(s, d, "sources"), "chunks": chunks}, path)
     sizes = s.read.json(f"{path}/manifest").select("section", "n_rows")
-    found = s.read.json(f"{path}/knowledge").select(F.lit("knowledge").alias("section"), F.xxhash64("question").alias("h")).union(s.read.json(f"{path}/chunks").select(F.lit("chunks"), F.xxhash64("content")))
-    lengths = s.read.json(f"{path}/knowledge").agg(F.sum(F.length("question")).alias("n")).select(F.lit("knowledge").alias("section"), "n").union(s.read.json(f"{path}/chunks").agg(F.sum(F.length("content"))).select(F.lit("chunks"), F.col("sum(length(content))")))
-    return sizes.join(lengths, "section", "left").join(found.groupBy("section").agg(F.count_distinct("h").alias("different")), "section", "left")
+    read = None
+    for section, c in _MEASURED.items():
+        rows = s.read.json(f"{path}/{section}").agg(F.lit(section).alias("section"), F.sum(F.length(c)).alias("n"), F.count_distinct(F.xxhash64(c)).alias("different"))
+        read = rows if read is None else read.union(rows)
+    return sizes.join(read, "section", "left")
 
 
-register("s2_export_bundle_json", _bundle, f""", h AS ({_HARD}) SELECT 'knowledge' AS section, count(*) AS n_rows, sum(length(question))::BIGINT AS n, count(DISTINCT question) AS different FROM h
-UNION ALL SELECT 'chunks', count(*), sum(length(text))::BIGINT, count(DISTINCT text) FROM documents UNION ALL SELECT 'sources', count(DISTINCT source), NULL, NULL FROM documents""", "knowledge")
+register("s2_export_bundle_json", _bundle, f""", h AS ({_HARD}), f AS (SELECT lower(split_part(p_name, ' ', 2)) AS c, lower(split_part(p_name, ' ', 1)) AS m, min(p_partkey) AS ord FROM part WHERE split_part(p_name, ' ', 1) <> split_part(p_name, ' ', 2) GROUP BY 1, 2),
+y AS (SELECT c, string_agg(m, ',' ORDER BY ord) AS misspellings FROM f GROUP BY 1),
+a AS (SELECT 'knowledge' AS section, question AS t FROM h UNION ALL SELECT 'chunks', text FROM documents UNION ALL SELECT DISTINCT 'sources', source FROM documents UNION ALL SELECT 'categories', n_name FROM nation UNION ALL SELECT 'stopwords', lower(n_name) FROM nation UNION ALL SELECT 'synonyms', misspellings FROM y)
+SELECT section, count(*) AS n_rows, sum(length(t))::BIGINT AS n, count(DISTINCT t) AS different FROM a GROUP BY 1""", "knowledge")
 
 
 def _csv(s, d):

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 AS_OF = "2024-01-31 00:00:00"
 ORDERS_AS_OF = "2001-08-01 00:00:00"
+#: The user agent of an event.
+AGENT = "CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Mozilla/5.0 (compatible; Googlebot/2.1)' WHEN 2 THEN 'curl/8.0' WHEN 3 THEN 'Mozilla/5.0 Firefox/120.0' ELSE concat('Agent-', event_type) END"
 
 PROJECTIONS = {
     "questions": """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kbspark.operators import filters as L
 from kbspark.operators import joins as J
 from kbspark.plans.analytics import M, T
-from kbspark.plans.fixtures import AS_OF, projection, table, with_projections
+from kbspark.plans.fixtures import AGENT, AS_OF, projection, table, with_projections
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -42,8 +42,7 @@ query("f4_inquiry_queue", "inquiries", "SELECT id, status FROM inquiries ORDER B
 query("f5_lead_search", "customer", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_nationkey::VARCHAR = '7' AND contains(lower(c_name), '00')")(
     lambda c: L.lead_search(c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("identity"), F.lit("").alias("email")), "7", "00").select("id", "name")
 )
-_AGENT = "CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Mozilla/5.0 (compatible; Googlebot/2.1)' WHEN 2 THEN 'curl/8.0' WHEN 3 THEN 'Mozilla/5.0 Firefox/120.0' ELSE concat('Agent-', event_type) END"
-query("f6_drop_bot_traffic", "events", f"SELECT event_id FROM events WHERE ({_AGENT}) <> '' AND NOT regexp_matches(lower({_AGENT}), 'bot|curl|crawl|spider|slurp')")(lambda e: e.where(~L.is_bot(F.expr(_AGENT))).select("event_id"))
+query("f6_drop_bot_traffic", "events", f"SELECT event_id FROM events WHERE ({AGENT}) <> '' AND NOT regexp_matches(lower({AGENT}), 'bot|curl|crawl|spider|slurp')")(lambda e: e.where(~L.is_bot(F.expr(AGENT))).select("event_id"))
 _FORWARDED = "CASE event_id % 4 WHEN 0 THEN concat('10.0.', user_id % 256, '.1, 8.8.8.8') WHEN 1 THEN 'unknown' WHEN 2 THEN '300.1.1.1' END"
 query("f7_client_ip", "events", f"""
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('10.0.', user_id % 256, '.1') ELSE CASE WHEN event_id % 7 = 0 THEN '1.2.3.4' ELSE '127.0.0.1' END END AS ip FROM events""")(

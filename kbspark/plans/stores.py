@@ -98,34 +98,57 @@ query("m4_missing_embeddings", "vector_chunks knowledge", "SELECT id AS content_
     lambda v, k: M.missing(k.where("status = 'active'").select(F.col("id").alias("content_id")), v, "kb_entry")
 )
 query("m5_embedding_status", "vector_chunks", "SELECT content_type, count(*) AS total, count(*) FILTER (is_current) AS current FROM vector_chunks GROUP BY 1")(M.embedding_status)
+_QUEUED = "event_id, user_id as content_id, ts, case event_type when 'signup' then 'enqueue' when 'purchase' then 'success' when 'error' then 'retry' else 'failure' end as kind"
+query("m5_embedding_report", "vector_chunks knowledge chunks events", f"""
+, k AS (SELECT {_QUEUED} FROM events), r AS (SELECT content_id, max((ts, event_id)) AS m, arg_max(kind, (ts, event_id)) AS reset FROM k WHERE kind <> 'failure' GROUP BY 1),
+f AS (SELECT k.content_id, any_value(reset) AS reset, count(*) FILTER (kind = 'failure' AND (m IS NULL OR (ts, event_id) > m)) AS fails FROM k LEFT JOIN r ON r.content_id = k.content_id GROUP BY 1),
+s AS (SELECT CASE WHEN reset = 'success' AND fails = 0 THEN 'done' WHEN fails >= 3 THEN 'failed' ELSE 'pending' END AS status FROM f),
+e AS (SELECT id FROM knowledge WHERE status = 'active'), v AS (SELECT DISTINCT content_type, content_id FROM vector_chunks WHERE is_current)
+SELECT 'pending' AS name, count(*) FILTER (status = 'pending') AS n FROM s UNION ALL SELECT 'processing', 0 UNION ALL SELECT 'failed', count(*) FILTER (status = 'failed') FROM s
+UNION ALL SELECT 'total_kb_entries', count(*) FROM e UNION ALL SELECT 'total_chunks', count(*) FROM chunks UNION ALL SELECT 'embedded_kb_entries', count(*) FROM v WHERE content_type = 'kb_entry' AND content_id IN (SELECT id FROM e)
+UNION ALL SELECT 'embedded_chunks', count(*) FROM v WHERE content_type = 'chunk' AND content_id IN (SELECT id FROM chunks)
+UNION ALL SELECT 'stranded_rows', count(*) FROM v WHERE (content_type = 'kb_entry' AND content_id NOT IN (SELECT id FROM e)) OR (content_type = 'chunk' AND content_id NOT IN (SELECT id FROM chunks))""")(
+    lambda v, k, c, e: M.embedding_report(v, k.where("status = 'active'").selectExpr("id as content_id"), c.selectExpr("id as content_id"), M.queue_fold(e.selectExpr(*_split(_QUEUED))))
+)
 query("m6_vector_upsert", "vector_chunks", "SELECT content_type, content_id, CASE WHEN content_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM vector_chunks")(
     lambda v: M.vector_upsert(v.selectExpr("content_type", "content_id", "1 as version"), v.where("content_id % 3 = 0").selectExpr("content_type", "content_id", "2 as version"), ["content_type", "content_id"])
 )
 query("m7_mark_stale", "vector_chunks", "SELECT content_id, is_current AND source_id NOT IN (1, 2) AS is_current FROM vector_chunks")(lambda v: M.mark_stale(v, v.where("source_id in (1, 2)").select("source_id")).select("content_id", "is_current"))
-_OLD = "keyword, sub_keyword as subkeyword, case id % 4 when 0 then '' when 1 then ' one phrase | one phrase ' when 2 then 'first one|ab|second one' else 'x' end as rq"
+#: Entries of which some have a pointer and some no question; legacy rows of two thirds of them; which have phrasings already.
+_HELD = "id, keyword, sub_keyword, case when id % 17 = 0 then ' ' else question end as question, case when id % 7 = 0 then 1 else 0 end as reuse_response"
+_OLD = "id, keyword, sub_keyword as subkeyword, case id % 4 when 0 then '' when 1 then ' one phrase | one phrase ' when 2 then 'first one|ab|second one' else 'x' end as rq, case id % 3 when 1 then 'yes' else 'no' end as reuse, case when id % 5 = 0 then '' else 'rod' end as rkey, case when id % 2 = 0 then '' else 'red' end as rsubkey"
 _BUCKETS = f"""
-, l AS (SELECT lower(keyword) AS k, lower(coalesce(sub_keyword, '')) AS s, min(id) AS i FROM knowledge WHERE id % 3 > 0 GROUP BY 1, 2), o AS (SELECT k, s, CASE i % 4 WHEN 0 THEN '' WHEN 1 THEN ' one phrase | one phrase ' WHEN 2 THEN 'first one|ab|second one' ELSE 'x' END AS rq FROM l),
-j AS (SELECT id, question, lower(coalesce(sub_keyword, '')) AS sub, rq, coalesce(list_distinct([trim(x) FOR x IN string_split(rq, '|') IF length(trim(x)) >= 3]), []) AS v FROM knowledge LEFT JOIN o ON o.k = lower(keyword) AND o.s = lower(coalesce(sub_keyword, ''))),
-b AS (SELECT id, question, v, CASE WHEN sub = 'aadefault' THEN 'aadefault' WHEN trim(question) = '' THEN 'no_question' WHEN rq IS NULL THEN 'unmatched' WHEN len(v) = 0 THEN 'matched_no_var' WHEN len(v) = 1 THEN 'matched_single' ELSE 'matched_multi' END AS bucket FROM j)"""
+, h AS (SELECT {_HELD} FROM knowledge), l AS (SELECT {_OLD} FROM knowledge WHERE id % 3 > 0), o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY keyword, subkeyword ORDER BY id DESC) = 1),
+j AS (SELECT h.id, trim(question) AS q, lower(trim(coalesce(sub_keyword, ''))) IN ('', 'aadefault') AS plain, reuse_response, o.id IS NOT NULL AS matched, coalesce(o.rq, '') <> '' AS listed, reuse, rkey, CASE rsubkey WHEN '' THEN 'aadefault' ELSE rsubkey END AS rsub, h.id % 11 = 0 AS has,
+  coalesce(list_distinct([trim(x) FOR x IN string_split(o.rq, '|') IF length(trim(x)) >= 3]), []) AS p FROM h LEFT JOIN o ON o.keyword = h.keyword AND o.subkeyword = h.sub_keyword),
+b AS (SELECT *, CASE WHEN plain THEN [] WHEN len(p) > 0 THEN p WHEN length(q) >= 3 THEN [q] ELSE [] END AS v, CASE WHEN plain OR reuse IS DISTINCT FROM 'yes' OR rkey = '' THEN NULL WHEN reuse_response = 1 THEN 'set' ELSE 'missing' END AS pointer,
+  CASE WHEN plain THEN 'aadefault' WHEN has THEN 'already_migrated' WHEN len(p) > 1 THEN 'matched_multi' WHEN len(p) = 1 THEN 'matched_single' WHEN length(q) < 3 THEN 'no_question' WHEN matched THEN 'matched_no_var' ELSE 'unmatched' END AS bucket FROM j)"""
+
+
+def _moved(k):
+    return k.selectExpr(*_split(_HELD)), k.where("id % 3 > 0").selectExpr(*_split(_OLD))
 
 
 def _buckets(k):
-    first = k.where("id % 3 > 0").groupBy("keyword", "sub_keyword").agg(F.min("id").alias("id"))
-    return M.migration_buckets(k, first.selectExpr(*_split(_OLD)))
+    return M.migration_buckets(*_moved(k), k.where("id % 11 = 0").selectExpr("id as knowledge_id"))
 
 
-query("m8_migration_buckets", "knowledge", _BUCKETS + " SELECT bucket, count(*) AS n, sum(len(v))::BIGINT AS variations FROM b GROUP BY 1")(lambda k: _buckets(k).groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.size("variations")).alias("variations")))
-query("m10_apply_migration", "knowledge", _BUCKETS + " SELECT id AS knowledge_id, unnest(CASE WHEN len(v) > 0 THEN v ELSE [question] END) AS variation_text FROM b WHERE bucket NOT IN ('aadefault', 'no_question')")(lambda k: M.apply_migration(_buckets(k)).select("knowledge_id", "variation_text"))
+query("m8_migration_buckets", "knowledge", _BUCKETS + " SELECT bucket, count(*) AS n, sum(CASE WHEN bucket <> 'already_migrated' THEN len(v) ELSE 0 END)::BIGINT AS variations, count(*) FILTER (pointer = 'set') AS pointers_set, count(*) FILTER (pointer = 'missing') AS pointers_missing FROM b GROUP BY 1")(
+    lambda k: _buckets(k).groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.when(F.col("bucket") != "already_migrated", F.size("variations")).otherwise(0)).alias("variations"), F.count_if(F.col("pointer") == "set").alias("pointers_set"), F.count_if(F.col("pointer") == "missing").alias("pointers_missing"))
+)
+query("m10_apply_migration", "knowledge", _BUCKETS + " SELECT id AS knowledge_id, unnest(v) AS variation_text FROM b WHERE NOT plain AND NOT has")(lambda k: M.apply_migration(_buckets(k)).select("knowledge_id", "variation_text"))
+query("m10_missing_pointers", "knowledge", _BUCKETS + " SELECT id, 1 AS reuse_response, rkey AS reuse_keyword, rsub AS reuse_sub_keyword FROM b WHERE pointer = 'missing'")(lambda k: M.missing_pointers(_buckets(k)))
+query("m10_migration_stats", "knowledge", _BUCKETS + """, d AS (SELECT *, NOT plain AND NOT has AND len(v) > 0 AS adds, coalesce(pointer = 'missing', false) AS sets FROM b)
+SELECT count(*) AS total_rows, count(*) FILTER (plain) AS aadefault_skipped, count(*) FILTER (NOT plain AND NOT adds AND NOT sets) AS already_migrated, count(*) FILTER (NOT plain AND NOT has AND listed AND len(v) > 0) AS matched_with_variations,
+  count(*) FILTER (NOT plain AND NOT has AND matched AND NOT (listed AND len(v) > 0)) AS matched_no_variations, count(*) FILTER (NOT plain AND NOT has AND NOT matched) AS unmatched_fallback, count(*) FILTER (sets) AS reuse_pointers_restored, coalesce(sum(len(v)) FILTER (adds), 0)::BIGINT AS variations_inserted FROM d""")(
+    lambda k: M.migration_stats(_buckets(k))
+)
 query("m9_replace_variations", "knowledge", """
 , v AS (SELECT id % 100 AS knowledge_id, trim(question) AS t, id AS o FROM knowledge WHERE id % 7 > 0) SELECT knowledge_id, t AS variation_text, (row_number() OVER (PARTITION BY knowledge_id ORDER BY o, t) - 1)::INTEGER AS sort_order FROM v""")(
     lambda k: M.replace_variations(k.selectExpr("id % 100 as knowledge_id", "if(id % 7 = 0, '  ', concat(' ', question)) as variation_text", "id as sort_order"))
 )
-query("m11_restore_reuse_pointers", "knowledge", """
-, l AS (SELECT id, CASE id % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS reuse FROM knowledge WHERE id % 2 = 0)
-SELECT CASE WHEN k.id % 10 = 0 THEN 'already_set' WHEN l.id IS NULL THEN 'no_match' WHEN reuse = 'yes' THEN 'restored' ELSE 'says_no' END AS outcome, count(*) AS n FROM knowledge k LEFT JOIN l ON l.id = k.id GROUP BY 1""")(
-    lambda k: k.select("id").join(k.where("id % 2 = 0").selectExpr("id", "case id % 3 when 0 then 'yes' when 1 then 'no' end as reuse", "true as known"), "id", "left")
-    .select(F.when(F.col("id") % 10 == 0, "already_set").when(F.col("known").isNull(), "no_match").when(F.col("reuse") == "yes", "restored").otherwise("says_no").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
-)
+query("m11_restore_reuse_pointers", "knowledge", _BUCKETS + """, r AS (SELECT id, rkey, rsub, CASE WHEN reuse_response = 1 THEN 'already_set' WHEN NOT matched THEN 'no_match' WHEN reuse = 'yes' AND rkey <> '' THEN 'restored' ELSE 'says_no' END AS outcome FROM b WHERE NOT plain)
+SELECT id, outcome, CASE WHEN outcome = 'restored' THEN rkey END AS reuse_keyword, CASE WHEN outcome = 'restored' THEN rsub END AS reuse_sub_keyword FROM r""")(lambda k: M.restore_reuse_pointers(*_moved(k)))
 query("m12_synonym_conflicts", "part match_kb", """
 , s AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS c, unnest([lower(split_part(p_name, ' ', 2)), 'zzz']) AS v FROM part) SELECT c AS canonical_word, v AS variant FROM s WHERE v <> c AND v IN (SELECT lower(keyword) FROM match_kb)""")(
     lambda p, k: M.synonym_conflicts(p.selectExpr("split(p_name, ' ')[0] as canonical_word", "concat(split(p_name, ' ')[1], ', zzz') as variant_words", "cast(null as string) as misspellings"), k)
@@ -235,16 +258,15 @@ def _visitors(q):
 
 
 query("w7_visitors_upsert_stream", "questions", "SELECT ip_address, count(*) AS visit_count, min(created_at) AS first_visit, max(created_at) AS last_visit FROM questions GROUP BY 1")(_visitors)
-_KINDS = "event_id, user_id as content_id, ts, case event_type when 'signup' then 'enqueue' when 'purchase' then 'success' when 'error' then 'retry' else 'failure' end as kind"
 query("w8_embedding_queue_fold", "events", f"""
-, k AS (SELECT {_KINDS} FROM events), r AS (SELECT content_id, max((ts, event_id)) AS m, arg_max(kind, (ts, event_id)) AS reset FROM k WHERE kind <> 'failure' GROUP BY 1),
+, k AS (SELECT {_QUEUED} FROM events), r AS (SELECT content_id, max((ts, event_id)) AS m, arg_max(kind, (ts, event_id)) AS reset FROM k WHERE kind <> 'failure' GROUP BY 1),
 f AS (SELECT k.content_id, any_value(reset) AS reset, count(*) FILTER (kind = 'failure' AND (m IS NULL OR (ts, event_id) > m)) AS fails FROM k LEFT JOIN r ON r.content_id = k.content_id GROUP BY 1)
-SELECT content_id, CASE WHEN reset = 'success' AND fails = 0 THEN 'done' WHEN fails >= 3 THEN 'failed' ELSE 'pending' END AS status, least(fails, 3)::INTEGER AS retry_count FROM f""")(lambda e: M.queue_fold(e.selectExpr(*_split(_KINDS))))
+SELECT content_id, CASE WHEN reset = 'success' AND fails = 0 THEN 'done' WHEN fails >= 3 THEN 'failed' ELSE 'pending' END AS status, least(fails, 3)::INTEGER AS retry_count FROM f""")(lambda e: M.queue_fold(e.selectExpr(*_split(_QUEUED))))
 query("w8_queue_claim", "events", f"""
-, k AS (SELECT {_KINDS} FROM events), r AS (SELECT content_id, max((ts, event_id)) AS m, arg_max(kind, (ts, event_id)) AS reset FROM k WHERE kind <> 'failure' GROUP BY 1),
+, k AS (SELECT {_QUEUED} FROM events), r AS (SELECT content_id, max((ts, event_id)) AS m, arg_max(kind, (ts, event_id)) AS reset FROM k WHERE kind <> 'failure' GROUP BY 1),
 f AS (SELECT k.content_id, any_value(reset) AS reset, max(ts) AS updated_at, count(*) FILTER (kind = 'failure' AND (m IS NULL OR (ts, event_id) > m)) AS fails FROM k LEFT JOIN r ON r.content_id = k.content_id GROUP BY 1)
 SELECT 'chunk' AS content_type, content_id, 'pending' AS status, fails::INTEGER AS retry_count, updated_at FROM f WHERE fails < 3 AND NOT (reset IS NOT DISTINCT FROM 'success' AND fails = 0) ORDER BY updated_at, content_id LIMIT 20""")(
-    lambda e: D.claimed(D.queue_rows(e.sparkSession.createDataFrame([], D.QUEUE), e.selectExpr("'chunk' as content_type", *_split(_KINDS)))).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+    lambda e: D.claimed(D.queue_rows(e.sparkSession.createDataFrame([], D.QUEUE), e.selectExpr("'chunk' as content_type", *_split(_QUEUED)))).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
 )
 query("w9_request_metrics_build", "request_metrics", "SELECT id AS request_id, question_id, total_ms, kb_ms, retrieval_ms, synthesis_ms, greatest(0, total_ms - kb_ms - coalesce(retrieval_ms, 0) - coalesce(synthesis_ms, 0)) AS render_ms FROM request_metrics")(
     lambda m: M.request_metrics(m.select(F.col("id").alias("request_id"), "question_id", F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.col(f"{s}_ms").alias("ms")) for s in ("total", "kb", "retrieval", "synthesis")))).alias("x")).select("request_id", "question_id", "x.stage", "x.ms"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
 from kbspark.operators import matching as K
-from kbspark.plans.fixtures import projection, table, with_projections
+from kbspark.plans.fixtures import AGENT, projection, table, with_projections
+from kbspark.streaming.events import visitors_upsert
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -178,8 +179,30 @@ def dictionary(s, d):
 
 
 _register("k7_find_matches", matches, MATCHED + " SELECT q.id, entry_id, score, place FROM match_questions q JOIN every ON every.question = q.question")
-_register("k13_build_question_log", lambda s, d: K.question_log(projection(s, d, "match_questions").select("id", "question"), matches(s, d)).select("id", "entry_id", "match_type", "layer1_strong"),
-          MATCHED + " SELECT q.id, entry_id, CASE WHEN score IS NULL THEN 'none' WHEN score >= 90 THEN 'exact' ELSE 'partial' END AS match_type, coalesce(score > 50, false) AS layer1_strong FROM match_questions q LEFT JOIN every ON every.question = q.question AND place = 1")
+def _log(s, d):
+    """The questions with who asked them and by what agent, logged."""
+    asker = table(s, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("u"), "user_id").alias("ip_address"), F.expr(AGENT).alias("user_agent"))
+    asked = projection(s, d, "match_questions").select("id", "question", F.col("created_at").cast("timestamp").alias("created_at"))
+    return K.question_log(asked.join(asker, "id"), matches(s, d))
+
+
+_LOGGED = MATCHED + f""",
+ag AS (SELECT event_id, 'u' || user_id AS ip_address, {AGENT} AS a FROM events), no AS (SELECT q.*, ip_address FROM match_questions q JOIN ag ON ag.event_id = q.id WHERE a <> '' AND NOT regexp_matches(lower(a), 'bot|curl|crawl|spider|slurp'))"""
+_register("k13_build_question_log", lambda s, d: _log(s, d).select("id", "entry_id", "match_type", "layer1_strong", "ip_address"), _LOGGED + """
+SELECT q.id, entry_id, CASE WHEN score IS NULL THEN 'none' WHEN score >= 90 THEN 'exact' ELSE 'partial' END AS match_type, coalesce(score > 50, false) AS layer1_strong, ip_address FROM no q LEFT JOIN every ON every.question = q.question AND place = 1""")
+
+
+def _visited(s, d):
+    """The visitors that the projection knows, with the logged questions' visits added."""
+    known = projection(s, d, "visitors").select("ip_address", "visit_count", F.col("first_visit").cast("timestamp").alias("first_visit"), F.col("last_visit").cast("timestamp").alias("last_visit"))
+    return visitors_upsert(_log(s, d).select("ip_address", "created_at"), known)
+
+
+QUERIES["k13_log_visitors"] = _visited
+ORACLES["k13_log_visitors"] = with_projections("match_questions visitors", f""", ag AS (SELECT event_id, 'u' || user_id AS ip_address, {AGENT} AS a FROM events),
+no AS (SELECT ip_address, created_at FROM match_questions q JOIN ag ON ag.event_id = q.id WHERE a <> '' AND NOT regexp_matches(lower(a), 'bot|curl|crawl|spider|slurp')),
+u AS (SELECT ip_address, visit_count, first_visit, last_visit FROM visitors UNION ALL SELECT ip_address, 1, created_at, created_at FROM no)
+SELECT ip_address, sum(visit_count)::BIGINT AS visit_count, min(first_visit) AS first_visit, max(last_visit) AS last_visit FROM u GROUP BY 1""")
 _register("k6_broad_search", lambda s, d: matches(s, d).where("score = 50").select("id", "entry_id", "place"), MATCHED + " SELECT q.id, entry_id, place FROM match_questions q JOIN every ON every.question = q.question WHERE score = 50")
 
 

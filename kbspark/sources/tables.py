@@ -68,11 +68,15 @@ def export_csv(df: DataFrame, path: str, mark: bool = False) -> None:
 
 
 #: The columns of sources and chunks that a bundle holds.
-BUNDLED = {"sources": ["id", "title", "source_type", "url", "status"], "chunks": ["id", "source_id", "chunk_index", "content"]}
+BUNDLED = {"sources": ["id", "title", "source_type", "url", "status", "created_at"], "chunks": ["source_id", "chunk_index", "content", "word_count"]}
+#: The sections that a bundle may have.
+SECTIONS = ("knowledge", "categories", "synonyms", "stopwords", "sources", "chunks")
 
 
 def export_bundle(tables: dict[str, DataFrame], folder: str, version: str = "1") -> None:
-    """export_bundle_json of the sections that a bundle has, sources and chunks with the columns that are carried over."""
+    """export_bundle_json of the sections that a bundle has (ValueError for others), sources and chunks with the columns that are carried over."""
+    if other := sorted(set(tables) - set(SECTIONS)):
+        raise ValueError(f"no sections of a bundle: {other}")
     export_bundle_json({n: df.select(*(c for c in BUNDLED.get(n, df.columns) if c in df.columns)) for n, df in tables.items()}, folder, version)
 
 
