@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -50,6 +51,14 @@ def unit_hash(*cols: str):
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system: Python's, Arrow's, and what the C library would keep for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 _held: dict = {}
 
 
@@ -59,7 +68,6 @@ def held(name: str, make):
     Workers are used again by later jobs, so without this the caches of several operators would add up."""
     if name not in _held:
         _held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()  # what the batches of the operator before have left
+        _give_back()
         _held[name] = make()
     return _held[name]
