@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbspark.sources.tables import written
+
 
 def pattern_tokens(pattern: Column) -> Column:
     """The different words of a pattern, wildcards dropped."""
@@ -16,13 +18,23 @@ def pattern_tokens(pattern: Column) -> Column:
 
 
 def reuse_repair(orphans: DataFrame, entries: DataFrame, least: float = 0.6, lead: float = 0.2) -> DataFrame:
-    """For orphans(id, keyword, pattern): the best entry of the keyword by token overlap; auto if clearly ahead."""
-    a = orphans.select(F.col("id").alias("orphan_id"), F.lower("keyword").alias("k"), pattern_tokens(F.col("pattern")).alias("a"))
-    b = entries.select("id", F.lower("keyword").alias("k"), pattern_tokens(F.col("sub_keyword")).alias("b"))
-    union = F.size(F.array_union("a", "b"))
-    pairs = a.join(b, "k").withColumn("similarity", F.when(union > 0, F.round(F.size(F.array_intersect("a", "b")) / union, 2)).otherwise(F.lit(0.0)))
-    w = Window.partitionBy("orphan_id").orderBy(F.desc("similarity"), "id")
-    best = pairs.withColumns({"_n": F.row_number().over(w), "second": F.coalesce(F.lead("similarity").over(w), F.lit(0.0))}).where("_n = 1")
+    """For orphans(id, keyword, pattern): the best entry of the keyword by token overlap; auto if clearly ahead.
+
+    Not orphans and entries meet but their different sets of tokens, and of these only those that share one; without any the
+    keyword's first entry is the best, at 0. A set stands for its entries with the lowest id, twice if it has more than one, and the
+    two best of an orphans' set decide for all of its orphans."""
+    a = orphans.select(F.col("id").alias("orphan_id"), F.lower("keyword").alias("k"), F.sort_array(pattern_tokens(F.col("pattern"))).alias("a"))
+    b = entries.select("id", F.lower("keyword").alias("k"), F.sort_array(pattern_tokens(F.col("sub_keyword"))).alias("b")).where("k is not null")
+    b = written(b.groupBy("k", "b").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    sets = a.select("k", "a").where("k is not null").distinct()
+    shared = sets.select("k", "a", F.explode("a").alias("t")).join(b.select("k", "b", "id", "n", F.explode("b").alias("t")), ["k", "t"]).groupBy("k", "a", "b", "id", "n").agg(F.count("*").alias("both"))
+    similarity = F.round(F.col("both") / (F.size("a") + F.size("b") - F.col("both")), 2)
+    pairs = shared.select("k", "a", similarity.alias("similarity"), F.explode(F.array_repeat("id", F.least("n", F.lit(2)).cast("int"))).alias("id"))
+    none = sets.join(b.groupBy("k").agg(F.min("id").alias("id")), "k").select("k", "a", F.lit(0.0).alias("similarity"), "id")
+    order = [F.desc("similarity"), "id"]
+    two = pairs.union(none).withColumn("_n", F.row_number().over(Window.partitionBy("k", "a").orderBy(*order))).where("_n <= 2").drop("_n")
+    w = Window.partitionBy("orphan_id").orderBy(*order)
+    best = a.join(two, ["k", "a"]).withColumns({"_n": F.row_number().over(w), "second": F.coalesce(F.lead("similarity").over(w), F.lit(0.0))}).where("_n = 1")
     return best.select("orphan_id", F.col("id").alias("target_id"), "similarity", ((F.col("similarity") >= least) & (F.round(F.col("similarity") - F.col("second"), 2) >= lead)).alias("auto"))
 
 
