@@ -97,10 +97,17 @@ def fulltext_topk(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFra
     return scored(candidates(asked, held, k), asked, held).withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def fulltext_in_sources(chunks: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(query_id, source_id, chunk_id, relevance) over 0 for every chunk of the sources that pairs(query_id, source_id) ask about.
+def fulltext_in_sources(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, source_id, chunk_id, relevance, rank): of every source that pairs(query_id, source_id) ask about the k chunks of the highest relevance.
 
-    Weights are those of all chunks(chunk_id, source_id, content); terms and postings meet inside a source."""
+    Weights are those of all chunks(chunk_id, source_id, content). A source is searched as a collection of its own: a pair is a query and a
+    source's term a term, each with blocks and floors of its own."""
     asked, held = index(chunks, queries, "source_id")
-    rows = pairs.select("query_id", "source_id").distinct().join(asked, "query_id").join(held, ["source_id", "term"])
-    return rows.groupBy("query_id", "source_id", "chunk_id").agg(F.round(F.sum(F.col("tf") * F.col("weight")), DIGITS).alias("relevance")).where("relevance > 0")
+    term = F.struct("source_id", "term").alias("term")
+    held = held.select(term, "chunk_id", "tf", "block")
+    own = held.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most")).groupBy("term").agg(F.sort_array(F.collect_list(F.struct("block", "n", "most"))).alias("blocks"))
+    rows = pairs.select("query_id", "source_id").distinct().join(asked.select("query_id", "term", "weight"), "query_id")
+    asked = written(rows.select(F.struct("query_id", "source_id").alias("query_id"), term, "weight").join(own, "term"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "chunk_id"))
+    top = scored(candidates(asked, held, k), asked, held).withColumn("rank", place).where(F.col("rank") <= k)
+    return top.select("query_id.*", "chunk_id", "relevance", "rank")

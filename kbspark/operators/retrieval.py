@@ -25,8 +25,7 @@ def best_chunks(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, most: i
     chunks(chunk_id, source_id, chunk_index, content). Of the source's `most` chunks of the highest relevance the one that
     scores highest for the question counts (the more relevant of equal ones); without any the hint, if there is such a
     chunk, and else the source's first chunk."""
-    near = fulltext_in_sources(chunks, queries, pairs)
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "source_id").orderBy(F.desc("relevance"), "chunk_id"))).where(F.col("rank") <= most)
+    near = fulltext_in_sources(chunks, queries, pairs, most)
     near = near.join(chunks.select("chunk_id", "content"), "chunk_id").join(queries, "query_id")
     best = near.withColumn("points", T.score_for_question(F.col("content"), F.col("query"))).groupBy("query_id", "source_id").agg(F.max_by("chunk_id", F.struct("points", -F.col("rank"))).alias("best"))
     hints = chunks.select(F.col("chunk_id").alias("hint"), F.lit(True).alias("known"))

@@ -192,16 +192,13 @@ register("r8_contact_chunks", lambda s, d: R.contact_chunks(_chunks(s, d), R.hyb
 
 
 def _pairs(s, d):
-    """Each benchmark text with the sources that its full text search cites, and with that of a chunk that it names, some as a hint."""
-    chunks, asked = _chunks(s, d), _asked(s, d)
-    cited = _candidates(s, d).select(F.col("answer_id").alias("query_id"), "source_id")
-    named = asked.select("query_id").join(chunks.select(F.col("chunk_id").alias("query_id"), "source_id"), "query_id")
-    return cited.union(named.select("query_id", "source_id")).distinct().withColumn("hint", F.when(F.col("query_id") % 3 == 0, F.col("query_id")))
+    """Each benchmark text with every indexed source, some with a hint."""
+    sources = projection(s, d, "sources").where("status = 'indexed'").select(F.col("id").alias("source_id"))
+    return _asked(s, d).select("query_id", F.when(F.col("query_id") % 3 == 0, F.col("query_id")).alias("hint")).crossJoin(F.broadcast(sources))
 
 
 register("r9_best_chunk_for_question", lambda s, d: R.best_chunks(_chunks(s, d), _asked(s, d), _pairs(s, d)), _FULL + """,
-sp AS (SELECT query_id, source_id FROM ft JOIN ic ON ic.id = chunk_id WHERE rank <= 8 UNION SELECT item_id, source_id FROM benchmark JOIN ic ON ic.id = item_id),
-pr AS (SELECT query_id, source_id, CASE WHEN item_id % 3 = 0 THEN item_id END AS hint, text FROM sp JOIN benchmark ON item_id = query_id),
+pr AS (SELECT item_id AS query_id, id AS source_id, CASE WHEN item_id % 3 = 0 THEN item_id END AS hint, text FROM benchmark, sources WHERE status = 'indexed'),
 nr AS (SELECT f.query_id, ic.source_id, chunk_id, content, text, row_number() OVER (PARTITION BY f.query_id, ic.source_id ORDER BY relevance DESC, chunk_id) AS k FROM f JOIN ic ON ic.id = f.chunk_id JOIN pr ON pr.query_id = f.query_id AND pr.source_id = ic.source_id WHERE relevance > 0),
 sr AS (SELECT query_id, source_id, chunk_id, k, 2 * len([t FOR t IN list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) IF length(t) >= 3 AND t NOT IN (QW) AND contains(lower(content), t)])
   + 3 * least(4, len([x FOR x IN [SIGNALS] IF contains(lower(content), x)])) - CASE WHEN len([x FOR x IN [UNMET] IF contains(lower(content), x)]) >= 2 THEN 5 ELSE 0 END AS points FROM nr WHERE k <= 5),
