@@ -17,15 +17,16 @@ def answer_served(questions: DataFrame, answers: DataFrame, within: int = 30) ->
     """Each question with the answer that was served: the linked one, else the unlinked one nearest in time.
 
     answers(id, logged_question_id, created_at). Only answers within `within` seconds count, ties go to the
-    lowest id. Times fall into spans of that length, so a question meets the answers of three spans at most."""
+    lowest id. Gaps are whole seconds, so of the answers of a second that of the lowest id stands for all, and questions of a second get
+    the same. Seconds fall into spans of that length, so one meets the answers of three spans at most, whatever their number."""
     linked = answers.where("logged_question_id is not null").groupBy(F.col("logged_question_id").alias("id")).agg(F.min("id").alias("linked_id"))
-    q = questions.select("id", "created_at").join(linked, "id", "left")
-    span = lambda c: F.floor(F.unix_timestamp(c) / within)
-    open_ = q.where("linked_id is null").select("id", F.col("created_at").alias("at"), F.explode(F.array(*(span("created_at") + d for d in (-1, 0, 1)))).alias("span"))
-    free = answers.where("logged_question_id is null").select(F.col("id").alias("answer_id"), F.col("created_at").alias("answered"), span("created_at").alias("span"))
-    gap = F.abs(F.unix_timestamp("answered") - F.unix_timestamp("at"))
-    near = open_.join(free, "span").withColumn("gap", gap).where(F.col("gap") <= within).groupBy("id").agg(F.min(F.struct("gap", "answer_id")).alias("m"))
-    return q.join(near, "id", "left").select("id", F.coalesce("linked_id", "m.answer_id").alias("answer_id"))
+    q = questions.select("id", F.unix_timestamp("created_at").alias("at")).join(linked, "id", "left")
+    span = lambda c: F.floor(F.col(c) / within)
+    asked = questions.select(F.unix_timestamp("created_at").alias("at")).where("at is not null").distinct().select("at", F.explode(F.array(*(span("at") + d for d in (-1, 0, 1)))).alias("span"))
+    free = answers.where("logged_question_id is null").groupBy(F.unix_timestamp("created_at").alias("answered")).agg(F.min("id").alias("answer_id")).withColumn("span", span("answered"))
+    gap = F.abs(F.col("answered") - F.col("at"))
+    near = asked.join(free, "span").withColumn("gap", gap).where(F.col("gap") <= within).groupBy("at").agg(F.min(F.struct("gap", "answer_id")).alias("m"))
+    return q.join(near, "at", "left").select("id", F.coalesce("linked_id", "m.answer_id").alias("answer_id"))
 
 
 def tiebreak_lookup(events: DataFrame, knowledge: DataFrame) -> DataFrame:
