@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 from kbspark.functions import text as T
 from kbspark.operators import matching as K
+from kbspark.sources.tables import written
 
 #: Stems that anchor nothing, verbs and nouns that say little, question words, negations, determiners, and what some
 #: words are used as: n noun, v verb, a adjective (fixed values).
@@ -36,10 +37,12 @@ _VARIATION = ("keyword", "entry_id", "no")
 def compiled_tokens(variations: DataFrame, stems: DataFrame | None = None) -> DataFrame:
     """(keyword, entry_id, no, idx, stem) of variations(keyword, entry_id, no, text): the words that a pattern may use.
 
-    Words are normalised as questions are, without spelling; forms of the entry's keyword are left out. stems(token,
-    stem), if given, has the base form of a word."""
+    Words are normalised as questions are, without spelling, once for every different text; forms of the entry's keyword are left
+    out. stems(token, stem), if given, has the base form of a word. Written, as most of what follows reads it more than once."""
     words = T.word_synonyms(T.remove_stopwords(T.tokenize(T.normalize_question(F.col("text"))), T.STOPWORDS))
-    rows = variations.select(*_VARIATION, F.lower(F.trim("keyword")).alias("_k"), F.posexplode(words).alias("idx", "stem"))
+    different = written(variations.select("text").distinct().select("text", words.alias("_w")))
+    # a few megabytes may hold millions of phrasings, so they are dealt out before they become rows of words
+    rows = variations.repartition(*_VARIATION).join(different, "text").select(*_VARIATION, F.lower(F.trim("keyword")).alias("_k"), F.posexplode("_w").alias("idx", "stem"))
     if stems is not None:
         own = stems.select("token", F.col("stem").alias("_stem"))
         rows = rows.join(own.withColumnRenamed("token", "stem"), "stem", "left").withColumn("stem", F.coalesce("_stem", "stem")).drop("_stem")
@@ -52,7 +55,7 @@ def compiled_tokens(variations: DataFrame, stems: DataFrame | None = None) -> Da
         k, F.col("_kstem"), F.concat(k, F.lit("s")), F.when(n >= 3, F.concat(k, F.lit("es"))), F.when((n > 3) & k.endswith("s"), cut(1)), F.when((n > 4) & k.endswith("es"), cut(2)),
         F.when((n > 4) & k.endswith("ies"), F.concat(cut(3), F.lit("y"))),
     )
-    return rows.where((n == 0) | k.isNull() | ~F.array_contains(F.array_compact(forms), F.col("stem"))).select(*_VARIATION, "idx", "stem")
+    return written(rows.where((n == 0) | k.isNull() | ~F.array_contains(F.array_compact(forms), F.col("stem"))).select(*_VARIATION, "idx", "stem"))
 
 
 def sibling_frequency(tokens: DataFrame) -> DataFrame:
@@ -67,9 +70,10 @@ def shared_anchors(tokens: DataFrame) -> DataFrame:
     """(keyword, entry_id, stem, place): stems in all of an entry's two or more variations, in the order of the first; without
     noise and those that more than ANCHOR_SIBLINGS variations of siblings have."""
     totals = tokens.groupBy("keyword", "entry_id").agg(F.count_distinct("no").alias("total")).where("total >= 2")
-    held = tokens.where(F.length("stem") >= 2).groupBy("keyword", "entry_id", "stem").agg(F.count_distinct("no").alias("n"), F.min(F.struct("no", "idx")).alias("at"))
+    held = tokens.where(F.length("stem") >= 2).groupBy("keyword", "entry_id", "stem", "no").agg(F.min("idx").alias("idx"))
+    held = held.groupBy("keyword", "entry_id", "stem").agg(F.count("*").alias("n"), F.min_by("idx", "no").alias("place"))
     held = held.join(totals, ["keyword", "entry_id"]).where((F.col("n") == F.col("total")) & ~F.col("stem").isin(ANCHOR_NOISE))
-    return held.join(sibling_frequency(tokens), ["keyword", "entry_id", "stem"]).where(F.col("siblings") <= ANCHOR_SIBLINGS).select("keyword", "entry_id", "stem", F.col("at.idx").alias("place"))
+    return held.join(sibling_frequency(tokens), ["keyword", "entry_id", "stem"]).where(F.col("siblings") <= ANCHOR_SIBLINGS).select("keyword", "entry_id", "stem", "place")
 
 
 def stem_points(stem: Column, pos: Column, next_pos: Column, siblings: Column, known: Column) -> Column:
@@ -168,20 +172,21 @@ def _in_order(pattern: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("no", pattern))), lambda x: x[pattern])
 
 
-def compile_patterns(tokens: DataFrame, pos: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(keyword, entry_id, pattern) of every entry with tokens."""
-    picked = discriminators(with_points(tokens, pos, dictionary), shared_anchors(tokens))
+def compile_patterns(tokens: DataFrame, pos: DataFrame, dictionary: DataFrame, scored: DataFrame | None = None) -> DataFrame:
+    """(keyword, entry_id, pattern) of every entry with tokens; scored: what with_points() makes of them, if it is there already."""
+    scored = written(with_points(tokens, pos, dictionary)) if scored is None else scored
+    picked = discriminators(scored, shared_anchors(tokens))
     return picked.groupBy("keyword", "entry_id").agg(_in_order("pattern").alias("a")).select("keyword", "entry_id", _joined("a").alias("pattern"))
 
 
 def tier_patterns(variations: DataFrame, tokens: DataFrame, pos: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(keyword, entry_id, pattern, tier): the compiled pattern if it matches all variations of its entry; else the first that
     does of the best 3 stems of each variation, the best 4, and all; else the compiled one again, with tier none."""
-    scored = with_points(tokens, pos, dictionary)
+    scored = written(with_points(tokens, pos, dictionary))
     ranked = scored.groupBy(*_VARIATION).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("points")).alias("p"), "idx", "stem"))), lambda x: F.concat(x["stem"], F.lit("*"))).alias("s"))
     tiers = {"best3": F.slice("s", 1, 3), "best4": F.slice("s", 1, 4), "all": F.col("s")}
     own = ranked.select(*_VARIATION, *(F.array_join(c, "&").alias(t) for t, c in tiers.items())).groupBy("keyword", "entry_id").agg(*(_in_order(t).alias(t) for t in tiers))
-    out = compile_patterns(tokens, pos, dictionary).withColumnRenamed("pattern", "compiled").join(own.select("keyword", "entry_id", *(_joined_plain(t).alias(t) for t in tiers)), ["keyword", "entry_id"])
+    out = compile_patterns(tokens, pos, dictionary, scored).withColumnRenamed("pattern", "compiled").join(own.select("keyword", "entry_id", *(_joined_plain(t).alias(t) for t in tiers)), ["keyword", "entry_id"])
     texts = variations.select("keyword", "entry_id", "text", K.tokens(F.col("text")).alias("words")).join(out, ["keyword", "entry_id"])
     fits = texts.groupBy("keyword", "entry_id").agg(*(F.bool_and(K.pattern_matches(K.parsed(F.col(t)), F.col("words"), F.col("text"))).alias(f"_{t}") for t in ("compiled", *tiers)))
     rows = out.join(fits, ["keyword", "entry_id"])

@@ -47,12 +47,17 @@ def _words(s, d):
 
 def _tokens(s, d):
     own = _variations(s, d)
-    plain = own.select(F.explode(X.word_synonyms(X.tokenize(X.normalize_question(F.col("text"))))).alias("token")).union(own.select(F.col("keyword")))
+    plain = own.select("text").distinct().select(F.explode(X.word_synonyms(X.tokenize(X.normalize_question(F.col("text"))))).alias("token")).union(own.select(F.col("keyword")))
     return P.compiled_tokens(own, L.stem_tokens(plain, _words(s, d)))
 
 
-def _scored(s, d):
-    return P.with_points(_tokens(s, d), _sql(s, d, _POS), _words(s, d))
+def _scored(s, d, tokens=None):
+    return P.with_points(_tokens(s, d) if tokens is None else tokens, _sql(s, d, _POS), _words(s, d))
+
+
+def _picked(s, d):
+    tokens = _tokens(s, d)
+    return P.discriminators(S.written(_scored(s, d, tokens)), P.shared_anchors(tokens))
 
 
 def _patterns(s, d):
@@ -77,7 +82,7 @@ register("p1_compile_tokens", lambda s, d: _tokens(s, d).withColumn("idx", F.col
 register("p2_sibling_stem_freq", lambda s, d: P.sibling_frequency(_tokens(s, d)), _T + " SELECT * FROM sf")
 register("p3_score_stem", lambda s, d: _scored(s, d).withColumn("idx", F.col("idx") + 1), _T + " SELECT * FROM sc")
 register("p4_shared_anchor_stems", lambda s, d: P.shared_anchors(_tokens(s, d)).withColumn("place", F.col("place") + 1), _T + " SELECT * FROM a")
-register("p5_pick_discriminator", lambda s, d: P.discriminators(_scored(s, d), P.shared_anchors(_tokens(s, d))), _T + """,
+register("p5_pick_discriminator", _picked, _T + """,
 cd AS (SELECT *, row_number() OVER (PARTITION BY keyword, entry_id, no ORDER BY points DESC, siblings, length(stem) DESC, idx) AS k FROM sc ANTI JOIN a USING (keyword, entry_id, stem)),
 bs AS (SELECT keyword, entry_id, no, max(stem) FILTER (k = 1) AS s1, max(siblings) FILTER (k = 1) AS f1, max(stem) FILTER (k = 2) AS s2, max(points) FILTER (k = 2) AS p2 FROM cd GROUP BY 1, 2, 3),
 h AS (SELECT keyword, entry_id, list(stem || '*' ORDER BY place, stem) AS l FROM a GROUP BY 1, 2)
