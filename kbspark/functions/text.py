@@ -303,6 +303,11 @@ def normalise_url(c: Column) -> Column:
     return F.when(part(2) == "", c).otherwise(F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), F.when(path == "", "/").otherwise(path), part(4)))
 
 
+def is_normalised_url(c: Column) -> Column:
+    """Whether normalise_url() surely leaves a url as it is; one look, where that takes six."""
+    return c.rlike(r"^[a-z][a-z0-9+.-]*://[a-z0-9.-]+(/|/[^?#\s]*[^/?#\s])(\?[^#\s]*)?\z")
+
+
 SKIPPED = r"(?i)\.(pdf|docx?|xlsx?|pptx?|zip|jpe?g|png|gif|svg|mp[34]|css|js|ico|xml)(\?|$)"
 
 

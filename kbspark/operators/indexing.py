@@ -134,6 +134,12 @@ def extract_links(pages: DataFrame) -> DataFrame:
     return rows.where(X.is_allowed_url(F.col("link"), F.col("url"))).select("page_id", X.normalise_url(F.col("link")).alias("link")).distinct()
 
 
+def _by_url(rows: DataFrame) -> DataFrame:
+    """rows(url, …) with normalised urls; those that are so already, most as a rule, take a path of their own."""
+    done = X.is_normalised_url(F.col("url"))
+    return rows.where(done).union(rows.where(~done).withColumn("url", X.normalise_url(F.col("url"))))
+
+
 def crawl_frontier(links: DataFrame, seeds: DataFrame, pages: DataFrame | None = None, depth: int = 2, most: int = 50) -> DataFrame:
     """(job, url, depth, place): the pages that each crawl of seeds(job, url) finds, in order, at most `most` of a job.
 
@@ -143,13 +149,15 @@ def crawl_frontier(links: DataFrame, seeds: DataFrame, pages: DataFrame | None =
     Levels are written one by one, and the crawl ends with the first that is empty; a level has at most `most` rows a job.
     """
     same = lambda c: X.normalise_url(F.col(c))
-    edges = links.select(same("url").alias("url"), same("link").alias("link"), F.col("place").alias("at")).where("link is not null")
-    known = pages.select(same("url").alias("url")).distinct() if pages is not None else None
+    # links are normalised when their page is reached, not all of them before
+    edges = _by_url(links.where("link is not null").select("url", "link", F.col("place").alias("at")))
+    known = _by_url(pages.select("url")) if pages is not None else None
 
     def level(found: DataFrame, before: DataFrame | None, d: int) -> DataFrame:
         """found(job, url, first) as the places after those of before, as far as there is room."""
-        if known is not None:
-            found = found.join(known, "url", "left_semi")
+        if known is not None:  # few urls are found, so the pages go past them
+            found = written(found)
+            found = found.join(known.join(found.select("url").distinct(), "url", "left_semi"), "url", "left_semi")
         taken = F.lit(0)
         if before is not None:
             found = found.join(before.groupBy("job").agg(F.max("place").alias("taken")), "job")
@@ -159,7 +167,7 @@ def crawl_frontier(links: DataFrame, seeds: DataFrame, pages: DataFrame | None =
 
     out = last = level(seeds.groupBy("job", same("url").alias("url")).agg(F.min("url").alias("first")), None, 0)
     for d in range(1, depth + 1):
-        linked = last.join(edges, "url").groupBy("job", F.col("link").alias("url")).agg(F.min(F.struct("place", "at")).alias("first"))
+        linked = last.join(edges, "url").groupBy("job", same("link").alias("url")).agg(F.min(F.struct("place", "at")).alias("first"))
         last = level(linked.join(out.select("job", "url"), ["job", "url"], "left_anti"), out, d)
         if last.isEmpty():
             break
