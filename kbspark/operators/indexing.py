@@ -7,6 +7,7 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ from kbspark.sources.tables import written
 
 #: Words of a chunk, words repeated from the chunk before, and the least that makes a chunk.
 CHUNK_WORDS, OVERLAP, LEAST_WORDS = 350, 40, 10
+#: Pages or texts that a task has open at once as Python values.
+READ_AT_ONCE = CHUNKED_AT_ONCE = 64
 _BLOCKS = frozenset("p div section article ul ol li table tr h1 h2 h3 h4 h5 h6 blockquote pre form header footer nav aside main figure dl dt dd hr address fieldset".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -100,9 +103,11 @@ def chunks_of(text: str | None) -> list[str]:
     return [c for c in out if len(c.split()) >= LEAST_WORDS]
 
 
-@F.pandas_udf(T.StringType())
-def _text(pages: pd.Series) -> pd.Series:
-    return pages.map(page_text)
+@F.arrow_udf(T.StringType())
+def _text(pages: pa.Array) -> pa.Array:
+    # a few pages at a time: as Python values a whole batch of them would be several times as large
+    parts = [pages.slice(at, READ_AT_ONCE) for at in range(0, len(pages), READ_AT_ONCE)]
+    return pa.concat_arrays([pa.array([page_text(p) for p in part.to_pylist()], pa.string()) for part in parts] or [pa.array([], pa.string())])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -114,9 +119,14 @@ def _links(pages: pd.Series) -> pd.Series:
     return pages.map(links)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _chunks(texts: pd.Series) -> pd.Series:
-    return texts.map(chunks_of)
+def _chunk_rows(batches):
+    """Chunks of (source_id, text) batches, a few texts at a time: a batch's chunks never lie in memory together."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNKED_AT_ONCE):
+            part = batch.slice(at, CHUNKED_AT_ONCE)
+            texts = [chunks_of(t) for t in part.column(1).to_pylist()]
+            rows = [i for i, t in enumerate(texts) for _ in t]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int32())), pa.array([k for t in texts for k in range(len(t))], pa.int32()), pa.array([c for t in texts for c in t], pa.string())], names=["source_id", "chunk_index", "content"])
 
 
 def html_to_text(html: Column) -> Column:
@@ -177,7 +187,8 @@ def crawl_frontier(links: DataFrame, seeds: DataFrame, pages: DataFrame | None =
 
 def chunk_text(sources: DataFrame, text: str = "text") -> DataFrame:
     """(source_id, chunk_index, content, word_count) from sources(source_id, text)."""
-    rows = sources.select("source_id", F.posexplode(_chunks(text)).alias("chunk_index", "content"))
+    schema = T.StructType([T.StructField("source_id", sources.schema["source_id"].dataType), T.StructField("chunk_index", T.IntegerType()), T.StructField("content", T.StringType())])
+    rows = sources.select("source_id", text).mapInArrow(_chunk_rows, schema)
     return rows.withColumn("word_count", F.size(F.split(F.trim("content"), r"\s+")))
 
 
