@@ -191,14 +191,17 @@ def match_label(score: Column) -> Column:
     return F.when(score.isNull(), "none").when(score >= 90, "exact").otherwise("partial")
 
 
+def logged(questions: DataFrame) -> DataFrame:
+    """The questions that a log takes: with a column user_agent those of bots are left out."""
+    return questions.where(~is_bot(F.col("user_agent"))) if "user_agent" in questions.columns else questions
+
+
 def question_log(questions: DataFrame, matches: DataFrame) -> DataFrame:
     """Log rows: every question with its best match, score and label; layer1_strong: above the broad search's score.
 
     With a column user_agent, questions of bots are not logged."""
-    if "user_agent" in questions.columns:
-        questions = questions.where(~is_bot(F.col("user_agent")))
     best = matches.where("place = 1").select("id", "entry_id", "score")
-    out = questions.join(best, "id", "left")
+    out = logged(questions).join(best, "id", "left")
     return out.withColumns({"match_type": match_label(F.col("score")), "layer1_strong": F.coalesce(F.col("score") > 50, F.lit(False))})
 
 

@@ -179,11 +179,16 @@ def dictionary(s, d):
 
 
 _register("k7_find_matches", matches, MATCHED + " SELECT q.id, entry_id, score, place FROM match_questions q JOIN every ON every.question = q.question")
-def _log(s, d):
-    """The questions with who asked them and by what agent, logged."""
+def _askers(s, d):
+    """The questions with who asked them and by what agent."""
     asker = table(s, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("u"), "user_id").alias("ip_address"), F.expr(AGENT).alias("user_agent"))
     asked = projection(s, d, "match_questions").select("id", "question", F.col("created_at").cast("timestamp").alias("created_at"))
-    return K.question_log(asked.join(asker, "id"), matches(s, d))
+    return asked.join(asker, "id")
+
+
+def _log(s, d):
+    """These questions, logged."""
+    return K.question_log(_askers(s, d), matches(s, d))
 
 
 _LOGGED = MATCHED + f""",
@@ -195,7 +200,7 @@ SELECT q.id, entry_id, CASE WHEN score IS NULL THEN 'none' WHEN score >= 90 THEN
 def _visited(s, d):
     """The visitors that the projection knows, with the logged questions' visits added."""
     known = projection(s, d, "visitors").select("ip_address", "visit_count", F.col("first_visit").cast("timestamp").alias("first_visit"), F.col("last_visit").cast("timestamp").alias("last_visit"))
-    return visitors_upsert(_log(s, d).select("ip_address", "created_at"), known)
+    return visitors_upsert(K.logged(_askers(s, d)).select("ip_address", "created_at"), known)
 
 
 QUERIES["k13_log_visitors"] = _visited
