@@ -13,20 +13,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.shared import held, unit_hash, unused, written
+from kbspark.llm.shared import held, unused
 
 #: Components of a vector; letters of an n-gram; different letters told apart (others share by code point).
 SIZE, GRAM, LETTERS = 512, 3, 64
-#: Texts that a language is learned from, about, at most.
-SAMPLE_PER_LANGUAGE = 3000
 #: Letters that are bundled at once, and counts of n-grams by text that are held at once.
 BLOCK_LETTERS, BLOCK_COUNTS = 1 << 20, 1 << 22
 #: Languages that a block of texts is compared with at once.
 BLOCK_LANGUAGES = 4096
-#: Languages whose shares are broadcast (a name and a number each).
-BROADCAST_LANGUAGES = 100_000
 #: A text of at least CLEAR different n-grams is in a language if its cosine is over this share of the usual one at its size.
 CLEAR, SHARE_OF_USUAL = 64, 0.3
+#: Steps of a score, from 0 to 1, that its median is told apart by.
+STEPS = 10_000
 UNKNOWN = "und"
 
 
@@ -105,24 +103,14 @@ def _own_space() -> Space:
     return held("language", Space)
 
 
-def _picked(docs: DataFrame, may_learn: Column, text: str, lang: str, key: str, per_language: int) -> DataFrame:
-    rows = docs.where(may_learn & F.col(lang).isNotNull())
-    share = rows.groupBy(F.col(lang).alias("lang")).agg((F.lit(float(per_language)) / F.count("*")).alias("_share"))
-    share = written(share)
-    if share.count() <= BROADCAST_LANGUAGES:  # else the texts are shuffled by language
-        share = F.broadcast(share)
-    return rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), unit_hash(key).alias("_unit")).join(share, "lang").where("_unit < _share")
-
+def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
+    """Languages, sorted, and their prototypes, from all rows for which may_learn holds and whose language is known.
 
-def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and their prototypes, from rows for which may_learn holds and whose language is known.
-
-    Of every language about per_language rows, at most, are read, chosen by a hash of the key. Rows without
-    a letter teach nothing. Prototypes come to the driver: one vector of 4 KB for each language, of which the
+    Rows without a letter teach nothing. Prototypes come to the driver: one vector of 4 KB for each language, of which the
     world has under ten thousand. Letters other than a-z share LETTERS - 27 symbols by code point, so the letters of
     one script are mostly told apart but those of two scripts can look alike.
     """
-    picked = _picked(docs, may_learn, text, lang, key, per_language)
+    rows = docs.where(may_learn & F.col(lang).isNotNull())
 
     def bundles(batches):
         sums: dict[str, np.ndarray] = {}
@@ -136,7 +124,7 @@ def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
         for name, v in sums.items():
             yield pd.DataFrame({"lang": name, "place": np.arange(SIZE), "value": np.rint(v).astype(np.int64)})
 
-    parts = picked.select("lang", "text").mapInPandas(bundles, "lang string, place int, value long")
+    parts = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInPandas(bundles, "lang string, place int, value long")
     total = parts.groupBy("lang", "place").agg(F.sum("value").alias("value")).toPandas()
     if not len(total):
         return [], np.zeros((0, SIZE))
@@ -144,18 +132,20 @@ def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
     return list(wide.index), wide.to_numpy(np.float64)
 
 
-def floors(docs: DataFrame, may_learn: Column, languages: list[str], prototypes: np.ndarray, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> list[float]:
+def floors(docs: DataFrame, may_learn: Column, languages: list[str], prototypes: np.ndarray, text: str = "text", lang: str = "lang") -> list[float]:
     """The least score of a text in a language, by the bit length of its number of different n-grams.
 
-    SHARE_OF_USUAL of the median score of the class among the texts learned from, which junk among them hardly
+    SHARE_OF_USUAL of the median score of the class among all the texts learned from, which junk among them hardly
     moves, and never less than in the class below. Texts under CLEAR n-grams have no floor: clean ones
-    score as low as junk.
+    score as low as junk. Scores are counted in steps of 1 / STEPS, so few rows reach the driver whatever the table's size.
     """
-    scored = predict(_picked(docs, may_learn, text, lang, key, per_language).select("text"), languages, prototypes, into=("p", "s"), size="n")
-    usual = scored.where(F.col("n") >= CLEAR).groupBy(_class("n").alias("c")).agg(F.percentile_approx("s", 0.5, 1000).alias("s")).toPandas()
+    rows = docs.where(may_learn & F.col(lang).isNotNull()).select(F.col(text).alias("text"))
+    scored = predict(rows, languages, prototypes, into=("p", "s"), size="n").where(F.col("n") >= CLEAR)
+    counts = scored.groupBy(_class("n").alias("c"), F.round(F.col("s") * STEPS).cast("int").alias("s")).count().toPandas().sort_values("s")
+    usual = {c: own["s"].to_numpy()[np.searchsorted(own["count"].cumsum(), own["count"].sum() / 2)] / STEPS for c, own in counts.groupby("c")}
     out = [0.0] * 32
-    for c, s in zip(usual["c"], usual["s"]):
-        out[c] = SHARE_OF_USUAL * s
+    for c, s in usual.items():
+        out[c] = SHARE_OF_USUAL * float(s)
     for c in range(1, 32):
         out[c] = max(out[c], out[c - 1])  # clean texts score higher the longer they are: a class that is mostly junk does not
     return out
