@@ -140,8 +140,10 @@ def floors(docs: DataFrame, may_learn: Column, languages: list[str], prototypes:
     score as low as junk. Scores are counted in steps of 1 / STEPS, so few rows reach the driver whatever the table's size.
     """
     rows = docs.where(may_learn & F.col(lang).isNotNull()).select(F.col(text).alias("text"))
-    scored = predict(rows, languages, prototypes, into=("p", "s"), size="n").where(F.col("n") >= CLEAR)
-    counts = scored.groupBy(_class("n").alias("c"), F.round(F.col("s") * STEPS).cast("int").alias("s")).count().toPandas().sort_values("s")
+    scored = predict(rows, languages, prototypes, into=("p", "s"), size="n")
+    # short texts are left out of the counts, not of the rows: a filter on what is predicted would predict twice, by twice the workers
+    counts = scored.groupBy(_class("n").alias("c"), F.round(F.col("s") * STEPS).cast("int").alias("s"), (F.col("n") >= CLEAR).alias("clear")).count().toPandas()
+    counts = counts[counts["clear"]].sort_values("s")
     usual = {c: own["s"].to_numpy()[np.searchsorted(own["count"].cumsum(), own["count"].sum() / 2)] / STEPS for c, own in counts.groupby("c")}
     out = [0.0] * 32
     for c, s in usual.items():

@@ -36,6 +36,8 @@ LEAST_HELD = 500
 FIXED, ODDS = 1 << 24, 200
 _EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»„“”‘’–—…¿¡·•"
 CACHE_WORDS = 250_000
+#: Words whose n-grams are hashed at once.
+WORDS_AT_ONCE = 1 << 14
 
 
 def buckets_of(word: str, mask: int, low: int = 3, high: int = 5) -> list[int]:
@@ -146,9 +148,11 @@ def fit(texts: list[str], labels: list[int], buckets: int = 1 << 18, size: int =
                 n += 1
         flat_words.extend([-1] * (-n % SEGMENT))
         owner.extend([d] * -(-n // SEGMENT))
-    flat, of_gram = buckets_of_many(list(vocabulary), buckets - 1)
-    counts, flat = np.bincount(of_gram, minlength=len(vocabulary)), flat.astype(np.int32)
-    del vocabulary, of_gram
+    words = list(vocabulary)
+    del vocabulary
+    parts = [(ids.astype(np.int32), np.bincount(own)) for at in range(0, len(words), WORDS_AT_ONCE) for ids, own in [buckets_of_many(words[at : at + WORDS_AT_ONCE], buckets - 1)]]
+    flat, counts = (np.concatenate(x) for x in zip((np.zeros(0, np.int32), np.zeros(0, np.int64)), *parts))
+    del words, parts
     y_doc = np.array(labels)
     if not len(owner) or len(set(labels)) < 2:
         return Model(np.zeros(buckets), -40.0)
