@@ -311,7 +311,9 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, may_learn: Column, label: s
         return pd.Series([own.odds(x)[0] for x in texts], dtype="float64")
 
     z = F.round(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), odds("text"))) * ODDS).cast("int")
-    counts = rows.where("held").select("y", z.alias("z")).where(F.col("z") > -50 * ODDS).groupBy("y", "z").count().toPandas()
+    # texts without words are left out of the counts, not of the rows: a filter on odds would work them out twice
+    counts = rows.where("held").select("y", z.alias("z")).groupBy("y", "z").count().toPandas()
+    counts = counts[counts["z"] > -50 * ODDS]
     value, cut = _decision(counts["z"].to_numpy(np.float64) / ODDS, counts["y"].to_numpy(), counts["count"].to_numpy())
     return Model(weights, bias - cut + log(0.7 / 0.3)) if value > -np.inf else model
 
