@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kbspark.functions import text as T
 from kbspark.operators import matching as K
 from kbspark.plans.fixtures import AGENT, projection, table, with_projections
+from kbspark.sources.tables import written
 from kbspark.streaming.events import visitors_upsert
 
 QUERIES: dict = {}
@@ -172,10 +173,13 @@ every AS (SELECT question, entry_id, score, place FROM g WHERE place <= 5 UNION
 """
 
 def dictionary(s, d):
-    """The words of the base, and those that are used twenty times or more in the log."""
+    """The words of the base, and those that are used twenty times or more in the log.
+
+    Different questions are told apart before their words are, and the words are written once: those who ask read them several times."""
     kb = projection(s, d, "match_kb").select(F.explode(F.split(F.lower("question"), "[^a-z]+")).alias("word"), F.col("id").alias("ord"))
-    log = projection(s, d, "match_questions").select(F.explode(T.tokenize(T.normalize_question(F.col("question")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 20").select("word", F.lit(1 << 40).alias("ord"))
-    return kb.union(log).where("word <> ''").groupBy("word").agg(F.min("ord").alias("ord"))
+    asked = projection(s, d, "match_questions").groupBy("question").agg(F.count("*").alias("times"))
+    log = asked.select("times", F.explode(T.tokenize(T.normalize_question(F.col("question")))).alias("word")).groupBy("word").agg(F.sum("times").alias("n")).where("n >= 20").select("word", F.lit(1 << 40).alias("ord"))
+    return written(kb.union(log).where("word <> ''").groupBy("word").agg(F.min("ord").alias("ord")))
 
 
 _register("k7_find_matches", matches, MATCHED + " SELECT q.id, entry_id, score, place FROM match_questions q JOIN every ON every.question = q.question")
@@ -354,16 +358,18 @@ def _plain_words(s, d):
     return q.select(F.xxhash64("question").alias("qid"), "question", T.remove_stopwords(T.tokenize(T.normalize_question(F.col("question"))), T.STOPWORDS).alias("words"))
 
 
-def _unmatched(s, d):
-    """Those of them without a strong match."""
-    matched = matches(s, d, min_score=100).select("id").distinct().join(projection(s, d, "match_questions").select("id", "question"), "id").select("question").distinct()
-    return _plain_words(s, d).join(matched, "question", "left_anti")
+def _suggested(s, d):
+    """Suggestions for the different questions without a strong match; the log is gone through once, to tell these questions."""
+    base, asked = written(projection(s, d, "match_kb")), written(_plain_words(s, d))
+    matched = K.find_matches(asked.select(F.col("qid").alias("id"), "question"), base, min_score=100, dictionary=dictionary(s, d)).select(F.col("id").alias("qid")).distinct()
+    left = asked.join(matched, "qid", "left_anti")
+    return K.suggest_questions(left.withColumn("words", _BEGUN()), base).join(asked, "qid").select("question", "suggestion", "place")
 
 
 #: Questions end in a word's beginning, so that prefixes find something.
 _BEGUN = lambda: F.concat("words", F.array(F.lit("bl"), F.lit("r")))
 _PW = f", pw AS (SELECT q AS question, {WORDS} AS words FROM (SELECT DISTINCT question AS q FROM match_questions))"
-_register("k9_suggest_questions", lambda s, d: K.suggest_questions(_unmatched(s, d).withColumn("words", _BEGUN()), projection(s, d, "match_kb")).join(_plain_words(s, d), "qid").select("question", "suggestion", "place"), _W + _PW + """,
+_register("k9_suggest_questions", _suggested, _W + _PW + """,
 sw AS (SELECT DISTINCT question, unnest(list_concat(words, ['bl', 'r'])) AS w FROM pw WHERE question NOT IN (SELECT question FROM m)), sr AS (SELECT sw.question, e.question AS suggestion, e.hits, row_number() OVER (PARTITION BY sw.question, w ORDER BY e.hits DESC, e.id) AS k FROM sw JOIN match_kb e ON starts_with(e.keyword, w) OR starts_with(e.sub_keyword, w) WHERE length(w) >= 2),
 sg AS (SELECT question, suggestion, max(hits) AS hits FROM sr WHERE k <= 3 GROUP BY 1, 2) SELECT * EXCLUDE (hits) FROM (SELECT question, suggestion, hits, row_number() OVER (PARTITION BY question ORDER BY hits DESC, suggestion)::INTEGER AS place FROM sg) WHERE place <= 5""")
 
