@@ -235,13 +235,24 @@ def _held(text: Column, phrases: tuple[str, ...]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(text, p)))
 
 
+def _signs(lower: Column) -> Column:
+    return 3 * F.least(_held(lower, ANSWER_SIGNALS), F.lit(4)) - F.when(_held(lower, UNMET) >= 2, 5).otherwise(0)
+
+
+def terms_held(text: Column, terms: Column) -> Column:
+    """How many of the search terms a text holds."""
+    return F.size(F.filter(terms, lambda t: F.contains(text, t)))
+
+
+def answer_body(chunk: Column) -> Column:
+    """(signs, runs): what score_for_question() needs of a chunk whatever the question. A term has letters and digits alone, so a chunk
+    holds it if one of its different runs of them does."""
+    return let(F.lower(chunk), lambda lower: F.struct(_signs(lower).alias("signs"), F.array_join(F.array_distinct(F.regexp_extract_all(lower, F.lit("([a-z0-9]{3,})"), 1)), " ").alias("runs")))
+
+
 def score_for_question(chunk: Column, question: Column) -> Column:
     """2 for every search term that the chunk holds, 3 for every sign of an answer (four at most), 5 less if two phrases or more say what follows if a rule is not met."""
-    def points(lower):
-        terms = F.size(F.filter(search_terms(question), lambda t: F.contains(lower, t)))
-        return 2 * terms + 3 * F.least(_held(lower, ANSWER_SIGNALS), F.lit(4)) - F.when(_held(lower, UNMET) >= 2, 5).otherwise(0)
-
-    return let(F.lower(chunk), points)
+    return let(F.lower(chunk), lambda lower: 2 * terms_held(lower, search_terms(question)) + _signs(lower))
 
 
 def relevant_snippet(chunk: Column, question: Column) -> Column:

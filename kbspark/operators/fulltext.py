@@ -6,6 +6,9 @@ cannot fall under. Then blocks are skipped, those first that save most postings
 chunk, until what a chunk could have in skipped blocks alone comes to half the floor: so common terms, whose weights are nearly 0, take
 part with their strongest blocks or not at all. The other blocks are joined; a chunk whose sum there and greatest
 possible rest stay under the floor goes, and what is left is scored in full.
+
+Postings are written with few bytes a row and take some 70 times that in memory, so by the files' size Spark would send all of them
+through the driver to every task: joins with them are told to merge, and so are those with the asked terms.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ def index(chunks: DataFrame, queries: DataFrame, *also: str) -> tuple[DataFrame,
 
 def scored(pairs: DataFrame, asked: DataFrame, held: DataFrame) -> DataFrame:
     """(query_id, chunk_id, relevance) over 0 for pairs(query_id, chunk_id): looked up by term and chunk, not by term alone."""
-    looked = pairs.join(asked.select("query_id", "term", "weight"), "query_id").join(held.select("term", "chunk_id", "tf"), ["term", "chunk_id"])
+    looked = pairs.join(asked.select("query_id", "term", "weight").hint("merge"), "query_id").join(held.select("term", "chunk_id", "tf").hint("merge"), ["term", "chunk_id"])
     return looked.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("tf") * F.col("weight")), DIGITS).alias("relevance")).where("relevance > 0")
 
 
@@ -55,7 +58,7 @@ def floors(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
     Of every term the k postings of the highest tf, of those a query's strongest; a query looks at LOOKED_AT * k chunks at most."""
     champions = held.withColumn("_n", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("tf"), "chunk_id"))).where(F.col("_n") <= k).select("term", "chunk_id", "tf")
     strongest = Window.partitionBy("query_id").orderBy(F.desc(F.col("tf") * F.col("weight")), "chunk_id")
-    looked = asked.join(champions, "term").withColumn("_n", F.row_number().over(strongest)).where(F.col("_n") <= LOOKED_AT * k).select("query_id", "chunk_id").distinct()
+    looked = asked.join(champions.hint("merge"), "term").withColumn("_n", F.row_number().over(strongest)).where(F.col("_n") <= LOOKED_AT * k).select("query_id", "chunk_id").distinct()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance")))
     return scored(looked, asked, held).withColumn("_n", place).where(F.col("_n") == k).select("query_id", F.col("relevance").alias("floor"))
 
@@ -83,7 +86,7 @@ def candidates(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
 
     Queries and postings meet by term and block, so skipped blocks are not touched. A term of a chunk that was not met has
     what its skipped blocks allow at most."""
-    met = unskipped(asked, floors(asked, held, k)).join(held.select("term", "block", "chunk_id", "tf"), ["term", "block"])
+    met = unskipped(asked, floors(asked, held, k)).join(held.select("term", "block", "chunk_id", "tf").hint("merge"), ["term", "block"])
     most = F.sum(F.col("tf") * F.col("weight") - F.col("skipped")) + F.max("rest")
     return met.groupBy("query_id", "chunk_id").agg(most.alias("_most"), F.max("floor").alias("_floor")).where(F.col("_most") >= F.col("_floor") * (1 - 1e-9)).select("query_id", "chunk_id")
 
@@ -107,7 +110,7 @@ def fulltext_in_sources(chunks: DataFrame, queries: DataFrame, pairs: DataFrame,
     held = held.select(term, "chunk_id", "tf", "block")
     own = held.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most")).groupBy("term").agg(F.sort_array(F.collect_list(F.struct("block", "n", "most"))).alias("blocks"))
     rows = pairs.select("query_id", "source_id").distinct().join(asked.select("query_id", "term", "weight"), "query_id")
-    asked = written(rows.select(F.struct("query_id", "source_id").alias("query_id"), term, "weight").join(own, "term"))
+    asked = written(rows.select(F.struct("query_id", "source_id").alias("query_id"), term, "weight").join(own.hint("merge"), "term"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "chunk_id"))
     top = scored(candidates(asked, held, k), asked, held).withColumn("rank", place).where(F.col("rank") <= k)
     return top.select("query_id.*", "chunk_id", "relevance", "rank")

@@ -26,9 +26,12 @@ def best_chunks(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, most: i
     chunks(chunk_id, source_id, chunk_index, content). Of the source's `most` chunks of the highest relevance the one that
     scores highest for the question counts (the more relevant of equal ones); without any the hint, if there is such a
     chunk, and else the source's first chunk."""
-    near = fulltext_in_sources(chunks, queries, pairs, most)
-    near = near.join(chunks.select("chunk_id", "content"), "chunk_id").join(queries, "query_id")
-    best = near.withColumn("points", T.score_for_question(F.col("content"), F.col("query"))).groupBy("query_id", "source_id").agg(F.max_by("chunk_id", F.struct("points", -F.col("rank"))).alias("best"))
+    near = written(fulltext_in_sources(chunks, queries, pairs, most))
+    # a long chunk is near to many questions: it is looked through once
+    bodies = chunks.join(near.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", T.answer_body(F.col("content")).alias("body"))
+    asked = queries.select("query_id", T.search_terms(F.col("query")).alias("terms"))
+    points = 2 * T.terms_held(F.col("body.runs"), F.col("terms")) + F.col("body.signs")
+    best = near.join(bodies, "chunk_id").join(asked, "query_id").withColumn("points", points).groupBy("query_id", "source_id").agg(F.max_by("chunk_id", F.struct("points", -F.col("rank"))).alias("best"))
     hints = chunks.select(F.col("chunk_id").alias("hint"), F.lit(True).alias("known"))
     firsts = chunks.groupBy("source_id").agg(F.min_by("chunk_id", F.struct("chunk_index", "chunk_id")).alias("first"))
     out = pairs.join(best, ["query_id", "source_id"], "left").join(hints, "hint", "left").join(firsts, "source_id", "left")

@@ -88,7 +88,8 @@ SELECT a, b, n / (m - n) AS similarity FROM p WHERE n / (m - n) >= 0.6""", "matc
 def _chunks(s, d):
     """The chunks of indexed sources."""
     indexed = projection(s, d, "sources").where("status = 'indexed'").select(F.col("id").alias("source_id"))
-    return projection(s, d, "chunks").join(indexed, "source_id", "left_semi").select(F.col("id").alias("chunk_id"), "source_id", "chunk_index", "content")
+    # a row a source; by size Spark would deal out all texts by source
+    return projection(s, d, "chunks").join(F.broadcast(indexed), "source_id", "left_semi").select(F.col("id").alias("chunk_id"), "source_id", "chunk_index", "content")
 
 
 def _asked(s, d):
