@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -167,15 +169,25 @@ def is_spam(c: Column) -> Column:
 
 
 #: What counts as a way to get in touch (fixed values).
+CONTACT_WORDS = ("contact", "reach", "call", "email", "phone", "fax", "location", "address", "visit us", "stop by")
 CONTACT = {
     "phone": r"\(?\d{3}\)?[\s.\-]\d{3}[\s.\-]\d{4}", "email": r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "room": r"(?i)(?:room|building|suite|floor|hall|center)\s+\w+",
     "hours": r"(?i)(?:hours?|monday|tuesday|wednesday|thursday|friday|open|closed).*\d{1,2}:\d{2}", "url": r"https?://[^\s]+",
-    "words": r"(?i)(?:contact|reach|call|email|phone|fax|location|address|visit us|stop by)", "box": r"(?i)P\.?O\.?\s*Box",
+    "words": f"(?i)(?:{'|'.join(CONTACT_WORDS)})", "box": r"(?i)P\.?O\.?\s*Box",
 }
 
 
 def has_contact_info(c: Column) -> Column:
-    return c.rlike("|".join(f"({x})" if not x.startswith("(?i)") else f"((?i:{x[4:]}))" for x in CONTACT.values()))
+    """If c matches one of CONTACT. A pattern is only tried on texts that hold what it can't do without, which is found faster; the
+    words are plain, so to hold one is to match, and a bracket before a number decides nothing."""
+    def held(lower):
+        has = lambda *parts: reduce(or_, (F.contains(lower, F.lit(x)) for x in parts))
+        words = has(*CONTACT_WORDS)
+        hours = has(":") & c.rlike(r"\d:\d{2}") & has("hour", "monday", "tuesday", "wednesday", "thursday", "friday", "open", "closed") & c.rlike(CONTACT["hours"])
+        room = has("room", "building", "suite", "floor", "hall", "center") & c.rlike(CONTACT["room"])
+        return words | (has("http") & c.rlike(CONTACT["url"])) | (has("@") & c.rlike(CONTACT["email"])) | hours | room | (has("box") & c.rlike(CONTACT["box"])) | c.rlike(CONTACT["phone"].removeprefix(r"\(?"))
+
+    return let(F.lower(c), held)
 
 
 #: Signs of an answer that gives none (fixed values).

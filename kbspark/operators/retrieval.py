@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kbspark.functions import text as T
 from kbspark.operators.fulltext import fulltext_in_sources
 from kbspark.operators.joins import containing, first_per_source
+from kbspark.operators.overlap import most_shared
 from kbspark.sources.tables import written
 
 #: Fusion constant, chunks kept, depth of each list, and the similarity at or under which nothing is returned.
@@ -97,15 +98,13 @@ def contact_chunks(chunks: DataFrame, retrieved: DataFrame, most: int = 2) -> Da
     Topic words: four letters or more, twice or more in the retrieved chunks. Score: topic words held, and 10 in
     a source that was retrieved; other sources need one word. chunks(chunk_id, source_id, content)."""
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: (F.length(w) >= 4) & ~w.isin(T.STOPWORDS))
-    retrieved = written(retrieved.select("query_id", "chunk_id"))
-    held = written(retrieved.join(chunks, "chunk_id"))  # a few chunks a query
-    topic = held.select("query_id", F.explode(words(F.col("content"))).alias("w")).groupBy("query_id", "w").agg(F.count("*").alias("n")).where("n >= 2").select("query_id", "w")
+    held = written(retrieved.select("query_id", "chunk_id").join(chunks, "chunk_id").select("query_id", "chunk_id", "source_id", words(F.col("content")).alias("words")))  # a few chunks a query
+    topic = held.select("query_id", F.explode("words").alias("w")).groupBy("query_id", "w").agg(F.count("*").alias("n")).where("n >= 2").groupBy("query_id").agg(F.collect_list("w").alias("words"))
+    asked = held.groupBy("query_id").agg(F.collect_set("source_id").alias("sources"), F.collect_set("chunk_id").alias("own")).join(topic, "query_id", "left")
+    asked = written(asked.withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))
     # texts are looked through once
     contact = written(chunks.where(T.has_contact_info(F.col("content"))).select("chunk_id", "source_id", F.array_distinct(words(F.col("content"))).alias("words")))
-    shared = contact.select("chunk_id", F.explode("words").alias("w")).join(topic, "w").select("query_id", "chunk_id", F.lit(1).alias("n"))
-    near = held.select("query_id", "source_id").distinct().join(contact.select("chunk_id", "source_id"), "source_id").select("query_id", "chunk_id", F.lit(10).alias("n"))
-    scored = shared.union(near).groupBy("query_id", "chunk_id").agg(F.sum("n").alias("score")).join(retrieved.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    return scored.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("_n") <= most).drop("_n")
+    return most_shared(contact, asked, most, 10)
 
 
 def find_relevant_chunks(chunks: DataFrame, queries: DataFrame, hybrid: DataFrame, fulltext: DataFrame, expanded: DataFrame | None = None, keep: int = KEEP, search_results: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

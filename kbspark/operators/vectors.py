@@ -20,10 +20,21 @@ def nearest(q: np.ndarray, ids: np.ndarray, m: np.ndarray, keys: np.ndarray, k:
     """(query, key, similarity) of the k nearest rows of m to each of q, ties by key; similarities have 9 digits.
 
     Rows go by in steps. What is held are k candidates for each query and the products of one step, of which
-    only those that reach a query's k-th so far, or tie with it, are sorted."""
+    only those that reach a query's k-th so far, or tie with it, are rounded and sorted."""
     best_s, best_k = np.full((len(q), 0), 0.0), np.full((len(q), 0), 0, keys.dtype)
     for a in range(0, len(m), STEP):
-        s = np.round(q @ m[a : a + STEP].T, 9)
+        s = q @ m[a : a + STEP].T
+        if best_s.shape[1] == k:
+            row, at = np.nonzero(s >= best_s[:, -1:] - 1e-9)  # rounding adds less
+            if len(row):
+                met, of = np.unique(row, return_inverse=True)
+                n = np.bincount(of) + k
+                of, s = np.concatenate([np.repeat(np.arange(len(met)), k), of]), np.concatenate([best_s[met].ravel(), np.round(s[row, at], 9)])
+                own = np.concatenate([best_k[met].ravel(), keys[a + at]])
+                order = np.lexsort((own, -s, of))[(np.cumsum(n) - n)[:, None] + np.arange(k)]
+                best_s[met], best_k[met] = s[order], own[order]
+            continue
+        s = np.round(s, 9)
         own = np.broadcast_to(keys[a : a + STEP], s.shape)
         if s.shape[1] > k:
             # the k-th highest of a row; more than k may tie there, and then the keys decide

@@ -139,7 +139,7 @@ register("r2_vector_topk", _vectors, _VECTOR + " SELECT * FROM vt", "vector_quer
 def _both(s, d, full=None):
     """Two lists for the same queries: the benchmark's texts by terms, and as vectors those of the same number."""
     full = (_full(s, d) if full is None else full).select("query_id", "chunk_id", "relevance", "rank")
-    vector = _vectors(s, d).withColumn("query_id", (F.col("query_id") / 50).cast("long"))
+    vector = written(_vectors(s, d).withColumn("query_id", (F.col("query_id") / 50).cast("long")))  # every vector met every query for it
     return vector, full
 
 
