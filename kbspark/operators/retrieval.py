@@ -116,12 +116,12 @@ def find_relevant_chunks(chunks: DataFrame, queries: DataFrame, hybrid: DataFram
     first = hybrid.select("query_id", "chunk_id", F.lit("hybrid").alias("tier"), "rank")
     full = merge_expanded(fulltext, expanded) if expanded is not None else fulltext.select("query_id", "chunk_id", "relevance")
     full = _top(full.join(first.select("query_id").distinct(), "query_id", "left_anti"), "query_id", "relevance", "chunk_id", keep)
-    both = first.unionByName(full.select("query_id", "chunk_id", F.lit("fulltext").alias("tier"), "rank"))
-    left = queries.join(both.select("query_id").distinct(), "query_id", "left_anti")
-    like = like_fallback(chunks, left, k=keep).select("query_id", "chunk_id", F.lit("like").alias("tier"), "rank")
-    contact = contact_chunks(chunks, both)
+    both = written(first.unionByName(full.select("query_id", "chunk_id", F.lit("fulltext").alias("tier"), "rank")))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    out = both.unionByName(like).unionByName(contact.select("query_id", "chunk_id", F.lit("contact").alias("tier"), place.alias("rank")))
+    out = both.unionByName(contact_chunks(chunks, both).select("query_id", "chunk_id", F.lit("contact").alias("tier"), place.alias("rank")))
+    left = written(queries.join(both.select("query_id").distinct(), "query_id", "left_anti"))
+    if not left.isEmpty():  # else all texts would be taken apart for nothing
+        out = out.unionByName(like_fallback(chunks, left, k=keep).select("query_id", "chunk_id", F.lit("like").alias("tier"), "rank"))
     return search_results(out).select(*out.columns) if search_results else out
 
 
